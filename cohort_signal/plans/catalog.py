@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DateType, DoubleType, FloatType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +28,8 @@ def present(df: DataFrame, decimals: int = PRESENT_DECIMALS) -> DataFrame:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             v = F.rint(c.cast("double") * F.lit(scale)) / F.lit(scale)
             out.append(F.when(v == 0, F.lit(0.0)).otherwise(v).alias(f.name))
+        elif isinstance(f.dataType, DateType):
+            out.append(F.date_format(c, "yyyy-MM-dd").alias(f.name))
         else:
             out.append(c)
     return df.select(*out)

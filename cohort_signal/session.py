@@ -55,3 +55,11 @@ def cut_lineage(df, eager: bool = True):
     executor loss; never a machine-local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables under the shared checkpoint folder
+    (never a machine-local temp folder on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"

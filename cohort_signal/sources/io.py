@@ -115,7 +115,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
         df = df.coalesce(partitions)
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        (writer.option("header", True)
+         # keep cell text exactly as it is (the writer trims by default)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(path))
     elif fmt == "parquet":
         writer.parquet(path)
     else:
