@@ -39,6 +39,7 @@ def _simpson(a: Column, b: Column, f) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), step) * h / F.lit(3.0)
 
 
+
 def t_two_sided_p(t: Column, df: Column) -> Column:
     """Two-sided p-value of a t statistic with ``df`` degrees of freedom."""
     nu = df.cast("double")
@@ -64,7 +65,7 @@ def normal_upper_tail(z: Column) -> Column:
     def f(u):
         return F.exp(-u * u / F.lit(2.0))
 
-    return _simpson(a, a + F.lit(NORMAL_SPAN), f) / F.lit(math.sqrt(2 * math.pi))
+    return _simpson(a, a + F.lit(NORMAL_SPAN), f) / F.sqrt(F.lit(2.0) * F.lit(math.pi))
 
 
 def normal_two_sided_p(z: Column) -> Column:

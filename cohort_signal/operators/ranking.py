@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 DEFAULT_BLOCKS = 64
 SKETCH_ACCURACY = 10000
+# Distinct values per column up to which the built-in exact ``percentile``
+# aggregate is used: its buffer is a value -> count map, so its size is
+# bounded by the distinct count, checked first with a sketch.
+PERCENTILE_BUFFER_LIMIT = 500_000
 # Bounded side of a join that may be broadcast (rows).
 BROADCAST_ROW_LIMIT = 200_000
 
@@ -80,6 +84,26 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     that are needed (2 per prob and column) reach the driver.
     """
     cols = list(cols)
+    est = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if (est[f"d{i}"] or 0) <= PERCENTILE_BUFFER_LIMIT]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")),
+                                    F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
+                       for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
+    big = [c for c in cols if c not in out]
+    if big:
+        out.update(_quantiles_by_rank(df, big, probs, n_blocks))
+    return out
+
+
+def _quantiles_by_rank(df: DataFrame, cols: list[str], probs: Sequence[float],
+                       n_blocks: int) -> dict[str, list[float | None]]:
+    """Distributed exact quantiles for columns with unbounded distinct
+    counts: rank the distinct values with ``prefix_sums`` and fetch only the
+    needed order statistics."""
     long = (df.select(F.explode(F.array(*[
                 F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols
             ])).alias("_kv")).select("_kv.feature", "_kv.v")

@@ -137,3 +137,36 @@ def ols_ctes(name: str, src: str, feats: list[str], target: str, group: list[str
 def predict_sql(coef_alias: str, feats: list[str]) -> str:
     return f"({coef_alias}.intercept + " + " + ".join(
         f"{coef_alias}.coef[{i + 1}] * {f}" for i, f in enumerate(feats)) + ")"
+
+
+def _simpson_sql(a: str, b: str, f) -> str:
+    """Composite Simpson over [a, b] with the same steps and summation as
+    ``functions.tails`` (f maps a SQL expression of the point to the integrand)."""
+    h = f"(({b}) - ({a})) / 2000.0"
+    w = "(CASE WHEN k = 0 OR k = 2000 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END)"
+    return (f"(list_reduce(list_transform(range(0, 2001), lambda k: {w} * {f(f'(({a}) + k::DOUBLE * {h})')}), "
+            f"lambda acc, v: acc + v, 0.0) * {h} / 3.0)")
+
+
+def t_p_sql(t: str, nu: str) -> str:
+    """Two-sided Student-t p-value of column ``t`` with ``nu`` d.f."""
+    th = f"atan(abs({t}) / sqrt({nu}::DOUBLE))"
+    wd = f"(12.0 / sqrt(greatest({nu}::DOUBLE - 1.0, 1.0)))"
+    hp = "(pi() / 2)"
+
+    def f(u):
+        return f"exp(({nu}::DOUBLE - 1.0) * ln(greatest(cos({u}), 1e-300)))"
+    num = _simpson_sql(th, f"least({th} + {wd}, {hp})", f)
+    den = _simpson_sql("0.0", f"least({wd}, {hp})", f)
+    return f"(CASE WHEN {t} IS NULL OR {nu} IS NULL OR {nu} < 1 OR isnan({t}) THEN NULL ELSE least({num} / {den}, 1.0) END)"
+
+
+def normal_p_sql(z: str) -> str:
+    a = f"abs({z})"
+    s = _simpson_sql(a, f"{a} + 12.0", lambda u: f"exp(-{u} * {u} / 2.0)")
+    return f"(CASE WHEN {z} IS NULL THEN NULL ELSE 2.0 * ({s} / sqrt(2 * pi())) END)"
+
+
+def stars_sql(p: str, ns: str = "ns") -> str:
+    return (f"(CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' "
+            f"WHEN {p} IS NOT NULL THEN '{ns}' END)")
