@@ -274,3 +274,61 @@ def coefficient_frame(spark: SparkSession, fit: LinearFit) -> DataFrame:
     return spark.createDataFrame(
         [(f, c, abs(c), i + 1) for i, (f, c) in enumerate(rows)],
         "feature string, coef double, abs_coef double, rank int")
+
+
+def grouped_cv(df: DataFrame, all_features: Sequence[str], target: str, fold_col: str,
+               group_col: str, features_for: dict, alpha: float = 0.0, min_rows: int = 0,
+               extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Cross-validation for several feature sets in one pass.
+
+    ``df`` holds one row per (group, entity) - e.g. a row exploded to every
+    checkpoint it is complete for - with all features; ``features_for[g]``
+    names the features of group g.  Moments of all features are summed per
+    (group, extra keys, fold) once; each group's fits use its sub-block.
+    Scaling uses all rows of the (group, extra keys) cell (scope 'all').
+    Groups with fewer than ``min_rows`` rows are skipped.
+    """
+    spark = df.sparkSession
+    allf = list(all_features)
+    cols = allf + [target]
+    keys = [group_col, *extra_keys, fold_col]
+    shift = column_means(df, cols)
+    cells = moments_by(df, cols, keys, shift)
+    by: dict[tuple, dict] = {}
+    for key, mom in cells.items():
+        by.setdefault(key[:-1], {})[key[-1]] = mom
+    rows = []
+    for gk, folds in by.items():
+        feats = list(features_for[gk[0]])
+        idx = [allf.index(f) for f in feats] + [len(allf)]
+        total = None
+        for mom in folds.values():
+            total = mom if total is None else total + mom
+        if total.n < min_rows:
+            continue
+
+        def sub(m: Moments) -> Moments:
+            return Moments(m.n, m.s[idx], m.m[np.ix_(idx, idx)], m.shift[idx])
+
+        tsub = sub(total)
+        mean, scale = scaler_from_moments(tsub, len(feats))
+        for fold, test in folds.items():
+            fit = fit_from_moments(sub(total - test), feats, alpha, mean, scale)
+            full = np.zeros(len(allf))
+            for f, b in zip(feats, fit.raw_coef):
+                full[allf.index(f)] = b
+            rows.append((*gk, fold, int(total.n), int(total.n - test.n), int(test.n),
+                         r2_from_moments(sub(test), fit), float(fit.raw_intercept), [float(x) for x in full]))
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+    key_fields = [df.schema[k] for k in keys]
+    schema = StructType(key_fields + [StructField("n_rows", LongType()), StructField("n_train", LongType()),
+                                      StructField("n_test", LongType()), StructField("r2", DoubleType()),
+                                      StructField("_b0", DoubleType()), StructField("_b", ArrayType(DoubleType()))])
+    fits = spark.createDataFrame(rows, schema)
+    side = F.broadcast(fits) if len(rows) <= BROADCAST_ROW_LIMIT else fits
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in allf])
+    pred = F.col("_b0") + F.aggregate(F.zip_with("_x", "_b", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    mae = (df.select(*keys, F.col(target).cast("double").alias("_y"), x.alias("_x"))
+           .join(side.select(*keys, "_b0", "_b"), keys)
+           .groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - pred)).alias("mae")))
+    return fits.drop("_b0", "_b").join(mae, keys, "left")

@@ -72,3 +72,428 @@ def m14_predict_current_cohort(spark: SparkSession, sf_dir: str):
     fit = pl.train_linear(prep)
     cur = pl.apply_preprocess(pl.cohort.current_cohort(wide, out), prep)
     return cur.select("entity_id", "name", F.rint(fit.predict()).cast("int").alias("predicted"))
+
+
+# ---------------------------------------------------------------------------
+# shared Spark-side state for the linear world (R1 scores -> outcome)
+# ---------------------------------------------------------------------------
+
+from ..functions.labels import (auc_class, confidence_above, confidence_positive,  # noqa: E402
+                                confidence_useful, fixed_tier, usefulness, usefulness_band)
+from ..operators import classify, evaluate, explain, linear, stats, trees  # noqa: E402
+from ..operators import cohort, risk  # noqa: E402
+from ..operators.checkpoints import checkpoint_features, complete_depth  # noqa: E402
+from .oracle import EXAMS, normal_p_sql  # noqa: E402,F401
+
+
+def _linear_world(spark: SparkSession, sf_dir: str):
+    wide, out, merged = pl.load_and_merge(spark, sf_dir)
+    prep = pl.preprocess(merged, SC)
+    fit = pl.train_linear(prep)
+    split = linear.split_flag(F.col("entity_id"))
+    scored = prep.table.select("entity_id", "outcome", *prep.features, split.alias("split"),
+                               fit.predict().alias("pred"))
+    return wide, out, prep, fit, scored
+
+
+PST = "pst AS (SELECT " + ", ".join(
+    f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in enumerate(FEATS)) + " FROM prep)"
+SPLIT = f"CASE WHEN {md5_bucket('entity_id', 100)} < 20 THEN 'test' ELSE 'train' END"
+LIN = [*PREP_CTES, PST, f"train AS (SELECT * FROM prep WHERE {md5_bucket('entity_id', 100)} >= 20)",
+       *ols_ctes("fit", "train", FEATS, "outcome", scale_src="pst"),
+       f"pr AS (SELECT p.*, {SPLIT} AS split, {predict_sql('fit_coef', FEATS)} AS pred FROM prep p CROSS JOIN fit_coef)"]
+FEAT_LIST = "[" + ", ".join(f"'{c}'" for c in FEATS) + "]"
+E1 = (f"e1 AS (SELECT {FEAT_LIST}[i] AS feature, s.coef_std[i] AS coef FROM fit_sol s CROSS JOIN range(1, {len(FEATS) + 1}) t(i))")
+
+
+@query("m1_split", with_(WIDE, NAMED, OUTC, MERGED) + f"SELECT entity_id, {SPLIT} AS split FROM merged")
+def m1_split(spark: SparkSession, sf_dir: str):
+    """M1: deterministic 80/20 hash split on the key."""
+    return pl.load_and_merge(spark, sf_dir)[2].select("entity_id", linear.split_flag(F.col("entity_id")).alias("split"))
+
+
+@query("m2_ols_coefficients")
+def m2_ols_coefficients(spark: SparkSession, sf_dir: str):
+    """M2 + E1 + F20 + W4: OLS on standardised features, ranked by |coef|."""
+    _, _, prep, fit, _ = _linear_world(spark, sf_dir)
+    return explain.coefficients(spark, fit)
+
+
+M7_SQL = with_(*LIN) + (
+    f"SELECT 'linear' AS model, split, count(*) AS n, {p6('avg(abs(outcome - pred))')} AS mae, "
+    f"{p6('sqrt(avg((outcome - pred) * (outcome - pred)))')} AS rmse, "
+    f"{p6('1.0 - sum((outcome - pred) * (outcome - pred)) / (var_pop(outcome) * count(*))')} AS r2 FROM pr GROUP BY split")
+
+
+@query("m7_linear_metrics", M7_SQL)
+def m7_linear_metrics(spark: SparkSession, sf_dir: str):
+    """M7: MAE / RMSE / R^2 of the linear model on train and test."""
+    _, _, _, _, scored = _linear_world(spark, sf_dir)
+    return evaluate.regression_metrics(scored.withColumn("model", F.lit("linear")), "outcome", "pred", ["model", "split"])
+
+
+@query("f17_overfit_flag", with_(*LIN, "mm AS (SELECT split, 1.0 - sum((outcome - pred) * (outcome - pred)) / (var_pop(outcome) * count(*)) AS r2 FROM pr GROUP BY split)") + (
+    f"SELECT 'linear' AS model, {p6('max(r2) FILTER (WHERE split = ' + chr(39) + 'train' + chr(39) + ') - max(r2) FILTER (WHERE split = ' + chr(39) + 'test' + chr(39) + ')')} AS r2_gap, "
+    "(max(r2) FILTER (WHERE split = 'train') - max(r2) FILTER (WHERE split = 'test')) > 0.15 AS overfit FROM mm"))
+def f17_overfit_flag(spark: SparkSession, sf_dir: str):
+    """train R^2 - test R^2 gap and the 0.15 overfit flag."""
+    _, _, _, _, scored = _linear_world(spark, sf_dir)
+    m = evaluate.regression_metrics(scored.withColumn("model", F.lit("linear")), "outcome", "pred", ["model", "split"])
+    return evaluate.metrics_wide(m).select("model", "r2_gap", "overfit")
+
+
+@query("e6_residuals")
+def e6_residuals(spark: SparkSession, sf_dir: str):
+    """Residual table (actual - predicted)."""
+    _, _, _, _, scored = _linear_world(spark, sf_dir)
+    return scored.select("entity_id", "split", (F.col("outcome") - F.col("pred")).alias("residual"))
+
+
+@query("a12_residual_stats", with_(*LIN) + f"SELECT {p6('avg(outcome - pred)')} AS mean_residual, {p6('stddev_pop(outcome - pred)')} AS std_residual, count(*) AS n FROM pr WHERE split = 'test'")
+def a12_residual_stats(spark: SparkSession, sf_dir: str):
+    """Mean and population std of test residuals."""
+    _, _, _, _, scored = _linear_world(spark, sf_dir)
+    from ..operators.profile import residual_stats
+    return residual_stats(scored.filter(F.col("split") == "test").withColumn("residual", F.col("outcome") - F.col("pred")))
+
+
+def _perm_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, (2.0 * coef[{i + 1}] * covar_pop(outcome - pred, {c}) + 2.0 * coef[{i + 1}] * coef[{i + 1}] * var_pop({c})) / var_pop(outcome) AS importance "
+        f"FROM pr CROSS JOIN fit_coef WHERE split = 'test' GROUP BY coef" for i, c in enumerate(FEATS))
+    return f"perm AS ({parts})"
+
+
+@query("e2_permutation_closed_form")
+def e2_permutation_closed_form(spark: SparkSession, sf_dir: str):
+    """Expected R^2 drop under a random permutation of each feature
+    (closed form for a linear model), on the test rows."""
+    _, _, prep, fit, scored = _linear_world(spark, sf_dir)
+    return explain.permutation_importance(scored.filter(F.col("split") == "test"), fit, "outcome")
+
+
+@query("e2_permutation_sampled")
+def e2_permutation_sampled(spark: SparkSession, sf_dir: str):
+    """E2 (sampled): mean R^2 drop over 30 random permutations per feature."""
+    _, _, prep, fit, scored = _linear_world(spark, sf_dir)
+    return explain.permutation_importance_sampled(scored.filter(F.col("split") == "test"), fit, "outcome",
+                                                  "entity_id", repeats=30)
+
+
+@query("e3_attributions")
+def e3_attributions(spark: SparkSession, sf_dir: str):
+    """Additive attributions coef * (x - background mean), test rows."""
+    _, _, prep, fit, scored = _linear_world(spark, sf_dir)
+    return explain.attributions(scored.filter(F.col("split") == "test"), fit, "entity_id")
+
+
+@query("e5_combined_importance")
+def e5_combined_importance(spark: SparkSession, sf_dir: str):
+    """E5: coefficients and permutation importance side by side."""
+    _, _, prep, fit, scored = _linear_world(spark, sf_dir)
+    return explain.combined_importance(explain.coefficients(spark, fit),
+                                       explain.permutation_importance(scored.filter(F.col("split") == "test"), fit, "outcome"))
+
+
+@query("o4_top_features")
+def o4_top_features(spark: SparkSession, sf_dir: str):
+    """Top features by |coef|."""
+    _, _, prep, fit, _ = _linear_world(spark, sf_dir)
+    return explain.top_features(explain.coefficients(spark, fit), 5).select("feature", "coef", "abs_coef")
+
+
+@query("m12_confusion", with_(*LIN) + (
+    f"SELECT count(*) FILTER (WHERE pred >= {THS} AND outcome >= {THS}) AS tp, count(*) FILTER (WHERE pred < {THS} AND outcome < {THS}) AS tn, "
+    f"count(*) FILTER (WHERE pred >= {THS} AND outcome < {THS}) AS fp, count(*) FILTER (WHERE pred < {THS} AND outcome >= {THS}) AS fn, "
+    f"{p6('(count(*) FILTER (WHERE pred >= ' + THS + ' AND outcome >= ' + THS + ') + count(*) FILTER (WHERE pred < ' + THS + ' AND outcome < ' + THS + '))::DOUBLE / count(*)')} AS accuracy, "
+    f"{p6('count(*) FILTER (WHERE pred < ' + THS + ' AND outcome < ' + THS + ')::DOUBLE / nullif(count(*) FILTER (WHERE outcome < ' + THS + '), 0)')} AS fail_catch_rate, "
+    f"{p6('count(*) FILTER (WHERE pred >= ' + THS + ' AND outcome >= ' + THS + ')::DOUBLE / nullif(count(*) FILTER (WHERE outcome >= ' + THS + '), 0)')} AS pass_recall FROM pr"))
+def m12_confusion(spark: SparkSession, sf_dir: str):
+    """pass/fail confusion of the linear model over all scored rows
+    (in-sample for the training rows, as in the reference)."""
+    _, _, _, _, scored = _linear_world(spark, sf_dir)
+    return evaluate.confusion(scored, "outcome", "pred", TH)
+
+
+CURPRED = [*PREP_CTES, f"train AS (SELECT * FROM prep WHERE {md5_bucket('entity_id', 100)} >= 20)",
+           *ols_ctes("fit", "train", FEATS, "outcome"),
+           _imputed("curp", "cur", "s.entity_id, s.name"), _engineered("curp"),
+           f"cp AS (SELECT entity_id, round_even({predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted FROM curp CROSS JOIN fit_coef)",
+           f"tiers AS (SELECT *, CASE WHEN predicted < {TH - 8} THEN 'HIGH RISK' WHEN predicted < {TH - 3} THEN 'AT RISK' WHEN predicted < {TH + 3} THEN 'BORDERLINE' ELSE 'LIKELY PASS' END AS risk_level FROM cp)"]
+
+
+def _current_predictions(spark, sf_dir):
+    return m14_predict_current_cohort(spark, sf_dir).select("entity_id", "predicted")
+
+
+@query("a5_tier_counts", with_(*CURPRED, "lv AS (SELECT * FROM (VALUES ('HIGH RISK', 0), ('AT RISK', 1), ('BORDERLINE', 2), ('LIKELY PASS', 3)) v(risk_level, level_order))") + (
+    "SELECT lv.risk_level, lv.level_order, coalesce(c.n, 0)::BIGINT AS n, "
+    + p6("coalesce(c.n, 0) * 100.0 / sum(coalesce(c.n, 0)) OVER ()") + " AS pct FROM lv LEFT JOIN (SELECT risk_level, count(*) AS n FROM tiers GROUP BY risk_level) c USING (risk_level)"))
+def a5_tier_counts(spark: SparkSession, sf_dir: str):
+    """A5: tier counts in fixed order (absent tier = 0) with percent."""
+    return risk.tier_counts(risk.tiered(_current_predictions(spark, sf_dir), TH)).withColumn("level_order", F.col("level_order").cast("int"))
+
+
+@query("a7_prediction_summary", with_(*CURPRED) + f"SELECT min(predicted) AS pred_min, max(predicted) AS pred_max, {p6('avg(predicted)')} AS pred_mean, count(*) AS n FROM cp")
+def a7_prediction_summary(spark: SparkSession, sf_dir: str):
+    """Min / max / mean of current-cohort predictions."""
+    return risk.prediction_summary(_current_predictions(spark, sf_dir))
+
+
+@query("o3_sort_by_predicted", with_(*CURPRED) + "SELECT entity_id, predicted, risk_level FROM tiers ORDER BY predicted, entity_id")
+def o3_sort_by_predicted(spark: SparkSession, sf_dir: str):
+    """O3 + F9: tiered predictions sorted ascending."""
+    return risk.tiered(_current_predictions(spark, sf_dir), TH).orderBy("predicted", "entity_id")
+
+
+@query("o1_sort_by_risk", Q5_SQL)
+def o1_sort_by_risk(spark: SparkSession, sf_dir: str):
+    """O1: the report sorted by risk (key tiebreak)."""
+    return pl.early_warning(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# exam world (R2 exams -> outcome): ridge, CV, checkpoints
+# ---------------------------------------------------------------------------
+
+from ..functions import clean  # noqa: E402
+from .oracle import OUTC as _OUTC, cv_sql  # noqa: E402
+
+EX = list(fx.EXAM_COLUMNS)
+COURSES = list(fx.COURSES)
+EXO_K = "exk AS (SELECT * FROM exams JOIN outc USING (entity_id))"
+CC = "cc AS (SELECT * FROM exk WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in EX) + ")"
+EXAM_BASE = [EXAMS, _OUTC, EXO_K, CC]
+ALPHA = 1.0
+
+
+def _exam_world(spark: SparkSession, sf_dir: str):
+    ex = fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id")
+    return ex, clean.drop_null(ex, EX)
+
+
+def _ridge_scored(spark, sf_dir):
+    _, cc = _exam_world(spark, sf_dir)
+    sc = pl.features.fit_scaler(cc, EX)
+    split = linear.split_flag(F.col("entity_id"))
+    fit = linear.fit_linear(cc.filter(split == "train"), EX, "outcome", ALPHA,
+                            [sc.mean[c] for c in EX], [sc.scale(c) for c in EX])
+    scored = cc.select("entity_id", "outcome", *EX, split.alias("split"), fit.predict().alias("pred"))
+    return fit, scored
+
+
+CST = "cst AS (SELECT " + ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in enumerate(EX)) + " FROM cc)"
+RIDGE = [*EXAM_BASE, CST, f"rtrain AS (SELECT * FROM cc WHERE {md5_bucket('entity_id', 100)} >= 20)",
+         *ols_ctes("rg", "rtrain", EX, "outcome", alpha=ALPHA, scale_src="cst"),
+         f"rp AS (SELECT c.*, {SPLIT} AS split, {predict_sql('rg_coef', EX)} AS pred FROM cc c CROSS JOIN rg_coef)"]
+EX_LIST = "[" + ", ".join(f"'{c}'" for c in EX) + "]"
+RE1 = f"re1 AS (SELECT {EX_LIST}[i] AS feature, s.coef_std[i] AS coef FROM rg_sol s CROSS JOIN range(1, {len(EX) + 1}) t(i))"
+
+
+@query("m3_ridge_coefficients", with_(*EXAM_BASE, CST, *ols_ctes("rall", "cc", EX, "outcome", alpha=ALPHA, scale_src="cst"),
+                                      f"ra AS (SELECT {EX_LIST}[i] AS feature, s.coef_std[i] AS coef FROM rall_sol s CROSS JOIN range(1, {len(EX) + 1}) t(i))")
+       + f"SELECT feature, {p6('coef')} AS coef FROM ra")
+def m3_ridge_coefficients(spark: SparkSession, sf_dir: str):
+    """M3: ridge (alpha = 1, intercept unpenalised) on standardised exams."""
+    _, cc = _exam_world(spark, sf_dir)
+    fit = linear.fit_linear(cc, EX, "outcome", ALPHA)
+    return spark.createDataFrame(fit.coefficient_rows(), "feature string, coef double")
+
+
+@query("e1_ridge_coefficients", with_(*RIDGE, RE1) + (
+    f"SELECT feature, {p6('coef')} AS coef, {p6('abs(coef)')} AS abs_coef, CASE WHEN coef > 0 THEN '+' ELSE '-' END AS sign, "
+    "row_number() OVER (ORDER BY abs(coef) DESC, feature)::INTEGER AS rank FROM re1"))
+def e1_ridge_coefficients(spark: SparkSession, sf_dir: str):
+    """E1 + F20 + W4 on the (well-conditioned) exam ridge model."""
+    fit, _ = _ridge_scored(spark, sf_dir)
+    return explain.coefficients(spark, fit)
+
+
+def _rperm_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, (2.0 * coef[{i + 1}] * covar_pop(outcome - pred, {c}) + 2.0 * coef[{i + 1}] * coef[{i + 1}] * var_pop({c})) / var_pop(outcome) AS importance "
+        f"FROM rp CROSS JOIN rg_coef WHERE split = 'test' GROUP BY coef" for i, c in enumerate(EX))
+    return f"rperm AS ({parts})"
+
+
+@query("e2_ridge_permutation", with_(*RIDGE, _rperm_sql()) + f"SELECT feature, {p6('importance')} AS importance FROM rperm")
+def e2_ridge_permutation(spark: SparkSession, sf_dir: str):
+    """E2 (closed form) on the exam ridge model, test rows."""
+    fit, scored = _ridge_scored(spark, sf_dir)
+    return explain.permutation_importance(scored.filter(F.col("split") == "test"), fit, "outcome")
+
+
+@query("e3_ridge_attributions", with_(*RIDGE, "rbg AS (SELECT " + ", ".join(f"avg({c}) AS bm{i}" for i, c in enumerate(EX)) + " FROM rp WHERE split = 'test')")
+       + " UNION ALL ".join(f"SELECT entity_id, '{c}' AS feature, {p6(f'coef[{i + 1}] * ({c} - bm{i})')} AS attribution FROM rp CROSS JOIN rg_coef CROSS JOIN rbg WHERE split = 'test'" for i, c in enumerate(EX)))
+def e3_ridge_attributions(spark: SparkSession, sf_dir: str):
+    """E3 on the exam ridge model, test rows as background."""
+    fit, scored = _ridge_scored(spark, sf_dir)
+    return explain.attributions(scored.filter(F.col("split") == "test"), fit, "entity_id")
+
+
+@query("e5_ridge_combined", with_(*RIDGE, RE1, _rperm_sql()) + f"SELECT feature, {p6('coef')} AS coef, {p6('abs(coef)')} AS abs_coef, {p6('importance')} AS importance FROM re1 FULL OUTER JOIN rperm USING (feature)")
+def e5_ridge_combined(spark: SparkSession, sf_dir: str):
+    """E5 on the exam ridge model."""
+    fit, scored = _ridge_scored(spark, sf_dir)
+    return explain.combined_importance(explain.coefficients(spark, fit),
+                                       explain.permutation_importance(scored.filter(F.col("split") == "test"), fit, "outcome"))
+
+
+@query("e6_ridge_residuals", with_(*RIDGE) + f"SELECT entity_id, split, {p6('outcome - pred')} AS residual FROM rp")
+def e6_ridge_residuals(spark: SparkSession, sf_dir: str):
+    """E6 on the exam ridge model."""
+    _, scored = _ridge_scored(spark, sf_dir)
+    return scored.select("entity_id", "split", (F.col("outcome") - F.col("pred")).alias("residual"))
+
+
+@query("o4_ridge_top_features", with_(*RIDGE, RE1) + f"SELECT feature, {p6('coef')} AS coef, {p6('abs(coef)')} AS abs_coef FROM re1 ORDER BY abs(coef) DESC, feature LIMIT 5")
+def o4_ridge_top_features(spark: SparkSession, sf_dir: str):
+    """O4 on the exam ridge model."""
+    fit, _ = _ridge_scored(spark, sf_dir)
+    return explain.top_features(explain.coefficients(spark, fit), 5).select("feature", "coef", "abs_coef")
+
+
+def _cv_folds(spark, sf_dir, reps: int | None = None, feats=None, data=None):
+    feats = feats or EX
+    if data is None:
+        data = _exam_world(spark, sf_dir)[1]
+    if reps is None:
+        d = data.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
+        return linear.cv_linear(d, feats, "outcome", "fold", alpha=ALPHA)
+    d = data.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), *data.columns)
+    d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42, repeat=F.col("rep")))
+    return linear.cv_linear(d, feats, "outcome", "fold", group_cols=["rep"], alpha=ALPHA)
+
+
+@query("m5_cv_folds", with_(*EXAM_BASE, *cv_sql("k5", "cc", EX, "outcome", ALPHA))
+       + f"SELECT fold, n_train, n_test, {p6('r2')} AS r2, {p6('mae')} AS mae FROM k5_ev")
+def m5_cv_folds(spark: SparkSession, sf_dir: str):
+    """M5: 5-fold (hash) CV of the exam ridge: per-fold R^2 and MAE from
+    fold moments (train = total - fold), MAE in one extra pass."""
+    return _cv_folds(spark, sf_dir)
+
+
+CV_SUMMARY = (f"SELECT count(*) AS n_folds, {p6('avg(r2)')} AS r2_mean, {p6('stddev_pop(r2)')} AS r2_std, "
+              f"{p6('avg(mae)')} AS mae_mean, {p6('stddev_pop(mae)')} AS mae_std, "
+              f"{p6('avg(r2) - 1.96 * stddev_pop(r2) / sqrt(count(*))')} AS r2_ci_low, "
+              f"{p6('avg(r2) + 1.96 * stddev_pop(r2) / sqrt(count(*))')} AS r2_ci_high")
+
+
+@query("m5_cv_summary", with_(*EXAM_BASE, *cv_sql("k5", "cc", EX, "outcome", ALPHA)) + CV_SUMMARY + " FROM k5_ev")
+def m5_cv_summary(spark: SparkSession, sf_dir: str):
+    """M5 + T6: mean and population std of fold scores with the 95 % CI."""
+    return linear.cv_summary(_cv_folds(spark, sf_dir))
+
+
+@query("m6_repeated_cv", with_(*EXAM_BASE, *cv_sql("k50", "cc", EX, "outcome", ALPHA, reps=10))
+       + f"SELECT rep, fold, n_train, n_test, {p6('r2')} AS r2, {p6('mae')} AS mae FROM k50_ev")
+def m6_repeated_cv(spark: SparkSession, sf_dir: str):
+    """M6: 10 x 5 repeated K-fold (hash folds per repeat), one moment pass
+    for all 50 fits."""
+    return _cv_folds(spark, sf_dir, reps=10)
+
+
+@query("t6_cv_ci", with_(*EXAM_BASE, *cv_sql("k50", "cc", EX, "outcome", ALPHA, reps=10)) + CV_SUMMARY + " FROM k50_ev")
+def t6_cv_ci(spark: SparkSession, sf_dir: str):
+    """Mean +- 1.96 std / sqrt(k) over the 50 repeated-CV scores."""
+    return linear.cv_summary(_cv_folds(spark, sf_dir, reps=10))
+
+
+@query("f18_confidence_wording", with_(*EXAM_BASE, *cv_sql("k50", "cc", EX, "outcome", ALPHA, reps=10),
+                                       "sm AS (SELECT avg(r2) AS m, avg(r2) - 1.96 * stddev_pop(r2) / sqrt(count(*)) AS lo, avg(mae) AS mm, stddev_pop(mae) AS ms FROM k50_ev)")
+       + ("SELECT CASE WHEN lo > 0 THEN 'HIGH' WHEN lo IS NOT NULL THEN 'LOW' END AS r2_above_0, "
+          "CASE WHEN lo > 0.3 THEN 'HIGH' WHEN m > 0.3 THEN 'MODERATE' WHEN m IS NOT NULL THEN 'LOW' END AS r2_above_030, "
+          f"{p6('mm + 2.0 * ms')} AS worst_case_mae FROM sm"))
+def f18_confidence_wording(spark: SparkSession, sf_dir: str):
+    """F18 + T10: confidence wording from the R^2 interval; worst-case MAE."""
+    s = linear.cv_summary(_cv_folds(spark, sf_dir, reps=10))
+    return s.select(confidence_positive("r2_ci_low").alias("r2_above_0"),
+                    confidence_above("r2_ci_low", "r2_mean", 0.3).alias("r2_above_030"),
+                    stats.worst_case(F.col("mae_mean"), F.col("mae_std")).alias("worst_case_mae"))
+
+
+def _checkpoint_rows(spark, sf_dir, parts):
+    ex, _ = _exam_world(spark, sf_dir)
+    depth = complete_depth(COURSES, parts)
+    rows = ex.withColumn("_depth", depth).filter(F.col("_depth") >= 1)
+    rows = rows.select(F.explode(F.sequence(F.lit(1), F.col("_depth"))).alias("checkpoint"), *ex.columns)
+    return rows.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
+
+
+def _checkpoint_cv(spark, sf_dir, parts):
+    rows = _checkpoint_rows(spark, sf_dir, parts)
+    feats_for = {k: checkpoint_features(COURSES, k, parts) for k in range(1, len(COURSES) + 1)}
+    folds = linear.grouped_cv(rows, EX, "outcome", "fold", "checkpoint", feats_for, alpha=ALPHA, min_rows=20)
+    names = spark.createDataFrame([(k, COURSES[k - 1], len(feats_for[k])) for k in feats_for],
+                                  "checkpoint int, course string, n_features int")
+    s = folds.groupBy("checkpoint").agg(
+        F.max("n_rows").alias("n_rows"), F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
+        F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
+    return (s.join(F.broadcast(names), "checkpoint")
+            .select(F.col("course").alias("checkpoint"), F.col("checkpoint").alias("course_num"), "n_features",
+                    "n_rows", "r2_mean", "r2_std", "mae_mean", "mae_std",
+                    usefulness("r2_mean").alias("usefulness"), usefulness_band("r2_mean").alias("band")))
+
+
+def _checkpoint_sql(parts: tuple[str, ...], name: str) -> list[str]:
+    ctes, selects = [], []
+    for k in range(1, len(COURSES) + 1):
+        feats = checkpoint_features(COURSES, k, parts)
+        cond = " AND ".join(f"{c} IS NOT NULL" for c in feats)
+        ctes.append(f"{name}d{k} AS (SELECT * FROM exk WHERE {cond})")
+        ctes += cv_sql(f"{name}{k}", f"{name}d{k}", feats, "outcome", ALPHA)
+        selects.append(
+            f"SELECT '{COURSES[k - 1]}' AS checkpoint, {k} AS course_num, {len(feats)} AS n_features, "
+            f"(SELECT count(*) FROM {name}d{k}) AS n_rows, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std, "
+            f"avg(mae) AS mae_mean, stddev_pop(mae) AS mae_std FROM {name}{k}_ev")
+    ctes.append(f"{name}res AS ({' UNION ALL '.join(selects)})")
+    return ctes
+
+
+def _checkpoint_final(name: str) -> str:
+    return (f"SELECT checkpoint, course_num::INTEGER AS course_num, n_features::INTEGER AS n_features, n_rows, {p6('r2_mean')} AS r2_mean, "
+            f"{p6('r2_std')} AS r2_std, {p6('mae_mean')} AS mae_mean, {p6('mae_std')} AS mae_std, "
+            "CASE WHEN r2_mean > 0.4 THEN 'USEFUL' WHEN r2_mean > 0.25 THEN 'MODERATE' WHEN r2_mean > 0.1 THEN 'EMERGING' WHEN r2_mean IS NOT NULL THEN '' END AS usefulness, "
+            "CASE WHEN r2_mean < 0.15 THEN 'LOW' WHEN r2_mean < 0.3 THEN 'MEDIUM' WHEN r2_mean IS NOT NULL THEN 'HIGH' END AS band "
+            f"FROM {name}res WHERE n_rows >= 20")
+
+
+@query("m17_checkpoints", with_(EXAMS, _OUTC, EXO_K, *_checkpoint_sql(("midterm", "final"), "ck")) + _checkpoint_final("ck"))
+def m17_checkpoints(spark: SparkSession, sf_dir: str):
+    """M17 + F15: cumulative-course checkpoints, ridge 5-fold CV each; one
+    moment pass for every checkpoint x fold."""
+    return _checkpoint_cv(spark, sf_dir, ("midterm", "final"))
+
+
+@query("m18_midterm_checkpoints", with_(EXAMS, _OUTC, EXO_K, *_checkpoint_sql(("midterm",), "mk")) + _checkpoint_final("mk"))
+def m18_midterm_checkpoints(spark: SparkSession, sf_dir: str):
+    """Midterm-only cumulative checkpoints."""
+    return _checkpoint_cv(spark, sf_dir, ("midterm",))
+
+
+@query("w6_first_useful_checkpoint", with_(EXAMS, _OUTC, EXO_K, *_checkpoint_sql(("midterm", "final"), "ck"))
+       + " UNION ALL ".join(f"SELECT {lv}::DOUBLE AS level, arg_min(checkpoint, course_num) AS checkpoint, min(course_num)::INTEGER AS course_num FROM ckres WHERE n_rows >= 20 AND r2_mean > {lv}" for lv in (0.25, 0.4)))
+def w6_first_useful_checkpoint(spark: SparkSession, sf_dir: str):
+    """First checkpoint whose CV R^2 exceeds 0.25 and 0.4."""
+    res = _checkpoint_cv(spark, sf_dir, ("midterm", "final"))
+    out = None
+    for lv in (0.25, 0.4):
+        r = evaluate.first_checkpoint(res, lv).select(F.lit(lv).alias("level"), "checkpoint", "course_num")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+EARLY = checkpoint_features(COURSES, 2)
+
+
+@query("m19_early_model", with_(*EXAM_BASE, "early AS (SELECT * FROM exk WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in EARLY) + ")",
+                                *cv_sql("e50", "early", EARLY, "outcome", ALPHA, reps=10),
+                                "es AS (SELECT count(*) AS n_folds, avg(r2) AS m, stddev_pop(r2) AS s, avg(mae) AS mm FROM e50_ev)")
+       + (f"SELECT n_folds, {p6('m')} AS r2_mean, {p6('m - 1.96 * s / sqrt(n_folds)')} AS r2_ci_low, {p6('m + 1.96 * s / sqrt(n_folds)')} AS r2_ci_high, "
+          f"{p6('mm')} AS mae_mean, CASE WHEN m - 1.96 * s / sqrt(n_folds) > 0.15 THEN 'HIGH' ELSE 'MODERATE' END AS useful_for_warning FROM es"))
+def m19_early_model(spark: SparkSession, sf_dir: str):
+    """Model on the first two courses only, repeated CV with CI."""
+    ex, _ = _exam_world(spark, sf_dir)
+    s = linear.cv_summary(_cv_folds(spark, sf_dir, reps=10, feats=EARLY, data=clean.drop_null(ex, EARLY)))
+    return s.select("n_folds", "r2_mean", "r2_ci_low", "r2_ci_high", "mae_mean",
+                    confidence_useful("r2_ci_low").alias("useful_for_warning"))

@@ -170,3 +170,31 @@ def normal_p_sql(z: str) -> str:
 def stars_sql(p: str, ns: str = "ns") -> str:
     return (f"(CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' "
             f"WHEN {p} IS NOT NULL THEN '{ns}' END)")
+
+
+def cv_sql(name: str, data: str, feats: list[str], target: str, alpha: float, k: int = 5,
+           seed: int = 42, reps: int | None = None) -> list[str]:
+    """CTEs for K-fold (optionally repeated) CV of ridge/OLS on ``data``;
+    the last CTE ``{name}_ev`` has (rep?, fold, n_train, n_test, r2, mae).
+    Folds: md5 of 'seed-id' (or 'seed-rep-id'); scaling on all rows."""
+    rep = reps is not None
+    fold_expr = (f"((('0x' || substr(md5('{seed}-' || rep::VARCHAR || '-' || entity_id::VARCHAR), 1, 8))::UBIGINT % {k})::INTEGER)"
+                 if rep else md5_bucket("entity_id", k, str(seed)))
+    reps_src = f" CROSS JOIN range(0, {reps}) rr(rep)" if rep else ""
+    g = ["rep", "hold"] if rep else ["hold"]
+    sds = ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in enumerate(feats))
+    ctes = [
+        f"{name}_f AS (SELECT d.*{', rep' if rep else ''}, {fold_expr} AS fold FROM {data} d{reps_src})",
+        f"{name}_sd0 AS (SELECT {sds} FROM {data})",
+        f"{name}_sd AS (SELECT {'rr.rep, ' if rep else ''}h.hold, s.* FROM {name}_sd0 s CROSS JOIN range(0, {k}) h(hold)"
+        + (f" CROSS JOIN range(0, {reps}) rr(rep)" if rep else "") + ")",
+        f"{name}_tr AS (SELECT f.*, h.hold FROM {name}_f f CROSS JOIN range(0, {k}) h(hold) WHERE f.fold <> h.hold)",
+        *ols_ctes(f"{name}_m", f"{name}_tr", feats, target, group=g, alpha=alpha, scale_src=f"{name}_sd"),
+    ]
+    pred = predict_sql("c", feats)
+    on = "c.hold = f.fold" + (" AND c.rep = f.rep" if rep else "")
+    ctes.append(
+        f"{name}_ev AS (SELECT {'f.rep, ' if rep else ''}f.fold, max(c.n) AS n_train, count(*) AS n_test, "
+        f"CASE WHEN var_pop(f.{target}) = 0 THEN NULL ELSE 1.0 - sum((f.{target} - {pred}) * (f.{target} - {pred})) / (var_pop(f.{target}) * count(*)) END AS r2, "
+        f"avg(abs(f.{target} - {pred})) AS mae FROM {name}_f f JOIN {name}_m_coef c ON {on} GROUP BY {'f.rep, ' if rep else ''}f.fold)")
+    return ctes
