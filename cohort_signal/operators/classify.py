@@ -19,6 +19,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .ranking import BROADCAST_ROW_LIMIT, prefix_sums
 
@@ -46,7 +47,7 @@ def logistic_newton(df: DataFrame, features: Sequence[str], label: str, group_co
     for _ in range(max_iter):
         if keys:
             rows = [(*g, [float(v) for v in b]) for g, b in beta.items()]
-            coef = spark.createDataFrame(rows, data.select(*keys).schema.add("_b", "array<double>"))
+            coef = spark.createDataFrame(rows, data.select(*keys).schema.add("_b", ArrayType(DoubleType())))
             side = F.broadcast(coef) if len(rows) <= BROADCAST_ROW_LIMIT else coef
             j = data.join(side, keys)
         else:

@@ -497,3 +497,219 @@ def m19_early_model(spark: SparkSession, sf_dir: str):
     s = linear.cv_summary(_cv_folds(spark, sf_dir, reps=10, feats=EARLY, data=clean.drop_null(ex, EARLY)))
     return s.select("n_folds", "r2_mean", "r2_ci_low", "r2_ci_high", "mae_mean",
                     confidence_useful("r2_ci_low").alias("useful_for_warning"))
+
+
+# ---------------------------------------------------------------------------
+# two-class models (R6 labelled documents, R8 retake)
+# ---------------------------------------------------------------------------
+
+from .oracle import DOCFEATS  # noqa: E402
+
+DOC_FEATS = ["n_chars", "n_words", "n_lines", "digit_share"]
+
+
+def _docs_std(spark, sf_dir):
+    d = clean.drop_null(fx.document_features(spark, sf_dir), DOC_FEATS)
+    sc = pl.features.fit_scaler(d, DOC_FEATS)
+    return pl.features.apply_scaler(d, sc)
+
+
+@query("m9_logistic")
+def m9_logistic(spark: SparkSession, sf_dir: str):
+    """M9: L2 logistic regression (C = 1) on standardised document features
+    with Spark ML, next to the grouped-Newton fit of the same objective."""
+    d = _docs_std(spark, sf_dir)
+    model = classify.mllib_logistic(d, DOC_FEATS, "label")
+    beta = classify.logistic_newton(d, DOC_FEATS, "label")[()]
+    rows = [("intercept", float(model.intercept), float(beta[0]))] + [
+        (f, float(w), float(b)) for f, w, b in zip(DOC_FEATS, model.coefficients.toArray(), beta[1:])]
+    return spark.createDataFrame(rows, "term string, coef_mllib double, coef_newton double")
+
+
+def _logistic_cv(spark, sf_dir, reps=10, k=5):
+    d = _docs_std(spark, sf_dir)
+    d = d.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), *d.columns)
+    d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), k, 42, repeat=F.col("rep")))
+    # every row trains the k - 1 fits it is not held out from
+    train = d.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("hold"), *d.columns) \
+        .filter(F.col("hold") != F.col("fold"))
+    betas = classify.logistic_newton(train, DOC_FEATS, "label", ["rep", "hold"])
+    coef = spark.createDataFrame([(g[0], g[1], [float(v) for v in b]) for g, b in betas.items()],
+                                 "rep int, fold int, _b array<double>")
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in DOC_FEATS])
+    z = F.aggregate(F.zip_with(x, F.col("_b"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    scored = d.join(F.broadcast(coef), ["rep", "fold"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    auc = classify.exact_auc(scored, "label", "score", ["rep", "fold"])
+    acc = evaluate.accuracy(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "label", "pred", ["rep", "fold"])
+    return auc.join(acc, ["rep", "fold"])
+
+
+@query("m10_auc_cv")
+def m10_auc_cv(spark: SparkSession, sf_dir: str):
+    """M10 + M11 + F16: repeated 5 x 10 CV of the logistic model (50 fits in
+    one grouped Newton loop), exact AUC and accuracy per fold, summary."""
+    f = _logistic_cv(spark, sf_dir)
+    s = f.agg(F.count(F.lit(1)).alias("n_folds"), F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
+              F.avg("accuracy").alias("accuracy_mean"))
+    half = F.lit(1.96) * F.col("auc_std") / F.sqrt(F.col("n_folds").cast("double"))
+    return s.withColumns({"auc_ci_low": F.col("auc_mean") - half, "auc_ci_high": F.col("auc_mean") + half,
+                          "auc_class": auc_class("auc_mean")})
+
+
+AUC_SQL = with_(DOCFEATS, "rk AS (SELECT label, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rnk FROM docfeats)",
+                "u AS (SELECT sum(rnk) FILTER (WHERE label = 1) AS rs, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg FROM rk)")
+
+
+@query("m10_auc_feature", AUC_SQL + f"SELECT {p6('(rs - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)')} AS auc, n_pos, n_neg FROM u")
+def m10_auc_feature(spark: SparkSession, sf_dir: str):
+    """Exact ROC AUC of one score (document length for quality), ties
+    counted one half, via distributed prefix sums."""
+    return classify.exact_auc(fx.document_features(spark, sf_dir), "label", "n_chars")
+
+
+@query("f16_auc_class", AUC_SQL + "SELECT CASE WHEN a > 0.8 THEN 'GOOD' WHEN a > 0.7 THEN 'MODERATE' WHEN a IS NOT NULL THEN 'WEAK' END AS auc_class FROM (SELECT (rs - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) AS a FROM u)")
+def f16_auc_class(spark: SparkSession, sf_dir: str):
+    """F16: AUC class (0.8 / 0.7)."""
+    return classify.exact_auc(fx.document_features(spark, sf_dir), "label", "n_chars").select(auc_class("auc").alias("auc_class"))
+
+
+@query("m11_rule_accuracy", with_(DOCFEATS) + f"SELECT {p6('avg(((n_words >= 100)::INTEGER = label)::INTEGER)')} AS accuracy FROM docfeats")
+def m11_rule_accuracy(spark: SparkSession, sf_dir: str):
+    """Accuracy of a thresholded score against the label."""
+    d = fx.document_features(spark, sf_dir).withColumn("pred", (F.col("n_words") >= 100).cast("int"))
+    return evaluate.accuracy(d, "label", "pred")
+
+
+def _retake_t_sql() -> str:
+    from .catalog_relational import RETAKE
+    from .oracle import ATTEMPTS, WIDE
+    parts = []
+    for c in SC:
+        parts.append(
+            f"SELECT '{c}' AS feature, count({c}) FILTER (WHERE needed_retake = 0) AS n0, count({c}) FILTER (WHERE needed_retake = 1) AS n1, "
+            f"avg({c}) FILTER (WHERE needed_retake = 0) AS mean_0, avg({c}) FILTER (WHERE needed_retake = 1) AS mean_1, "
+            f"var_samp({c}) FILTER (WHERE needed_retake = 0) AS v0, var_samp({c}) FILTER (WHERE needed_retake = 1) AS v1 FROM rl")
+    from .oracle import stars_sql, t_p_sql
+    return with_(WIDE, ATTEMPTS, RETAKE, f"s AS ({' UNION ALL '.join(parts)})",
+                 "tt AS (SELECT *, mean_0 - mean_1 AS diff, CASE WHEN sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) = 0 THEN NULL ELSE "
+                 "(mean_0 - mean_1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) END AS t, n0 + n1 - 2 AS dof FROM s WHERE n0 > 5 AND n1 > 5)",
+                 f"tp AS (SELECT *, {t_p_sql('t', 'dof')} AS p FROM tt)") + (
+        f"SELECT feature, n0, n1, {p6('mean_0')} AS mean_0, {p6('mean_1')} AS mean_1, {p6('diff')} AS diff, {p6('t')} AS t, {p6('p')} AS p, {stars_sql('p', '')} AS stars FROM tp")
+
+
+@query("q11_retake_analysis", _retake_t_sql())
+def q11_retake_analysis(spark: SparkSession, sf_dir: str):
+    """Q11: score differences between entities that needed a retake and
+    those that did not (pooled t-test per score, blank for ns)."""
+    return stats.two_sample_t(fx.retake_labels(spark, sf_dir), SC, "needed_retake", not_significant="")
+
+
+@query("q11_retake_logistic")
+def q11_retake_logistic(spark: SparkSession, sf_dir: str):
+    """Q11: can scores predict a retake?  Logistic 10 x 5 CV on complete
+    rows, exact AUC and accuracy per fold (grouped Newton fits)."""
+    r = clean.drop_null(fx.retake_labels(spark, sf_dir), SC)
+    sc = pl.features.fit_scaler(r, SC)
+    d = pl.features.apply_scaler(r, sc)
+    d = d.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"), *d.columns)
+    d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42, repeat=F.col("rep")))
+    train = d.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("hold"), *d.columns).filter(F.col("hold") != F.col("fold"))
+    betas = classify.logistic_newton(train, SC, "needed_retake", ["rep", "hold"])
+    coef = spark.createDataFrame([(g[0], g[1], [float(v) for v in b]) for g, b in betas.items()],
+                                 "rep int, fold int, _b array<double>")
+    x = F.array(F.lit(1.0), *[F.col(c) for c in SC])
+    z = F.aggregate(F.zip_with(x, F.col("_b"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    scored = d.join(F.broadcast(coef), ["rep", "fold"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    auc = classify.exact_auc(scored, "needed_retake", "score", ["rep", "fold"])
+    acc = evaluate.accuracy(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "needed_retake", "pred", ["rep", "fold"])
+    return auc.join(acc, ["rep", "fold"])
+
+
+# ---------------------------------------------------------------------------
+# trees (rows-only: Spark ML forests are not reproducible in SQL)
+# ---------------------------------------------------------------------------
+
+def _tree_world(spark, sf_dir):
+    wide, out, prep, fit, scored = _linear_world(spark, sf_dir)
+    t = prep.table.withColumn("split", linear.split_flag(F.col("entity_id"))).cache()
+    return wide, out, prep, fit, scored, t
+
+
+@query("m4_random_forest")
+def m4_random_forest(spark: SparkSession, sf_dir: str):
+    """M4: random forest (100 trees, depth 10, all features per split),
+    train/test metrics."""
+    _, _, prep, _, _, t = _tree_world(spark, sf_dir)
+    model = trees.random_forest(t.filter(F.col("split") == "train"), prep.features, "outcome")
+    p = trees.predict(model, t, prep.features, "pred").withColumn("model", F.lit("random_forest"))
+    return evaluate.regression_metrics(p, "outcome", "pred", ["model", "split"])
+
+
+@query("m4b_boosted_trees")
+def m4b_boosted_trees(spark: SparkSession, sf_dir: str):
+    """Gradient-boosted trees (100 rounds, depth 5, rate 0.1)."""
+    _, _, prep, _, _, t = _tree_world(spark, sf_dir)
+    model = trees.boosted_trees(t.filter(F.col("split") == "train"), prep.features, "outcome")
+    p = trees.predict(model, t, prep.features, "pred").withColumn("model", F.lit("boosted_trees"))
+    return evaluate.regression_metrics(p, "outcome", "pred", ["model", "split"])
+
+
+def _compare(spark, sf_dir, with_gbt: bool = True):
+    _, _, prep, fit, scored, t = _tree_world(spark, sf_dir)
+    parts = [scored.withColumn("model", F.lit("linear"))]
+    sc = prep.scaler
+    ridge = linear.fit_linear(t.filter(F.col("split") == "train"), prep.features, "outcome", ALPHA,
+                              [sc.mean[c] for c in prep.features], [sc.scale(c) for c in prep.features])
+    parts.append(t.select("entity_id", "outcome", "split", ridge.predict().alias("pred")).withColumn("model", F.lit("ridge")))
+    rf = trees.random_forest(t.filter(F.col("split") == "train"), prep.features, "outcome")
+    parts.append(trees.predict(rf, t, prep.features, "pred").withColumn("model", F.lit("random_forest")))
+    if with_gbt:
+        gb = trees.boosted_trees(t.filter(F.col("split") == "train"), prep.features, "outcome")
+        parts.append(trees.predict(gb, t, prep.features, "pred").withColumn("model", F.lit("boosted_trees")))
+    long = None
+    for p in parts:
+        m = evaluate.regression_metrics(p.select("model", "split", "outcome", "pred"), "outcome", "pred", ["model", "split"])
+        long = m if long is None else long.unionByName(m)
+    return evaluate.metrics_wide(long)
+
+
+@query("m8_compare_models")
+def m8_compare_models(spark: SparkSession, sf_dir: str):
+    """M8 + M7 + F17: linear, ridge, forest and boosting side by side."""
+    return _compare(spark, sf_dir)
+
+
+@query("o5_best_model")
+def o5_best_model(spark: SparkSession, sf_dir: str):
+    """The model with the highest test R^2."""
+    return evaluate.best_model(_compare(spark, sf_dir, with_gbt=False))
+
+
+@query("e4_tree_importances")
+def e4_tree_importances(spark: SparkSession, sf_dir: str):
+    """Normalised forest importances, engineered features marked new."""
+    _, _, prep, _, _, t = _tree_world(spark, sf_dir)
+    model = trees.random_forest(t, prep.features, "outcome", max_depth=5)
+    return trees.importances(spark, model, prep.features, new_features=ENG)
+
+
+@query("m16_tree_spread")
+def m16_tree_spread(spark: SparkSession, sf_dir: str):
+    """M16 + F9: forest prediction with per-tree std and a +-1.96 std band
+    for the current cohort, tiered."""
+    wide, out, prep, _, _, t = _tree_world(spark, sf_dir)
+    model = trees.random_forest(t, prep.features, "outcome", max_depth=5)
+    cur = pl.apply_preprocess(cohort.current_cohort(wide, out), prep)
+    sp = trees.tree_spread(model, cur.select("entity_id", *prep.features), prep.features)
+    return risk.tiered(sp.select("entity_id", "predicted", "pred_std", "pred_low", "pred_high"), TH)
+
+
+@query("m15_predict_no_outcome")
+def m15_predict_no_outcome(spark: SparkSession, sf_dir: str):
+    """M15 + F10: forest trained on entities with an outcome predicts the
+    complete-exam entities without one; fixed-cut tiers."""
+    ex = fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id", "left")
+    cc = clean.drop_null(ex, EX)
+    model = trees.random_forest(cc.filter(F.col("outcome").isNotNull()), EX, "outcome", max_depth=5)
+    p = trees.predict(model, cc.filter(F.col("outcome").isNull()), EX, "predicted")
+    return p.select("entity_id", "predicted", fixed_tier("predicted").alias("tier"))
