@@ -54,4 +54,4 @@ def p6(x: str) -> str:
 
 def load_all() -> None:
     """Import every catalogue module (they register on import)."""
-    from . import catalog_models, catalog_relational, catalog_stats  # noqa: F401
+    from . import catalog_models, catalog_pipelines, catalog_relational, catalog_stats  # noqa: F401

@@ -458,7 +458,10 @@ def _checkpoint_final(name: str) -> str:
             f"FROM {name}res WHERE n_rows >= 20")
 
 
-@query("m17_checkpoints", with_(EXAMS, _OUTC, EXO_K, *_checkpoint_sql(("midterm", "final"), "ck")) + _checkpoint_final("ck"))
+ORACLE_M17 = with_(EXAMS, _OUTC, EXO_K, *_checkpoint_sql(("midterm", "final"), "ck")) + _checkpoint_final("ck")
+
+
+@query("m17_checkpoints", ORACLE_M17)
 def m17_checkpoints(spark: SparkSession, sf_dir: str):
     """M17 + F15: cumulative-course checkpoints, ridge 5-fold CV each; one
     moment pass for every checkpoint x fold."""
