@@ -141,7 +141,15 @@ def q8_gradebook_model(spark: SparkSession, sf_dir: str):
     return evaluate.metrics_wide(long)
 
 
-@query("q9_how_early")
+def _q9_sql() -> str:
+    from .oracle import EXAMS as _E
+    ctes = [_E, OUTC, cm.EXO_K, *cm._checkpoint_sql(("midterm", "final"), "ck"), *cm._checkpoint_sql(("midterm",), "mk")]
+    a = cm._checkpoint_final("ck").replace(" FROM ckres", ", 'cumulative' AS kind FROM ckres")
+    b = cm._checkpoint_final("mk").replace(" FROM mkres", ", 'midterm_only' AS kind FROM mkres")
+    return with_(*ctes) + a + " UNION ALL " + b
+
+
+@query("q9_how_early", _q9_sql())
 def q9_how_early(spark: SparkSession, sf_dir: str):
     """Q9: cumulative and midterm-only checkpoints side by side."""
     a = cm._checkpoint_cv(spark, sf_dir, ("midterm", "final")).withColumn("kind", F.lit("cumulative"))
@@ -262,3 +270,49 @@ def q15_presentation_correlations(spark: SparkSession, sf_dir: str):
     from ..functions.labels import correlation_band
     c = profile.corr_with_target(cs._exo(spark, sf_dir), FINALS, "outcome")
     return c.select("feature", "n", "r", correlation_band("r").alias("band"))
+
+
+# ---------------------------------------------------------------------------
+# IDs whose logic lives inside larger tables above, registered on their own
+# ---------------------------------------------------------------------------
+
+@query("o6_top_group_diffs", with_(*cs._t4_ctes()) + f"SELECT feature, {p6('diff')} AS diff, {p6('p')} AS p FROM tp ORDER BY abs(diff) DESC, feature LIMIT 12")
+def o6_top_group_diffs(spark: SparkSession, sf_dir: str):
+    """The 12 exams with the largest |mean difference| between groups."""
+    t = cs.t4_two_sample_t(spark, sf_dir)
+    return t.orderBy(F.abs("diff").desc(), "feature").limit(12).select("feature", "diff", "p")
+
+
+@query("w4_rank_features", with_(*cm.RIDGE, cm.RE1) + "SELECT feature, row_number() OVER (ORDER BY abs(coef) DESC, feature)::INTEGER AS rank FROM re1")
+def w4_rank_features(spark: SparkSession, sf_dir: str):
+    """Features ranked by |coefficient| (row_number over the p-row result)."""
+    return cm.e1_ridge_coefficients(spark, sf_dir).select("feature", "rank")
+
+
+@query("f15_usefulness", cm.ORACLE_M17.rsplit("SELECT checkpoint, course_num", 1)[0]
+       + "SELECT checkpoint, CASE WHEN r2_mean > 0.4 THEN 'USEFUL' WHEN r2_mean > 0.25 THEN 'MODERATE' WHEN r2_mean > 0.1 THEN 'EMERGING' WHEN r2_mean IS NOT NULL THEN '' END AS usefulness, "
+       "CASE WHEN r2_mean < 0.15 THEN 'LOW' WHEN r2_mean < 0.3 THEN 'MEDIUM' WHEN r2_mean IS NOT NULL THEN 'HIGH' END AS band FROM ckres WHERE n_rows >= 20")
+def f15_usefulness(spark: SparkSession, sf_dir: str):
+    """usefulness classes of each checkpoint's CV R^2 (both rules)."""
+    return cm.m17_checkpoints(spark, sf_dir).select("checkpoint", "usefulness", "band")
+
+
+@query("f19_fisher_z", with_(*cs.PEARSON) + f"SELECT feature, {p6('atanh(r)')} AS z, {p6('tanh(atanh(r))')} AS r_back FROM pp")
+def f19_fisher_z(spark: SparkSession, sf_dir: str):
+    """arctanh of each r and its tanh round trip."""
+    t = stats.pearson_tests(cs._exo(spark, sf_dir), EX, "outcome", min_pairs=10)
+    return t.select("feature", F.atanh("r").alias("z"), F.tanh(F.atanh("r")).alias("r_back"))
+
+
+@query("f20_coef_sign", with_(*cm.RIDGE, cm.RE1) + f"SELECT feature, CASE WHEN coef > 0 THEN '+' ELSE '-' END AS sign, {p6('abs(coef)')} AS abs_coef FROM re1")
+def f20_coef_sign(spark: SparkSession, sf_dir: str):
+    """sign label and absolute value of each coefficient."""
+    return cm.e1_ridge_coefficients(spark, sf_dir).select("feature", "sign", "abs_coef")
+
+
+@query("t10_worst_case", with_(*cm.EXAM_BASE, *cv_sql("k50", "cc", EX, "outcome", cm.ALPHA, reps=10))
+       + f"SELECT {p6('avg(mae)')} AS mae_mean, {p6('stddev_pop(mae)')} AS mae_std, {p6('avg(mae) + 2.0 * stddev_pop(mae)')} AS worst_case FROM k50_ev")
+def t10_worst_case(spark: SparkSession, sf_dir: str):
+    """Worst case per entity = mean CV MAE + 2 std."""
+    s = linear.cv_summary(cm._cv_folds(spark, sf_dir, reps=10))
+    return s.select("mae_mean", "mae_std", stats.worst_case(F.col("mae_mean"), F.col("mae_std")).alias("worst_case"))

@@ -64,18 +64,22 @@ def t3_fisher_compare(spark: SparkSession, sf_dir: str):
     return stats.fisher_compare(stats.pearson_tests(_exo(spark, sf_dir), EX, "outcome", min_pairs=10))
 
 
-def _t4_sql() -> str:
+def _t4_ctes() -> list[str]:
     parts = []
     for c in EX:
         parts.append(
             f"SELECT '{c}' AS feature, count({c}) FILTER (WHERE passed = 0) AS n0, count({c}) FILTER (WHERE passed = 1) AS n1, "
             f"avg({c}) FILTER (WHERE passed = 0) AS mean_0, avg({c}) FILTER (WHERE passed = 1) AS mean_1, "
             f"var_samp({c}) FILTER (WHERE passed = 0) AS v0, var_samp({c}) FILTER (WHERE passed = 1) AS v1 FROM g")
-    return with_(EXAMS, OUTC, f"g AS (SELECT e.*, (o.outcome >= {THS})::INTEGER AS passed FROM exams e JOIN outc o USING (entity_id))",
-                 f"s AS ({' UNION ALL '.join(parts)})",
-                 "tt AS (SELECT *, mean_0 - mean_1 AS diff, CASE WHEN sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) = 0 THEN NULL ELSE "
-                 "(mean_0 - mean_1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) END AS t, n0 + n1 - 2 AS dof FROM s WHERE n0 > 5 AND n1 > 5)",
-                 f"tp AS (SELECT *, {t_p_sql('t', 'dof')} AS p FROM tt)") + (
+    return [EXAMS, OUTC, f"g AS (SELECT e.*, (o.outcome >= {THS})::INTEGER AS passed FROM exams e JOIN outc o USING (entity_id))",
+            f"s AS ({' UNION ALL '.join(parts)})",
+            "tt AS (SELECT *, mean_0 - mean_1 AS diff, CASE WHEN sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) = 0 THEN NULL ELSE "
+            "(mean_0 - mean_1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) END AS t, n0 + n1 - 2 AS dof FROM s WHERE n0 > 5 AND n1 > 5)",
+            f"tp AS (SELECT *, {t_p_sql('t', 'dof')} AS p FROM tt)"]
+
+
+def _t4_sql() -> str:
+    return with_(*_t4_ctes()) + (
         f"SELECT feature, n0, n1, {p6('mean_0')} AS mean_0, {p6('mean_1')} AS mean_1, {p6('diff')} AS diff, {p6('t')} AS t, {p6('p')} AS p, {stars_sql('p')} AS stars FROM tp")
 
 
