@@ -54,15 +54,19 @@ def fit_missing(df: DataFrame, cols: Sequence[str], drop_above: float = DROP_MIS
     """F7 fit: one aggregate for the missing shares, then exact medians of
     the columns that will be imputed."""
     cols = list(cols)
+    # one pass: missing counts plus a distinct-count sketch that decides how
+    # the medians are computed (bounded buffer vs distributed ranks)
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+                 *[F.count_if(F.col(c).isNull()).alias(c) for c in cols],
+                 *[F.approx_count_distinct(c).alias(f"_d_{c}") for c in cols]).first()
     n = row["_n"] or 0
     rates = {c: (row[c] / n if n else 0.0) for c in cols}
     dropped = [c for c in cols if rates[c] > drop_above]
     to_impute = [c for c in cols if 0 < rates[c] <= drop_above]
     medians = {}
     if to_impute:
-        q = exact_quantiles(df, to_impute, [0.5])
+        q = exact_quantiles(df, to_impute, [0.5],
+                            distinct_estimate={c: row[f"_d_{c}"] or 0 for c in to_impute})
         medians = {c: q[c][0] for c in to_impute}
     return MissingPlan(rates, dropped, medians, [c for c in cols if c not in dropped])
 
@@ -114,10 +118,13 @@ def add_engineered(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[
 
 @dataclass
 class Scaler:
-    """F8: population mean/std per column; zero std scales by 1."""
+    """F8: population mean/std per column; zero std scales by 1.  ``extra``
+    holds means of other columns computed in the same pass (e.g. the target,
+    used as a numerical shift by the moment fits)."""
     cols: list[str]
     mean: dict[str, float]
     std: dict[str, float]
+    extra: dict[str, float] = field(default_factory=dict)
 
     def scale(self, c: str) -> float:
         s = self.std.get(c) or 0.0
@@ -128,12 +135,14 @@ class Scaler:
         return (src - F.lit(self.mean[c])) / F.lit(self.scale(c))
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
+def fit_scaler(df: DataFrame, cols: Sequence[str], extra_means: Sequence[str] = ()) -> Scaler:
     cols = list(cols)
     row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)],
+                 *[F.avg(c).alias(f"x_{i}") for i, c in enumerate(extra_means)]).first()
     return Scaler(cols, {c: row[f"m_{i}"] for i, c in enumerate(cols)},
-                  {c: row[f"s_{i}"] for i, c in enumerate(cols)})
+                  {c: row[f"s_{i}"] for i, c in enumerate(cols)},
+                  {c: row[f"x_{i}"] for i, c in enumerate(extra_means)})
 
 
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:

@@ -257,11 +257,13 @@ def cv_summary(folds: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 
 def fit_linear(df: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0,
                scaler_mean: Sequence[float] | None = None,
-               scaler_scale: Sequence[float] | None = None) -> LinearFit:
-    """M2/M3 on complete rows of ``df``: one pass for the shift, one for the
-    moments."""
+               scaler_scale: Sequence[float] | None = None,
+               shift: Sequence[float] | None = None) -> LinearFit:
+    """M2/M3 on complete rows of ``df``: one pass for the moments (plus one
+    for the shift when no approximate column means are supplied)."""
     cols = list(features) + [target]
-    shift = column_means(df, cols)
+    if shift is None:
+        shift = column_means(df, cols)
     mom = moments_by(df, cols, (), shift)[()]
     mean = None if scaler_mean is None else np.asarray(scaler_mean, dtype=float)
     scale = None if scaler_scale is None else np.asarray(scaler_scale, dtype=float)

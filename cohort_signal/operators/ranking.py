@@ -76,7 +76,8 @@ def row_rank(df: DataFrame, order_col: str, keys: Sequence[str] = (),
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    n_blocks: int = DEFAULT_BLOCKS) -> dict[str, list[float | None]]:
+                    n_blocks: int = DEFAULT_BLOCKS,
+                    distinct_estimate: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between order statistics
     (the default of pandas/numpy), nulls and NaN skipped.
 
@@ -84,8 +85,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     that are needed (2 per prob and column) reach the driver.
     """
     cols = list(cols)
-    est = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if (est[f"d{i}"] or 0) <= PERCENTILE_BUFFER_LIMIT]
+    if distinct_estimate is None:
+        est = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        distinct_estimate = {c: est[f"d{i}"] or 0 for i, c in enumerate(cols)}
+    small = [c for c in cols if distinct_estimate.get(c, 0) <= PERCENTILE_BUFFER_LIMIT]
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")),

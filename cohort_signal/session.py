@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss; never a machine-local checkpoint)."""
+    executor loss; never a machine-local checkpoint).  Used for entity-level
+    tables that several fit jobs read, so the large fact table behind them
+    is aggregated once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
