@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import correlation_strength
@@ -63,25 +63,26 @@ def group_means(df: DataFrame, cols: Sequence[str], flag: str) -> DataFrame:
         .withColumn("diff", F.col("mean_0") - F.col("mean_1")))
 
 
-def _pair_corr(a: Column, b: Column) -> Column:
-    """Pearson r over rows where both are present; null on zero variance."""
-    both = a.isNotNull() & b.isNotNull()
-    aa, bb = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(aa, bb), F.stddev_pop(aa) * F.stddev_pop(bb))
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A10: pairwise-complete Pearson matrix as long rows (a, b, r), one job."""
+    """A10: pairwise-complete Pearson matrix as long rows (a, b, r).
+
+    Each row emits one record per column pair where both values are present
+    (a generator inside the codegen'd stage); one ``groupBy(a, b)`` with
+    three aggregates, partially aggregated before the shuffle, then mirrors
+    the upper triangle.  Zero variance gives null, not an error.
+    """
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(*[
-        _pair_corr(F.col(cols[i]), F.col(cols[j])).alias(f"r{i}_{j}") for i, j in pairs])
-    items = []
-    for i, j in pairs:
-        items.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"r{i}_{j}").alias("r")))
-        if i != j:
-            items.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"), F.col(f"r{i}_{j}").alias("r")))
-    return row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    x = [F.col(c).cast("double") for c in cols]
+    recs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), x[i].alias("x"), x[j].alias("y"))
+        for i, j in pairs])).alias("p")).select("p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    upper = recs.groupBy("a", "b").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
+    same = F.struct("a", "b", "r")
+    mirrored = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    both = F.when(F.col("a") == F.col("b"), F.array(same)).otherwise(F.array(same, mirrored))
+    return upper.select(F.explode(both).alias("m")).select("m.*")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:

@@ -268,7 +268,11 @@ ALPHA = 1.0
 
 
 def _exam_world(spark: SparkSession, sf_dir: str):
-    ex = fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id")
+    """Exam table with known outcome (P13) and its complete cases.
+    The entity-level table is checkpointed once: the CV jobs (shift,
+    moments, MAE) then never re-aggregate the event table."""
+    from ..session import cut_lineage
+    ex = cut_lineage(fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id"))
     return ex, clean.drop_null(ex, EX)
 
 
