@@ -29,14 +29,6 @@ PERCENTILE_BUFFER_LIMIT = 500_000
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a side whose row count was checked: broadcast it when under the
-    limit, otherwise leave the strategy to the planner (shuffle join)."""
-    n = small.count()
-    side = F.broadcast(small) if n <= BROADCAST_ROW_LIMIT else small
-    return big.join(side, on, how)
-
-
 def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
                 weights: Sequence[str], n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """For rows unique on (keys, value): add ``<w>_below`` = sum of ``w`` over
@@ -47,21 +39,28 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
     splits = splits.agg(F.percentile_approx(value, probs, SKETCH_ACCURACY).alias("_splits"))
     if keys:
         splits = splits.cache()
-        with_splits = _join_small(df, splits, keys)
+        n_groups = splits.count()
+        side = F.broadcast(splits) if n_groups <= BROADCAST_ROW_LIMIT else splits
+        with_splits = df.join(side, keys)
     else:
+        n_groups = 1
         arr = splits.first()["_splits"] or []
         with_splits = df.withColumn("_splits", F.array(*[F.lit(float(x)) for x in arr]).cast("array<double>"))
     blocked = with_splits.withColumn(
         "_block", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double")))).drop("_splits")
 
+    # block totals: at most groups x blocks rows, so the prefix over blocks
+    # and the broadcast back are bounded without counting them
     totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_block") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_block", *[
         F.coalesce(F.sum(f"_t_{w}").over(wb), F.lit(0)).alias(f"_o_{w}") for w in weights])
+    bound = n_groups * n_blocks
+    side = F.broadcast(offsets) if bound <= BROADCAST_ROW_LIMIT else offsets
 
     inner = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = _join_small(blocked, offsets, [*keys, "_block"])
+    out = blocked.join(side, [*keys, "_block"])
     for w in weights:
         out = out.withColumn(f"{w}_below", F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inner), F.lit(0)))
     return out.drop("_block", *[f"_o_{w}" for w in weights])
