@@ -32,14 +32,20 @@ def _dot(x: Column, b: Column) -> Column:
 
 
 def logistic_newton(df: DataFrame, features: Sequence[str], label: str, group_cols: Sequence[str] = (),
-                    c: float = 1.0, max_iter: int = NEWTON_MAX_ITER) -> dict[tuple, np.ndarray]:
-    """Per group: coefficient vector [intercept, w_1..w_p] (features as given)."""
+                    c: float = 1.0, max_iter: int = NEWTON_MAX_ITER, persist: bool = True) -> dict[tuple, np.ndarray]:
+    """Per group: coefficient vector [intercept, w_1..w_p] (features as given).
+
+    ``persist=False`` when ``df`` is a cheap expansion of a cached base (e.g.
+    rows exploded to every CV training set): the expansion is then redone
+    inside each iteration's pipeline instead of being materialised."""
     spark = df.sparkSession
     feats = list(features)
     p = len(feats) + 1
     keys = list(group_cols)
     data = df.select(*keys, F.array(F.lit(1.0), *[F.col(f).cast("double") for f in feats]).alias("_x"),
-                     F.col(label).cast("double").alias("_y")).cache()
+                     F.col(label).cast("double").alias("_y"))
+    if persist:
+        data = data.cache()
     groups = [tuple(r) for r in (data.select(*keys).distinct().collect() if keys else [()])]
     beta = {g: np.zeros(p) for g in groups}
     pen = np.eye(p)
@@ -72,7 +78,8 @@ def logistic_newton(df: DataFrame, features: Sequence[str], label: str, group_co
             moved = max(moved, float(np.max(np.abs(step))))
         if moved < NEWTON_TOL:
             break
-    data.unpersist()
+    if persist:
+        data.unpersist()
     return beta
 
 

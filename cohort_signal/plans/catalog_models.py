@@ -536,13 +536,13 @@ def m9_logistic(spark: SparkSession, sf_dir: str):
 
 
 def _logistic_cv(spark, sf_dir, reps=10, k=5):
-    d = _docs_std(spark, sf_dir)
+    d = _docs_std(spark, sf_dir).cache()
     d = d.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), *d.columns)
     d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), k, 42, repeat=F.col("rep")))
     # every row trains the k - 1 fits it is not held out from
     train = d.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("hold"), *d.columns) \
         .filter(F.col("hold") != F.col("fold"))
-    betas = classify.logistic_newton(train, DOC_FEATS, "label", ["rep", "hold"])
+    betas = classify.logistic_newton(train, DOC_FEATS, "label", ["rep", "hold"], persist=False)
     coef = spark.createDataFrame([(g[0], g[1], [float(v) for v in b]) for g, b in betas.items()],
                                  "rep int, fold int, _b array<double>")
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in DOC_FEATS])
@@ -619,11 +619,11 @@ def q11_retake_logistic(spark: SparkSession, sf_dir: str):
     rows, exact AUC and accuracy per fold (grouped Newton fits)."""
     r = clean.drop_null(fx.retake_labels(spark, sf_dir), SC)
     sc = pl.features.fit_scaler(r, SC)
-    d = pl.features.apply_scaler(r, sc)
+    d = pl.features.apply_scaler(r, sc).cache()
     d = d.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"), *d.columns)
     d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42, repeat=F.col("rep")))
     train = d.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("hold"), *d.columns).filter(F.col("hold") != F.col("fold"))
-    betas = classify.logistic_newton(train, SC, "needed_retake", ["rep", "hold"])
+    betas = classify.logistic_newton(train, SC, "needed_retake", ["rep", "hold"], persist=False)
     coef = spark.createDataFrame([(g[0], g[1], [float(v) for v in b]) for g, b in betas.items()],
                                  "rep int, fold int, _b array<double>")
     x = F.array(F.lit(1.0), *[F.col(c) for c in SC])
