@@ -92,9 +92,10 @@ def s4_read_gradebook_na(spark: SparkSession, sf_dir: str):
     return io.read_raw_gradebook(spark, f"{path}/course_a_gradebook")
 
 
-@query("s4b_read_gradebook_text")
+@query("s4b_read_gradebook_text", with_(GRADEBOOK) + 'SELECT "Student", "SIS Login ID", "Final Exam Score" FROM gradebook')
 def s4b_read_gradebook_text(spark: SparkSession, sf_dir: str):
-    """The same file keeping 'N/A' and '' as text."""
+    """The same file keeping 'N/A' and '' as text; a null cell (written
+    unquoted-empty) stays null, an empty text (written as "") stays ''."""
     path = _gradebook_files(spark, sf_dir)
     return io.read_raw_gradebook(spark, f"{path}/course_a_gradebook", keep_na_text=True)
 
@@ -136,6 +137,15 @@ def _merged(spark, sf_dir):
     return wide, out, cohort.merge(wide, out)
 
 
+A8 = ("a8 AS (SELECT entity_id, count(*)::INTEGER AS total_attempts, max(score) AS best_score, "
+      "arg_min(score, attempt_no) AS first_score, arg_max(score, attempt_no) AS latest_score, "
+      + ", ".join(f"max(CASE WHEN attempt_no = {i} THEN attempt_date END) AS attempt{i}_date, max(CASE WHEN attempt_no = {i} THEN score END) AS attempt{i}_score" for i in (1, 2, 3))
+      + " FROM attempts GROUP BY entity_id), "
+      "a8s AS (SELECT *, CASE WHEN total_attempts >= 2 THEN latest_score - first_score END AS score_change FROM a8)")
+A8_COLS = (["total_attempts"] + [f"{p6(c)} AS {c}" for c in ("best_score", "first_score", "latest_score", "score_change")]
+           + [x for i in (1, 2, 3) for x in (f"strftime(attempt{i}_date, '%Y-%m-%d') AS attempt{i}_date", f"{p6(f'attempt{i}_score')} AS attempt{i}_score")])
+
+
 # ---------------------------------------------------------------------------
 # P: cleaning of the raw gradebook and cohort predicates
 # ---------------------------------------------------------------------------
@@ -227,7 +237,8 @@ def p10_extract_gradebook(spark: SparkSession, sf_dir: str):
     return _extracted(spark, sf_dir)
 
 
-@query("p11_numeric_features")
+@query("p11_numeric_features", with_(WIDE, NAMED, OUTC, MERGED) + "SELECT column_name AS feature FROM (DESCRIBE SELECT * FROM merged) "
+       "WHERE (column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE', 'DECIMAL') OR column_type LIKE 'DECIMAL%') AND column_name NOT IN ('entity_id', 'name', 'outcome')")
 def p11_numeric_features(spark: SparkSession, sf_dir: str):
     """Numeric columns of the merged table except key/name/outcome."""
     from ..operators.select import numeric_features
@@ -235,7 +246,9 @@ def p11_numeric_features(spark: SparkSession, sf_dir: str):
     return spark.createDataFrame([(c,) for c in numeric_features(merged)], "feature string")
 
 
-@query("p12_name_rule_features")
+@query("p12_name_rule_features", with_(EXAMS, ATTEMPTS, A8) + "SELECT column_name AS feature FROM (DESCRIBE SELECT * FROM exams FULL OUTER JOIN a8s USING (entity_id)) "
+       "WHERE (column_name LIKE '%midterm%' OR column_name LIKE '%final%') AND column_name NOT LIKE '%outcome%' AND column_name NOT LIKE '%date%' "
+       "AND column_name NOT LIKE '%attempt%' AND column_name NOT LIKE '%score%'")
 def p12_name_rule_features(spark: SparkSession, sf_dir: str):
     """Columns named like midterm/final, excluding outcome/date columns."""
     from ..operators.select import exam_features
@@ -359,15 +372,6 @@ def j3_nway_outer(spark: SparkSession, sf_dir: str):
     return cohort.nway_outer(_course_tables(spark, sf_dir)).select("entity_id", "name", *EX)
 
 
-A8 = ("a8 AS (SELECT entity_id, count(*)::INTEGER AS total_attempts, max(score) AS best_score, "
-      "arg_min(score, attempt_no) AS first_score, arg_max(score, attempt_no) AS latest_score, "
-      + ", ".join(f"max(CASE WHEN attempt_no = {i} THEN attempt_date END) AS attempt{i}_date, max(CASE WHEN attempt_no = {i} THEN score END) AS attempt{i}_score" for i in (1, 2, 3))
-      + " FROM attempts GROUP BY entity_id), "
-      "a8s AS (SELECT *, CASE WHEN total_attempts >= 2 THEN latest_score - first_score END AS score_change FROM a8)")
-A8_COLS = (["total_attempts"] + [f"{p6(c)} AS {c}" for c in ("best_score", "first_score", "latest_score", "score_change")]
-           + [x for i in (1, 2, 3) for x in (f"strftime(attempt{i}_date, '%Y-%m-%d') AS attempt{i}_date", f"{p6(f'attempt{i}_score')} AS attempt{i}_score")])
-
-
 @query("j4_outer_attempts", with_(EXAMS, ATTEMPTS, A8) + f"SELECT entity_id, {_exams()}, " + ", ".join(A8_COLS) + " FROM exams FULL OUTER JOIN a8s USING (entity_id)")
 def j4_outer_attempts(spark: SparkSession, sf_dir: str):
     """Full outer join of exams and the attempt summary."""
