@@ -392,7 +392,7 @@ def m5_cv_summary(spark: SparkSession, sf_dir: str):
 
 
 @query("m6_repeated_cv", with_(*EXAM_BASE, *cv_sql("k50", "cc", EX, "outcome", ALPHA, reps=10))
-       + f"SELECT rep, fold, n_train, n_test, {p6('r2')} AS r2, {p6('mae')} AS mae FROM k50_ev")
+       + f"SELECT rep::INTEGER AS rep, fold, n_train, n_test, {p6('r2')} AS r2, {p6('mae')} AS mae FROM k50_ev")
 def m6_repeated_cv(spark: SparkSession, sf_dir: str):
     """M6: 10 x 5 repeated K-fold (hash folds per repeat), one moment pass
     for all 50 fits."""

@@ -240,7 +240,7 @@ def m13_feature_sets(spark: SparkSession, sf_dir: str):
     for name, data, feats in (("original", cc, EX), ("enhanced", enh, EX + FLAGS_T)):
         s = linear.cv_summary(cm._cv_folds(spark, sf_dir, reps=10, feats=feats, data=data))
         n = data.count()
-        r = s.select(F.lit(name).alias("feature_set"), F.lit(len(feats)).alias("n_features"), F.lit(n).alias("n_rows"),
+        r = s.select(F.lit(name).alias("feature_set"), F.lit(len(feats)).alias("n_features"), F.lit(n).cast("long").alias("n_rows"),
                      "r2_mean", "r2_ci_low", "r2_ci_high", "mae_mean")
         out = r if out is None else out.unionByName(r)
     return out
