@@ -129,5 +129,6 @@ def distinct_keys(*frames: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def key_difference(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
-    """Keys of ``left`` missing from ``right`` (EXCEPT on keys)."""
-    return left.select(key).exceptAll(right.select(key)).distinct()
+    """Keys of ``left`` missing from ``right`` (EXCEPT DISTINCT on keys;
+    planned as a left-anti join on the key plus a distinct)."""
+    return left.select(key).subtract(right.select(key))

@@ -142,9 +142,10 @@ def kde_grid(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0) ->
     """Gaussian KDE on an evenly spaced grid (Scott bandwidth
     n^(-1/5) * sample std; grid from min - cut*bw to max + cut*bw).
 
-    Each row adds its kernel to every grid point inside one generator and
-    the partial aggregate sums per grid index before the shuffle, so the
-    shuffle carries ``gridsize`` rows per partition whatever the data size.
+    Equal values are collapsed to (value, count) first; each distinct value
+    adds its weighted kernel to every grid point inside one generator and the
+    partial aggregate sums per grid index before the shuffle, so the shuffle
+    carries ``gridsize`` rows per partition whatever the data size.
     """
     x = F.col(col).cast("double")
     st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"),
@@ -156,9 +157,11 @@ def kde_grid(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0) ->
     g0, g1 = st["lo"] - cut * bw, st["hi"] + cut * bw
     step = (g1 - g0) / (gridsize - 1)
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
-    contrib = df.filter(x.isNotNull()).select(F.posexplode(F.transform(
+    # equal values collapse first (a repeated score is one row with a weight)
+    vals = df.filter(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    contrib = vals.select(F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(gridsize - 1)),
-        lambda k: F.exp(-F.pow((F.lit(g0) + k * F.lit(step) - x) / F.lit(bw), 2) / 2))).alias("k", "w"))
+        lambda k: F.col("_c") * F.exp(-F.pow((F.lit(g0) + k * F.lit(step) - F.col("_v")) / F.lit(bw), 2) / 2))).alias("k", "w"))
     return contrib.groupBy("k").agg(F.sum("w").alias("s")).select(
         F.col("k").cast("int").alias("k"), (F.lit(g0) + F.col("k") * F.lit(step)).alias("x"),
         (F.col("s") * F.lit(norm)).alias("density"))
