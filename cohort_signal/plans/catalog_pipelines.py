@@ -17,8 +17,8 @@ from . import catalog_relational as cr
 from . import catalog_stats as cs
 from . import pipelines as pl
 from .catalog import p6, query
-from .oracle import (EXAMS, EXAMS_NAMED, MERGED, NAMED, OUTC, WIDE, ATTEMPTS, GRADEBOOK, cv_sql,
-                     stars_sql, t_p_sql, with_)
+from .oracle import (ATTEMPTS, EXAMS, EXAMS_NAMED, GRADEBOOK, MERGED, NAMED, OUTC, WIDE, cv_sql,
+                     row_mean_sql, stars_sql, t_p_sql, with_)
 
 SC = cm.SC
 EX = cm.EX
@@ -158,32 +158,42 @@ def q9_how_early(spark: SparkSession, sf_dir: str):
 
 
 IMP = [f"{c}_improvement" for c in fx.COURSES]
+IMP_ALL = IMP + ["avg_improvement"]
 
 
 def _q10_sql() -> str:
     parts = []
-    for c in IMP:
+    for c in IMP_ALL:
         both = f"{c} IS NOT NULL AND outcome IS NOT NULL"
         parts.append(
             f"SELECT '{c}' AS feature, avg({c}) AS avg_improvement, count(*) FILTER (WHERE {both}) AS n, "
             f"CASE WHEN stddev_pop({c}) FILTER (WHERE {both}) * stddev_pop(outcome) FILTER (WHERE {both}) = 0 THEN NULL "
             f"ELSE covar_pop({c}, outcome) FILTER (WHERE {both}) / (stddev_pop({c}) FILTER (WHERE {both}) * stddev_pop(outcome) FILTER (WHERE {both})) END AS r FROM io")
     imp = ", ".join(f"{c}_final - {c}_midterm AS {c}_improvement" for c in fx.COURSES)
-    return with_(EXAMS, OUTC, f"io AS (SELECT entity_id, {imp}, outcome FROM exams JOIN outc USING (entity_id))",
+    return with_(EXAMS, OUTC, f"io0 AS (SELECT entity_id, {imp}, outcome FROM exams JOIN outc USING (entity_id))",
+                 f"io AS (SELECT *, {row_mean_sql(IMP)} AS avg_improvement FROM io0)",
                  f"ct AS ({' UNION ALL '.join(parts)})", f"pt AS (SELECT *, {cs.T_OF_R} AS t FROM ct)",
                  f"pp AS (SELECT *, {t_p_sql('t', '(n - 2)')} AS p FROM pt)") + (
         f"SELECT feature, {p6('avg_improvement')} AS avg_improvement, n, {p6('r')} AS r, {p6('p')} AS p, {stars_sql('p')} AS stars, "
         "CASE WHEN r > 0.1 THEN 'Improvers do better on outcome' WHEN r < -0.1 THEN 'Improvers do WORSE on outcome (!)' WHEN r IS NOT NULL THEN 'No relationship' END AS direction FROM pp")
 
 
+def _improvements(spark, sf_dir):
+    """F4 per course and F5 (their mean) with the outcome."""
+    from ..functions import rowwise
+    ex = fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id")
+    imp = ex.select("entity_id", "outcome", *[rowwise.improvement(f"{c}_final", f"{c}_midterm").alias(f"{c}_improvement")
+                                              for c in fx.COURSES])
+    return imp.withColumn("avg_improvement", rowwise.row_mean(IMP))
+
+
 @query("q10_improvement_trend", _q10_sql())
 def q10_improvement_trend(spark: SparkSession, sf_dir: str):
     """Q10: per-course improvement (final - midterm), its mean, correlation
     with the outcome, p-value, stars and direction text."""
-    ex = fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id")
-    imp = ex.select("entity_id", "outcome", *[(F.col(f"{c}_final") - F.col(f"{c}_midterm")).alias(f"{c}_improvement") for c in fx.COURSES])
-    means = imp.agg(*[F.avg(c).alias(c) for c in IMP]).unpivot([], IMP, "feature", "avg_improvement")
-    t = stats.direction_table(stats.pearson_tests(imp, IMP, "outcome"))
+    imp = _improvements(spark, sf_dir)
+    means = imp.agg(*[F.avg(c).alias(c) for c in IMP_ALL]).unpivot([], IMP_ALL, "feature", "avg_improvement")
+    t = stats.direction_table(stats.pearson_tests(imp, IMP_ALL, "outcome"))
     return t.join(means, "feature").select("feature", "avg_improvement", "n", "r", "p", "stars", "direction")
 
 
@@ -316,3 +326,42 @@ def t10_worst_case(spark: SparkSession, sf_dir: str):
     """Worst case per entity = mean CV MAE + 2 std."""
     s = linear.cv_summary(cm._cv_folds(spark, sf_dir, reps=10))
     return s.select("mae_mean", "mae_std", stats.worst_case(F.col("mae_mean"), F.col("mae_std")).alias("worst_case"))
+
+
+@query("q10_pass_fail_improvement", with_(EXAMS, OUTC, "io0 AS (SELECT entity_id, " + ", ".join(f"{c}_final - {c}_midterm AS {c}_improvement" for c in fx.COURSES) + " , outcome FROM exams JOIN outc USING (entity_id))",
+                                          f"io AS (SELECT *, (outcome < {cm.THS})::INTEGER AS failed, " + row_mean_sql(IMP) + " AS avg_improvement FROM io0)",
+                                          "s AS (SELECT count(avg_improvement) FILTER (WHERE failed = 0) AS n0, count(avg_improvement) FILTER (WHERE failed = 1) AS n1, "
+                                          "avg(avg_improvement) FILTER (WHERE failed = 0) AS mean_0, avg(avg_improvement) FILTER (WHERE failed = 1) AS mean_1, "
+                                          "var_samp(avg_improvement) FILTER (WHERE failed = 0) AS v0, var_samp(avg_improvement) FILTER (WHERE failed = 1) AS v1 FROM io)",
+                                          "tt AS (SELECT *, (mean_0 - mean_1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS t, n0 + n1 - 2 AS dof FROM s)")
+       + f"SELECT n0 AS n_passed, n1 AS n_failed, {p6('mean_0')} AS mean_passed, {p6('mean_1')} AS mean_failed, {p6('mean_0 - mean_1')} AS diff, {p6('t')} AS t, {p6(t_p_sql('t', 'dof'))} AS p FROM tt")
+def q10_pass_fail_improvement(spark: SparkSession, sf_dir: str):
+    """Q10 / T4: average improvement of passers vs failers, pooled t-test."""
+    imp = _improvements(spark, sf_dir).withColumn("failed", (F.col("outcome") < TH).cast("int"))
+    t = stats.two_sample_t(imp, ["avg_improvement"], "failed", min_group=0)
+    return t.select(F.col("n0").alias("n_passed"), F.col("n1").alias("n_failed"), F.col("mean_0").alias("mean_passed"),
+                    F.col("mean_1").alias("mean_failed"), "diff", "t", "p")
+
+
+@query("w2_change_2to3", with_(ATTEMPTS, cr.A8, "ch AS (SELECT attempt3_score - attempt2_score AS change FROM a8s WHERE attempt2_score IS NOT NULL AND attempt3_score IS NOT NULL)")
+       + f"SELECT count(*) AS n, {p6('avg(change)')} AS mean_change, count(*) FILTER (WHERE change > 0) AS n_improved, count(*) FILTER (WHERE change <= 0) AS n_not_improved, {p6('avg((change > 0)::INTEGER)')} AS share_improved FROM ch")
+def w2_change_2to3(spark: SparkSession, sf_dir: str):
+    """Attempt 2 -> 3 change: count, mean, improved / not."""
+    ch = att.paired_change(att.attempt_summary(fx.attempts(spark, sf_dir)), 2, 3)
+    c = F.col("change")
+    return ch.agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean_change"), F.count_if(c > 0).alias("n_improved"),
+                  F.count_if(c <= 0).alias("n_not_improved"), F.avg((c > 0).cast("int")).alias("share_improved"))
+
+
+@query("q11_retake_group_profiles", with_(WIDE, ATTEMPTS, cr.RETAKE, cr.A8,
+                                          "rg AS (SELECT rl.needed_retake, " + row_mean_sql(SC) + " AS block_avg, a8s.attempt1_score FROM rl JOIN a8s USING (entity_id) WHERE " + " AND ".join(f"rl.{c} IS NOT NULL" for c in SC) + ")")
+       + f"SELECT needed_retake, count(*) AS n, {p6('avg(block_avg)')} AS mean_block_avg, {p6('avg(attempt1_score)')} AS mean_first_score FROM rg GROUP BY needed_retake")
+def q11_retake_group_profiles(spark: SparkSession, sf_dir: str):
+    """Q11: complete-score entities by retake group: row mean of scores (F1)
+    and first-attempt score (A8), per group."""
+    from ..functions import rowwise
+    r = clean.drop_null(fx.retake_labels(spark, sf_dir), SC)
+    s = att.attempt_summary(fx.attempts(spark, sf_dir)).select("entity_id", "attempt1_score")
+    g = r.join(s, "entity_id").withColumn("block_avg", rowwise.row_mean(SC))
+    return g.groupBy("needed_retake").agg(F.count(F.lit(1)).alias("n"), F.avg("block_avg").alias("mean_block_avg"),
+                                          F.avg("attempt1_score").alias("mean_first_score"))
