@@ -426,8 +426,23 @@ def _checkpoint_rows(spark, sf_dir, parts):
     return rows.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
 
 
-def _checkpoint_cv(spark, sf_dir, parts):
+def _contiguous_folds(rows, k: int = 5):
+    """Unshuffled K-fold in key order within each checkpoint, from
+    distributed ranks (no global window); per-checkpoint counts are a
+    5-row table."""
+    from ..operators.ranking import row_rank
+    base = rows.drop("fold")
+    ranked = row_rank(base.select("checkpoint", "entity_id"), "entity_id", keys=["checkpoint"])
+    n = base.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("_n"))
+    folds = ranked.join(F.broadcast(n), "checkpoint").select(
+        "checkpoint", "entity_id", linear.contiguous_fold(F.col("_rank"), F.col("_n"), k).alias("fold"))
+    return base.join(folds, ["checkpoint", "entity_id"])
+
+
+def _checkpoint_cv(spark, sf_dir, parts, contiguous: bool = False):
     rows = _checkpoint_rows(spark, sf_dir, parts)
+    if contiguous:
+        rows = _contiguous_folds(rows)
     feats_for = {k: checkpoint_features(COURSES, k, parts) for k in range(1, len(COURSES) + 1)}
     folds = linear.grouped_cv(rows, EX, "outcome", "fold", "checkpoint", feats_for, alpha=ALPHA, min_rows=20)
     names = spark.createDataFrame([(k, COURSES[k - 1], len(feats_for[k])) for k in feats_for],
@@ -441,13 +456,14 @@ def _checkpoint_cv(spark, sf_dir, parts):
                     usefulness("r2_mean").alias("usefulness"), usefulness_band("r2_mean").alias("band")))
 
 
-def _checkpoint_sql(parts: tuple[str, ...], name: str) -> list[str]:
+def _checkpoint_sql(parts: tuple[str, ...], name: str, contiguous: bool = False) -> list[str]:
     ctes, selects = [], []
     for k in range(1, len(COURSES) + 1):
         feats = checkpoint_features(COURSES, k, parts)
         cond = " AND ".join(f"{c} IS NOT NULL" for c in feats)
         ctes.append(f"{name}d{k} AS (SELECT * FROM exk WHERE {cond})")
-        ctes += cv_sql(f"{name}{k}", f"{name}d{k}", feats, "outcome", ALPHA)
+        fold = "(ntile(5) OVER (ORDER BY entity_id) - 1)::INTEGER" if contiguous else None
+        ctes += cv_sql(f"{name}{k}", f"{name}d{k}", feats, "outcome", ALPHA, fold_sql=fold)
         selects.append(
             f"SELECT '{COURSES[k - 1]}' AS checkpoint, {k} AS course_num, {len(feats)} AS n_features, "
             f"(SELECT count(*) FROM {name}d{k}) AS n_rows, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std, "
@@ -740,3 +756,10 @@ def a12_ridge_residual_stats(spark: SparkSession, sf_dir: str):
     from ..operators.profile import residual_stats
     _, scored = _ridge_scored(spark, sf_dir)
     return residual_stats(scored.filter(F.col("split") == "test").withColumn("residual", F.col("outcome") - F.col("pred")))
+
+
+@query("m17_checkpoints_contiguous", with_(EXAMS, _OUTC, EXO_K, *_checkpoint_sql(("midterm", "final"), "cc5", contiguous=True)) + _checkpoint_final("cc5"))
+def m17_checkpoints_contiguous(spark: SparkSession, sf_dir: str):
+    """M17 with the reference's unshuffled contiguous 5-fold split (W3) per
+    checkpoint, computed from distributed ranks."""
+    return _checkpoint_cv(spark, sf_dir, ("midterm", "final"), contiguous=True)

@@ -173,13 +173,15 @@ def stars_sql(p: str, ns: str = "ns") -> str:
 
 
 def cv_sql(name: str, data: str, feats: list[str], target: str, alpha: float, k: int = 5,
-           seed: int = 42, reps: int | None = None) -> list[str]:
+           seed: int = 42, reps: int | None = None, fold_sql: str | None = None) -> list[str]:
     """CTEs for K-fold (optionally repeated) CV of ridge/OLS on ``data``;
     the last CTE ``{name}_ev`` has (rep?, fold, n_train, n_test, r2, mae).
     Folds: md5 of 'seed-id' (or 'seed-rep-id'); scaling on all rows."""
     rep = reps is not None
     fold_expr = (f"((('0x' || substr(md5('{seed}-' || rep::VARCHAR || '-' || entity_id::VARCHAR), 1, 8))::UBIGINT % {k})::INTEGER)"
                  if rep else md5_bucket("entity_id", k, str(seed)))
+    if fold_sql is not None:
+        fold_expr = fold_sql
     reps_src = f" CROSS JOIN range(0, {reps}) rr(rep)" if rep else ""
     g = ["rep", "hold"] if rep else ["hold"]
     sds = ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in enumerate(feats))
