@@ -119,18 +119,24 @@ def q7_enhancement_features(spark: SparkSession, sf_dir: str):
     return stats.pearson_tests(fo, FLAGS_T, "outcome", min_pairs=10)
 
 
-@query("q8_gradebook_model")
-def q8_gradebook_model(spark: SparkSession, sf_dir: str):
-    """Q8: exam features plus row statistics (mean, variance, min, max) and
-    per-course improvements; OLS (least-squares, min-norm on the exactly
-    collinear set) and a depth-5 forest, train/test metrics."""
+def _q8_table(spark, sf_dir):
+    """Exam features plus row statistics and per-course improvements on
+    complete cases (the gradebook-world feature set)."""
     from ..functions import rowwise
     _, cc = cm._exam_world(spark, sf_dir)
     eng = {"exam_mean": rowwise.row_mean(EX), "exam_var": rowwise.row_variance(EX),
            "exam_min": rowwise.row_min(EX), "exam_max": rowwise.row_max(EX)}
     eng.update({f"{c}_improvement": rowwise.improvement(f"{c}_final", f"{c}_midterm") for c in fx.COURSES})
-    t = cc.withColumns(eng).withColumn("split", linear.split_flag(F.col("entity_id"))).cache()
-    feats = EX + list(eng)
+    return cc.withColumns(eng), EX + list(eng)
+
+
+@query("q8_gradebook_model")
+def q8_gradebook_model(spark: SparkSession, sf_dir: str):
+    """Q8: exam features plus row statistics (mean, variance, min, max) and
+    per-course improvements; OLS (least-squares, min-norm on the exactly
+    collinear set) and a depth-5 forest, train/test metrics."""
+    t, feats = _q8_table(spark, sf_dir)
+    t = t.withColumn("split", linear.split_flag(F.col("entity_id"))).cache()
     sc = features.fit_scaler(t, feats)
     fit = linear.fit_linear(t.filter(F.col("split") == "train"), feats, "outcome", 0.0,
                             [sc.mean[c] for c in feats], [sc.scale(c) for c in feats])
@@ -141,6 +147,30 @@ def q8_gradebook_model(spark: SparkSession, sf_dir: str):
     return evaluate.metrics_wide(long)
 
 
+@query("q8_gradebook_cv")
+def q8_gradebook_cv(spark: SparkSession, sf_dir: str):
+    """Q8 / M5: unshuffled 5-fold CV (contiguous in key order, from
+    distributed ranks) of OLS (fold moments) and of a depth-5 forest (one
+    Spark ML fit per fold); mean and std of fold R^2 and MAE per model."""
+    from ..operators.ranking import row_rank
+    t, feats = _q8_table(spark, sf_dir)
+    n = t.count()
+    ranked = row_rank(t.select("entity_id"), "entity_id")
+    t = t.join(ranked.select("entity_id", linear.contiguous_fold(F.col("_rank"), F.lit(n), 5).alias("fold")),
+               "entity_id").cache()
+    ols = linear.cv_linear(t, feats, "outcome", "fold").select("fold", "r2", "mae").withColumn("model", F.lit("linear"))
+    parts = []
+    for k in range(5):
+        model = trees.random_forest(t.filter(F.col("fold") != k), feats, "outcome", max_depth=5)
+        parts.append(trees.predict(model, t.filter(F.col("fold") == k), feats, "pred").select("fold", "outcome", "pred"))
+    rf_pred = parts[0]
+    for p_ in parts[1:]:
+        rf_pred = rf_pred.unionByName(p_)
+    rf = evaluate.regression_metrics(rf_pred, "outcome", "pred", ["fold"]).select("fold", "r2", "mae") \
+        .withColumn("model", F.lit("random_forest"))
+    return linear.cv_summary(ols.unionByName(rf), ["model"]).drop("r2_ci_low", "r2_ci_high")
+
+
 def _q9_sql() -> str:
     from .oracle import EXAMS as _E
     ctes = [_E, OUTC, cm.EXO_K, *cm._checkpoint_sql(("midterm", "final"), "ck"), *cm._checkpoint_sql(("midterm",), "mk")]
