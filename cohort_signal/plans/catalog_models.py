@@ -83,7 +83,7 @@ from ..functions.labels import (auc_class, confidence_above, confidence_positive
 from ..operators import classify, evaluate, explain, linear, stats, trees  # noqa: E402
 from ..operators import cohort, risk  # noqa: E402
 from ..operators.checkpoints import checkpoint_features, complete_depth  # noqa: E402
-from .oracle import EXAMS, normal_p_sql  # noqa: E402,F401
+from .oracle import EXAMS  # noqa: E402
 
 
 def _linear_world(spark: SparkSession, sf_dir: str):
