@@ -9,7 +9,6 @@ row order within (feature, repeat) groups.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
