@@ -6,6 +6,7 @@ A global ``Window.orderBy`` moves every row into one task.  Instead:
    combine), so a hot value is one row however many times it occurs;
 2. cut each key's value range into ``n_blocks`` blocks at approximate
    quantiles of the *distinct* values (a mergeable sketch, bounded size);
+   a row finds its block by binary search over the split points;
 3. prefix-sum the per-block totals (groups x blocks rows: tiny);
 4. prefix-sum inside each block with a window partitioned by (keys, block).
 
@@ -14,12 +15,15 @@ Every step is exact; the approximate splits only decide how work is spread.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 64
+DEFAULT_BLOCKS = 1024           # upper bound on blocks per key
+COARSE_BLOCKS = 64              # first sketch; refined only for large groups
+ROWS_PER_BLOCK = 50_000         # target distinct values per block
 SKETCH_ACCURACY = 10000
 # Distinct values per column up to which the built-in exact ``percentile``
 # aggregate is used: its buffer is a value -> count map, so its size is
@@ -29,25 +33,69 @@ PERCENTILE_BUFFER_LIMIT = 500_000
 BROADCAST_ROW_LIMIT = 200_000
 
 
+def _count_below(splits: Column, v: Column, n_splits: int) -> Column:
+    """Number of sorted ``splits`` strictly below ``v``: a lower-bound binary
+    search unrolled as a fixed-length ``aggregate`` (O(log B) per row)."""
+    steps = max(1, math.ceil(math.log2(n_splits + 1)) + 1)
+    init = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.element_at(splits, mid + 1) < v
+        return F.when(lo >= hi, acc).when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
                 weights: Sequence[str], n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """For rows unique on (keys, value): add ``<w>_below`` = sum of ``w`` over
     rows with the same keys and a strictly smaller value, for each weight."""
     keys = list(keys)
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    splits = (df.groupBy(*keys) if keys else df.groupBy())
-    splits = splits.agg(F.percentile_approx(value, probs, SKETCH_ACCURACY).alias("_splits"))
-    if keys:
-        splits = splits.cache()
-        n_groups = splits.count()
-        side = F.broadcast(splits) if n_groups <= BROADCAST_ROW_LIMIT else splits
-        with_splits = df.join(side, keys)
-    else:
+    grouped = df.groupBy(*keys) if keys else df.groupBy()
+
+    def sketch(blocks: int) -> DataFrame:
+        probs = [i / blocks for i in range(1, blocks)]
+        return grouped.agg(F.percentile_approx(value, probs, SKETCH_ACCURACY).alias("_all"),
+                           F.count(F.lit(1)).alias("_cnt"))
+
+    # one pass: a coarse sketch and the group sizes; a finer sketch only
+    # when some group needs more than COARSE_BLOCKS blocks
+    blocks = min(COARSE_BLOCKS, n_blocks)
+    if not keys:
+        # a single group: its one sketch row is all the driver needs
+        row = sketch(blocks).first()
+        if (row["_cnt"] or 0) > blocks * ROWS_PER_BLOCK and n_blocks > blocks:
+            blocks = n_blocks
+            row = sketch(blocks).first()
+        cnt, arr = row["_cnt"] or 0, row["_all"] or []
+        step = int(min(blocks, max(1, math.ceil(blocks * ROWS_PER_BLOCK / max(cnt, 1)))))
+        arr = [x for i, x in enumerate(arr) if (i + 1) % step == 0]
+        if not arr:
+            # fewer than ~ROWS_PER_BLOCK distinct values in total: one window
+            # over them is bounded by construction
+            w1 = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+            return df.withColumns({f"{w}_below": F.coalesce(F.sum(w).over(w1), F.lit(0)) for w in weights})
         n_groups = 1
-        arr = splits.first()["_splits"] or []
         with_splits = df.withColumn("_splits", F.array(*[F.lit(float(x)) for x in arr]).cast("array<double>"))
+    else:
+        stats = sketch(blocks).cache()
+        size = stats.agg(F.max("_cnt").alias("m"), F.count(F.lit(1)).alias("g")).first()
+        n_groups, biggest = size["g"] or 0, size["m"] or 0
+        if biggest > blocks * ROWS_PER_BLOCK and n_blocks > blocks:
+            stats.unpersist()
+            blocks = n_blocks
+            stats = sketch(blocks).cache()
+        # keep every k-th split so a block holds ~ROWS_PER_BLOCK values
+        step = F.least(F.lit(float(blocks)), F.greatest(
+            F.lit(1.0), F.ceil(F.lit(float(blocks)) * F.lit(float(ROWS_PER_BLOCK)) / F.col("_cnt")))).cast("int")
+        splits = stats.select(*keys, F.filter("_all", lambda x, i: (i + 1) % step == 0).alias("_splits"))
+        side = F.broadcast(splits) if n_groups <= BROADCAST_ROW_LIMIT else splits
+        with_splits = df.join(side, keys)
     blocked = with_splits.withColumn(
-        "_block", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double")))).drop("_splits")
+        "_block", _count_below(F.col("_splits"), F.col(value).cast("double"), blocks - 1)).drop("_splits")
 
     # block totals: at most groups x blocks rows, so the prefix over blocks
     # and the broadcast back are bounded without counting them
@@ -56,7 +104,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_block", *[
         F.coalesce(F.sum(f"_t_{w}").over(wb), F.lit(0)).alias(f"_o_{w}") for w in weights])
-    bound = n_groups * n_blocks
+    bound = max(n_groups, 1) * blocks
     side = F.broadcast(offsets) if bound <= BROADCAST_ROW_LIMIT else offsets
 
     inner = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

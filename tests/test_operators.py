@@ -8,7 +8,11 @@ from cohort_signal.operators import (attempts, classify, cohort, explain, featur
                                      profile, ranking)
 
 
-def test_prefix_sums_match_brute_force(spark):
+@pytest.mark.parametrize("rows_per_block,coarse", [(50_000, 64), (7, 64), (3, 2)])
+def test_prefix_sums_match_brute_force(spark, monkeypatch, rows_per_block, coarse):
+    # small targets force many blocks, and (coarse=2) the refined sketch
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", rows_per_block)
+    monkeypatch.setattr(ranking, "COARSE_BLOCKS", coarse)
     rng = np.random.default_rng(1)
     vals = rng.integers(0, 40, 300)
     keys = rng.integers(0, 3, 300)
@@ -16,7 +20,7 @@ def test_prefix_sums_match_brute_force(spark):
     for k, v in zip(keys, vals):
         pdf[(int(k), int(v))] = pdf.get((int(k), int(v)), 0) + 1
     df = spark.createDataFrame([(k, v, c) for (k, v), c in pdf.items()], "k int, v int, w long")
-    got = {(r["k"], r["v"]): r["w_below"] for r in ranking.prefix_sums(df, ["k"], "v", ["w"], n_blocks=5).collect()}
+    got = {(r["k"], r["v"]): r["w_below"] for r in ranking.prefix_sums(df, ["k"], "v", ["w"], n_blocks=16).collect()}
     for (k, v) in pdf:
         assert got[(k, v)] == sum(c for (k2, v2), c in pdf.items() if k2 == k and v2 < v)
 
@@ -25,6 +29,7 @@ def test_prefix_sums_match_brute_force(spark):
 def test_exact_quantiles_match_numpy(spark, monkeypatch, force_rank):
     if force_rank:
         monkeypatch.setattr(ranking, "PERCENTILE_BUFFER_LIMIT", 0)
+        monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 10)
     rng = np.random.default_rng(2)
     a = np.round(rng.normal(50, 10, 257), 1)
     rows = [(float(x), float(x) if i % 3 else None) for i, x in enumerate(a)]
@@ -35,7 +40,8 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch, force_rank):
     assert np.allclose(q["b"], np.percentile(b, [25, 50, 75]), rtol=0, atol=1e-12)
 
 
-def test_contiguous_folds_sizes(spark):
+def test_contiguous_folds_sizes(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 2)
     df = spark.range(7).withColumnRenamed("id", "entity_id")
     r = ranking.row_rank(df, "entity_id")
     folds = r.select(linear.contiguous_fold(F.col("_rank"), F.lit(7), 5).alias("f")).groupBy("f").count()
@@ -101,7 +107,8 @@ def test_cv_fold_r2_matches_direct_fit(spark):
         assert np.isclose(r["mae"], np.mean(np.abs(y[te] - pred)), rtol=1e-8)
 
 
-def test_exact_auc_with_ties(spark):
+def test_exact_auc_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 2)
     rng = np.random.default_rng(4)
     s = rng.integers(0, 10, 400).astype(float)
     lab = (rng.random(400) < 0.3 + s / 30).astype(int)
