@@ -32,8 +32,9 @@ def describe(df: DataFrame, cols: Sequence[str], decimals: int = 1) -> DataFrame
     spark: SparkSession = df.sparkSession
     row = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
-        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.approx_count_distinct(c).alias(f"d{i}"))]).first()
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75],
+                        distinct_estimate={c: row[f"d{i}"] or 0 for i, c in enumerate(cols)})
     rows = []
     for i, c in enumerate(cols):
         rows.append((c, float(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"],
@@ -48,8 +49,9 @@ def mean_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A3: mean and exact median per column."""
     cols = list(cols)
     spark = df.sparkSession
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    q = exact_quantiles(df, cols, [0.5])
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    q = exact_quantiles(df, cols, [0.5], distinct_estimate={c: row[f"d{i}"] or 0 for i, c in enumerate(cols)})
     return spark.createDataFrame([(c, row[f"m{i}"], q[c][0]) for i, c in enumerate(cols)],
                                  "feature string, mean double, median double")
 
