@@ -763,3 +763,15 @@ def m17_checkpoints_contiguous(spark: SparkSession, sf_dir: str):
     """M17 with the reference's unshuffled contiguous 5-fold split (W3) per
     checkpoint, computed from distributed ranks."""
     return _checkpoint_cv(spark, sf_dir, ("midterm", "final"), contiguous=True)
+
+
+@query("f17_overfit_flag_ge", with_(*RIDGE, "mm AS (SELECT split, 1.0 - sum((outcome - pred) * (outcome - pred)) / (var_pop(outcome) * count(*)) AS r2 FROM rp GROUP BY split)") + (
+    f"SELECT 'ridge' AS model, {p6('max(r2) FILTER (WHERE split = ' + chr(39) + 'train' + chr(39) + ') - max(r2) FILTER (WHERE split = ' + chr(39) + 'test' + chr(39) + ')')} AS r2_gap, "
+    "(max(r2) FILTER (WHERE split = 'train') - max(r2) FILTER (WHERE split = 'test')) >= 0.2 AS overfit FROM mm"))
+def f17_overfit_flag_ge(spark: SparkSession, sf_dir: str):
+    """F17 (second rule): gap of at least 0.2 counts as overfitting."""
+    from ..functions.labels import overfit_flag_ge
+    _, scored = _ridge_scored(spark, sf_dir)
+    m = evaluate.regression_metrics(scored.withColumn("model", F.lit("ridge")), "outcome", "pred", ["model", "split"])
+    w = evaluate.metrics_wide(m)
+    return w.select("model", "r2_gap", overfit_flag_ge("train_r2", "test_r2").alias("overfit"))
