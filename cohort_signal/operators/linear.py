@@ -53,13 +53,26 @@ def moment_columns(cols: Sequence[str], shift: Sequence[float]) -> list[Column]:
     return out
 
 
+# Above this many aggregate fields a wide aggregate leaves whole-stage
+# codegen (spark.sql.codegen.maxFields); the long form stays inside it.
+WIDE_MOMENT_FIELDS = 100
+
+
 def moments_by(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
-               shift: Sequence[float] | None = None) -> dict[tuple, Moments]:
+               shift: Sequence[float] | None = None, long_form: bool | None = None) -> dict[tuple, Moments]:
     """One aggregate job: moments of ``cols`` per key tuple.  Rows must be
-    complete on ``cols`` (filter first)."""
+    complete on ``cols`` (filter first).
+
+    Wide form: one aggregate column per sum.  Long form (many columns): each
+    row emits (i, j, z_i z_j) records, grouped by (keys, i, j); i = -1 marks
+    the first moments and the count."""
     cols = list(cols)
     d = len(cols)
     shift = np.zeros(d) if shift is None else np.asarray(shift, dtype=float)
+    if long_form is None:
+        long_form = 1 + d + d * (d + 1) // 2 > WIDE_MOMENT_FIELDS
+    if long_form:
+        return _moments_long(df, cols, list(keys), shift)
     grouped = df.groupBy(*keys) if keys else df.groupBy()
     out = {}
     for r in grouped.agg(*moment_columns(cols, shift)).collect():
@@ -72,6 +85,28 @@ def moments_by(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     return out
 
 
+def _moments_long(df: DataFrame, cols: list[str], keys: list[str], shift: np.ndarray) -> dict[tuple, Moments]:
+    d = len(cols)
+    z = [F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)]
+    recs = [F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(1.0).alias("v"))]
+    recs += [F.struct(F.lit(-1).alias("i"), F.lit(i).alias("j"), z[i].alias("v")) for i in range(d)]
+    recs += [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (z[i] * z[j]).alias("v"))
+             for i in range(d) for j in range(i, d)]
+    long = df.select(*keys, F.explode(F.array(*recs)).alias("_r")).select(*keys, "_r.i", "_r.j", "_r.v")
+    out: dict[tuple, Moments] = {}
+    for r in long.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")).collect():
+        k = tuple(r[c] for c in keys)
+        mom = out.setdefault(k, Moments(0.0, np.zeros(d), np.zeros((d, d)), shift))
+        i, j, v = r["i"], r["j"], r["v"] or 0.0
+        if i == -1 and j == -1:
+            mom.n = float(v)
+        elif i == -1:
+            mom.s[j] = v
+        else:
+            mom.m[i, j] = mom.m[j, i] = v
+    return out
+
+
 def column_means(df: DataFrame, cols: Sequence[str]) -> list[float]:
     row = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     return [float(row[f"a{i}"] or 0.0) for i in range(len(cols))]

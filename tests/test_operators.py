@@ -170,3 +170,16 @@ def test_anti_join_and_partitions(spark):
     o = spark.createDataFrame([(2,), (4,)], "entity_id long")
     assert [r[0] for r in cohort.current_cohort(a, o).orderBy("entity_id").collect()] == [1, 3]
     assert [r[0] for r in cohort.key_difference(a, o).orderBy("entity_id").collect()] == [1, 3]
+
+
+def test_long_form_moments_equal_wide(spark):
+    x, y = _xy(n=150)
+    cols = [f"x{i}" for i in range(x.shape[1])]
+    rows = [(i % 3,) + tuple(map(float, r)) + (float(t),) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{c} double" for c in cols) + ", y double")
+    wide = linear.moments_by(df, cols + ["y"], ["g"], long_form=False)
+    long = linear.moments_by(df, cols + ["y"], ["g"], long_form=True)
+    assert wide.keys() == long.keys()
+    for k in wide:
+        assert wide[k].n == long[k].n
+        assert np.allclose(wide[k].s, long[k].s, rtol=1e-12) and np.allclose(wide[k].m, long[k].m, rtol=1e-12)
