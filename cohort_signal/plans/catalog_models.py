@@ -775,3 +775,15 @@ def f17_overfit_flag_ge(spark: SparkSession, sf_dir: str):
     m = evaluate.regression_metrics(scored.withColumn("model", F.lit("ridge")), "outcome", "pred", ["model", "split"])
     w = evaluate.metrics_wide(m)
     return w.select("model", "r2_gap", overfit_flag_ge("train_r2", "test_r2").alias("overfit"))
+
+
+@query("q3_linear_cv", with_(*PREP_CTES, *cv_sql("f5", "prep", FEATS, "outcome", 0.0))
+       + f"SELECT fold, n_train, n_test, {p6('r2')} AS r2 FROM f5_ev")
+def q3_linear_cv(spark: SparkSession, sf_dir: str):
+    """Q3 / M5: 5-fold (hash) CV of the main OLS model from fold moments;
+    fold R^2 (MAE of this near-collinear design is engine-sensitive in the
+    7th digit and is reported by ``m7_linear_metrics``)."""
+    _, _, merged = pl.load_and_merge(spark, sf_dir)
+    prep = pl.preprocess(merged, SC)
+    d = prep.table.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
+    return linear.cv_linear(d, prep.features, "outcome", "fold", alpha=0.0, with_mae=False)
