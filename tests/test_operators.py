@@ -183,3 +183,28 @@ def test_long_form_moments_equal_wide(spark):
     for k in wide:
         assert wide[k].n == long[k].n
         assert np.allclose(wide[k].s, long[k].s, rtol=1e-12) and np.allclose(wide[k].m, long[k].m, rtol=1e-12)
+
+
+def test_moment_fits_match_mllib_linear_regression(spark):
+    """SURVEY test plan (5): moment OLS / ridge agree with Spark ML."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    x, y = _xy(n=250)
+    cols = [f"x{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([tuple(map(float, r)) + (float(t),) for r, t in zip(x, y)],
+                               ", ".join(f"{c} double" for c in cols) + ", y double")
+    ols = linear.fit_linear(df, cols, "y")
+    va = VectorAssembler(inputCols=cols, outputCol="f").transform(df)
+    m = LinearRegression(featuresCol="f", labelCol="y", regParam=0.0, solver="normal").fit(va)
+    assert np.allclose(ols.raw_coef, m.coefficients.toArray(), rtol=1e-8)
+    assert np.isclose(ols.raw_intercept, m.intercept, rtol=1e-8)
+    # ridge (alpha = 1 on population-standardised features): Spark ML's
+    # objective scales the penalty by n and sigma_y (population)
+    sc = features.fit_scaler(df, cols)
+    z = features.apply_scaler(df, sc)
+    ridge = linear.fit_linear(df, cols, "y", alpha=1.0)
+    n, sy = len(y), float(np.std(y))
+    vz = VectorAssembler(inputCols=cols, outputCol="f").transform(z)
+    mr = LinearRegression(featuresCol="f", labelCol="y", regParam=1.0 * sy / n, elasticNetParam=0.0,
+                          standardization=False, solver="normal").fit(vz)
+    assert np.allclose(ridge.coef, mr.coefficients.toArray(), rtol=1e-8)
