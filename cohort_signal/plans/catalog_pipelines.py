@@ -395,3 +395,25 @@ def q11_retake_group_profiles(spark: SparkSession, sf_dir: str):
     g = r.join(s, "entity_id").withColumn("block_avg", rowwise.row_mean(SC))
     return g.groupBy("needed_retake").agg(F.count(F.lit(1)).alias("n"), F.avg("block_avg").alias("mean_block_avg"),
                                           F.avg("attempt1_score").alias("mean_first_score"))
+
+
+@query("m14_streaming_scores", with_(*cm.PREP_CTES, f"train AS (SELECT * FROM prep WHERE {cm.md5_bucket('entity_id', 100)} >= 20)",
+                                     *cm.ols_ctes("fit", "train", FEATS, "outcome"),
+                                     cm._imputed("curp", "cur", "s.entity_id, s.name"), cm._engineered("curp"),
+                                     f"pred AS (SELECT entity_id, name, round_even({cm.predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted FROM curp CROSS JOIN fit_coef)")
+       + f"SELECT entity_id, name, predicted, {cm.THS} AS threshold, {p6(cm.rev(f'({cm.THS} - predicted) / {cm.THS}', 3))} AS risk_score, predicted < {cm.THS} AS at_risk FROM pred")
+def m14_streaming_scores(spark: SparkSession, sf_dir: str):
+    """M14 + F11 on a stream: current-cohort rows land as parquet files in
+    the shared scratch folder, a Structured Streaming query scores them with
+    the frozen training fit (available-now trigger, checkpointed), and the
+    sink is read back."""
+    from ..streaming.scoring import fit_scorer, start_scoring
+    scorer = fit_scorer(spark, sf_dir)
+    current = cohort.current_cohort(fx.wide_scores(spark, sf_dir), fx.outcomes(spark, sf_dir))
+    src = scratch_path(spark, "arrivals")
+    current.write.parquet(src)
+    q, sink = start_scoring(spark, scorer, src, current.schema)
+    if not q.awaitTermination(900):
+        q.stop()
+        raise TimeoutError("streaming scorer did not drain its input")
+    return spark.read.parquet(sink).select("entity_id", "name", "predicted", "threshold", "risk_score", "at_risk")
