@@ -46,31 +46,33 @@ def permutation_importance(df: DataFrame, fit: LinearFit, target: str) -> DataFr
 def permutation_importance_sampled(df: DataFrame, fit: LinearFit, target: str, key: str,
                                    repeats: int = 30, seed: int = 42) -> DataFrame:
     """E2 (sampled): mean R^2 drop over ``repeats`` random permutations per
-    feature.  Permuting = pairing row i's other features with the value of
-    the row at the same position in a random order; both orders come from
-    distributed ranks inside each (feature, repeat) group."""
+    feature.  Permuting = pairing row i with the row at the same position in
+    a random order (both orders from distributed ranks per repeat).  For a
+    linear model, swapping feature c changes the prediction by
+    b_c * (donor_c - x_c), so one pairing join carrying all donor values and
+    one generator over features give every (feature, repeat) SSE in a single
+    aggregate."""
     from .ranking import row_rank
     feats = fit.features
-    base = df.select(key, target, *feats)
-    reps = base.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"), "*")
-    by_key = row_rank(reps.select("rep", key), key, keys=["rep"]).withColumnRenamed("_rank", "pos")
+    base = df.select(key, target, *feats, fit.predict().alias("_p"))
+    reps = base.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"), key)
+    by_key = row_rank(reps, key, keys=["rep"]).withColumnRenamed("_rank", "pos")
     rnd = reps.select("rep", key, F.xxhash64(F.lit(seed), "rep", key).alias("_r"))
     by_rand = row_rank(rnd, "_r", keys=["rep"]).select("rep", F.col(key).alias("_src"), F.col("_rank").alias("pos"))
     pairing = by_key.join(by_rand, ["rep", "pos"]).select("rep", key, "_src")
-    out = []
-    sst = base.agg(F.var_pop(target) * F.count(F.lit(1))).first()[0]
-    for c in feats:
-        donor = base.select(F.col(key).alias("_src"), F.col(c).alias("_perm"))
-        perm = (pairing.join(donor, "_src").join(reps, ["rep", key])
-                .withColumn(c, F.col("_perm")))
-        pred = fit.predict()
-        sse = perm.groupBy("rep").agg(F.sum(F.pow(F.col(target) - pred, 2)).alias("sse"))
-        out.append(sse.select(F.lit(c).alias("feature"), "rep", "sse"))
-    full = out[0]
-    for o in out[1:]:
-        full = full.unionByName(o)
-    sse0 = base.agg(F.sum(F.pow(F.col(target) - fit.predict(), 2))).first()[0]
-    return full.groupBy("feature").agg(((F.avg("sse") - F.lit(sse0)) / F.lit(sst)).alias("importance"))
+    donor = base.select(F.col(key).alias("_src"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(feats)])
+    rows = pairing.join(base, key).join(donor, "_src")
+    resid = F.col(target) - F.col("_p")
+    per_feature = F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 (resid - F.lit(float(b)) * (F.col(f"_d{i}") - F.col(c))).alias("e"))
+        for i, (c, b) in enumerate(zip(feats, fit.raw_coef))])
+    sse = (rows.select("rep", F.explode(per_feature).alias("x"))
+           .groupBy("x.feature", "rep").agg(F.sum(F.col("x.e") * F.col("x.e")).alias("sse")))
+    tot = base.agg((F.var_pop(target) * F.count(F.lit(1))).alias("sst"),
+                   F.sum(resid * resid).alias("sse0")).first()
+    return sse.groupBy("feature").agg(
+        ((F.avg("sse") - F.lit(tot["sse0"])) / F.lit(tot["sst"])).alias("importance"))
 
 
 def attributions(df: DataFrame, fit: LinearFit, key: str) -> DataFrame:
