@@ -6,9 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup
+from . import decontaminate, language_id, mixing, near_dedup, quality_pu, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,42 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_pu.score(docs, quality_pu.train(docs, _table(spark, sf_dir, "labels")))
+
+
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files_with_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: The production mix.  Paths are (domain, language, source).
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {
+    ("crawl",): 2.0, ("reference",): 3.0, ("community",): 1.0,
+    ("*", "en"): 4.0, ("*", "fr"): 2.0, ("*", "de"): 2.0, ("*", "es"): 2.0,
+    ("*", "*", "src1"): 2.0, ("*", "*", "src12"): 0.5,
+}
+MIX_BUDGET_SHARE, MIX_EPOCHS = 0.75, 2
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The tree's top level: src0 is the crawl, src1-src9 reference works."""
+    return docs.withColumn("domain", F.when(F.col("source") == "src0", "crawl").when(F.col("source").rlike("^src[1-9]$"), "reference").otherwise("community"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(with_domain(_table(spark, sf_dir, "documents")), MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET_SHARE, MIX_EPOCHS)
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
