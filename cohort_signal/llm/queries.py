@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, near_dedup, quality_pu, token_files, url_lm
+from . import chat_format, decontaminate, language_id, mixing, near_dedup, nn_descent, quality_pu, surrogates, token_files, url_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,11 +63,26 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_digests(talks.union(hostile))
 
 
+#: Fixed value: the surrogates' key; a deployment passes its own secret.
+SURROGATE_KEY = "example-key"
+
+
+@query
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.protect(docs, SURROGATE_KEY)
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_with_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 #: The production mix.  Paths are (domain, language, source).
 MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {
