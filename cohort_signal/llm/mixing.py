@@ -121,8 +121,10 @@ def draw(docs: DataFrame, levels: list[str], weights: Mapping[tuple, float], bud
 def mix(docs: DataFrame, levels: list[str], weights: Mapping[tuple, float], budget_share: float, max_epochs: int, seed: int = SEED) -> DataFrame:
     """The drawn documents with all their columns, each as often as drawn."""
     drawn = draw(docs, levels, weights, budget_share, max_epochs, seed)
-    times = drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    out = docs.join(times, F.col("doc_id").cast("long") == F.col("__id"))
-    if max_epochs > 1:
-        out = out.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    times = drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    if max_epochs == 1:
+        return docs.join(times.filter("__copies = 0"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    out = docs.join(times.filter("__copies > 0"), F.col("doc_id").cast("long") == F.col("__id"))
+    out = out.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
