@@ -3,7 +3,7 @@
 The ids of all documents, in ascending doc_id order and each ended by END_ID,
 form one stream that is cut into sequences of SEQUENCE ids.  A file holds the
 sequences of one doc_id range: record batches of two fixed-size-list columns,
-``ids`` and ``mask`` (1: an id, 0: padding behind the file's last id).  Every
+``ids`` and ``mask`` (true: an id, false: padding behind the file's last id).  Every
 sequence has the same length, so sequence k of a file is found by arithmetic
 and is read without copying from a memory map.  Beside it an index file gives
 each document's first id and number of ids within the file (an end id can also
@@ -43,18 +43,27 @@ SEQUENCE = 2048
 END_ID = 2
 #: Sequences of one record batch (4 MB of 16-bit ids).
 BATCH_SEQUENCES = 1024
-#: Pieces a worker keeps with their ids before it starts anew (about 80 MB).
-CACHE_LIMIT = 400_000
+#: Pieces a worker keeps with their ids before it starts anew (about 120 MB).
+CACHE_LIMIT = 600_000
+#: Pieces encoded in one call.
+JOINED = 1000
 
 _ASCII_SPACE = re.compile("[ \t\n\r]+")
+#: White space to Python that tokenizers keep as text.
+_KEPT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Letters whose lower case depends on their place or has more than one letter.
+_ODD_CASE = ("\u03a3", "\u0130")
+_CLOSING = ".,;:!?"
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer file of the ``tokenizers`` library.
 
-    For tokenizers that drop white space and never join across it
-    (``by_piece``), a text's ids are those of its white-space separated
-    pieces in order; each distinct piece is encoded once and remembered."""
+    For a tokenizer that lower-cases, drops white space and never joins
+    across it or across a letter and a closing mark (``by_piece``), a text's
+    ids are those of its white-space separated pieces in order; each distinct
+    piece is encoded once and remembered, a closing mark apart from its word.
+    Words are encoded many at a time and parted at the ids that end a word."""
 
     def __init__(self, path: str, by_piece: bool) -> None:
         from tokenizers import Tokenizer
@@ -63,21 +72,64 @@ class Encoder:
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_piece = by_piece
         self.pieces: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of letters only."""
+        groups = [words[at:at + JOINED] for at in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, self.width)
+            cuts = (np.nonzero(self.ends[ids])[0] + 1) * self.width.itemsize
+            if len(cuts) != len(group):
+                yield from zip(group, self._bytes(group))
+                continue
+            data, at = ids.tobytes(), 0
+            for word, cut in zip(group, cuts.tolist()):
+                yield word, data[at:cut]
+                at = cut
+
+    def _learn(self, pieces: set[str]) -> None:
+        known = self.pieces
+        words, others, closed = set(), [], []
+        for p in pieces:
+            if p != p.lower():  # a text whose case was left alone
+                others.append(p)
+            elif p.isalpha():
+                words.add(p)
+            elif p[-1:] in _CLOSING and p[:-1].isalpha():
+                closed.append(p)
+                if p[:-1] not in known:
+                    words.add(p[:-1])
+                if p[-1] not in known:
+                    others.append(p[-1])
+            else:
+                others.append(p)
+        known.update(self._words(list(words)))
+        known.update(zip(others, self._bytes(others)))
+        for p in closed:
+            known[p] = known[p[:-1]] + known[p[-1]]
+
+    def _split(self, text: str) -> list[str]:
+        if not any(c in text for c in _ODD_CASE):
+            text = text.lower()
+        return _ASCII_SPACE.split(text) if any(c in text for c in _KEPT_SPACE) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.width."""
         if not self.by_piece:
-            return [np.asarray(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [_ASCII_SPACE.split(t) for t in texts]
+            return self._bytes(texts)
+        split = [self._split(t) for t in texts]
         if len(self.pieces) > CACHE_LIMIT:
             self.pieces.clear()
-        known = self.pieces
-        missing = list({p for s in split for p in s if p not in known})
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[piece] = np.asarray(e.ids, self.width).tobytes()
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        missing = set().union(*split).difference(self.pieces)
+        if missing:
+            self._learn(missing)
+        return [b"".join(map(self.pieces.__getitem__, s)) for s in split]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -97,7 +149,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _sequence_schema(width: np.dtype, sequence: int) -> pa.Schema:
     ids = pa.uint16() if width.itemsize == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+    return pa.schema([("ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 class _SequenceFile:
@@ -106,14 +158,13 @@ class _SequenceFile:
     def __init__(self, fs: pafs.FileSystem, path: str, width: np.dtype, sequence: int) -> None:
         self.schema, self.width, self.sequence = _sequence_schema(width, sequence), width, sequence
         self.sink = fs.open_output_stream(path)
-        # masks are nearly constant and ids of 16 bits are dense: no compression, so that reads need no copy
+        # no compression, so that reads need no copy
         self.writer = pa.ipc.new_file(self.sink, self.schema, metadata={"sequence": str(sequence)})
         self.waiting: list[bytes] = []
         self.size = 0
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[real:] = 0
+        mask = np.arange(len(ids)) < real
         self.writer.write_batch(pa.record_batch([
             pa.FixedSizeListArray.from_arrays(pa.array(ids), self.sequence),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.sequence)], schema=self.schema))
@@ -215,12 +266,12 @@ class SequenceReader:
     """Random access to the sequences and id ranges of one file."""
 
     def __init__(self, reader: pa.ipc.RecordBatchFileReader, sequence: int = SEQUENCE) -> None:
-        self.reader, self.sequence, self.at, self.held = reader, sequence, -1, (np.zeros(0), np.zeros(0))
+        self.reader, self.sequence, self.at, self.held = reader, sequence, -1, (np.zeros(0), np.zeros(0, bool))
 
     def _flat(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
         if batch != self.at:
             b = self.reader.get_batch(batch)
-            self.held = tuple(np.asarray(b.column(i).flatten()) for i in (0, 1))
+            self.held = np.asarray(b.column(0).flatten()), b.column(1).flatten().to_numpy(zero_copy_only=False)
             self.at = batch
         return self.held
 
@@ -238,7 +289,7 @@ class SequenceReader:
             ids, mask = self._flat(start // step)
             lo = start % step
             hi = min(lo + n, len(ids))
-            yield ids[lo:hi][mask[lo:hi] == 1]
+            yield ids[lo:hi] if mask[lo:hi].all() else ids[lo:hi][mask[lo:hi]]
             n -= hi - lo
             start += hi - lo
 
