@@ -17,6 +17,8 @@ TEST_ACCOUNT_PATTERN = "(?i)test"
 NO_REMEDIATION_TEXT = ("N/A", "nan", "", "0", "0.0")
 
 
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 def _c(col: str | Column) -> Column:
     return F.col(f"`{col}`") if isinstance(col, str) else col
 
@@ -48,9 +50,11 @@ def first_digit_run(col: str | Column) -> Column:
 
 
 def to_number(col: str | Column) -> Column:
-    """Text -> double, anything unparsable -> null (never throws, unlike
-    a plain cast under ANSI mode)."""
-    return strip_ws(col).try_cast("double")
+    """Text -> double, anything but a plain decimal number -> null: also
+    'NaN', 'inf' and typed literals such as '5d' (never throws, unlike a plain
+    cast under ANSI mode)."""
+    text = strip_ws(col)
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def entity_id(login_col: str = "SIS Login ID") -> Column:

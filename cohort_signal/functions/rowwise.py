@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,13 +57,19 @@ def improvement(final_col: str, first_midterm_col: str) -> Column:
 
 
 def clip(col: str | Column, lo: float = 0.0, hi: float = 100.0) -> Column:
-    """clip into [lo, hi]; null stays null (``greatest`` alone would
-    turn a null into ``lo``)."""
+    """clip into [lo, hi]; null and NaN are missing and give null
+    (``greatest`` alone would turn a null into ``lo`` and a NaN into ``hi``)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(
+    return F.when(c.isNull() | F.isnan(c.cast("double")), F.lit(None).cast("double")).otherwise(
         F.least(F.greatest(c.cast("double"), F.lit(lo)), F.lit(hi)))
 
 
+def without_nan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with NaN turned into null in its (given) floating columns."""
+    floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float") and (cols is None or f.name in cols)]
+    return df.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit(float("nan"))) for c in floating}) if floating else df
+
+
 def nan_to_null(col: str) -> Column:
     """NaN poisons ``corr``/``avg``; the library treats NaN as missing."""
     c = F.col(col)

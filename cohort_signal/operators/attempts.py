@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "entity_id"
-MAX_ATTEMPTS = 3
+# Attempts with date and score columns of their own in the summary; its
+# count, best, latest and change use every attempt.
+ATTEMPT_COLUMNS = 3
 
 
 def sequence_attempts(raw: DataFrame, order_cols=("attempt_date",), tiebreak: str = "attempt_id") -> DataFrame:
@@ -28,16 +30,16 @@ def attempt_changes(att: DataFrame) -> DataFrame:
                       (F.col("score") - F.lag("score").over(w)).alias("change"))
 
 
-def attempt_summary(att: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def attempt_summary(att: DataFrame, attempt_columns: int = ATTEMPT_COLUMNS) -> DataFrame:
     """Per entity: count, best, first, latest, latest - first (null below
-    two attempts), and per-attempt date/score columns."""
+    two attempts), and date/score columns of the first attempts."""
     aggs = [
         F.count(F.lit(1)).cast("int").alias("total_attempts"),
         F.max("score").alias("best_score"),
         F.min_by("score", "attempt_no").alias("first_score"),
         F.max_by("score", "attempt_no").alias("latest_score"),
     ]
-    for i in range(1, max_attempts + 1):
+    for i in range(1, attempt_columns + 1):
         aggs.append(F.max(F.when(F.col("attempt_no") == i, F.col("attempt_date"))).alias(f"attempt{i}_date"))
         aggs.append(F.max(F.when(F.col("attempt_no") == i, F.col("score"))).alias(f"attempt{i}_score"))
     s = att.groupBy(KEY).agg(*aggs)

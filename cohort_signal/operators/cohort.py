@@ -49,12 +49,12 @@ def long_scores(tables: Mapping[str, DataFrame], key: str = KEY,
     """Union the per-group wide tables as long (key, name, feature, value)
     rows (the first step of J3/J7)."""
     parts = []
-    for _, df in tables.items():
+    for order, df in enumerate(tables.values()):
         feats = [c for c in df.columns if c not in (key, name_col)]
         nm = F.col(name_col) if name_col and name_col in df.columns else F.lit(None).cast("string")
-        parts.append(df.select(F.col(key), nm.alias("_name"), F.explode(F.array(*[
+        parts.append(df.select(F.col(key), nm.alias("_name"), F.lit(order).alias("_order"), F.explode(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in feats
-        ])).alias("_kv")).select(key, "_name", "_kv.feature", "_kv.value"))
+        ])).alias("_kv")).select(key, "_name", "_order", "_kv.feature", "_kv.value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -64,10 +64,11 @@ def long_scores(tables: Mapping[str, DataFrame], key: str = KEY,
 def pivot_long(long: DataFrame, features: Sequence[str], key: str = KEY,
                with_name: bool = True) -> DataFrame:
     """Second step of J3/J7: one grouped pivot back to wide; the name is the
-    first non-null name of the entity (coalesced across groups)."""
+    entity's first non-null name in the order of the groups."""
     aggs = [F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features]
     if with_name:
-        aggs = [F.min("_name").alias("name")] + aggs
+        first = F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("_order"))) if "_order" in long.columns else F.min("_name")
+        aggs = [first.alias("name")] + aggs
     return long.groupBy(key).agg(*aggs)
 
 

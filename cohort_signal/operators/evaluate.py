@@ -37,7 +37,7 @@ def metrics_wide(long: DataFrame, model_col: str = "model", split_col: str = "sp
 
 def best_model(metrics: DataFrame, metric: str = "test_r2", model_col: str = "model") -> DataFrame:
     """The model with the highest metric (ties: first name)."""
-    return metrics.agg(F.max_by(F.col(model_col), F.col(metric)).alias("best_model"),
+    return metrics.agg(F.min_by(F.col(model_col), F.struct(-F.col(metric), F.col(model_col))).alias("best_model"),
                        F.max(metric).alias(f"best_{metric}"))
 
 

@@ -40,6 +40,7 @@ class MissingPlan:
 
 def missing_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: missing_count, missing_pct (2 dp), n."""
+    df = rowwise.without_nan(df, cols)
     n = F.count(F.lit(1))
     wide = df.agg(n.alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = wide.unpivot("_n", list(cols), "feature", "missing_count")
@@ -54,6 +55,7 @@ def fit_missing(df: DataFrame, cols: Sequence[str], drop_above: float = DROP_MIS
     """F7 fit: one aggregate for the missing shares, then exact medians of
     the columns that will be imputed."""
     cols = list(cols)
+    df = rowwise.without_nan(df, cols)
     # one pass: missing counts plus a distinct-count sketch that decides how
     # the medians are computed (bounded buffer vs distributed ranks)
     row = df.agg(F.count(F.lit(1)).alias("_n"),

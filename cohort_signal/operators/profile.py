@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import correlation_strength
-from ..functions.rowwise import round_half_even
+from ..functions.rowwise import round_half_even, without_nan
 from .ranking import exact_quantiles
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
             name: str = "feature", value: str = "value") -> DataFrame:
-    return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+    return without_nan(df, cols).select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         list(ids), list(cols), name, value)
 
 
@@ -29,6 +29,7 @@ def describe(df: DataFrame, cols: Sequence[str], decimals: int = 1) -> DataFrame
     """A2: count, mean, std (n-1), min, 25/50/75 % (exact, linear
     interpolation), max per column, rounded like the reference (1 dp)."""
     cols = list(cols)
+    df = without_nan(df, cols)
     spark: SparkSession = df.sparkSession
     row = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
@@ -48,6 +49,7 @@ def describe(df: DataFrame, cols: Sequence[str], decimals: int = 1) -> DataFrame
 def mean_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A3: mean and exact median per column."""
     cols = list(cols)
+    df = without_nan(df, cols)
     spark = df.sparkSession
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
@@ -110,22 +112,27 @@ def residual_stats(df: DataFrame, residual: str = "residual") -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width bins between min and max (last bin right-closed),
-    optionally per class; bins with no rows are absent."""
+    optionally per class; bins without rows have n = 0."""
+    df = without_nan(df, [col])
+    spark = df.sparkSession
     x = F.col(col).cast("double")
     rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     lo, hi = rng["lo"], rng["hi"]
     if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
+        return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
     if hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     keys = [by] if by else []
-    g = df.filter(x.isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.filter(x.isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # one row of zeros per class and bin, summed with the counts: no join
+    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    zero = (counted.select(*keys).distinct() if by else spark.range(1)).select(*keys, every, F.lit(0).cast("long").alias("n"))
+    g = counted.select(*keys, "bin", "n").union(zero).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     return g.select(*keys, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"), "n")
 
-
 def trend_line(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
     """Least-squares line y = a + b x and its values on an evenly
     spaced grid of ``points`` x values from min(x) to max(x)."""

@@ -679,7 +679,7 @@ def m4b_boosted_trees(spark: SparkSession, sf_dir: str):
     return evaluate.regression_metrics(p, "outcome", "pred", ["model", "split"])
 
 
-def _compare(spark, sf_dir, with_gbt: bool = True):
+def _compare(spark, sf_dir):
     _, _, prep, fit, scored, t = _tree_world(spark, sf_dir)
     parts = [scored.withColumn("model", F.lit("linear"))]
     sc = prep.scaler
@@ -688,9 +688,8 @@ def _compare(spark, sf_dir, with_gbt: bool = True):
     parts.append(t.select("entity_id", "outcome", "split", ridge.predict().alias("pred")).withColumn("model", F.lit("ridge")))
     rf = trees.random_forest(t.filter(F.col("split") == "train"), prep.features, "outcome")
     parts.append(trees.predict(rf, t, prep.features, "pred").withColumn("model", F.lit("random_forest")))
-    if with_gbt:
-        gb = trees.boosted_trees(t.filter(F.col("split") == "train"), prep.features, "outcome")
-        parts.append(trees.predict(gb, t, prep.features, "pred").withColumn("model", F.lit("boosted_trees")))
+    gb = trees.boosted_trees(t.filter(F.col("split") == "train"), prep.features, "outcome")
+    parts.append(trees.predict(gb, t, prep.features, "pred").withColumn("model", F.lit("boosted_trees")))
     long = None
     for p in parts:
         m = evaluate.regression_metrics(p.select("model", "split", "outcome", "pred"), "outcome", "pred", ["model", "split"])
@@ -707,7 +706,7 @@ def m8_compare_models(spark: SparkSession, sf_dir: str):
 @query("o5_best_model")
 def o5_best_model(spark: SparkSession, sf_dir: str):
     """The model with the highest test R^2."""
-    return evaluate.best_model(_compare(spark, sf_dir, with_gbt=False))
+    return evaluate.best_model(_compare(spark, sf_dir))
 
 
 @query("e4_tree_importances")

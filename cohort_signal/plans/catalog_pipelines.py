@@ -289,7 +289,7 @@ def m13_feature_sets(spark: SparkSession, sf_dir: str):
 @query("s9_write_metrics")
 def s9_write_metrics(spark: SparkSession, sf_dir: str):
     """Write the model-comparison metrics as CSV; read back."""
-    m = cm._compare(spark, sf_dir, with_gbt=False)
+    m = cm._compare(spark, sf_dir)
     path = io.write_table(m, scratch_path(spark, "model_metrics"), fmt="csv", order_by=[F.col("test_r2").desc()])
     return io.read_assessments(spark, path, fmt="csv", key="model")
 

@@ -575,11 +575,15 @@ def a11_corr_with_outcome(spark: SparkSession, sf_dir: str):
 
 
 def _hist_sql(col: str, src: str, bins: int, by: str | None = None) -> str:
-    keys = f"{by}, " if by else ""
-    return (f"SELECT {keys}bin, {p6('lo + bin * w')} AS bin_lo, {p6('lo + (bin + 1) * w')} AS bin_hi, count(*) AS n FROM ("
-            f"SELECT {keys}least(floor(({col} - lo) / w), {bins - 1})::INTEGER AS bin, lo, w FROM {src} CROSS JOIN "
-            f"(SELECT min({col}) AS lo, (max({col}) - min({col})) / {bins}.0 AS w FROM {src}) WHERE {col} IS NOT NULL) "
-            f"GROUP BY {keys}bin, lo, w")
+    keys, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    span = f"(SELECT min({col}) AS lo, (max({col}) - min({col})) / {bins}.0 AS w FROM {src})"
+    every = f"(SELECT {keys}unnest(range({bins}))::INTEGER AS bin FROM (SELECT {keys}1 AS one FROM {src} WHERE {col} IS NOT NULL {group if by else 'LIMIT 1'}))"
+    counts = (f"(SELECT {keys}least(floor(({col} - lo) / w), {bins - 1})::INTEGER AS bin, count(*) AS n FROM {src} CROSS JOIN {span} "
+              f"WHERE {col} IS NOT NULL GROUP BY {keys}2 )" if by else
+              f"(SELECT least(floor(({col} - lo) / w), {bins - 1})::INTEGER AS bin, count(*) AS n FROM {src} CROSS JOIN {span} WHERE {col} IS NOT NULL GROUP BY 1)")
+    on = f"USING ({keys}bin)"
+    return (f"SELECT {keys}bin, {p6('lo + bin * w')} AS bin_lo, {p6('lo + (bin + 1) * w')} AS bin_hi, coalesce(n, 0)::BIGINT AS n "
+            f"FROM {every} LEFT JOIN {counts} {on} CROSS JOIN {span}")
 
 
 @query("a13_histogram", with_(WIDE, NAMED, OUTC, MERGED) + _hist_sql("outcome", "merged", 25))

@@ -48,7 +48,7 @@ EXAMS_NAMED = ("exams_named AS (SELECT e.entity_id, c.c_name AS name, " + ", ".j
 
 ATTEMPTS = ("attempts AS (SELECT entity_id, attempt_no, attempt_date, score FROM ("
             "SELECT o_custkey AS entity_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS attempt_no, "
-            "o_orderdate::DATE AS attempt_date, o_totalprice AS score FROM orders WHERE o_orderpriority = '1-URGENT') WHERE attempt_no <= 3)")
+            "o_orderdate::DATE AS attempt_date, o_totalprice AS score FROM orders WHERE o_orderpriority = '1-URGENT'))")
 
 GRADEBOOK = ("gradebook AS (SELECT c_name AS \"Student\", CASE WHEN c_custkey % 10 = 0 THEN c_name || ' - LOA' ELSE c_name END AS \"SIS Login ID\", "
              "CASE WHEN c_custkey % 7 = 0 THEN 'N/A' WHEN c_custkey % 11 = 0 THEN '' ELSE c_acctbal::VARCHAR END AS \"Final Exam Score\" FROM customer "

@@ -37,8 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is
-    only set when nothing is configured (local tests).
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    private folder is set for a local master only; on a cluster, whose
+    machines do not share such a folder, this raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="cohort-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -85,10 +85,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("c_acctbal").alias("outcome")))
 
 
-def attempts(spark: SparkSession, sf_dir: str, urgent_only: bool = True,
-             max_attempts: int = 3) -> DataFrame:
-    """The first three (urgent) orders of each customer as outcome
-    attempts: (entity_id, attempt_no, attempt_date, score).
+def attempts(spark: SparkSession, sf_dir: str, urgent_only: bool = True) -> DataFrame:
+    """The (urgent) orders of each customer as outcome attempts: (entity_id, attempt_no, attempt_date, score).
 
     The numbering window is partitioned by customer, so it runs in parallel
     over customers; (date, order key) makes the order total.
@@ -98,7 +96,6 @@ def attempts(spark: SparkSession, sf_dir: str, urgent_only: bool = True,
         o = o.filter(F.col("o_orderpriority") == "1-URGENT")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return (o.withColumn("attempt_no", F.row_number().over(w))
-            .filter(F.col("attempt_no") <= max_attempts)
             .select(F.col("o_custkey").alias("entity_id"),
                     F.col("attempt_no").cast("int").alias("attempt_no"),
                     F.to_date("o_orderdate").alias("attempt_date"),
