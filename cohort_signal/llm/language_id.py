@@ -47,6 +47,11 @@ MAX_LANGUAGES = 500
 CACHE_LIMIT = 300_000
 START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Leading bits of a hash that address the table of pieces.
+SLOT_BITS = 20
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
+#: Odd factor that carries the low bits of a hash into the leading ones.
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Vocabulary:
@@ -59,9 +64,14 @@ class Vocabulary:
         pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())
                   if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.pieces = sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE and all(c.isalpha() or (c == START and k == 0) for k, c in enumerate(p)))
-        h = np.array([self.hash_of(p) for p in self.pieces], dtype=np.uint64)
+        h = np.array([self.hash_of(p) for p in self.pieces], dtype=np.uint64) * _SPREAD
         order = np.argsort(h)
         self.sorted, self.ids = h[order], order.astype(np.int64)
+        #: first hash of each value of the leading SLOT_BITS bits (-1: none), and the most that share one
+        slots, at, n = np.unique(self.sorted >> _SLOT_SHIFT, return_index=True, return_counts=True)
+        self.first = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.first[slots] = at
+        self.most = int(n.max(initial=0))
         #: number of pieces; the number itself stands for an unknown letter
         self.size = len(self.pieces)
 
@@ -74,17 +84,22 @@ class Vocabulary:
 
     def lattice(self, words: list[str]) -> list[np.ndarray]:
         """For words of one length T: entry l - 1 holds the piece numbers of
-        the substrings of length l, shape (words, T - l + 1), -1 where there
+        the substrings of length l, shape (T - l + 1, words), -1 where there
         is no such piece; unknown single letters have the number ``size``."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
-        t = codes.shape[1]
-        out, h = [], np.zeros((len(words), t + 1), np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).T.astype(np.uint64, order="C") + np.uint64(1)
+        t = len(codes)
+        out, h = [], np.zeros((t + 1, len(words)), np.uint64)
         for n in range(1, min(MAX_PIECE, t) + 1):
-            h = h[:, :t - n + 1] * _BASE + codes[:, n - 1:]
-            at = np.searchsorted(self.sorted, h)
-            at[at == self.size] = 0
-            found = self.sorted[at] == h
-            out.append(np.where(found, self.ids[at], self.size if n == 1 else -1))
+            h = h[:t - n + 1] * _BASE + codes[n - 1:]
+            flat = h.ravel() * _SPREAD
+            ids = np.full(flat.shape, self.size if n == 1 else -1, np.int64)
+            first = self.first[flat >> _SLOT_SHIFT]
+            maybe = np.nonzero(first >= 0)[0]  # few substrings share even the leading bits with a piece
+            for k in range(self.most):
+                at = np.minimum(first[maybe] + k, self.size - 1)
+                hit = self.sorted[at] == flat[maybe]
+                ids[maybe[hit]] = self.ids[at[hit]]
+            out.append(ids.reshape(h.shape))
         return out
 
 
@@ -100,22 +115,26 @@ def vocabulary(path: str) -> Vocabulary:
 def forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
     """Sums over all segmentations of the first t letters, shape
     (T + 1, words, languages).  p: (size + 2, languages); its last row is 0."""
-    words, t = lattice[0].shape
+    t, words = lattice[0].shape
     alpha = np.zeros((t + 1, words, p.shape[1]))
     alpha[0] = 1
     for end in range(1, t + 1):
         for n in range(1, min(len(lattice), end) + 1):
-            alpha[end] += alpha[end - n] * p[lattice[n - 1][:, end - n]]
+            i = lattice[n - 1][end - n]
+            at = np.nonzero(i >= 0)[0]
+            alpha[end][at] += alpha[end - n][at] * p[i[at]]
     return alpha
 
 
 def backward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    words, t = lattice[0].shape
+    t, words = lattice[0].shape
     beta = np.zeros((t + 1, words, p.shape[1]))
     beta[t] = 1
     for at in range(t - 1, -1, -1):
         for n in range(1, min(len(lattice), t - at) + 1):
-            beta[at] += beta[at + n] * p[lattice[n - 1][:, at]]
+            i = lattice[n - 1][at]
+            real = np.nonzero(i >= 0)[0]
+            beta[at][real] += beta[at + n][real] * p[i[real]]
     return beta
 
 
@@ -151,11 +170,10 @@ def expected_counts(words: list[str], counts: np.ndarray, vocab: Vocabulary, p:
         alpha, beta = forward(lattice, p)[..., 0], backward(lattice, p)[..., 0]
         weight = counts[rows] / alpha[-1]
         for n, ids in enumerate(lattice, 1):
-            for at in range(ids.shape[1]):
-                i = ids[:, at]
-                use = alpha[at] * p[i, 0] * beta[at + n] * weight
-                real = i >= 0
-                out += np.bincount(i[real], use[real], minlength=len(out))
+            for at in range(len(ids)):
+                real = np.nonzero(ids[at] >= 0)[0]
+                i = ids[at][real]
+                np.add.at(out, i, alpha[at][real] * p[i, 0] * beta[at + n][real] * weight[real])
     return out
 
 
