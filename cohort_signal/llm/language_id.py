@@ -25,11 +25,13 @@ predicted; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ MAX_PIECE = 10
 FLOOR = 1e-7
 #: Languages a model may hold (the model is languages x vocabulary numbers).
 MAX_LANGUAGES = 500
-CACHE_LIMIT = 300_000
+#: Scores (words x languages) that a worker remembers.
+CACHE_NUMBERS = 2_500_000
 START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Leading bits of a hash that address the table of pieces.
@@ -146,13 +149,9 @@ def _by_length(words: list[str], most: int = 8192) -> Iterator[np.ndarray]:
             yield rows[at:at + most]
 
 
-def words_of(piece: str) -> list[str]:
-    """The marked words of one white-space piece."""
-    letters = piece if piece.isalpha() else "".join(c for c in piece if c.isalpha())
-    letters = letters.lower()
-    if not letters.isalpha():  # lower-casing may leave marks behind
-        letters = "".join(c for c in letters if c.isalpha())
-    return [START + letters[at:at + MAX_WORD] for at in range(0, len(letters), MAX_WORD)]
+def marked(word: str) -> list[str]:
+    """A word of letters with its mark, in parts of MAX_WORD letters."""
+    return [START + word[at:at + MAX_WORD] for at in range(0, len(word), MAX_WORD)]
 
 
 def log_likelihoods(words: list[str], vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
@@ -182,19 +181,28 @@ def _padded(p: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum(p, FLOOR), np.zeros((1, p.shape[1]))])
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """How many white-space pieces each text has, their different words, and
+    the word number of every piece in order (a piece without letters has the
+    empty word)."""
+    split = pc.utf8_split_whitespace(texts)
+    sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    pieces = split.flatten().dictionary_encode()
+    words = pc.replace_substring_regex(pc.utf8_lower(pieces.dictionary), r"\PL+", "").dictionary_encode()
+    return sizes, words.dictionary.to_pylist(), words.indices.to_numpy()[pieces.indices.to_numpy()]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2048):
-        found: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            if text:
-                found.setdefault(lang, Counter()).update(text.split())
-        for lang, pieces in found.items():
+        langs = batch.column("lang")
+        for lang in langs.unique():
+            _, found, at = words_of(batch.column("text").filter(pc.equal(langs, lang)))
             words: Counter = Counter()
-            for piece, n in pieces.items():
-                for w in words_of(piece):
-                    words[w] += n
+            for word, n in zip(found, np.bincount(at, minlength=len(found)).tolist()):
+                for part in marked(word):
+                    words[part] += n
             if words:
-                yield pa.record_batch({"lang": pa.array([lang] * len(words)), "word": pa.array(list(words)), "n": pa.array(list(words.values()), pa.int64())})
+                yield pa.record_batch({"lang": pa.array([lang.as_py()] * len(words)), "word": pa.array(list(words)), "n": pa.array(list(words.values()), pa.int64())})
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -242,20 +250,21 @@ def train(docs: DataFrame, vocab_path: str) -> tuple[list[str], np.ndarray]:
 
 
 class _Scorer:
-    """Scores texts in one worker; remembers white-space pieces."""
+    """Scores texts in one worker; remembers words from task to task, up to
+    CACHE_NUMBERS scores and the new ones of one batch."""
 
     def __init__(self, vocab: Vocabulary, p: np.ndarray) -> None:
         self.vocab, self.p = vocab, _padded(p)
         self.at: dict[str, int] = {}
-        self.table = np.zeros((0, p.shape[1] + 1))
+        self.table = np.zeros((1024, p.shape[1] + 1))
 
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.at) > CACHE_LIMIT:
-            self.at, self.table = {}, self.table[:0]
-        new = list({w for t in texts for w in t if w not in self.at})
+    def learn(self, words: list[str]) -> None:
+        if len(self.at) * self.table.shape[1] > CACHE_NUMBERS:
+            self.at, self.table = {}, self.table[:1024].copy()
+        new = [w for w in words if w not in self.at]
         if not new:
             return
-        parts = [words_of(w) for w in new]
+        parts = [marked(w) for w in new]
         flat = [x for part in parts for x in part]
         owner = np.repeat(np.arange(len(new)), [len(x) for x in parts])
         rows = np.zeros((len(new), self.table.shape[1]))
@@ -263,32 +272,46 @@ class _Scorer:
             ll = log_likelihoods(flat, self.vocab, self.p)
             np.add.at(rows[:, :-1], owner, ll)
             np.add.at(rows[:, -1], owner, [len(x) - 1 for x in flat])
-        base = len(self.table)
-        self.table = np.concatenate([self.table, rows])
+        base = len(self.at)
+        if base + len(new) > len(self.table):  # doubling keeps the copying linear
+            self.table = np.concatenate([self.table[:base], np.zeros((base + 2 * len(new), self.table.shape[1]))])
+        self.table[base:base + len(new)] = rows
         self.at.update(zip(new, range(base, base + len(new))))
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         """(texts, languages + 1): log-likelihoods, then the letters scored."""
-        split = [(t or "").split() for t in texts]
-        self.learn(split)
+        sizes, words, at = words_of(texts)
+        self.learn(words)
+        rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[at]
         out = np.zeros((len(texts), self.table.shape[1]))
-        for i, s in enumerate(split):
-            if s:
-                out[i] = self.table[np.fromiter(map(self.at.__getitem__, s), np.int64, len(s))].sum(0)
+        filled = sizes > 0  # their pieces follow each other without a gap
+        if filled.any():
+            out[filled] = np.add.reduceat(self.table[rows], (np.cumsum(sizes) - sizes)[filled], axis=0)
         return out
 
 
+#: The scorer of the model that this worker met last, by the model's key.
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(key: str, vocab: Vocabulary, p: np.ndarray) -> _Scorer:
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = _Scorer(vocab, p)
+    return _SCORERS[key]
+
+
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocab_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior under equal priors)."""
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    held = spark.sparkContext.broadcast(p)
+    held, key = spark.sparkContext.broadcast(p), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(vocabulary(vocab_path), held.value)
+        scorer = _scorer(key, vocabulary(vocab_path), held.value)
         for batch in slices(batches):
-            got = scorer(batch.column("text").to_pylist())
+            got = scorer(batch.column("text"))
             ll, letters = got[:, :-1], got[:, -1]
             best = ll.argmax(1)
             post = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
