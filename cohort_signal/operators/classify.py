@@ -14,6 +14,7 @@ computed by distributed prefix sums (no global window, no binning).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,7 +38,9 @@ def logistic_newton(df: DataFrame, features: Sequence[str], label: str, group_co
 
     ``persist=False`` when ``df`` is a cheap expansion of a cached base (e.g.
     rows exploded to every CV training set): the expansion is then redone
-    inside each iteration's pipeline instead of being materialised."""
+    inside each iteration's pipeline instead of being materialised.
+    Raises when ``max_iter`` steps do not bring the last change, by the
+    largest coefficient, under NEWTON_TOL; without rows there is no group and no fit."""
     spark = df.sparkSession
     feats = list(features)
     p = len(feats) + 1
@@ -50,7 +53,8 @@ def logistic_newton(df: DataFrame, features: Sequence[str], label: str, group_co
     beta = {g: np.zeros(p) for g in groups}
     pen = np.eye(p)
     pen[0, 0] = 0.0
-    for _ in range(max_iter):
+    moved = math.inf if groups else 0.0
+    for _ in range(max_iter if groups else 0):
         if keys:
             rows = [(*g, [float(v) for v in b]) for g, b in beta.items()]
             coef = spark.createDataFrame(rows, data.select(*keys).schema.add("_b", ArrayType(DoubleType())))
@@ -75,11 +79,13 @@ def logistic_newton(df: DataFrame, features: Sequence[str], label: str, group_co
             hess = hess * c + pen
             step = np.linalg.solve(hess, grad)
             beta[g] = beta[g] + step
-            moved = max(moved, float(np.max(np.abs(step))))
+            moved = float(np.maximum(moved, np.max(np.abs(step)) / np.maximum(1.0, np.max(np.abs(beta[g])))))  # NaN stays
         if moved < NEWTON_TOL:
             break
     if persist:
         data.unpersist()
+    if not moved < NEWTON_TOL:
+        raise RuntimeError(f"logistic fit not converged after {max_iter} steps: last change {moved:.3g}")
     return beta
 
 

@@ -4,8 +4,9 @@ A global ``Window.orderBy`` moves every row into one task.  Instead:
 
 1. collapse equal values first (``groupBy(keys, value)`` with map-side
    combine), so a hot value is one row however many times it occurs;
-2. cut each key's value range into ``n_blocks`` blocks at approximate
-   quantiles of the *distinct* values (a mergeable sketch, bounded size);
+2. cut each key's value range into blocks of about ROWS_PER_BLOCK values, at
+   approximate quantiles of the *distinct* values (a mergeable sketch for
+   numbers, a hash sample of the values for text, dates and other types);
    a row finds its block by binary search over the split points;
 3. prefix-sum the per-block totals (groups x blocks rows: tiny);
 4. prefix-sum inside each block with a window partitioned by (keys, block).
@@ -20,17 +21,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..session import cut_lineage
 
-DEFAULT_BLOCKS = 1024           # upper bound on blocks per key
 COARSE_BLOCKS = 64              # first sketch; refined only for large groups
 ROWS_PER_BLOCK = 50_000         # target distinct values per block
-SKETCH_ACCURACY = 10000
+SKETCH_ACCURACY = 10000         # at least; four times the blocks beyond that
+SAMPLES_PER_BLOCK = 20          # sampled values per split, for types without a sketch
 # Distinct values per column up to which the built-in exact ``percentile``
 # aggregate is used: its buffer is a value -> count map, so its size is
 # bounded by the distinct count, checked first with a sketch.
 PERCENTILE_BUFFER_LIMIT = 500_000
 # Bounded side of a join that may be broadcast (rows).
 BROADCAST_ROW_LIMIT = 200_000
+# The same in numbers, where a row carries an array of split points (40 MB).
+BROADCAST_NUMBERS = 5_000_000
 
 
 def _count_below(splits: Column, v: Column, n_splits: int) -> Column:
@@ -49,53 +55,72 @@ def _count_below(splits: Column, v: Column, n_splits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
-                weights: Sequence[str], n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
-    """For rows unique on (keys, value): add ``<w>_below`` = sum of ``w`` over
-    rows with the same keys and a strictly smaller value, for each weight."""
-    keys = list(keys)
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
+def _splits(df: DataFrame, keys: list[str], value: str, n_blocks: int | None) -> tuple[DataFrame, int, int]:
+    """Per key group: its count and sorted split points (``_cnt``, ``_all``);
+    also the number of blocks and of groups.  ``n_blocks`` None: as many blocks
+    as the largest group needs."""
+    grouped = df.groupBy(*keys)
+    numeric = isinstance(df.schema[value].dataType, NumericType)
 
     def sketch(blocks: int) -> DataFrame:
         probs = [i / blocks for i in range(1, blocks)]
-        return grouped.agg(F.percentile_approx(value, probs, SKETCH_ACCURACY).alias("_all"),
-                           F.count(F.lit(1)).alias("_cnt"))
+        return cut_lineage(grouped.agg(F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 4 * blocks)).alias("_all"),
+                                       F.count(value).alias("_cnt")))
+
+    # numbers, one pass: a coarse sketch and the group sizes; a finer sketch
+    # only when some group needs more than COARSE_BLOCKS blocks
+    blocks = n_blocks or COARSE_BLOCKS
+    stats = sketch(blocks) if numeric else cut_lineage(grouped.agg(F.count(value).alias("_cnt")))
+    size = stats.agg(F.max("_cnt").alias("m"), F.count(F.lit(1)).alias("g")).first()
+    n_groups, biggest = size["g"] or 0, size["m"] or 0
+    needed = math.ceil(biggest / ROWS_PER_BLOCK)
+    if n_blocks is None and needed > blocks:
+        blocks = needed
+        if numeric:
+            stats = sketch(blocks)
+    if not numeric:
+        # about SAMPLES_PER_BLOCK hash-chosen values a block; every so many-th is a split
+        if keys:
+            rows = df.select(*keys, value).join(F.broadcast(stats) if n_groups <= BROADCAST_ROW_LIMIT else stats, keys)
+        else:
+            rows = df.select(value, F.lit(biggest).alias("_cnt"))
+        each = F.greatest(F.lit(1), F.floor(F.col("_cnt") / (blocks * SAMPLES_PER_BLOCK)))
+        sample = (rows.filter(F.pmod(F.xxhash64(value), each) == 0).groupBy(*keys)
+                  .agg(F.sort_array(F.collect_list(value)).alias("_s"), F.max("_cnt").alias("_cnt")))
+        every = F.greatest(F.lit(1), F.ceil(F.size("_s") / blocks)).cast("int")
+        sample = sample.select(*keys, F.filter("_s", lambda x, i: (i + 1) % every == 0).alias("_all"), "_cnt")
+        if keys:  # a group of which no value was chosen has no split
+            sample = stats.select(*keys).join(sample, keys, "left").withColumns(
+                {"_all": F.coalesce("_all", F.array().cast(sample.schema["_all"].dataType)), "_cnt": F.coalesce("_cnt", F.lit(1))})
+        stats = cut_lineage(sample)
+    return stats, blocks, n_groups
 
-    # one pass: a coarse sketch and the group sizes; a finer sketch only
-    # when some group needs more than COARSE_BLOCKS blocks
-    blocks = min(COARSE_BLOCKS, n_blocks)
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
+                weights: Sequence[str], n_blocks: int | None = None) -> DataFrame:
+    """For rows unique on (keys, value): add ``<w>_below`` = sum of ``w`` over
+    rows with the same keys and a strictly smaller value, for each weight.
+    ``value`` is of any orderable type; ``n_blocks`` fixes the number of blocks,
+    else it follows from the largest group."""
+    keys = list(keys)
+    stats, blocks, n_groups = _splits(df, keys, value, n_blocks)
+    # keep every k-th split so a block holds ~ROWS_PER_BLOCK values
+    step = F.least(F.lit(float(blocks)), F.greatest(
+        F.lit(1.0), F.ceil(F.lit(float(blocks)) * F.lit(float(ROWS_PER_BLOCK)) / F.greatest(F.lit(1), F.col("_cnt"))))).cast("int")
+    splits = stats.select(*keys, F.filter("_all", lambda x, i: (i + 1) % step == 0).alias("_splits"))
     if not keys:
-        # a single group: its one sketch row is all the driver needs
-        row = sketch(blocks).first()
-        if (row["_cnt"] or 0) > blocks * ROWS_PER_BLOCK and n_blocks > blocks:
-            blocks = n_blocks
-            row = sketch(blocks).first()
-        cnt, arr = row["_cnt"] or 0, row["_all"] or []
-        step = int(min(blocks, max(1, math.ceil(blocks * ROWS_PER_BLOCK / max(cnt, 1)))))
-        arr = [x for i, x in enumerate(arr) if (i + 1) % step == 0]
+        row = splits.first()
+        arr = row["_splits"] if row else None
         if not arr:
             # fewer than ~ROWS_PER_BLOCK distinct values in total: one window
             # over them is bounded by construction
             w1 = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
             return df.withColumns({f"{w}_below": F.coalesce(F.sum(w).over(w1), F.lit(0)) for w in weights})
-        n_groups = 1
-        with_splits = df.withColumn("_splits", F.array(*[F.lit(float(x)) for x in arr]).cast("array<double>"))
+        with_splits = df.withColumn("_splits", F.array(*[F.lit(x) for x in arr]).cast(splits.schema["_splits"].dataType))
     else:
-        stats = sketch(blocks).cache()
-        size = stats.agg(F.max("_cnt").alias("m"), F.count(F.lit(1)).alias("g")).first()
-        n_groups, biggest = size["g"] or 0, size["m"] or 0
-        if biggest > blocks * ROWS_PER_BLOCK and n_blocks > blocks:
-            stats.unpersist()
-            blocks = n_blocks
-            stats = sketch(blocks).cache()
-        # keep every k-th split so a block holds ~ROWS_PER_BLOCK values
-        step = F.least(F.lit(float(blocks)), F.greatest(
-            F.lit(1.0), F.ceil(F.lit(float(blocks)) * F.lit(float(ROWS_PER_BLOCK)) / F.col("_cnt")))).cast("int")
-        splits = stats.select(*keys, F.filter("_all", lambda x, i: (i + 1) % step == 0).alias("_splits"))
-        side = F.broadcast(splits) if n_groups <= BROADCAST_ROW_LIMIT else splits
+        side = F.broadcast(splits) if n_groups * blocks <= BROADCAST_NUMBERS else splits
         with_splits = df.join(side, keys)
-    blocked = with_splits.withColumn(
-        "_block", _count_below(F.col("_splits"), F.col(value).cast("double"), blocks - 1)).drop("_splits")
+    blocked = with_splits.withColumn("_block", _count_below(F.col("_splits"), F.col(value), blocks)).drop("_splits")
 
     # block totals: at most groups x blocks rows, so the prefix over blocks
     # and the broadcast back are bounded without counting them
@@ -115,7 +140,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def row_rank(df: DataFrame, order_col: str, keys: Sequence[str] = (),
-             n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+             n_blocks: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_col`` order within ``keys``
     (``order_col`` unique within keys, e.g. an entity id)."""
     ranked = prefix_sums(df.withColumn("_one", F.lit(1)), keys, order_col, ["_one"], n_blocks)
@@ -123,7 +148,7 @@ def row_rank(df: DataFrame, order_col: str, keys: Sequence[str] = (),
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    n_blocks: int = DEFAULT_BLOCKS,
+                    n_blocks: int | None = None,
                     distinct_estimate: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between order statistics
     (the default of pandas/numpy), nulls and NaN skipped.
@@ -150,7 +175,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def _quantiles_by_rank(df: DataFrame, cols: list[str], probs: Sequence[float],
-                       n_blocks: int) -> dict[str, list[float | None]]:
+                       n_blocks: int | None) -> dict[str, list[float | None]]:
     """Distributed exact quantiles for columns with unbounded distinct
     counts: rank the distinct values with ``prefix_sums`` and fetch only the
     needed order statistics."""

@@ -78,27 +78,17 @@ def read_matching_file(spark: SparkSession, directory: str, pattern: str,
                        keep_na_text: bool = False) -> DataFrame:
     """S3: the gradebook whose file name contains ``pattern``.
 
-    One listing-filtered read (``pathGlobFilter``) of all candidates; the
-    lexicographically first file name wins, so the choice is deterministic.
-    Returns the rows plus ``source_file``.
+    Only the listing is read to choose it (paths, no content); the
+    lexicographically first file name wins, so the choice is deterministic,
+    and the chosen file is read alone, under its own header.  Returns the rows
+    plus ``source_file``.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("nullValue", "\u0001").option("emptyValue", "")
-          .option("pathGlobFilter", f"*{pattern}*").csv(directory)
-          .withColumn("source_file", F.col("_metadata.file_name")))
-    first = df.agg(F.min("source_file")).first()[0]
-    if first is None:
+    name = F.element_at(F.split("path", "/"), -1)
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{pattern}*").load(directory)
+             .select("path").agg(F.min_by("path", F.struct(name, "path")).alias("path"), F.min(name).alias("name")).first())
+    if found["path"] is None:
         raise ValueError(f"no file containing {pattern!r} under {directory}")
-    picked = df.filter(F.col("source_file") == first)
-    if keep_na_text:
-        return picked
-    tokens = list(DEFAULT_NA_TOKENS)
-    return picked.select(*[
-        F.col(f"`{c}`") if c == "source_file" else
-        F.when(F.col(f"`{c}`").isin(tokens), F.lit(None).cast("string"))
-         .otherwise(F.col(f"`{c}`")).alias(c)
-        for c in picked.columns
-    ])
+    return read_raw_gradebook(spark, found["path"], keep_na_text).withColumn("source_file", F.lit(found["name"]))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",

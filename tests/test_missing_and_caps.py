@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohort_signal.functions import clean, rowwise
-from cohort_signal.operators import attempts, cohort, evaluate, features, profile
+from cohort_signal.operators import attempts, classify, cohort, evaluate, features, profile, ranking
+from cohort_signal.sources import io
 
 NAN = float("nan")
 
@@ -46,3 +47,37 @@ def test_empty_bins_are_rows(spark):
 def test_best_model_tie_goes_to_first_name(spark):
     df = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.1)], "model string, test_r2 double")
     assert evaluate.best_model(df).first().best_model == "a"
+
+
+@pytest.mark.parametrize("n_blocks", [None, 5])
+def test_ranks_of_text_keys(spark, monkeypatch, n_blocks):
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 40)
+    names = [f"customer-{i * 7919 % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(names)], "k int, name string")
+    alone = {r.name: r._rank for r in ranking.row_rank(df.select("name"), "name", n_blocks=n_blocks).select("name", "_rank").collect()}
+    assert alone == {v: i for i, v in enumerate(sorted(names))}
+    keyed = ranking.row_rank(df, "name", ["k"], n_blocks=n_blocks).collect()
+    assert len(keyed) == 1000
+    for k in range(3):
+        own = sorted(v for i, v in enumerate(names) if i % 3 == k)
+        assert [r["name"] for r in sorted((r for r in keyed if r.k == k), key=lambda r: r._rank)] == own
+    assert ranking.row_rank(df.limit(0), "name").count() == 0
+    assert ranking.row_rank(df.limit(0), "name", ["k"]).count() == 0
+
+
+def test_unconverged_fit_raises(spark):
+    df = spark.createDataFrame([(float(i % 5), float(i % 5 > 1 + i % 3)) for i in range(40)], "x double, y double")
+    with pytest.raises(RuntimeError):
+        classify.logistic_newton(df, ["x"], "y", max_iter=1)
+    assert classify.logistic_newton(df.limit(0).withColumn("g", F.lit(1)), ["x"], "y", ["g"]) == {}
+
+
+def test_chosen_file_keeps_its_own_header(spark, tmp_path):
+    (tmp_path / "b gradebook.csv").write_text("id,extra,score\n1,x,N/A\n")
+    (tmp_path / "a gradebook.csv").write_text("id,score\n7,N/A\n8,5\n")
+    (tmp_path / "other.csv").write_text("id\n9\n")
+    got = io.read_matching_file(spark, str(tmp_path), "gradebook")
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [("7", None, "a gradebook.csv"), ("8", "5", "a gradebook.csv")]
+    assert io.read_matching_file(spark, str(tmp_path), "gradebook", keep_na_text=True).filter("score = 'N/A'").count() == 1
+    with pytest.raises(ValueError):
+        io.read_matching_file(spark, str(tmp_path), "nothing")
