@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -359,3 +360,28 @@ def test_language_prediction(spark):
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[900].score == 0.0 and got[903].lang_pred in bank
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), PIECES).count() == 0
+
+
+def test_words_of_texts():
+    texts = ["Über die  2 Häuser--weg!", None, "", " \t\n", "a1b a1b 12 ÉTÉ", "x" * 70 + " Ab　cd"]
+    sizes, words, at = language_id.words_of(pa.array(texts, pa.string()))
+    pieces = [(t or "").split() for t in texts]
+    bare = [["".join(c for c in p.lower() if c.isalpha()) for p in t] for t in pieces]
+    ends = np.cumsum(sizes)
+    got = [[w for w in (words[i] for i in at[e - n:e]) if w] for e, n in zip(ends, sizes)]
+    assert got == [[w for w in t if w] for t in bare] and len(set(words)) == len(words)
+    assert language_id.marked("") == [] and [len(w) for w in language_id.marked("x" * 70)] == [33, 33, 7]
+
+
+def test_scores_do_not_depend_on_what_a_worker_remembers(monkeypatch):
+    v = language_id.vocabulary(PIECES)
+    p = np.random.default_rng(4).dirichlet(np.ones(v.size + 1), 3).T
+    texts = pa.array(["alpha beta gamma", None, "beta 77 beta", "", "delta " * 3000 + "alpha"], pa.string())
+    fresh = language_id._Scorer(v, p)(texts)
+    one = language_id._Scorer(v, p)
+    monkeypatch.setattr(language_id, "CACHE_NUMBERS", 1)  # forget before every batch
+    for i in range(len(texts)):
+        assert np.allclose(one(texts.slice(i, 1))[0], fresh[i])
+    assert not fresh[1].any() and not fresh[3].any()
+    assert np.allclose(fresh[4], 3000 * one(pa.array(["delta"]))[0] + one(pa.array(["alpha"]))[0])
+    assert one(pa.array([], pa.string())).shape == (0, 4)
