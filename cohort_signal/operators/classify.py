@@ -25,6 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from .ranking import BROADCAST_ROW_LIMIT, prefix_sums
 
 NEWTON_MAX_ITER = 25
+MLLIB_MAX_ITER = 200
 NEWTON_TOL = 1e-10
 
 
@@ -112,11 +113,15 @@ def exact_auc(scored: DataFrame, label: str, score: str, keys: Sequence[str] = (
 
 def mllib_logistic(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0):
     """M9 with Spark ML: regParam = 1 / (C n) reproduces the C-weighted
-    objective (features must already be standardised)."""
+    objective (features must already be standardised).  Raises when
+    MLLIB_MAX_ITER steps do not converge."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     n = df.count()
     va = VectorAssembler(inputCols=list(features), outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1.0 / (c * n),
-                            elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-12)
-    return lr.fit(va.transform(df.withColumn(label, F.col(label).cast("double"))))
+                            elasticNetParam=0.0, standardization=False, maxIter=MLLIB_MAX_ITER, tol=1e-12)
+    model = lr.fit(va.transform(df.withColumn(label, F.col(label).cast("double"))))
+    if model.summary.totalIterations >= MLLIB_MAX_ITER:
+        raise RuntimeError(f"logistic fit not converged after {MLLIB_MAX_ITER} steps")
+    return model
