@@ -7,10 +7,14 @@ of its log-likelihoods under both models, divided by its length, against a
 cut that gives the best balanced accuracy on examples kept out of the counts
 (an eighth, by hash).
 
-Contexts are hashed into 2^CONTEXT_BITS slots an order, so a model has a fixed
-size whatever the corpus; counting is one pass with sums per task and one
-grouped sum.  The driver gets the summed counts (at most the model's size) and
-2 x BINS calibration counts.
+The counts are a Spark table keyed by the exact characters (bytes, the end and
+the filling before the start are symbols of their own), so it grows with the
+URLs.  A table of one order is the sum of the next higher one's by its last
+characters; probabilities go up the orders by joins in which a key meets at
+most SYMBOLS + 1 rows.  URLs to score are dealt into blocks of 2^BLOCK_BITS
+rows, and a block asks for each of its grams once, so that a gram all URLs
+hold is one row a block.  The driver gets two sums of counts and 2 x BINS
+calibration counts.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and no
 rule; a null or empty URL is blocked by the method (nothing speaks for it);
@@ -21,19 +25,21 @@ repeat are each judged; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, ship, slices
+from .common import materialise, ship, slices
 
 MAX_ORDER = 4
-CONTEXT_BITS = 12
-SYMBOLS = 128
-END = 3
+#: The 256 bytes and the end; PAD stands in contexts only.
+SYMBOLS = 257
+END, PAD = 256, 257
+SYMBOL_BITS = 9
+#: log2 of the URLs that are scored together.
+BLOCK_BITS = 12
 CALIBRATION = 8
 BINS, BIN_RANGE = 2000, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,70 +65,83 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all characters (and the end) of all URLs: URL number, cell of the
-    count table per order (orders x characters), and the context's slot."""
-    pad = b"\0" * MAX_ORDER
-    joined = np.frombuffer(b"".join(pad + u + bytes([END]) for u in urls), np.uint8) & np.uint8(SYMBOLS - 1)
+def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For all characters (and the end) of all URLs: URL number, and the
+    character after the MAX_ORDER before it, SYMBOL_BITS bits each."""
     lengths = np.array([len(u) + 1 for u in urls])
-    starts = np.cumsum(lengths + MAX_ORDER) - lengths
+    ends = np.cumsum(lengths + MAX_ORDER)
+    joined = np.full(ends[-1], PAD, np.int64)
     owner = np.repeat(np.arange(len(urls)), lengths)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-    symbol = joined[at].astype(np.int64)
-    slot = np.zeros((MAX_ORDER + 1, len(at)), np.int64)
-    h = np.zeros(len(at), np.uint64)
-    for order in range(1, MAX_ORDER + 1):
-        h = mix64(h + joined[at - order].astype(np.uint64) + np.uint64(order))
-        slot[order] = order * (1 << CONTEXT_BITS) + (h >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-    return owner, slot * SYMBOLS + symbol, slot
+    at = np.arange(len(owner)) + (owner + 1) * MAX_ORDER
+    inside = np.ones(len(owner), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    joined[at[inside]] = np.frombuffer(b"".join(urls), np.uint8)
+    joined[ends - 1] = END
+    gram = np.zeros(len(at), np.int64)
+    for back in range(MAX_ORDER, -1, -1):
+        gram = gram << SYMBOL_BITS | joined[at - back]
+    return owner, gram
+
+
+def _urls(batch: pa.RecordBatch | pa.Table) -> list[bytes]:
+    return [u or b"" for u in batch.column("url").cast(pa.binary()).to_pylist()]
 
 
-CELLS = (MAX_ORDER + 1) * (1 << CONTEXT_BITS) * SYMBOLS
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1 << BLOCK_BITS):
+        good = np.asarray(batch.column("accepted").to_pylist(), bool)
+        owner, gram = _grams(_urls(batch))
+        grams, back = np.unique(gram, return_inverse=True)
+        counts = [np.bincount(back, good[owner] == kind, minlength=len(grams)).astype(np.int64) for kind in (True, False)]
+        yield pa.record_batch({"gram": pa.array(grams), "accepted": pa.array(counts[0]), "rejected": pa.array(counts[1])})
 
 
-@dataclass(frozen=True)
-class CharModel:
-    cells: np.ndarray  # counts of (context, symbol)
+def _asked(t: pa.Table) -> pa.Table:
+    """The distinct grams of a block."""
+    grams = np.unique(_grams(_urls(t))[1])
+    return pa.table({"block": pa.array(np.full(len(grams), t.column("block")[0].as_py(), np.int64)), "gram": pa.array(grams)})
 
-    def __post_init__(self) -> None:
-        by = self.cells.reshape(-1, SYMBOLS)
-        object.__setattr__(self, "total", by.sum(1).astype(np.float64))
-        object.__setattr__(self, "kinds", np.count_nonzero(by, axis=1).astype(np.float64))
 
-    def log_probabilities(self, cell: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        p = (self.cells[cell[0]] + 0.5) / (self.total[0] + 0.5 * SYMBOLS)
-        for order in range(1, MAX_ORDER + 1):
-            total, kinds = self.total[slot[order]], self.kinds[slot[order]]
-            p = np.where(total > 0, (self.cells[cell[order]] + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.log(p)
+_SCORED = "page_id long, url string, host string, path string, accepted boolean, ratio double"
 
 
-def ratios(urls: list[bytes], accepted: CharModel, rejected: CharModel) -> np.ndarray:
+def _ratios(t: pa.Table, scores: pa.Table) -> pa.Table:
     """Length-normalised log-likelihood difference; 0 for empty URLs."""
-    if not urls:
-        return np.zeros(0)
-    owner, cell, slot = _grams(urls)
-    diff = accepted.log_probabilities(cell, slot) - rejected.log_probabilities(cell, slot)
-    out = np.bincount(owner, diff, minlength=len(urls)) / np.bincount(owner, minlength=len(urls))
-    return np.where([len(u) > 0 for u in urls], out, 0.0)
-
-
-def _urls(batch: pa.RecordBatch) -> list[bytes]:
-    return [u or b"" for u in batch.column("url").cast(pa.binary()).to_pylist()]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros((2, CELLS), np.int32)
-    for batch in slices(batches, 4096):
-        good = np.asarray(batch.column("accepted").to_pylist(), bool)
-        urls = _urls(batch)
-        for k in (0, 1):
-            some = [u for u, g in zip(urls, good) if g == bool(k)]
-            if some:
-                cells, n = np.unique(_grams(some)[1], return_counts=True)
-                sums[k][cells] += n.astype(np.int32)
-    k, cell = np.nonzero(sums)
-    yield pa.record_batch({"kind": pa.array(k, pa.int64()), "cell": pa.array(cell, pa.int64()), "n": pa.array(sums[k, cell], pa.int64())})
+    urls = _urls(t)
+    ratio = np.zeros(len(urls))
+    if urls:
+        owner, gram = _grams(urls)
+        known, diff = scores.column("gram").to_numpy(), scores.column("diff").to_numpy()
+        order = np.argsort(known)
+        diff = diff[order][np.searchsorted(known[order], gram)]
+        ratio = np.bincount(owner, diff, minlength=len(urls)) / np.bincount(owner, minlength=len(urls))
+        ratio[[not u for u in urls]] = 0.0
+    return t.drop_columns(["block"]).append_column("ratio", pa.array(ratio, pa.float64()))
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """counts: (gram, accepted, rejected), a row per gram, zeros included.
+    (gram, diff): difference of the log-probabilities of a gram's last
+    character under the models of both kinds of counts."""
+    levels = [counts]
+    for order in range(MAX_ORDER - 1, -1, -1):
+        tail = F.col("gram").bitwiseAND((1 << SYMBOL_BITS * (order + 1)) - 1)
+        levels.append(materialise(levels[-1].groupBy(tail.alias("gram")).agg(*[F.sum(k).alias(k) for k in ("accepted", "rejected")]), "grams"))
+    context = Window.partitionBy(F.shiftright("gram", SYMBOL_BITS))
+    out = None
+    for order, level in enumerate(reversed(levels)):
+        level = level.select("gram", "accepted", "rejected", *[
+            f(c).over(context).alias(f"{k}_{n}") for k in ("accepted", "rejected")
+            for n, f, c in (("total", F.sum, F.col(k)), ("kinds", F.count_if, F.col(k) > 0))])
+        if out is None:
+            p = {k: (F.col(k) + 0.5) / (F.col(f"{k}_total") + 0.5 * SYMBOLS) for k in ("accepted", "rejected")}
+        else:
+            lower = out.select(F.col("gram").alias("tail"), "accepted_p", "rejected_p")
+            level = level.withColumn("tail", F.col("gram").bitwiseAND((1 << SYMBOL_BITS * order) - 1)).join(lower, "tail")
+            p = {k: F.when(F.col(f"{k}_total") > 0, (F.col(k) + F.col(f"{k}_kinds") * F.col(f"{k}_p")) / (F.col(f"{k}_total") + F.col(f"{k}_kinds")))
+                 .otherwise(F.col(f"{k}_p")) for k in ("accepted", "rejected")}
+        out = level.select("gram", *[c.alias(f"{k}_p") for k, c in p.items()])
+    return out.select("gram", (F.log("accepted_p") - F.log("rejected_p")).alias("diff"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -130,38 +149,40 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     spark = pages.sparkSession
     ship(spark)
     verdicts = {text: verdict for verdict, text in rules}
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     src = src.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     src = src.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for text, verdict in verdicts.items():
         by_rule = F.when(F.col("rule") == text, F.lit(verdict)).otherwise(by_rule)
     src = src.withColumn("by_rule", by_rule)
-    known = src.filter(F.col("rule").isNotNull()).select("url", (F.col("by_rule") == "allow").alias("accepted"))
+    src = src.withColumn("accepted", F.col("by_rule") == "allow")
+    ruled = F.col("rule").isNotNull()
     aside = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0
 
-    counts = known.filter(~aside).mapInArrow(_count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros((2, CELLS))
-    cells[counts.column("kind").to_numpy(), counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
-    held = spark.sparkContext.broadcast((CharModel(cells[1]), CharModel(cells[0])))
-    learned = cells[0].any() and cells[1].any()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            r = ratios(_urls(batch), *held.value) if learned else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r, pa.float64())], names=[*batch.schema.names, "ratio"])
-
-    cut = 0.0
+    counted = src.filter(ruled & ~aside).select("url", "accepted").mapInArrow(_count, "gram long, accepted long, rejected long")
+    # rows without a rule (accepted is null) and examples kept out of the counts
+    todo = materialise(src.filter(~ruled | aside).select("page_id", "url", "host", "path", "accepted")
+                       .withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "urls")
+    asked = materialise(todo.select("block", "url").groupBy("block").applyInArrow(_asked, "block long, gram long"), "asked")
+    zero = F.lit(0).cast("long")
+    counts = materialise(counted.union(asked.select("gram", zero, zero)).groupBy("gram").agg(
+        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
+    sums = counts.agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).first()
+    learned = bool(sums["accepted"] and sums["rejected"])
+
+    scored, cut = todo.withColumn("ratio", F.lit(0.0)), 0.0
     if learned:
+        diffs = asked.join(gram_scores(counts), "gram").select("block", "gram", "diff")
+        scored = materialise(todo.groupBy("block").cogroup(diffs.groupBy("block")).applyInArrow(_ratios, _SCORED), "ratios")
         step = F.floor(F.greatest(F.least("ratio", F.lit(BIN_RANGE)), F.lit(-BIN_RANGE)) * F.lit(BINS / (2 * BIN_RANGE)))
-        got = (known.filter(aside).mapInArrow(score, "url string, accepted boolean, ratio double")
-               .groupBy("accepted", step.cast("long").alias("bin")).count().collect())
+        got = scored.filter("accepted is not null").groupBy("accepted", step.cast("long").alias("bin")).count().collect()
         cut = best_cut([(r["accepted"], r["bin"], r["count"]) for r in got])
 
-    out = src.mapInArrow(score, "page_id long, url string, host string, path string, rule string, by_rule string, ratio double")
     by_model = F.when((F.length(F.coalesce("url", F.lit(""))) > 0) & (F.col("ratio") >= cut), F.lit("allow")).otherwise(F.lit("block"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"),
-                      F.when(F.col("rule").isNull(), F.col("ratio")).alias("ratio"))
+    none = F.lit(None)
+    by_lm = scored.filter("accepted is null").select("page_id", "host", "path", none.cast("string").alias("rule"), by_model.alias("verdict"), "ratio")
+    return src.filter(ruled).select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), none.cast("double").alias("ratio")).union(by_lm)
 
 
 def best_cut(counts: list[tuple[bool, int, int]]) -> float:

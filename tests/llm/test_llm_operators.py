@@ -175,6 +175,42 @@ def test_url_rules_and_model(spark):
     assert (got[600], got[601]) == ("block", "allow")
 
 
+def test_url_ratios_match_exact_contexts(spark):
+    rng = random.Random(11)
+    tail = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789-éßя", k=30))
+    urls = [f"http://a.com/{rng.choice(['fr', 'de'])}/{tail()}" for _ in range(600)] + [f"http://a.net/{tail()}" for _ in range(20)] + ["http://a.net/\x03\x00"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    kept = {r.url for r in pages.filter(F.pmod(F.xxhash64("url"), F.lit(url_lm.CALIBRATION)) != 0).collect()}
+    counts = {True: defaultdict(lambda: defaultdict(int)), False: defaultdict(lambda: defaultdict(int))}
+
+    def grams(url):
+        s = (url_lm.PAD,) * 4 + tuple(url.encode()) + (url_lm.END,)
+        return [(s[i - 4:i], s[i]) for i in range(4, len(s))]
+
+    for u in urls[:600]:
+        if u in kept:
+            for c, x in grams(u):
+                for o in range(5):
+                    counts["/fr/" in u][c[4 - o:]][x] += 1
+    assert len(counts[True]) > 1 << 12
+
+    def p(model, c, x):
+        out = (model[()][x] + 0.5) / (sum(model[()].values()) + 0.5 * 257)
+        for o in range(1, 5):
+            row = model.get(c[4 - o:])
+            if row:
+                out = (row.get(x, 0) + len(row) * out) / (sum(row.values()) + len(row))
+        return out
+
+    models = {k: {c: dict(r) for c, r in m.items()} for k, m in counts.items()}
+    for m in models.values():
+        m[()] = defaultdict(int, m[()])
+    for r in url_lm.judge(pages, queries.URL_RULES).filter("rule is null").collect():
+        g = grams(urls[r.page_id])
+        want = sum(np.log(p(models[True], *x)) - np.log(p(models[False], *x)) for x in g) / len(g)
+        assert abs(r.ratio - want) < 1e-9, urls[r.page_id]
+
+
 def expected_chat(turns):
     h = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     loss = "".join(t for r, t in turns if r == "assistant")
