@@ -17,8 +17,9 @@ Steps, all joins and groupings on Spark:
    bounded tasks that return links only;
 5. components of all links.
 
-Chance to miss a pair: below 3e-7 at the threshold for the banding
-(1 - 0.85^6)^32, and about 4e-6 for the signature filter of step 4.
+Chance to miss a pair at the threshold: below MISS for the banding, whose rows
+and bands follow from the threshold (0.85: 32 bands of 6, (1 - 0.85^6)^32;
+0.8: 38 bands of 5), and about 4e-6 for the signature filter of step 4.
 
 Edge cases: a null or wordless text has no shingles and is linked with
 nothing; fewer words than a shingle form one shingle; rows with a null id are
@@ -29,7 +30,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ from .components import connected_components
 
 SHINGLE = 5
 THRESHOLD_PCT = 85
-BANDS, ROWS = 32, 6
-COORDINATES = BANDS * ROWS
+COORDINATES = 192
+#: Chance that a pair at the threshold shares no band.
+MISS = 3e-7
 #: Shingles hashed together; keeps the work arrays inside the CPU cache.
 CHUNK = 1 << 16
 #: Members of a block; a completion task compares two blocks.
@@ -83,30 +85,43 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(n, BANDS) of int64: one key per band; the band's number is part of it."""
-    keys = np.zeros((len(sig), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
+def banding(threshold_pct: int) -> tuple[int, int]:
+    """(bands, rows): the most rows with which a pair at the threshold is
+    missed with a chance below MISS."""
+    for rows in range(COORDINATES, 0, -1):
+        bands = COORDINATES // rows
+        if (1 - (threshold_pct / 100) ** rows) ** bands < MISS:
+            return bands, rows
+    raise ValueError(f"a threshold of {threshold_pct} % needs more than {COORDINATES} coordinates")
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands) of int64: one key per band; the band's number is part of it."""
+    keys = np.zeros((len(sig), bands), dtype=np.uint64)
+    for b in range(bands):
         acc = np.full(len(sig), b + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            acc = mix64(acc ^ sig[:, b * ROWS + r].astype(np.uint64))
+        for r in range(rows):
+            acc = mix64(acc ^ sig[:, b * rows + r].astype(np.uint64))
         keys[:, b] = acc
     return keys.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = [shingle_set(t, SHINGLE) for t in texts_of(batch)]
-        sig = signatures(sets)
-        full = np.array([len(s) > 0 for s in sets])
-        keys = band_keys(sig)
-        yield pa.record_batch({
-            "doc_id": batch.column("doc_id"),
-            "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-            "bands": pa.array([k if f else None for k, f in zip(keys, full)], pa.list_(pa.int64())),
-            "sig": pa.array([s.astype(np.uint8).tobytes() if f else None for s, f in zip(sig, full)], pa.binary()),
-        })
+def _sign(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, SHINGLE) for t in texts_of(batch)]
+            sig = signatures(sets)
+            full = np.array([len(s) > 0 for s in sets])
+            keys = band_keys(sig, bands, rows)
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"),
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                "bands": pa.array([k if f else None for k, f in zip(keys, full)], pa.list_(pa.int64())),
+                "sig": pa.array([s.astype(np.uint8).tobytes() if f else None for s, f in zip(sig, full)], pa.binary()),
+            })
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,32 +132,36 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> bool:
+def _near(x: np.ndarray, y: np.ndarray, threshold_pct: int) -> bool:
     small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if 100 * len(small) < THRESHOLD_PCT * len(large):
+    if 100 * len(small) < threshold_pct * len(large):
         return False
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     both = int(np.count_nonzero(large[at] == small))
-    return 100 * both >= THRESHOLD_PCT * (len(x) + len(y) - both)
+    return 100 * both >= threshold_pct * (len(x) + len(y) - both)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(threshold_pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs with both full sets -> those at or above the threshold."""
-    for batch in slices(batches):
-        keep = [_near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-        keep = np.nonzero(keep)[0]
-        yield pa.record_batch({"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = [_near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold_pct)
+                    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            keep = np.nonzero(keep)[0]
+            yield pa.record_batch({"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))})
+
+    return run
 
 
-def _least_agreeing() -> int:
+def _least_agreeing(threshold_pct: int) -> int:
     """Coordinates that a pair at the threshold agrees on, less SLACK deviations."""
-    t = THRESHOLD_PCT / 100
+    t = threshold_pct / 100
     return math.floor(COORDINATES * t - SLACK * math.sqrt(COORDINATES * t * (1 - t)))
 
 
-def _open_pairs(t: pa.Table) -> tuple[list[int], list[int]]:
+def _open_pairs(t: pa.Table, threshold_pct: int) -> tuple[list[int], list[int]]:
     """Pairs of rows of one task (two blocks of one bucket) still to be
     confirmed: of different components, in the first band they share, with
     signatures and sizes that allow the threshold; each across the two blocks
@@ -151,19 +170,19 @@ def _open_pairs(t: pa.Table) -> tuple[list[int], list[int]]:
     block = t.column("block").to_numpy()
     n = t.column("n").to_numpy()
     m = len(comp)
-    bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(m, BANDS)
+    bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(m, -1)
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(m, COORDINATES)
     key, lo, hi = t.column("bkey")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
     left = np.nonzero(block == lo)[0]
     right = np.nonzero(block == hi)[0]
     here = int(np.argmax(bands[0] == key))
-    need = _least_agreeing()
+    need = _least_agreeing(threshold_pct)
     out_i: list[int] = []
     out_j: list[int] = []
     for i in left:
         j = right[right > i] if lo == hi else right
         j = j[comp[j] != comp[i]]
-        j = j[100 * np.minimum(n[j], n[i]) >= THRESHOLD_PCT * np.maximum(n[j], n[i])]
+        j = j[100 * np.minimum(n[j], n[i]) >= threshold_pct * np.maximum(n[j], n[i])]
         if not len(j):
             continue
         j = j[np.argmax(bands[j] == bands[i], axis=1) == here]
@@ -173,41 +192,50 @@ def _open_pairs(t: pa.Table) -> tuple[list[int], list[int]]:
     return out_i, out_j
 
 
-def _needed(t: pa.Table) -> pa.Table:
+def _needed(threshold_pct: int) -> Callable[[pa.Table], pa.Table]:
     """Members of one task that have a pair to confirm."""
-    i, j = _open_pairs(t)
-    rows = pa.array(sorted(set(i) | set(j)), pa.int64())
-    return t.take(rows)
 
+    def run(t: pa.Table) -> pa.Table:
+        i, j = _open_pairs(t, threshold_pct)
+        rows = pa.array(sorted(set(i) | set(j)), pa.int64())
+        return t.take(rows)
 
-def _complete(t: pa.Table) -> pa.Table:
+    return run
+
+
+def _complete(threshold_pct: int) -> Callable[[pa.Table], pa.Table]:
     """Links of one task, skipping pairs that earlier links have joined."""
-    i, j = _open_pairs(t)
-    sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-    comp = t.column("comp").to_pylist()
-    node = t.column("node").to_pylist()
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root.get(c, c) != c:
-            c = root[c]
-        return c
-
-    a, b = [], []
-    for x, y in zip(i, j):
-        cx, cy = find(comp[x]), find(comp[y])
-        if cx != cy and _near(sets[x], sets[y]):
-            root[max(cx, cy)] = min(cx, cy)
-            a.append(node[x])
-            b.append(node[y])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = _open_pairs(t, threshold_pct)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        comp = t.column("comp").to_pylist()
+        node = t.column("node").to_pylist()
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for x, y in zip(i, j):
+            cx, cy = find(comp[x]), find(comp[y])
+            if cx != cy and _near(sets[x], sets[y], threshold_pct):
+                root[max(cx, cy)] = min(cx, cy)
+                a.append(node[x])
+                b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.  Documents
+    are linked from a similarity of ``threshold_pct`` per cent on."""
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    signed = materialise(src.mapInArrow(_sign, _SIG_SCHEMA), "minhash")
+    signed = materialise(src.mapInArrow(_sign(*banding(threshold_pct)), _SIG_SCHEMA), "minhash")
     reps = materialise(signed.filter("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
 
@@ -221,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialise(
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "links")
+        .select("a", "b", "x", "y").mapInArrow(_confirm(threshold_pct), "a long, b long"), "links")
     comps = connected_components(first)
 
     # 4. buckets that hold more than one component
@@ -236,8 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .join(reps.select("node", "n", "bands", "sig"), "node"))
     cols = ["bkey", "node", "comp", "block", "lo", "hi", "n", "bands", "sig"]
     schema = "bkey long, node long, comp long, block long, lo long, hi long, n long, bands array<long>, sig binary"
-    need = units.select(*cols).groupBy("bkey", "lo", "hi").applyInArrow(_needed, schema)
-    more = need.join(sets, "node").groupBy("bkey", "lo", "hi").applyInArrow(_complete, "a long, b long")
+    need = units.select(*cols).groupBy("bkey", "lo", "hi").applyInArrow(_needed(threshold_pct), schema)
+    more = need.join(sets, "node").groupBy("bkey", "lo", "hi").applyInArrow(_complete(threshold_pct), "a long, b long")
     roots = connected_components(first.union(more))
 
     by_set = reps.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))

@@ -39,7 +39,7 @@ def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold_pct=85)
 
 
 #: Rules of the URL filter, (verdict, host/path).

@@ -20,6 +20,8 @@ from cohort_signal.llm.queries import MIX_LEVELS, MIX_WEIGHTS, with_domain
 
 #: Share of the remaining tokens that the mix may use, each document once.
 MIX_BUDGET_SHARE = 0.9
+#: Similarity in per cent, on shingles of five words, from which on documents are near duplicates.
+NEAR_PCT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each near-duplicate group."""
-    surplus = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__surplus"))
+    surplus = near_dedup.near_duplicates(docs, threshold_pct=NEAR_PCT).filter(~F.col("kept")).select(F.col("doc_id").alias("__surplus"))
     return docs.join(surplus, F.col("doc_id") == F.col("__surplus"), "left_anti")
 
 

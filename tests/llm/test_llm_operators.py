@@ -97,6 +97,19 @@ def test_hot_bucket_is_completed_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()} == {i: find(i) for i in sets}
 
 
+def test_pipeline_drops_near_copies_from_a_similarity_of_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = words(rng, 50).split()
+    one = base[:20] + ["changed"] + base[21:]  # 41 of 51 shingles shared
+    far = base[:20] + ["changed"] + base[21:30] + ["twice"] + base[31:]  # 36 of 56
+    docs = docs_of(spark, [(1, " ".join(base)), (2, " ".join(one)), (3, " ".join(far).replace(" changed ", " other "))])
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()) == [1, 3]
+    assert {r.doc_id: r.kept for r in near_dedup.near_duplicates(docs).collect()} == {1: True, 2: True, 3: True}
+    assert (near_dedup.banding(85), near_dedup.banding(80)) == ((32, 6), (38, 5))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (8, 7), (2, 2), (None, 1)], "a long, b long")
     assert {tuple(r) for r in components.connected_components(links).collect()} == {(4, 3), (5, 3), (9, 3), (8, 7)}
