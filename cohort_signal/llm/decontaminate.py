@@ -8,8 +8,10 @@ sequences are compared without gaps: the overlap counts when a window of
 WINDOW tokens (the whole item, if shorter) that holds the hit has at least
 AGREE of its tokens equal.
 
-The masks find every WINDOW-token overlap with up to two substitutions
-(``tests/llm`` tries them all), whatever their places.
+The masks find every overlap that reaches AGREE, whatever the places of the
+substitutions (``tests/llm`` tries them all, for windows of MIN_ITEM to WINDOW
+tokens).  Items of fewer than MIN_ITEM tokens must occur whole and unchanged:
+their one hash is looked up among the document's windows of that length.
 
 Scale: documents are read once and never shuffled.  Places whose hash is
 surely not a benchmark hash are dropped in the scan by a bitmap of a fixed
@@ -19,18 +21,18 @@ what is left is joined exactly on the hash, each row with its own window of
 token fingerprints, so that no text is read again.
 
 Tokens: lower-cased, stripped of all but letters and digits; tokens without
-either are skipped.
+either are skipped.  In scripts without spaces every character is a token.
 
-Edge cases: null or empty texts and items match nothing; items shorter than
-MIN_ITEM tokens are left out (they would match common phrases); rows with a
-null id are left out; repeated rows give one result row; empty tables give no
+Edge cases: null or empty texts and items match nothing; an item that is a
+common phrase matches every document that holds it; rows with a null id are
+left out; repeated rows give one result row; empty tables give no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +47,19 @@ MASKS = ("11111", "110111", "1101011")
 WINDOW = 13
 AGREE = 0.8
 MIN_ITEM = 8
+#: Masks for items of one size only, (mask, tokens): the pattern of ten tokens
+#: with the middle two substituted, and short items as a whole.
+SIZED = (("1111001", 10), *(("1" * n, n) for n in range(1, MIN_ITEM)))
+ALL_MASKS = (*MASKS, *(m for m, _ in SIZED))
 #: log2 of the bits in the bitmap of benchmark hashes (8 MB).
 BITS = 26
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
-                  0x85EBCA77C2B2AE63], dtype=np.uint64)
+                  0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 _NOT_ALNUM = re.compile(r"[\W_]+")
+#: Thai and Lao, Myanmar, Khmer, kana, Han (with extensions and compatibility forms), half-width kana.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 class _Tokens(dict):
@@ -68,7 +77,10 @@ _TOKENS = _Tokens()
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    pieces = (text or "").split()
+    text = text or ""
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    pieces = text.split()
     h = np.fromiter(map(_TOKENS.__getitem__, pieces), dtype=np.uint64, count=len(pieces))
     return h[h != 0]
 
@@ -77,10 +89,16 @@ def _fingerprints(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
-def seed_hashes(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def masks_for(sizes: Iterable[int]) -> list[int]:
+    """Numbers of the masks that items of these sizes are hashed with."""
+    return [m for m in range(len(ALL_MASKS)) if any(n >= MIN_ITEM if m < len(MASKS) else n == SIZED[m - len(MASKS)][1] for n in sizes)]
+
+
+def seed_hashes(h: np.ndarray, masks: Iterable[int]) -> list[tuple[int, np.ndarray]]:
     """(mask number, hash at each place where the mask fits)."""
     out = []
-    for m, mask in enumerate(MASKS):
+    for m in masks:
+        mask = ALL_MASKS[m]
         n = len(h) - len(mask) + 1
         if n > 0:
             acc = np.full(n, m + 1, dtype=np.uint64)
@@ -98,24 +116,26 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PLACES = "id long, n_tokens int, pos int, hash long, before array<short>, after array<short>"
 
 
-def _places(bitmap: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _places(bitmap: np.ndarray | None, masks: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Places of each text, with WINDOW token fingerprints on either side:
-    ``before`` those left of the place, ``after`` those from it on."""
+    ``before`` those left of the place, ``after`` those from it on.  With a
+    bitmap those of a document that pass it, a short item's first one; without
+    those of an item, by the masks for its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, sizes, poss, hashes, before, after = [], [], [], [], [], []
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 h = token_hashes(text)
-                if len(h) < MIN_ITEM:
-                    continue
                 f = None
-                for _, s in seed_hashes(h):
+                for m, s in seed_hashes(h, masks if bitmap is not None else masks_for([len(h)])):
                     at = np.arange(len(s))
                     if bitmap is not None:
                         x, y = _bits(s)
                         hit = (bitmap[x >> np.uint64(6)] >> (x & np.uint64(63))) & (bitmap[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)
                         at = np.nonzero(hit)[0]
+                        if len(at) > 1 and "0" not in ALL_MASKS[m] and m >= len(MASKS):
+                            at = at[np.unique(s[at], return_index=True)[1]]
                     if not len(at):
                         continue
                     f = _fingerprints(h) if f is None else f
@@ -159,7 +179,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (doc, item, pos, size) in enumerate(zip(*cols.values())):
             width = min(WINDOW, size)
             n, at = best_window(parts[0][k], parts[1][k], parts[2][k], parts[3][k], width)
-            if n >= AGREE * width:
+            if n >= (AGREE * width if size >= MIN_ITEM else width):
                 rows.append((doc, item, pos + at, n, width))
         if rows:
             yield pa.record_batch(dict(zip(("doc_id", "item_id", "start", "matched", "width"),
@@ -182,17 +202,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id,
     first_token (of the first verified window, in tokens of the document),
-    matched and width (equal tokens and size of the best window), hits."""
+    matched and width (equal tokens and size of the best window), hits (verified
+    places; one for an item of fewer than MIN_ITEM tokens)."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("id is not null")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text")).filter("id is not null")
-    seeds = materialise(items.mapInArrow(_places(None), _PLACES), "seeds")
+    seeds = materialise(items.mapInArrow(_places(None, []), _PLACES), "seeds")
+    sizes = seeds.select(F.least("n_tokens", F.lit(WINDOW)).alias("n")).distinct().collect()
+    masks = masks_for([r["n"] for r in sizes])
     bitmap = _bitmap(seeds)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _places(shared.value)(batches)
+        yield from _places(shared.value, masks)(batches)
 
     hits = texts.mapInArrow(scan, _PLACES)
     found = (hits.select("hash", F.col("id").alias("doc_id"), "pos", "before", "after")

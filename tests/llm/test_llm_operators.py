@@ -146,6 +146,27 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_find_all_that_agree_in_windows_of_any_size():
+    for w in range(1, decontaminate.WINDOW + 1):
+        most = max(k for k in range(w) if w - k >= (decontaminate.AGREE * w if w >= decontaminate.MIN_ITEM else w))
+        masks = [decontaminate.ALL_MASKS[m] for m in decontaminate.masks_for([w])]
+        for places in itertools.combinations(range(w), most):
+            assert any(all(o + k not in places for k, c in enumerate(m) if c == "1")
+                       for m in masks for o in range(w - len(m) + 1)), (w, places)
+
+
+def test_decontamination_of_short_items(spark):
+    items = [(1, "Who wrote Faust?"), (2, "法国的首都是哪里"), (3, "ไทย"), (4, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"), (5, "日本の首都はどこですか、教えてください")]
+    texts = {1: ("who wrote faust", {1}), 2: ("He asked: who wrote Faust? And who wrote Faust?", {1}), 3: ("who wrote Hamlet", set()),
+             4: ("问题：法国的首都是哪里？巴黎", {2}), 5: ("法国的首都是巴黎", set()), 6: ("ภาษาไทยนะ", {3}),
+             7: ("b a1 a2 a3 a4 x y a7 a8 a9 a10 b", {4}), 8: ("b a1 a2 a3 x y z a7 a8 a9 a10 b", set()),
+             9: ("例えば日本の首都はどこですか、教えて下さい。", {5}), 10: ("faust", set()), 11: (None, set())}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs_of(spark, [(i, t) for i, (t, _) in texts.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i, (_, hit) in texts.items() for k in hit}
+    assert {(r.doc_id, r.first_token, r.matched, r.width, r.hits) for r in got if r.item_id == 1} == {(1, 0, 3, 3, 1), (2, 2, 3, 3, 1)}
+
+
 def test_quality_finds_planted_junk(spark):
     rng = random.Random(4)
     rows, bad = [], set()
