@@ -15,10 +15,12 @@ its formatted form, and the places count from the conversation's start.  Only
 assistant texts are under the loss mask.
 
 Scale: turns are dealt by conversation and sorted (spilled by Spark); a task
-streams through its rows.  Whole prefixes are rendered while a conversation has
-at most FULL_CHARS characters; beyond that the rendered context is its first
-turn and its last TAIL turns, so a conversation of any length needs bounded
-memory and linear time, and no task holds a conversation.
+streams through its rows.  Whole prefixes are rendered at every length, so a
+conversation takes memory in proportion to its characters and time to their
+square.  Only for a template that declares that it renders each turn without
+regard to the others (``template.history_independent = True``, as
+plain_template does) the rendered context is, beyond FULL_CHARS characters,
+the first turn and the last TAIL turns: memory is bounded and time linear.
 
 Edge cases: null texts and roles are empty; turns are taken in the order of
 turn, then role and text (ties, repeated rows and null turns included, nulls
@@ -69,6 +71,9 @@ def plain_template(turns: list[Turn]) -> str:
     return "<s>" + "".join(parts) if parts else ""
 
 
+plain_template.history_independent = True
+
+
 def read_chunk(chunk: str) -> Turn:
     """(role, text) of one turn's chunk of plain_template."""
     m = _CHUNK.fullmatch(chunk)
@@ -96,6 +101,7 @@ class Renderer:
         self.turns: list[Turn] = []
         self.chars = 0
         self.whole = True
+        self.independent = getattr(template, "history_independent", False)
         self.out = ""
         self.written = 0
 
@@ -113,7 +119,7 @@ class Renderer:
                "loss": role == LOSS_ROLE, "rewritten": rewritten}
         self.turns, self.out, self.written = turns, new, base + len(new)
         self.chars += len(text)
-        if len(self.turns) > self.tail + 1 and (not self.whole or self.chars > self.full_chars):
+        if self.independent and len(self.turns) > self.tail + 1 and (not self.whole or self.chars > self.full_chars):
             # from now on the context is the first and the last turns
             self.whole = False
             self.turns = [self.turns[0], *self.turns[-self.tail:]]

@@ -283,6 +283,21 @@ def test_chat_spans_and_rewrites():
     assert [chat_format.unescape(whole[x["text_from"]:x["text_to"]]) for x in rows] == [t for _, t in turns]
 
 
+def test_long_chats_are_rendered_whole():
+    def window(turns):  # forgets all but the last eight turns
+        return "".join(f"{r}:{t};" for r, t in turns[-8:])
+
+    def numbered(turns):
+        return "".join(f"{k}/{r}:{t};" for k, (r, t) in enumerate(turns))
+
+    turns = [("user", f"text {k}") for k in range(30)]
+    r = chat_format.Renderer(window, full_chars=50)
+    assert [r.add(*t)["rewritten"] for t in turns] == [k >= 8 for k in range(30)]
+    r = chat_format.Renderer(numbered, full_chars=50)
+    rows = [r.add(*t) for t in turns]
+    assert "".join(x["chunk"] for x in rows) == numbered(turns) and not any(x["rewritten"] for x in rows)
+
+
 def test_surrogates(spark):
     rows = [(1, "mail ann.b@mail7.example.com or +1 (555) 555-0199, card 4556737586899855."),
             (2, "again ann.b@mail7.example.com and bob@mail7.example.com from 10.20.30.40."),
