@@ -2,8 +2,10 @@
 
 Detected entities - e-mail addresses, phone numbers, IPv4 addresses, payment
 cards, social security numbers, access keys, hexadecimal secrets, values behind
-password= / token=, and names behind a form of address - are replaced by
-keyed values of the same type and format: digits become digits, letters
+password= / token= in any case, and names behind a form of address - are replaced by
+keyed values of the same type and format.  Phone numbers are North American or
+international (+, 8 to 15 digits), cards have 13 to 19 digits; unbroken ones
+of other than 16 digits count only with a valid check digit.  Digits become digits, letters
 letters of the same case and script, cards keep their first digit and get a
 valid check digit, octets stay in 1..254, an e-mail's domain has one surrogate
 everywhere, names get the same gender (from the form of address) and script.
@@ -11,7 +13,8 @@ everywhere, names get the same gender (from the form of address) and script.
 The same entity gets the same surrogate in all documents (coreference).
 Distinct entities get distinct surrogates: surrogates are checked against each
 other and against all originals, and those that collide are derived anew with
-the next attempt number until none collides.
+the next attempt number until none collides.  Invented names get one syllable
+more with each attempt, so that there are enough for any number of names.
 
 Scale: texts are scanned by expressions only; the distinct entities are a
 grouped table (copies are summed map-side), checked by grouped minima and
@@ -57,24 +60,34 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|token|secret|api_key)(?: ?[=:] ?)[\"']?)[A-Za-z0-9+/_\-]{8,}",
+    "secret": r"(?<=(?i:password|passwd|token|secret|api_key)(?: ?[=:] ?)[\"']?)[A-Za-z0-9+/_\-]{8,}",
     "hex_secret": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)",
-    "card": r"(?<!\w)\d{4}([ \-]?)\d{4}(?:[ \-]?\d{4}){2}(?!\w)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\+\d(?:[ .\-/()]{0,3}\d){7,14})(?!\w)",
+    "card": r"(?<!\w)(?:\d{4}[ \-]?\d{4}(?:[ \-]?\d{4}){2}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{4}(?:[ \-]\d{3}){3}|\d{13,19})(?!\w)",
     "ssn": r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)",
     "male": _address(MALE),
     "female": _address(FEMALE),
 }
+_UNBROKEN = r"^(?:\d{13,15}|\d{17,19})$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Words one of which stands in every text that holds an entity without a digit or @.
-CLUES = ("password", "passwd", "token", "secret", "api_key", *MALE, *FEMALE)
+CLUES = (*MALE, *FEMALE)
+#: The same, in any case.
+SECRET_CLUES = ("password", "passwd", "token", "secret", "api_key")
 
 
 def entities(text: Column) -> Column:
     """All entities of a text in order."""
     maybe = reduce(or_, (text.contains(w) for w in CLUES), text.rlike("[0-9@]"))
-    return F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    maybe = reduce(or_, (F.lower(text).contains(w) for w in SECRET_CLUES), maybe)
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    # a number without spaces that only its check digit could make a card
+    loose = F.exists(found, lambda e: e.rlike(_UNBROKEN))
+    secrets = F.regexp_extract_all(text, F.lit(PATTERNS["secret"]), F.lit(0))
+    cards = F.filter(found, lambda e: ~e.rlike(_UNBROKEN) | (_check_digit(F.substring(e, F.lit(1), F.length(e) - 1)) == F.substring(e, -1, 1))
+                     | F.array_contains(secrets, e))
+    return F.when(maybe, F.when(loose, cards).otherwise(found)).otherwise(F.array().cast("array<string>"))
 
 
 def entity_type(value: Column) -> Column:
@@ -116,23 +129,34 @@ def _letterwise(value: Column, digest: Column, digits: str = _DIGITS, lower: str
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _card(value: Column, digest: Column) -> Column:
-    """First digit kept, last one the check digit of the others."""
-    body = F.concat(F.substring(value, 1, 1), _letterwise(F.substring(value, F.lit(2), F.length(value) - 2), digest))
+def _check_digit(body: Column) -> Column:
+    """The check digit that the digits of ``body`` call for."""
     digits = F.split(F.regexp_replace(body, "[^0-9]", ""), "")
     doubled = F.transform(F.reverse(digits), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2).otherwise(c.cast("int")))
     total = F.aggregate(doubled, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
-    return F.concat(body, ((10 - total % 10) % 10).cast("string"))
+    return ((10 - total % 10) % 10).cast("string")
 
 
-def _name(value: Column, digest: Column, gender: str) -> Column:
-    """Form of address kept; as many invented words as the name has."""
+def _card(value: Column, digest: Column) -> Column:
+    """First digit kept, last one the check digit of the others."""
+    body = F.concat(F.substring(value, 1, 1), _letterwise(F.substring(value, F.lit(2), F.length(value) - 2), digest))
+    return F.concat(body, _check_digit(body))
+
+
+def _name(value: Column, digest: Column, gender: str, attempt: Column) -> Column:
+    """Form of address kept; as many invented words as the name has, of three
+    syllables and one for each earlier attempt."""
     address = F.regexp_extract(value, r"^(\S+ )", 1)
     script = value.rlike(r"\p{IsCyrillic}+$")
 
     def word(i: Column, syllables: tuple[str, ...], ending: str) -> Column:
-        picks = [F.element_at(F.array(*map(F.lit, syllables)), (_number(digest, i * 3 + k) % len(syllables) + 1).cast("int")) for k in range(3)]
-        return F.concat(F.initcap(F.concat(*picks)), F.lit(ending))
+        def pick(k: Column) -> Column:
+            at = i * (attempt + 3) + k
+            # more syllables than the digest has numbers go on with a digest of their own per stretch
+            n = _number(F.when(at < 29, digest).otherwise(F.sha2(F.concat(digest, F.floor(at / 29).cast("string")), 256)), at)
+            return F.element_at(F.array(*map(F.lit, syllables)), (n % len(syllables) + 1).cast("int"))
+
+        return F.concat(F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), pick), "")), F.lit(ending))
 
     words = F.sequence(F.lit(0), F.size(F.split(value, " ")) - 2)
     latin = F.array_join(F.transform(words, lambda i: word(i, LATIN_SYLLABLES, ENDINGS[gender, "latin"])), " ")
@@ -155,7 +179,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     is_hex = value.rlike("^[0-9a-f]+$")
     hexed = _letterwise(value, digest, digits=_DIGITS, lower="abcdef")
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", _card(value, digest))
-            .when(kind == "access_key", access).when(kind == "male", _name(value, digest, "male")).when(kind == "female", _name(value, digest, "female"))
+            .when(kind == "access_key", access).when(kind == "male", _name(value, digest, "male", attempt)).when(kind == "female", _name(value, digest, "female", attempt))
             .when(is_hex, hexed).otherwise(_letterwise(value, digest)))
 
 
@@ -196,4 +220,4 @@ def protect(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     out = docs.join(maps, F.col(id_col) == F.col("__id"), "left")
     hit = F.col("__map").isNotNull()
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_replaced")],
-                      F.when(hit, rewritten).otherwise(text).alias(text_col), F.when(hit, F.size(whole)).otherwise(0).alias("n_replaced"))
+                      F.when(hit, rewritten).otherwise(text).alias(text_col), F.when(hit, F.size(F.filter(whole, lambda e: F.col("__map")[e].isNotNull()))).otherwise(0).alias("n_replaced"))

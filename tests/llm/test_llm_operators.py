@@ -318,6 +318,29 @@ def test_surrogates(spark):
     assert table.join(many, table.surrogate == many.value).count() == 0
 
 
+def test_surrogates_of_many_names(spark):
+    def letters(n):
+        return F.translate(F.lpad(F.col("id").cast("string"), n, "0"), "0123456789", "abcdefghij")
+
+    names = spark.range(9000).select(F.concat(F.lit("Mr Q"), letters(5)).alias("value"))
+    table = surrogates.surrogate_table(names, "k")
+    assert table.count() == 9000 == table.select("surrogate").distinct().count()
+    assert table.filter(~F.col("surrogate").rlike("^Mr [A-Z][a-z]+o$")).count() == 0
+
+
+def test_surrogates_of_further_forms(spark):
+    rows = [(1, "Password=abcdEFGHijkl"), (2, "API_KEY: 'zzzzYYYYxxxx'"), (3, "call +44 20 7946 0958 now"), (4, "call +33 (0)1.42.68.53.00."), (5, "amex 378282246310005 ok"),
+            (6, "amex 3782 822463 10005"), (7, "visa 4222222222222"), (8, "long 6304000000000000000 2"), (9, "id 1234567890123 and 3 of 12345678901234567"), (10, "token=1234567890123 x"), (11, "+49 30 901820 2024-05-01 ok")]
+    got = {r.doc_id: r for r in surrogates.protect(docs_of(spark, rows), "k").collect()}
+    secret = {1: "abcdEFGHijkl", 2: "zzzzYYYYxxxx", 3: "20 7946 0958", 4: "42.68.53", 5: "378282246310005", 6: "822463", 7: "4222222222222", 8: "6304000000000000000", 10: "1234567890123", 11: "901820"}
+    for i, text in rows:
+        if i in secret:
+            assert got[i].n_replaced >= 1 and secret[i] not in got[i].text and len(got[i].text) == len(text), got[i]
+        else:
+            assert (got[i].text, got[i].n_replaced) == (text, 0)
+    assert got[3].text.startswith("call +44 ") and got[3].text.endswith(" now")
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
