@@ -10,10 +10,12 @@ when fewer than DONE of the edges change.
 
 Inner products are turned into distances by one more coordinate
 sqrt(M^2 - |x|^2), M the largest norm, so that lists are also right for
-vectors of unequal length.
+vectors of unequal length.  The squared distance is taken in doubles, the
+difference of the further coordinates from the difference of the norms, so that
+one long vector does not drown the others.
 
 Searching.  A query starts at its own vector's node, if it has one, and at
-vectors of its hash buckets; each hop scores the neighbours (both directions)
+vectors of its hash buckets and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
 of the best nodes not yet expanded and keeps the best BEAM; it ends when the
 best EXPAND nodes are all expanded.  Scores are sums of double products in
 coordinate order on the original vectors.
@@ -52,7 +54,7 @@ GROUP = 128
 BEST_OF_GROUP = 6
 ROUNDS = 8
 DONE = 0.01
-BEAM, EXPAND, HOPS, SEEDS = 64, 32, 6, 8
+BEAM, EXPAND, SEEDS = 64, 32, 8
 SEED = 5
 
 
@@ -65,7 +67,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    src = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    kind = vectors.select(F.col(vec_col).alias("vec")).schema["vec"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    src = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
            .filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False))))
     sizes = src.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dim = sizes[0]["d"] if sizes else 0
@@ -87,48 +91,50 @@ def _codes(planes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _spread(top: float) -> Callable[[pa.Table], np.ndarray]:
-    """Vectors of a group with the coordinate that makes all norms equal."""
+def _similarities(top: float) -> Callable[[pa.Table], np.ndarray]:
+    """Negative squared distances within a group, each vector with the
+    coordinate that makes all squared norms ``top``; -inf on the diagonal."""
 
     def of(t: pa.Table) -> np.ndarray:
-        x = np.asarray(t.column("vec").combine_chunks().flatten(), np.float32).reshape(t.num_rows, -1)
-        rest = np.sqrt(np.maximum(top - (x.astype(np.float64) ** 2).sum(1), 0))
-        return np.concatenate([x, rest[:, None].astype(np.float32)], axis=1)
+        x = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        norms = (x * x).sum(1)
+        rest = np.sqrt(np.maximum(top - norms, 0))
+        both = rest[:, None] + rest
+        apart = np.divide(norms[:, None] - norms, both, out=np.zeros_like(both), where=both > 0)
+        sims = 2 * (x @ x.T) - norms[:, None] - norms - apart ** 2
+        np.fill_diagonal(sims, -np.inf)
+        return sims
 
     return of
 
 
-_EDGES = "id long, nbr long, sim float"
+_EDGES = "id long, nbr long, sim double"
 
 
 def _edge_table(ids: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray) -> pa.Table:
     """Of each row of ``sims`` the best ``most`` above the row's floor."""
     m = min(most, sims.shape[1] - 1)
     if m <= 0:
-        return pa.table({"id": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
+        return pa.table({"id": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
     best = np.argpartition(-sims, m - 1, axis=1)[:, :m]
     values = np.take_along_axis(sims, best, axis=1)
     keep = values > floor[:, None]
     rows, cols = np.nonzero(keep)
-    return pa.table({"id": ids[rows], "nbr": ids[best[rows, cols]], "sim": values[rows, cols].astype(np.float32)})
+    return pa.table({"id": ids[rows], "nbr": ids[best[rows, cols]], "sim": values[rows, cols]})
 
 
-def _first_lists(spread: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def _first_lists(similarities: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        x = spread(t)
-        sims = x @ x.T
-        np.fill_diagonal(sims, -np.inf)
-        return _edge_table(t.column("id").to_numpy(), sims, K, np.full(len(x), -np.inf))
+        sims = similarities(t)
+        return _edge_table(t.column("id").to_numpy(), sims, K, np.full(len(sims), -np.inf))
 
     return run
 
 
-def _local_join(spread: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def _local_join(similarities: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        x = spread(t)
         new = np.asarray(t.column("new").to_pylist(), bool)
-        sims = x @ x.T
-        np.fill_diagonal(sims, -np.inf)
+        sims = similarities(t)
         sims[np.ix_(~new, ~new)] = -np.inf
         return _edge_table(t.column("id").to_numpy(), sims, BEST_OF_GROUP, t.column("floor").to_numpy())
 
@@ -154,15 +160,15 @@ def build(nodes: DataFrame) -> Index:
     ship(nodes.sparkSession)
     stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(inner_product(F.col("vec"), F.col("vec"))).alias("top"), F.max(F.size("vec")).alias("d")).first()
     n, top, dim = stats["n"], stats["top"] or 0.0, stats["d"] or 1
-    spread = _spread(float(top))
+    similarities = _similarities(float(top))
     bits = max(0, math.ceil(math.log2(max(1, n) / BUCKET)))
     planes = np.random.default_rng(SEED).normal(size=(TABLES, bits, dim))
-    coded = nodes.mapInArrow(_codes(planes), "id long, vec array<float>, codes array<long>")
+    coded = nodes.mapInArrow(_codes(planes), f"id long, vec {nodes.schema['vec'].dataType.simpleString()}, codes array<long>")
     codes = materialise(coded.select("id", F.posexplode("codes").alias("t", "code")), "codes")
     sizes = codes.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BUCKET)).alias("parts"))
     placed = codes.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), "parts"))
     first = (placed.join(nodes, "id").select("t", "code", "part", "id", "vec")
-             .groupBy("t", "code", "part").applyInArrow(_first_lists(spread), _EDGES))
+             .groupBy("t", "code", "part").applyInArrow(_first_lists(similarities), _EDGES))
     edges = materialise(_top(first.withColumn("new", F.lit(True))).select("id", "nbr", "sim", "new", "r"), "graph")
     for _ in range(ROUNDS):
         meets = (edges.select(F.col("id").alias("centre"), F.col("nbr").alias("id"), "new")
@@ -170,10 +176,10 @@ def build(nodes: DataFrame) -> Index:
                  .groupBy("centre", "id").agg(F.max("new").alias("new")))
         sizes = meets.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"), F.max("new").alias("any")).filter("any")
         floors = edges.filter(F.col("r") == K).select("id", F.col("sim").alias("floor"))
-        at = nodes.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf")).cast("float")).alias("floor"))
+        at = nodes.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
         groups = (meets.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("centre", "id"), "parts"))
                   .join(at, "id").select("centre", "part", "id", "new", "vec", "floor"))
-        found = groups.groupBy("centre", "part").applyInArrow(_local_join(spread), _EDGES).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
+        found = groups.groupBy("centre", "part").applyInArrow(_local_join(similarities), _EDGES).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
         old = edges.select("id", "nbr", "sim", F.lit(False).alias("new"))
         edges = materialise(_top(old.union(found.withColumn("new", F.lit(True)))).select("id", "nbr", "sim", "new", "r"), "graph")
         changed = edges.filter("new").count()
@@ -194,20 +200,24 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     queries = materialise(queries.select("query_id", "vec"), "queries")
     nodes = index.nodes
 
-    asked = queries.withColumnRenamed("query_id", "id").mapInArrow(_codes(index.planes), "id long, vec array<float>, codes array<long>")
+    asked = queries.withColumnRenamed("query_id", "id").mapInArrow(
+        _codes(index.planes), f"id long, vec {queries.schema['vec'].dataType.simpleString()}, codes array<long>")
     asked = asked.select(F.col("id").alias("query_id"), F.posexplode("codes").alias("t", "code"))
     nearest = Window.partitionBy("t", "code").orderBy(F.xxhash64("id", "t"), "id")
     entries = index.codes.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= SEEDS)
     starts = asked.join(entries, ["t", "code"]).select("query_id", "id")
     own = queries.join(nodes.select("id", F.col("vec").alias("node_vec")), F.col("vec") == F.col("node_vec")).select("query_id", "id")
 
+    longest = nodes.orderBy(F.desc(inner_product(F.col("vec"), F.col("vec"))), "id").limit(SEEDS).select("id")
+    starts = starts.union(queries.select("query_id").crossJoin(F.broadcast(longest)))
+
     def scored(pairs: DataFrame) -> DataFrame:
         return (pairs.join(nodes, "id").join(queries.withColumnRenamed("vec", "q"), "query_id")
                 .select("query_id", "id", inner_product(F.col("q"), F.col("vec")).alias("score"), F.lit(False).alias("done")))
 
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     beam = materialise(scored(starts.union(own).distinct()).withColumn("r", F.row_number().over(by_score)), "beam")
-    for _ in range(HOPS):
+    while True:
         open_ = beam.filter((F.col("r") <= EXPAND) & ~F.col("done"))
         if open_.isEmpty():
             break

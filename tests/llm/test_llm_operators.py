@@ -385,6 +385,26 @@ def test_nearest_recall_and_ties(spark):
     assert nn_descent.nearest(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_nearest_recall_with_one_long_vector(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2000, 16)) * rng.choice([0.5, 1, 2], size=(2000, 1))
+    x[7] *= 1e6
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in nn_descent.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    d = x.astype(np.float64)
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & got[q])
+        assert (s[7] < 0) or 7 in got[q]
+    print("recall", hits / 2000)
+    assert hits / 2000 >= 0.9
+
+
 def fill(weights, caps, budget):
     """Water-filling by repeated passes."""
     out, open_ = {}, {k for k in caps if weights[k] > 0}
