@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, fill_in_middle, language_id, mixing, near_dedup, nn_descent, quality_pu, surrogates, token_files,
-               url_lm)
+from . import (chat_format, collocations, decontaminate, fill_in_middle, language_id, mixing, near_dedup, nn_descent, quality_pu, surrogates,
+               token_files, url_lm)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,32 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
               ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(t) AS restored_sha256
 FROM p"""
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE["op12_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, pid, generate_subscripts(w, 1) AS i, unnest(w) AS w1 FROM w),
+ld AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5 FROM s WINDOW o AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase FROM ld UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ld WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ld WHERE w3 IS NOT NULL
+      UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ld WHERE w4 IS NOT NULL
+      UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM ld WHERE w5 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+tot AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100),
+cut AS (SELECT c.*, t.cut, array_to_string(ws[1:t.cut], ' ') AS lp, array_to_string(ws[t.cut + 1:k], ' ') AS rp FROM c, range(1, 5) t(cut) WHERE t.cut < k),
+sc AS (SELECT cut.lang, cut.phrase, cut.a, cut.cut, x.f AS l, y.f AS r, tot.n, ((1000::HUGEINT * cut.a * tot.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+       FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.lp JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rp JOIN tot ON tot.lang = cut.lang),
+weak AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM sc) WHERE o = 1),
+inner_phrases AS (SELECT c.lang, array_to_string(ws[i.i:i.i + m.m - 1], ' ') AS phrase, max(a) AS held FROM c, range(1, 5) i(i), range(2, 5) m(m)
+          WHERE m.m < k AND i.i + m.m - 1 <= k GROUP BY ALL),
+kept AS (SELECT weak.* FROM weak LEFT JOIN inner_phrases h ON h.lang = weak.lang AND h.phrase = weak.phrase WHERE h.held IS NULL OR 100 * h.held < 100 * weak.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000"""
