@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, collocations, decontaminate, fill_in_middle, language_id, mixing, near_dedup, nn_descent, quality_pu, surrogates,
-               token_files, url_lm)
+from . import (chat_format, collision_dedup, collocations, decontaminate, fill_in_middle, language_id, mixing, near_dedup, nn_descent, quality_pu,
+               surrogates, token_files, url_lm)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,20 @@ inner_phrases AS (SELECT c.lang, array_to_string(ws[i.i:i.i + m.m - 1], ' ') AS
           WHERE m.m < k AND i.i + m.m - 1 <= k GROUP BY ALL),
 kept AS (SELECT weak.* FROM weak LEFT JOIN inner_phrases h ON h.lang = weak.lang AND h.phrase = weak.phrase WHERE h.held IS NULL OR 100 * h.held < 100 * weak.a)
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000"""
+
+
+@query
+def op13_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_collision_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS len FROM e
+      WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_inner_product(a.x, b.x) / (a.len * b.len) >= 0.95),
+reach(v, r) AS (SELECT vec_id, vec_id FROM e UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, c.r AS component_id, e.vec_id = c.r AS kept
+FROM e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
+JOIN (SELECT v, min(r) AS r FROM reach GROUP BY v) c ON c.v = e.vec_id"""
