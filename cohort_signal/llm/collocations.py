@@ -4,16 +4,19 @@ Nothing is looked up in a hash table of phrases: counts live in tables that
 are sorted, and meet by merging.
 
 1. Word counts per language, partly summed inside each task.
-2. Every word position gives one record: the words from it on, up to
-   ``max_words``, to the end of its piece or to the first word that is rarer
-   than ``min_count`` (no phrase over such a word can be frequent).  Equal
-   records of a slice are summed before they leave the task.
-3. The records are sorted into prefix order over all machines by range.  In
+2. Pairs of neighbouring words, both with ``min_count`` occurrences, are
+   counted by their 64-bit key, to know which pairs cannot be frequent.
+3. Every word position gives one record: the words from it on, up to
+   ``max_words``, to the end of its piece or to the first word or pair that is
+   rarer than ``min_count`` (no phrase over it can be frequent); none if that
+   leaves one word.  Equal records of a slice are summed before they leave the
+   task.
+4. The records are sorted into prefix order over all machines by range.  In
    that order all records that begin with a phrase lie together, so one pass
-   sums the counts of the phrases of all lengths; a phrase that touches an end
+   sums the counts of the phrases of all lengths from two; a phrase that touches an end
    of a stretch is passed on as a part and summed afterwards, so no phrase,
    however frequent, has to lie in one task.
-4. The phrases with ``min_count`` occurrences are kept as a count stream.  Cuts
+5. The phrases with ``min_count`` occurrences are kept as a count stream.  Cuts
    of the candidates sorted by their leading words are merge-joined with it for
    the left counts, sorted by their remaining words for the right counts; the
    counts of the phrases one word longer, keyed by their leading and by their
@@ -22,12 +25,13 @@ are sorted, and meet by merging.
 A phrase occurs at least as often as any phrase that contains it, so the
 longest containing phrase to look at is the one with one word more.
 
-To pass over rare words cheaply, step 2 tests a bitmap of fixed size of the
-frequent words (2^BITS bits, collected in at most 2^(BITS-6) rows).  A word
-that shares a bit with a frequent one is kept: that costs records, never counts.
+To pass over rare words and pairs cheaply, steps 2 and 3 test bitmaps of fixed
+size (2^BITS bits, collected in at most 2^(BITS-6) rows).  A rare word or pair
+that shares a bit or a key with a frequent one is kept: that costs records,
+never counts, which come from the sorted records alone.
 
-Scale: one shuffle of word counts, one of records by range, both summed
-inside tasks before; the rest is as small as the number of frequent phrases.
+Scale: one shuffle of word counts, one of pair keys, one of records by range,
+all summed inside tasks before; the rest is as small as the number of frequent phrases.
 Hot words and hot languages are split by range and by AQE's skewed joins;
 the merge joins move rows per candidate cut, nothing is collected.
 
@@ -48,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, mix64, ship
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -59,8 +63,10 @@ SLICE_BYTES = 6 << 20
 WINDOW = 1 << 20
 #: Rows of the sorted stream summed together.
 STRETCH = 1 << 17
-#: Bits of the bitmap of frequent words, as a power of two.
-BITS = 23
+#: Word pairs of a task summed together.
+PAIRS = 1 << 22
+#: Bits of a bitmap of frequent words or pairs, as a power of two.
+BITS = 25
 
 #: Between the words of a phrase: below every byte of a word, so that the order
 #: of the phrases as bytes is their order word by word.
@@ -131,47 +137,87 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    "cnt": pa.array(counts.astype(np.int64))})
 
 
-def _bit_of(words: pa.Array) -> np.ndarray:
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch({"bit": pa.array(_bit_of(batch.column("word")))})
+        yield pa.record_batch({"key": pa.array(_hashes(batch.column("word")).view(np.int64))})
 
 
-def _frequent_words(counts: DataFrame, min_count: int) -> np.ndarray:
-    """The bitmap of the words that are frequent in a language."""
-    bits = counts.filter(F.col("cnt") >= min_count).select("word").mapInArrow(_bits, "bit long")
-    rows = (bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-            .toArrow())
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Two bits of each of some 64-bit keys."""
+    first, second = F.shiftrightunsigned("key", 64 - BITS), F.shiftrightunsigned("key", 64 - 2 * BITS).bitwiseAND((1 << BITS) - 1)
+    rows = (keys.select(F.explode(F.array(first, second)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow())
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
     if rows.num_rows:
         out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
 
-def _runs(keep: np.ndarray, piece: np.ndarray, max_words: int) -> np.ndarray:
-    """How many words the record of each position has."""
-    n = len(keep)
-    edge = np.nonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | ~keep[1:] | ~keep[:-1], [True]]))[0]
-    at = np.arange(n)
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    first = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+    second = ((keys >> np.uint64(64 - 2 * BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (bitmap[first >> 6] >> (first & 63)) & (bitmap[second >> 6] >> (second & 63)) & 1 == 1
+
+
+def _pair_keys(hashes: np.ndarray, lang: np.ndarray, number: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of the pairs that begin at some positions; ``lang`` has each one's language as a hash."""
+    return mix64(mix64(hashes[number[at]] + lang) ^ (hashes[number[at + 1]] * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _pairs(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts -> (key, cnt) of their pairs of frequent words."""
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch({"key": pa.array(keys.view(np.int64)), "cnt": pa.array(counts.astype(np.int64))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for langs, codes, texts in _sliced(batches):
+            words, number, piece, text = words_of(texts)
+            if not len(number):
+                continue
+            hashes = _hashes(words)
+            keep = _marked(frequent, hashes)[number]
+            at = np.nonzero(keep[:-1] & keep[1:] & (piece[:-1] == piece[1:]))[0]
+            held.append(_pair_keys(hashes, _hashes(langs)[codes[text[at]]], number, at))
+            size += len(at)
+            if size >= PAIRS:
+                yield summed(held)
+                held, size = [], 0
+        if size:
+            yield summed(held)
+
+    return run
+
+
+def _runs(keep: np.ndarray, joined: np.ndarray, max_words: int) -> np.ndarray:
+    """How many words the record of each position has; ``joined`` says of each
+    position but the last whether its record goes on to the next."""
+    edge = np.nonzero(np.concatenate([[True], ~joined, [True]]))[0]
+    at = np.arange(len(keep))
     return np.where(keep, np.minimum(edge[np.searchsorted(edge, at, side="right")] - at, max_words), 0)
 
 
-def _records(bitmap: np.ndarray, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _records(frequent: np.ndarray, frequent_pairs: np.ndarray, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, codes, texts in _sliced(batches):
             words, number, piece, text = words_of(texts)
             if not len(number):
                 continue
-            bit = _bit_of(words)
-            known = (bitmap[bit >> 6] >> (bit & 63)) & 1 == 1
-            size = _runs(known[number], piece, max_words)
+            hashes = _hashes(words)
+            keep = _marked(frequent, hashes)[number]
+            joined = keep[:-1] & keep[1:] & (piece[:-1] == piece[1:])
+            at = np.nonzero(joined)[0]
+            joined[at] = _marked(frequent_pairs, _pair_keys(hashes, _hashes(langs)[codes[text[at]]], number, at))
+            size = _runs(keep, joined, max_words)
             padded = np.concatenate([number.astype(np.int64), np.zeros(max_words, dtype=np.int64)])
             for lo in range(0, len(number), WINDOW):
-                at = lo + np.nonzero(size[lo:lo + WINDOW])[0]
+                at = lo + np.nonzero(size[lo:lo + WINDOW] > 1)[0]
                 if len(at):
                     yield _summed(words, langs, codes[text[at]].astype(np.int64), padded, at, size[at], max_words)
 
@@ -194,12 +240,12 @@ def _summed(words: pa.Array, langs: pa.Array, lang: np.ndarray, padded: np.ndarr
     counts = np.diff(np.append(first, len(at)))
     rows = order[first]
     parts, out_lang, out_cnt = [], [], []
-    for length in range(1, max_words + 1):
+    for length in range(2, max_words + 1):
         pick = size[rows] == length
         some = rows[pick]
         if len(some):
             columns_of = [words.take(pa.array(padded[at[some] + k])) for k in range(length)]
-            parts.append(pc.binary_join_element_wise(*columns_of, JOIN) if length > 1 else columns_of[0])
+            parts.append(pc.binary_join_element_wise(*columns_of, JOIN))
             out_lang.append(lang[some])
             out_cnt.append(counts[pick])
     return pa.record_batch({"lang": langs.take(pa.array(np.concatenate(out_lang))), "phrase": pa.concat_arrays(parts),
@@ -236,7 +282,7 @@ def _prefix_sums(min_count: int, max_words: int) -> Callable[[Iterator[pa.Record
             grid = np.full((len(cnt), max_words + 1), -1, dtype=np.int32)
             grid[:, 0] = lang_number
             grid[at, 1 + np.arange(len(at)) - np.repeat(offsets[:-1] - offsets[0], size)] = flat.indices.to_numpy()
-            for length in range(1, max_words + 1):
+            for length in range(2, max_words + 1):
                 rows = np.nonzero(size >= length)[0]
                 if not len(rows):
                     break
@@ -249,7 +295,7 @@ def _prefix_sums(min_count: int, max_words: int) -> Callable[[Iterator[pa.Record
                 spelled = [flat.dictionary.take(pa.array(grid[chosen, k])) for k in range(1, length + 1)]
                 yield pa.record_batch({
                     "lang": lang.take(pa.array(chosen)),
-                    "phrase": pc.binary_join_element_wise(*spelled, JOIN) if length > 1 else spelled[0],
+                    "phrase": pc.binary_join_element_wise(*spelled, JOIN),
                     "size": pa.array(np.full(len(chosen), length, dtype=np.int32)),
                     "cnt": pa.array(sums[out].astype(np.int64)),
                 })
@@ -270,11 +316,14 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = materialise(src.mapInArrow(_word_counts, "lang string, word binary, cnt long").groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")), "words")
     totals = counts.groupBy("lang").agg(F.sum("cnt").alias("n"))
-    bitmap = _frequent_words(counts, min_count)
-    records = materialise(src.mapInArrow(_records(bitmap, max_words), "lang string, phrase binary, cnt long"), "records")
+    frequent = _bitmap(counts.filter(F.col("cnt") >= min_count).select("word").mapInArrow(_word_keys, "key long"))
+    pairs = src.mapInArrow(_pairs(frequent), "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+    frequent_pairs = _bitmap(pairs.filter(F.col("cnt") >= min_count))
+    records = materialise(src.mapInArrow(_records(frequent, frequent_pairs, max_words), "lang string, phrase binary, cnt long"), "records")
     ordered = records.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
     parts = ordered.mapInArrow(_prefix_sums(min_count, max_words), "lang string, phrase binary, size int, cnt long")
-    stream = parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= min_count)
+    single = counts.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "cnt")
+    stream = parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("cnt")).union(single).filter(F.col("cnt") >= min_count)
     return totals, materialise(stream.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 
