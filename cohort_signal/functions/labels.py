@@ -46,16 +46,11 @@ def significance_stars(p: str | Column, not_significant: str = "ns") -> Column:
             .when(pv.isNotNull(), not_significant))
 
 
-# Direction-of-effect texts.
-DIRECTION_TEXT = ("Improvers do better on outcome", "Improvers do WORSE on outcome (!)",
-                  "No relationship")
-
-
 def effect_direction(r: str | Column, band: float = 0.1) -> Column:
-    """F14."""
+    """whether entities that improve have a higher or lower outcome, or
+    none of both within ``band``."""
     rv = _c(r)
-    return (F.when(rv > band, DIRECTION_TEXT[0]).when(rv < -band, DIRECTION_TEXT[1])
-            .when(rv.isNotNull(), DIRECTION_TEXT[2]))
+    return F.when(rv > band, "higher").when(rv < -band, "lower").when(rv.isNotNull(), "none")
 
 
 def usefulness(r2: str | Column) -> Column:

@@ -1,12 +1,12 @@
 """Linear models from additive moments.
 
-For z = (x_1..x_p, y) the sums n, sum z, sum z z^T are additive, so one
-``groupBy(keys).agg`` gives the moments of every (checkpoint, repeat, fold)
-cell in a single pass, train moments of a fold are ``total - fold``, and a
+For z = (x_1..x_p, y) the sums n, sum z, sum z z^T are additive, so one pass
+of block Gram matrices (``blocked``) gives the moments of every (checkpoint,
+repeat, fold) cell, train moments of a fold are ``total - fold``, and a
 population standardisation is an affine map of the moments.  The solve is a
 (p x p) system on the driver (p <= ~50); only moments and coefficients ever
 leave the executors.  R^2 of a held-out fold is a quadratic form in the test
-fold's moments; MAE needs one more pass with the coefficients joined back.
+fold's moments; MAE needs one more pass with the coefficients.
 
 Values are shifted by a per-column constant (a global mean) before the sums
 are formed, which keeps the centred cross-products accurate at any n.
@@ -20,8 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from .ranking import BROADCAST_ROW_LIMIT
+from .blocked import View, block_states, gram_by, triangular
 
 
 @dataclass
@@ -45,66 +46,19 @@ class Moments:
         return self.m / self.n - np.outer(zbar, zbar)
 
 
-def moment_columns(cols: Sequence[str], shift: Sequence[float]) -> list[Column]:
-    z = [F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)]
-    out = [F.count(F.lit(1)).alias("_n")]
-    out += [F.sum(z[i]).alias(f"_s{i}") for i in range(len(cols))]
-    out += [F.sum(z[i] * z[j]).alias(f"_m{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    return out
-
-
-# Above this many aggregate fields a wide aggregate leaves whole-stage
-# codegen (spark.sql.codegen.maxFields); the long form stays inside it.
-WIDE_MOMENT_FIELDS = 100
-
-
-def moments_by(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
-               shift: Sequence[float] | None = None, long_form: bool | None = None) -> dict[tuple, Moments]:
-    """One aggregate job: moments of ``cols`` per key tuple.  Rows must be
-    complete on ``cols`` (filter first).
-
-    Wide form: one aggregate column per sum.  Long form (many columns): each
-    row emits (i, j, z_i z_j) records, grouped by (keys, i, j); i = -1 marks
-    the first moments and the count."""
+def moments_by(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), shift: Sequence[float] | None = None,
+               key_fields: Sequence[StructField] | None = None, views: Sequence[View] | None = None) -> dict[tuple, Moments]:
+    """One pass: moments of ``cols`` per key tuple, from the Gram matrices of
+    row blocks.  Rows must be complete on the columns that are used (a null
+    counts as zero).  ``key_fields`` with ``views`` take keys of another form
+    than plain columns (``blocked.block_states``)."""
     cols = list(cols)
-    d = len(cols)
-    shift = np.zeros(d) if shift is None else np.asarray(shift, dtype=float)
-    if long_form is None:
-        long_form = 1 + d + d * (d + 1) // 2 > WIDE_MOMENT_FIELDS
-    if long_form:
-        return _moments_long(df, cols, list(keys), shift)
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
-    out = {}
-    for r in grouped.agg(*moment_columns(cols, shift)).collect():
-        s = np.array([r[f"_s{i}"] or 0.0 for i in range(d)])
-        m = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                m[i, j] = m[j, i] = r[f"_m{i}_{j}"] or 0.0
-        out[tuple(r[k] for k in keys)] = Moments(float(r["_n"]), s, m, shift)
-    return out
-
-
-def _moments_long(df: DataFrame, cols: list[str], keys: list[str], shift: np.ndarray) -> dict[tuple, Moments]:
-    d = len(cols)
-    z = [F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)]
-    recs = [F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(1.0).alias("v"))]
-    recs += [F.struct(F.lit(-1).alias("i"), F.lit(i).alias("j"), z[i].alias("v")) for i in range(d)]
-    recs += [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (z[i] * z[j]).alias("v"))
-             for i in range(d) for j in range(i, d)]
-    long = df.select(*keys, F.explode(F.array(*recs)).alias("_r")).select(*keys, "_r.i", "_r.j", "_r.v")
-    out: dict[tuple, Moments] = {}
-    for r in long.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")).collect():
-        k = tuple(r[c] for c in keys)
-        mom = out.setdefault(k, Moments(0.0, np.zeros(d), np.zeros((d, d)), shift))
-        i, j, v = r["i"], r["j"], r["v"] or 0.0
-        if i == -1 and j == -1:
-            mom.n = float(v)
-        elif i == -1:
-            mom.s[j] = v
-        else:
-            mom.m[i, j] = mom.m[j, i] = v
-    return out
+    offset = np.zeros(len(cols)) if shift is None else np.asarray(shift, dtype=float)
+    fields = [df.schema[k] for k in keys] if key_fields is None else list(key_fields)
+    grams = gram_by(df, cols, offset, fields, views)
+    if not fields and not grams:
+        grams = {(): np.zeros((len(cols) + 1, len(cols) + 1))}
+    return {k: Moments(float(g[0, 0]), g[0, 1:], g[1:, 1:], offset) for k, g in grams.items()}
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> list[float]:
@@ -131,11 +85,12 @@ class LinearFit:
         return float(self.intercept - np.sum(self.coef * self.mean / self.scale))
 
     def predict(self) -> Column:
-        """Prediction as one inlined linear expression over raw columns."""
-        expr = F.lit(self.raw_intercept)
-        for c, w in zip(self.features, self.raw_coef):
-            expr = expr + F.lit(float(w)) * F.col(c)
-        return expr
+        """Prediction as one inlined linear expression over raw columns, in
+        the centred form (which cancels less when features nearly depend)."""
+        expr = F.lit(0.0)
+        for c, w, m in zip(self.features, self.raw_coef, self.mean):
+            expr = expr + F.lit(float(w)) * (F.col(c) - F.lit(float(m)))
+        return F.lit(float(self.intercept)) + expr
 
     def coefficient_rows(self) -> list[tuple[str, float]]:
         return [(f, float(b)) for f, b in zip(self.features, self.coef)]
@@ -224,55 +179,70 @@ def contiguous_fold(rank: Column, n: Column, k: int = 5) -> Column:
 # cross-validation from fold moments
 # --------------------------------------------------------------------------
 
+def _fold_fits(folds: dict, features: Sequence[str], alpha: float, scale_scope: str = "all") -> dict:
+    """fold -> (n_train, n_test, r2, fit) of one group, from its fold moments."""
+    total = None
+    for mom in folds.values():
+        total = mom if total is None else total + mom
+    out = {}
+    for fold, test in folds.items():
+        train = total - test
+        mean, scale = scaler_from_moments(total if scale_scope == "all" else train, len(features))
+        fit = fit_from_moments(train, features, alpha, mean, scale)
+        out[fold] = (int(train.n), int(test.n), r2_from_moments(test, fit), fit)
+    return out
+
+
+def _mean_errors(df: DataFrame, cols: Sequence[str], fields: Sequence[StructField], views: Sequence[View],
+                 fits: dict[tuple, tuple[float, np.ndarray]]) -> dict[tuple, float]:
+    """Mean absolute error per key of a linear prediction (intercept, raw
+    coefficients of all but the last column); keys without a fit are left out."""
+
+    def make(z: np.ndarray, key: tuple) -> np.ndarray:
+        if key not in fits:
+            return np.zeros(2)
+        b0, b = fits[key]
+        return np.array([len(z), np.abs(z[:, -1] - b0 - np.nan_to_num(z[:, :-1]) @ b).sum()])
+
+    sums = block_states(df, cols, (2,), make, np.add, fields, views)
+    return {k: float(s[1] / s[0]) for k, s in sums.items() if s[0]}
+
+
+def _cv_views(df: DataFrame, features: Sequence[str], target: str, fields: list[StructField], views: list[View], alpha: float,
+              scale_scope: str, with_mae: bool, shift: Sequence[float] | None) -> DataFrame:
+    cols = [*features, target]
+    if shift is None:
+        shift = column_means(df, cols)
+    by_group: dict[tuple, dict] = {}
+    for key, mom in moments_by(df, cols, shift=shift, key_fields=fields, views=views).items():
+        by_group.setdefault(key[:-1], {})[key[-1]] = mom
+    found = {(*g, fold): cell for g, folds in by_group.items() for fold, cell in _fold_fits(folds, features, alpha, scale_scope).items()}
+    out = [*fields, StructField("n_train", LongType()), StructField("n_test", LongType()), StructField("r2", DoubleType())]
+    rows = [(*k, n_train, n_test, r2) for k, (n_train, n_test, r2, _) in found.items()]
+    if with_mae:
+        mae = _mean_errors(df, cols, fields, views, {k: (fit.raw_intercept, fit.raw_coef) for k, (_, _, _, fit) in found.items()})
+        out.append(StructField("mae", DoubleType()))
+        rows = [(*r, mae.get(k)) for r, k in zip(rows, found)]
+    return df.sparkSession.createDataFrame(rows, StructType(out))
+
+
 def cv_linear(df: DataFrame, features: Sequence[str], target: str, fold_col: str,
               group_cols: Sequence[str] = (), alpha: float = 0.0, scale_scope: str = "all",
               with_mae: bool = True, shift: Sequence[float] | None = None) -> DataFrame:
     """Per (group, fold): n_train, n_test, test R^2 and MAE of a linear model
     fit on the other folds.  ``scale_scope='all'`` standardises with all
     rows of the group (the reference's order), ``'train'`` with the fold's
-    training rows.  Two jobs in total, however many groups and folds."""
-    spark = df.sparkSession
-    features = list(features)
-    cols = features + [target]
-    keys = list(group_cols) + [fold_col]
-    if shift is None:
-        shift = column_means(df, cols)
-    cells = moments_by(df, cols, keys, shift)
-    by_group: dict[tuple, dict] = {}
-    for key, mom in cells.items():
-        by_group.setdefault(key[:-1], {})[key[-1]] = mom
-    rows = []
-    for g, folds in by_group.items():
-        total = None
-        for mom in folds.values():
-            total = mom if total is None else total + mom
-        for fold, test in folds.items():
-            train = total - test
-            if scale_scope == "all":
-                mean, scale = scaler_from_moments(total, len(features))
-            else:
-                mean, scale = scaler_from_moments(train, len(features))
-            fit = fit_from_moments(train, features, alpha, mean, scale)
-            rows.append((*g, fold, int(train.n), int(test.n), r2_from_moments(test, fit),
-                         float(fit.raw_intercept), [float(x) for x in fit.raw_coef]))
-    schema_keys = [f for f in df.select(*keys).schema.fields]
-    from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField,
-                                   StructType)
-    schema = StructType(schema_keys + [
-        StructField("n_train", LongType()), StructField("n_test", LongType()),
-        StructField("r2", DoubleType()), StructField("_b0", DoubleType()),
-        StructField("_b", ArrayType(DoubleType()))])
-    fits = spark.createDataFrame(rows, schema)
-    if not with_mae:
-        return fits.drop("_b0", "_b")
-    side = F.broadcast(fits) if len(rows) <= BROADCAST_ROW_LIMIT else fits
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    pred = F.col("_b0") + F.aggregate(F.zip_with("_x", "_b", lambda a, b: a * b), F.lit(0.0),
-                                      lambda acc, v: acc + v)
-    mae = (df.select(*keys, F.col(target).cast("double").alias("_y"), x.alias("_x"))
-           .join(side.select(*keys, "_b0", "_b"), keys)
-           .groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - pred)).alias("mae")))
-    return fits.drop("_b0", "_b").join(mae, keys, "left")
+    training rows.  Two passes in total, however many groups and folds."""
+    keys = [*group_cols, fold_col]
+    return _cv_views(df, list(features), target, [df.schema[k] for k in keys], [((), keys)], alpha, scale_scope, with_mae, shift)
+
+
+def repeated_cv(df: DataFrame, features: Sequence[str], target: str, fold_cols: Sequence[str], alpha: float = 0.0,
+                scale_scope: str = "all", with_mae: bool = True) -> DataFrame:
+    """``cv_linear`` for several repeats, one per fold column: (rep, fold, ...).
+    Rows are read once a pass, not once a repeat."""
+    fields = [StructField("rep", IntegerType()), StructField("fold", IntegerType())]
+    return _cv_views(df, list(features), target, fields, [((r,), [c]) for r, c in enumerate(fold_cols)], alpha, scale_scope, with_mae, None)
 
 
 def cv_summary(folds: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -305,6 +275,23 @@ def fit_linear(df: DataFrame, features: Sequence[str], target: str, alpha: float
     return fit_from_moments(mom, features, alpha, mean, scale)
 
 
+def fit_least_squares(df: DataFrame, features: Sequence[str], target: str, scaler_mean: Sequence[float],
+                      scaler_scale: Sequence[float], target_mean: float = 0.0) -> LinearFit:
+    """M2 by orthogonal factors instead of normal equations: the triangular
+    factors of row blocks of [1, standardised features, target] are merged into
+    one, whose leading part is solved for the last column.  The error grows
+    with the condition of the features, not with its square.  Exactly
+    dependent features get the solution of least norm.  Rows must be complete;
+    no rows raise."""
+    mean, scale = np.asarray(scaler_mean, dtype=float), np.asarray(scaler_scale, dtype=float)
+    p = len(features)
+    r = triangular(df, [*features, target], [*mean, target_mean], [*scale, 1.0])
+    if r is None:
+        raise ValueError("no rows to fit")
+    solution = np.linalg.lstsq(r[:p + 1, :p + 1], r[:p + 1, p + 1], rcond=None)[0]
+    return LinearFit(list(features), solution[1:], float(solution[0]) + target_mean, mean, scale)
+
+
 def coefficient_frame(spark: SparkSession, fit: LinearFit) -> DataFrame:
     """(feature, coef, abs_coef, rank) on the standardised scale."""
     rows = sorted(fit.coefficient_rows(), key=lambda r: -abs(r[1]))
@@ -329,43 +316,24 @@ def grouped_cv(df: DataFrame, all_features: Sequence[str], target: str, fold_col
     allf = list(all_features)
     cols = allf + [target]
     keys = [group_col, *extra_keys, fold_col]
-    shift = column_means(df, cols)
-    cells = moments_by(df, cols, keys, shift)
+    fields = [df.schema[k] for k in keys]
     by: dict[tuple, dict] = {}
-    for key, mom in cells.items():
+    for key, mom in moments_by(df, cols, keys, column_means(df, cols)).items():
         by.setdefault(key[:-1], {})[key[-1]] = mom
-    rows = []
+    rows, fits = [], {}
     for gk, folds in by.items():
         feats = list(features_for[gk[0]])
         idx = [allf.index(f) for f in feats] + [len(allf)]
-        total = None
-        for mom in folds.values():
-            total = mom if total is None else total + mom
-        if total.n < min_rows:
+        n = sum(mom.n for mom in folds.values())
+        if n < min_rows:
             continue
-
-        def sub(m: Moments) -> Moments:
-            return Moments(m.n, m.s[idx], m.m[np.ix_(idx, idx)], m.shift[idx])
-
-        tsub = sub(total)
-        mean, scale = scaler_from_moments(tsub, len(feats))
-        for fold, test in folds.items():
-            fit = fit_from_moments(sub(total - test), feats, alpha, mean, scale)
+        part = {fold: Moments(m.n, m.s[idx], m.m[np.ix_(idx, idx)], m.shift[idx]) for fold, m in folds.items()}
+        for fold, (n_train, n_test, r2, fit) in _fold_fits(part, feats, alpha).items():
             full = np.zeros(len(allf))
-            for f, b in zip(feats, fit.raw_coef):
-                full[allf.index(f)] = b
-            rows.append((*gk, fold, int(total.n), int(total.n - test.n), int(test.n),
-                         r2_from_moments(sub(test), fit), float(fit.raw_intercept), [float(x) for x in full]))
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-    key_fields = [df.schema[k] for k in keys]
-    schema = StructType(key_fields + [StructField("n_rows", LongType()), StructField("n_train", LongType()),
-                                      StructField("n_test", LongType()), StructField("r2", DoubleType()),
-                                      StructField("_b0", DoubleType()), StructField("_b", ArrayType(DoubleType()))])
-    fits = spark.createDataFrame(rows, schema)
-    side = F.broadcast(fits) if len(rows) <= BROADCAST_ROW_LIMIT else fits
-    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in allf])
-    pred = F.col("_b0") + F.aggregate(F.zip_with("_x", "_b", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    mae = (df.select(*keys, F.col(target).cast("double").alias("_y"), x.alias("_x"))
-           .join(side.select(*keys, "_b0", "_b"), keys)
-           .groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - pred)).alias("mae")))
-    return fits.drop("_b0", "_b").join(mae, keys, "left")
+            full[idx[:-1]] = fit.raw_coef
+            fits[(*gk, fold)] = (fit.raw_intercept, full)
+            rows.append((*gk, fold, int(n), n_train, n_test, r2))
+    mae = _mean_errors(df, cols, fields, [((), keys)], fits)
+    schema = StructType([*fields, *[StructField(c, LongType()) for c in ("n_rows", "n_train", "n_test")],
+                         StructField("r2", DoubleType()), StructField("mae", DoubleType())])
+    return spark.createDataFrame([(*r, mae.get(r[:len(keys)])) for r in rows], schema)

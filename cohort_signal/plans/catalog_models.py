@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
 from . import pipelines as pl
-from .catalog import p6, query
-from .oracle import (CUR, MERGED, NAMED, OUTC, WIDE, clip_sql, md5_bucket, ols_ctes, predict_sql,
-                     rev, row_mean_sql, row_var_sql, with_)
+from .catalog import p6, query, significant
+from .oracle import (CUR, MERGED, NAMED, OUTC, WIDE, centred_sql, clip_sql, in_test, ols_ctes, predict_sql,
+                     refined_ctes, rev, row_mean_sql, row_var_sql, with_)
 
 SC = list(fx.SCORE_COLUMNS)
 ENG = ["block_average", "block_variance", "lowest_block"]
@@ -35,13 +35,15 @@ PREP_CTES = [WIDE, NAMED, OUTC, MERGED, CUR, MED,
              _imputed("prep", "merged", "s.entity_id, s.outcome"), _engineered("prep")]
 
 
+TRAIN = f"train AS (SELECT * FROM prep QUALIFY NOT {in_test()})"
+
 # ---------------------------------------------------------------------------
 # Q5 / flagship: early warning report
 # ---------------------------------------------------------------------------
 
 Q5_SQL = with_(
     *PREP_CTES,
-    f"train AS (SELECT * FROM prep WHERE {md5_bucket('entity_id', 100)} >= 20)",
+    TRAIN,
     *ols_ctes("fit", "train", FEATS, "outcome"),
     _imputed("curp", "cur", "s.entity_id, s.name"), _engineered("curp"),
     f"pred AS (SELECT entity_id, name, round_even({predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted "
@@ -60,7 +62,7 @@ def q5_early_warning(spark: SparkSession, sf_dir: str):
 
 @query("m14_predict_current_cohort", with_(
     *PREP_CTES,
-    f"train AS (SELECT * FROM prep WHERE {md5_bucket('entity_id', 100)} >= 20)",
+    TRAIN,
     *ols_ctes("fit", "train", FEATS, "outcome"),
     _imputed("curp", "cur", "s.entity_id, s.name"), _engineered("curp"),
 ) + f"SELECT entity_id, name, round_even({predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted "
@@ -80,7 +82,8 @@ def m14_predict_current_cohort(spark: SparkSession, sf_dir: str):
 
 from ..functions.labels import (auc_class, confidence_above, confidence_positive,  # noqa: E402
                                 confidence_useful, fixed_tier, usefulness, usefulness_band)
-from ..operators import classify, evaluate, explain, linear, stats, trees  # noqa: E402
+from ..operators import classify, evaluate, explain, linear, splits, stats, trees  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 from ..operators import cohort, risk  # noqa: E402
 from ..operators.checkpoints import checkpoint_features, complete_depth  # noqa: E402
 from .oracle import EXAMS  # noqa: E402
@@ -90,7 +93,7 @@ def _linear_world(spark: SparkSession, sf_dir: str):
     wide, out, merged = pl.load_and_merge(spark, sf_dir)
     prep = pl.preprocess(merged, SC)
     fit = pl.train_linear(prep)
-    split = linear.split_flag(F.col("entity_id"))
+    split = splits.split_column(prep.table, "entity_id")
     scored = prep.table.select("entity_id", "outcome", *prep.features, split.alias("split"),
                                fit.predict().alias("pred"))
     return wide, out, prep, fit, scored
@@ -98,21 +101,27 @@ def _linear_world(spark: SparkSession, sf_dir: str):
 
 PST = "pst AS (SELECT " + ", ".join(
     f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in enumerate(FEATS)) + " FROM prep)"
-SPLIT = f"CASE WHEN {md5_bucket('entity_id', 100)} < 20 THEN 'test' ELSE 'train' END"
-LIN = [*PREP_CTES, PST, f"train AS (SELECT * FROM prep WHERE {md5_bucket('entity_id', 100)} >= 20)",
-       *ols_ctes("fit", "train", FEATS, "outcome", scale_src="pst"),
-       f"pr AS (SELECT p.*, {SPLIT} AS split, {predict_sql('fit_coef', FEATS)} AS pred FROM prep p CROSS JOIN fit_coef)"]
+SPLIT = f"CASE WHEN {in_test()} THEN 'test' ELSE 'train' END"
+LIN = [*PREP_CTES, PST, TRAIN,
+       *refined_ctes("fit", "train", FEATS, "outcome", "pst"),
+       f"pr AS (SELECT p.*, {SPLIT} AS split, {centred_sql('fit_coef', FEATS)} AS pred FROM prep p CROSS JOIN fit_coef)"]
+#: Significant digits of what is proportional to a coefficient of the nearly
+#: dependent design, decimals of its predictions.
+DIGITS, DECIMALS = 7, 4
 FEAT_LIST = "[" + ", ".join(f"'{c}'" for c in FEATS) + "]"
 E1 = (f"e1 AS (SELECT {FEAT_LIST}[i] AS feature, s.coef_std[i] AS coef FROM fit_sol s CROSS JOIN range(1, {len(FEATS) + 1}) t(i))")
 
 
 @query("m1_split", with_(WIDE, NAMED, OUTC, MERGED) + f"SELECT entity_id, {SPLIT} AS split FROM merged")
 def m1_split(spark: SparkSession, sf_dir: str):
-    """M1: deterministic 80/20 hash split on the key."""
-    return pl.load_and_merge(spark, sf_dir)[2].select("entity_id", linear.split_flag(F.col("entity_id")).alias("split"))
+    """M1: 80/20 split in digest order of the key; the test set has ceil(0.2 n) rows."""
+    merged = pl.load_and_merge(spark, sf_dir)[2]
+    return merged.select("entity_id", splits.split_column(merged, "entity_id").alias("split"))
 
 
-@query("m2_ols_coefficients")
+@query("m2_ols_coefficients", with_(*LIN, E1) + (
+    f"SELECT feature, {significant('coef', DIGITS)} AS coef, {significant('abs(coef)', DIGITS)} AS abs_coef, CASE WHEN coef > 0 THEN '+' ELSE '-' END AS sign, "
+    "row_number() OVER (ORDER BY abs(coef) DESC, feature)::INTEGER AS rank FROM e1"), digits=DIGITS)
 def m2_ols_coefficients(spark: SparkSession, sf_dir: str):
     """M2 + E1 + F20 + W4: OLS on standardised features, ranked by |coef|."""
     _, _, prep, fit, _ = _linear_world(spark, sf_dir)
@@ -125,11 +134,9 @@ M7_SQL = with_(*LIN) + (
     f"{p6('1.0 - sum((outcome - pred) * (outcome - pred)) / (var_pop(outcome) * count(*))')} AS r2 FROM pr GROUP BY split")
 
 
-@query("m7_linear_metrics")
+@query("m7_linear_metrics", M7_SQL)
 def m7_linear_metrics(spark: SparkSession, sf_dir: str):
-    """M7: MAE / RMSE / R^2 of the linear model on train and test (rows-only:
-    MAE/RMSE of this near-collinear design differ across engines in the 7th
-    digit; value-checked on the ridge model in ``m7_ridge_metrics``)."""
+    """M7: MAE / RMSE / R^2 of the linear model on train and test."""
     _, _, _, _, scored = _linear_world(spark, sf_dir)
     return evaluate.regression_metrics(scored.withColumn("model", F.lit("linear")), "outcome", "pred", ["model", "split"])
 
@@ -144,14 +151,14 @@ def f17_overfit_flag(spark: SparkSession, sf_dir: str):
     return evaluate.metrics_wide(m).select("model", "r2_gap", "overfit")
 
 
-@query("e6_residuals")
+@query("e6_residuals", with_(*LIN) + f"SELECT entity_id, split, {p6('outcome - pred', DECIMALS)} AS residual FROM pr", decimals=DECIMALS)
 def e6_residuals(spark: SparkSession, sf_dir: str):
     """Residual table (actual - predicted)."""
     _, _, _, _, scored = _linear_world(spark, sf_dir)
     return scored.select("entity_id", "split", (F.col("outcome") - F.col("pred")).alias("residual"))
 
 
-@query("a12_residual_stats")
+@query("a12_residual_stats", with_(*LIN) + f"SELECT {p6('avg(outcome - pred)', DECIMALS)} AS mean_residual, {p6('stddev_pop(outcome - pred)', DECIMALS)} AS std_residual, count(*) AS n FROM pr WHERE split = 'test'", decimals=DECIMALS)
 def a12_residual_stats(spark: SparkSession, sf_dir: str):
     """Mean and population std of test residuals."""
     _, _, _, _, scored = _linear_world(spark, sf_dir)
@@ -166,7 +173,7 @@ def _perm_sql() -> str:
     return f"perm AS ({parts})"
 
 
-@query("e2_permutation_closed_form")
+@query("e2_permutation_closed_form", with_(*LIN, _perm_sql()) + f"SELECT feature, {significant('importance', DIGITS)} AS importance FROM perm", digits=DIGITS)
 def e2_permutation_closed_form(spark: SparkSession, sf_dir: str):
     """Expected R^2 drop under a random permutation of each feature
     (closed form for a linear model), on the test rows."""
@@ -182,14 +189,18 @@ def e2_permutation_sampled(spark: SparkSession, sf_dir: str):
                                                   "entity_id", repeats=30)
 
 
-@query("e3_attributions")
+@query("e3_attributions", with_(*LIN, "bg AS (SELECT " + ", ".join(f"avg({c}) AS bm{i}" for i, c in enumerate(FEATS)) + " FROM pr WHERE split = 'test')")
+       + " UNION ALL ".join(f"SELECT entity_id, '{c}' AS feature, {significant(f'(coef[{i + 1}] * ({c} - bm{i}))', DIGITS)} AS attribution FROM pr CROSS JOIN fit_coef CROSS JOIN bg WHERE split = 'test'" for i, c in enumerate(FEATS)), digits=DIGITS)
 def e3_attributions(spark: SparkSession, sf_dir: str):
     """Additive attributions coef * (x - background mean), test rows."""
     _, _, prep, fit, scored = _linear_world(spark, sf_dir)
     return explain.attributions(scored.filter(F.col("split") == "test"), fit, "entity_id")
 
 
-@query("e5_combined_importance")
+COMBINED_SQL = with_(*LIN, E1, _perm_sql()) + f"SELECT feature, {significant('coef', DIGITS)} AS coef, {significant('abs(coef)', DIGITS)} AS abs_coef, {significant('importance', DIGITS)} AS importance FROM e1 FULL OUTER JOIN perm USING (feature)"
+
+
+@query("e5_combined_importance", COMBINED_SQL, digits=DIGITS)
 def e5_combined_importance(spark: SparkSession, sf_dir: str):
     """E5: coefficients and permutation importance side by side."""
     _, _, prep, fit, scored = _linear_world(spark, sf_dir)
@@ -197,7 +208,7 @@ def e5_combined_importance(spark: SparkSession, sf_dir: str):
                                        explain.permutation_importance(scored.filter(F.col("split") == "test"), fit, "outcome"))
 
 
-@query("o4_top_features")
+@query("o4_top_features", with_(*LIN, E1) + f"SELECT feature, {significant('coef', DIGITS)} AS coef, {significant('abs(coef)', DIGITS)} AS abs_coef FROM e1 ORDER BY abs(coef) DESC, feature LIMIT 5", digits=DIGITS)
 def o4_top_features(spark: SparkSession, sf_dir: str):
     """Top features by |coef|."""
     _, _, prep, fit, _ = _linear_world(spark, sf_dir)
@@ -217,7 +228,7 @@ def m12_confusion(spark: SparkSession, sf_dir: str):
     return evaluate.confusion(scored, "outcome", "pred", TH)
 
 
-CURPRED = [*PREP_CTES, f"train AS (SELECT * FROM prep WHERE {md5_bucket('entity_id', 100)} >= 20)",
+CURPRED = [*PREP_CTES, TRAIN,
            *ols_ctes("fit", "train", FEATS, "outcome"),
            _imputed("curp", "cur", "s.entity_id, s.name"), _engineered("curp"),
            f"cp AS (SELECT entity_id, round_even({predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted FROM curp CROSS JOIN fit_coef)",
@@ -273,7 +284,6 @@ def _exam_world(spark: SparkSession, sf_dir: str):
     """Exam table with known outcome (P13) and its complete cases.
     The entity-level table is checkpointed once: the CV jobs (shift,
     moments, MAE) then never re-aggregate the event table."""
-    from ..session import cut_lineage
     ex = cut_lineage(fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id"))
     return ex, clean.drop_null(ex, EX)
 
@@ -281,7 +291,7 @@ def _exam_world(spark: SparkSession, sf_dir: str):
 def _ridge_scored(spark, sf_dir):
     _, cc = _exam_world(spark, sf_dir)
     sc = pl.features.fit_scaler(cc, EX)
-    split = linear.split_flag(F.col("entity_id"))
+    split = splits.split_column(cc, "entity_id")
     fit = linear.fit_linear(cc.filter(split == "train"), EX, "outcome", ALPHA,
                             [sc.mean[c] for c in EX], [sc.scale(c) for c in EX])
     scored = cc.select("entity_id", "outcome", *EX, split.alias("split"), fit.predict().alias("pred"))
@@ -289,7 +299,7 @@ def _ridge_scored(spark, sf_dir):
 
 
 CST = "cst AS (SELECT " + ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in enumerate(EX)) + " FROM cc)"
-RIDGE = [*EXAM_BASE, CST, f"rtrain AS (SELECT * FROM cc WHERE {md5_bucket('entity_id', 100)} >= 20)",
+RIDGE = [*EXAM_BASE, CST, f"rtrain AS (SELECT * FROM cc QUALIFY NOT {in_test()})",
          *ols_ctes("rg", "rtrain", EX, "outcome", alpha=ALPHA, scale_src="cst"),
          f"rp AS (SELECT c.*, {SPLIT} AS split, {predict_sql('rg_coef', EX)} AS pred FROM cc c CROSS JOIN rg_coef)"]
 EX_LIST = "[" + ", ".join(f"'{c}'" for c in EX) + "]"
@@ -363,18 +373,17 @@ def _cv_folds(spark, sf_dir, reps: int | None = None, feats=None, data=None):
     feats = feats or EX
     if data is None:
         data = _exam_world(spark, sf_dir)[1]
+    folds = splits.fold_columns(data, "entity_id", 5, 42, reps)
     if reps is None:
-        d = data.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
-        return linear.cv_linear(d, feats, "outcome", "fold", alpha=ALPHA)
-    d = data.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), *data.columns)
-    d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42, repeat=F.col("rep")))
-    return linear.cv_linear(d, feats, "outcome", "fold", group_cols=["rep"], alpha=ALPHA)
+        return linear.cv_linear(data.withColumn("fold", folds[0]), feats, "outcome", "fold", alpha=ALPHA)
+    names = [f"_fold{r}" for r in range(reps)]
+    return linear.repeated_cv(data.withColumns(dict(zip(names, folds))), feats, "outcome", names, alpha=ALPHA)
 
 
 @query("m5_cv_folds", with_(*EXAM_BASE, *cv_sql("k5", "cc", EX, "outcome", ALPHA))
        + f"SELECT fold, n_train, n_test, {p6('r2')} AS r2, {p6('mae')} AS mae FROM k5_ev")
 def m5_cv_folds(spark: SparkSession, sf_dir: str):
-    """M5: 5-fold (hash) CV of the exam ridge: per-fold R^2 and MAE from
+    """M5: 5-fold CV (digest order) of the exam ridge: per-fold R^2 and MAE from
     fold moments (train = total - fold), MAE in one extra pass."""
     return _cv_folds(spark, sf_dir)
 
@@ -394,7 +403,7 @@ def m5_cv_summary(spark: SparkSession, sf_dir: str):
 @query("m6_repeated_cv", with_(*EXAM_BASE, *cv_sql("k50", "cc", EX, "outcome", ALPHA, reps=10))
        + f"SELECT rep::INTEGER AS rep, fold, n_train, n_test, {p6('r2')} AS r2, {p6('mae')} AS mae FROM k50_ev")
 def m6_repeated_cv(spark: SparkSession, sf_dir: str):
-    """M6: 10 x 5 repeated K-fold (hash folds per repeat), one moment pass
+    """M6: 10 x 5 repeated K-fold (digest order per repeat), one moment pass
     for all 50 fits."""
     return _cv_folds(spark, sf_dir, reps=10)
 
@@ -422,8 +431,7 @@ def _checkpoint_rows(spark, sf_dir, parts):
     ex, _ = _exam_world(spark, sf_dir)
     depth = complete_depth(COURSES, parts)
     rows = ex.withColumn("_depth", depth).filter(F.col("_depth") >= 1)
-    rows = rows.select(F.explode(F.sequence(F.lit(1), F.col("_depth"))).alias("checkpoint"), *ex.columns)
-    return rows.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
+    return rows.select(F.explode(F.sequence(F.lit(1), F.col("_depth"))).alias("checkpoint"), *ex.columns)
 
 
 def _contiguous_folds(rows, k: int = 5):
@@ -431,7 +439,7 @@ def _contiguous_folds(rows, k: int = 5):
     distributed ranks (no global window); per-checkpoint counts are a
     5-row table."""
     from ..operators.ranking import row_rank
-    base = rows.drop("fold")
+    base = rows
     ranked = row_rank(base.select("checkpoint", "entity_id"), "entity_id", keys=["checkpoint"])
     n = base.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("_n"))
     folds = ranked.join(F.broadcast(n), "checkpoint").select(
@@ -441,8 +449,7 @@ def _contiguous_folds(rows, k: int = 5):
 
 def _checkpoint_cv(spark, sf_dir, parts, contiguous: bool = False):
     rows = _checkpoint_rows(spark, sf_dir, parts)
-    if contiguous:
-        rows = _contiguous_folds(rows)
+    rows = _contiguous_folds(rows) if contiguous else rows.withColumn("fold", splits.grouped_folds(rows, "checkpoint", "entity_id", 5, 42))
     feats_for = {k: checkpoint_features(COURSES, k, parts) for k in range(1, len(COURSES) + 1)}
     folds = linear.grouped_cv(rows, EX, "outcome", "fold", "checkpoint", feats_for, alpha=ALPHA, min_rows=20)
     names = spark.createDataFrame([(k, COURSES[k - 1], len(feats_for[k])) for k in feats_for],
@@ -551,36 +558,29 @@ def m9_logistic(spark: SparkSession, sf_dir: str):
     return spark.createDataFrame(rows, "term string, coef_mllib double, coef_newton double")
 
 
-def _logistic_cv(spark, sf_dir, reps=10, k=5):
-    d = _docs_std(spark, sf_dir).cache()
-    d = d.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), *d.columns)
-    d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), k, 42, repeat=F.col("rep")))
-    # every row trains the k - 1 fits it is not held out from
-    train = d.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("hold"), *d.columns) \
-        .filter(F.col("hold") != F.col("fold"))
-    betas = classify.logistic_newton(train, DOC_FEATS, "label", ["rep", "hold"], persist=False)
-    coef = spark.createDataFrame([(g[0], g[1], [float(v) for v in b]) for g, b in betas.items()],
-                                 "rep int, fold int, _b array<double>")
-    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in DOC_FEATS])
-    z = F.aggregate(F.zip_with(x, F.col("_b"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = d.join(F.broadcast(coef), ["rep", "fold"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
-    auc = classify.exact_auc(scored, "label", "score", ["rep", "fold"])
-    acc = evaluate.accuracy(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "label", "pred", ["rep", "fold"])
-    return auc.join(acc, ["rep", "fold"])
+def _logistic_cv(d, feats, label, reps=10, k=5):
+    """Repeated CV of the logistic model: AUC and accuracy per (rep, fold)."""
+    names = [f"_fold{r}" for r in range(reps)]
+    folds = splits.fold_columns(d, "entity_id", k, 42, reps)
+    return classify.logistic_cv(d.withColumns(dict(zip(names, folds))), feats, label, names, k)
 
 
-@query("m10_auc_cv")
-def m10_auc_cv(spark: SparkSession, sf_dir: str):
-    """M10 + M11 + F16: repeated 5 x 10 CV of the logistic model (50 fits in
-    one grouped Newton loop), exact AUC and accuracy per fold, summary."""
-    f = _logistic_cv(spark, sf_dir)
-    s = f.agg(F.count(F.lit(1)).alias("n_folds"), F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
-              F.avg("accuracy").alias("accuracy_mean"))
+def auc_summary(folds):
+    """Mean AUC with its 95 % interval and class, mean accuracy, over folds."""
+    s = folds.agg(F.count(F.lit(1)).alias("n_folds"), F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
+                  F.avg("accuracy").alias("accuracy_mean"))
     half = F.lit(1.96) * F.col("auc_std") / F.sqrt(F.col("n_folds").cast("double"))
     return s.withColumns({"auc_ci_low": F.col("auc_mean") - half, "auc_ci_high": F.col("auc_mean") + half,
                           "auc_class": auc_class("auc_mean")})
 
 
+@query("m10_auc_cv")
+def m10_auc_cv(spark: SparkSession, sf_dir: str):
+    """M10 + M11 + F16: repeated 5 x 10 CV of the logistic model (50 fits in
+    one blocked Newton loop), exact AUC and accuracy per fold, summary."""
+    return auc_summary(_logistic_cv(cut_lineage(_docs_std(spark, sf_dir)), DOC_FEATS, "label"))
+
+
 AUC_SQL = with_(DOCFEATS, "rk AS (SELECT label, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rnk FROM docfeats)",
                 "u AS (SELECT sum(rnk) FILTER (WHERE label = 1) AS rs, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg FROM rk)")
 
@@ -629,25 +629,17 @@ def q11_retake_analysis(spark: SparkSession, sf_dir: str):
     return stats.two_sample_t(fx.retake_labels(spark, sf_dir), SC, "needed_retake", not_significant="")
 
 
+def _retake_std(spark, sf_dir):
+    """Complete retake rows with standardised scores, aggregated once."""
+    r = cut_lineage(clean.drop_null(fx.retake_labels(spark, sf_dir), SC))
+    return pl.features.apply_scaler(r, pl.features.fit_scaler(r, SC))
+
+
 @query("q11_retake_logistic")
 def q11_retake_logistic(spark: SparkSession, sf_dir: str):
     """Q11: can scores predict a retake?  Logistic 10 x 5 CV on complete
-    rows, exact AUC and accuracy per fold (grouped Newton fits)."""
-    r = clean.drop_null(fx.retake_labels(spark, sf_dir), SC)
-    sc = pl.features.fit_scaler(r, SC)
-    d = pl.features.apply_scaler(r, sc).cache()
-    d = d.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"), *d.columns)
-    d = d.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42, repeat=F.col("rep")))
-    train = d.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("hold"), *d.columns).filter(F.col("hold") != F.col("fold"))
-    betas = classify.logistic_newton(train, SC, "needed_retake", ["rep", "hold"], persist=False)
-    coef = spark.createDataFrame([(g[0], g[1], [float(v) for v in b]) for g, b in betas.items()],
-                                 "rep int, fold int, _b array<double>")
-    x = F.array(F.lit(1.0), *[F.col(c) for c in SC])
-    z = F.aggregate(F.zip_with(x, F.col("_b"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = d.join(F.broadcast(coef), ["rep", "fold"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
-    auc = classify.exact_auc(scored, "needed_retake", "score", ["rep", "fold"])
-    acc = evaluate.accuracy(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "needed_retake", "pred", ["rep", "fold"])
-    return auc.join(acc, ["rep", "fold"])
+    rows, exact AUC and accuracy per fold (blocked Newton fits)."""
+    return _logistic_cv(_retake_std(spark, sf_dir), SC, "needed_retake").select("rep", "fold", "auc", "n_pos", "n_neg", "accuracy")
 
 
 # ---------------------------------------------------------------------------
@@ -656,7 +648,7 @@ def q11_retake_logistic(spark: SparkSession, sf_dir: str):
 
 def _tree_world(spark, sf_dir):
     wide, out, prep, fit, scored = _linear_world(spark, sf_dir)
-    t = prep.table.withColumn("split", linear.split_flag(F.col("entity_id"))).cache()
+    t = cut_lineage(prep.table.withColumn("split", splits.split_column(prep.table, "entity_id")))
     return wide, out, prep, fit, scored, t
 
 
@@ -779,10 +771,10 @@ def f17_overfit_flag_ge(spark: SparkSession, sf_dir: str):
 @query("q3_linear_cv", with_(*PREP_CTES, *cv_sql("f5", "prep", FEATS, "outcome", 0.0))
        + f"SELECT fold, n_train, n_test, {p6('r2')} AS r2 FROM f5_ev")
 def q3_linear_cv(spark: SparkSession, sf_dir: str):
-    """Q3 / M5: 5-fold (hash) CV of the main OLS model from fold moments;
+    """Q3 / M5: 5-fold CV (digest order) of the main OLS model from fold moments;
     fold R^2 (MAE of this near-collinear design is engine-sensitive in the
     7th digit and is reported by ``m7_linear_metrics``)."""
     _, _, merged = pl.load_and_merge(spark, sf_dir)
     prep = pl.preprocess(merged, SC)
-    d = prep.table.withColumn("fold", linear.hash_fold(F.col("entity_id"), 5, 42))
+    d = prep.table.withColumn("fold", splits.fold_columns(prep.table, "entity_id", 5, 42)[0])
     return linear.cv_linear(d, prep.features, "outcome", "fold", alpha=0.0, with_mae=False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import attempts as att
-from ..operators import cohort, evaluate, features, linear, profile, risk, stats, trees
+from ..operators import cohort, evaluate, features, linear, profile, risk, splits, stats, trees
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import io
@@ -60,7 +60,7 @@ def q4_importance(spark: SparkSession, sf_dir: str):
     return cm.e5_combined_importance(spark, sf_dir)
 
 
-@query("q5_flagged_top10", with_(*cm.PREP_CTES, f"train AS (SELECT * FROM prep WHERE {cm.md5_bucket('entity_id', 100)} >= 20)",
+@query("q5_flagged_top10", with_(*cm.PREP_CTES, cm.TRAIN,
                                  *cm.ols_ctes("fit", "train", FEATS, "outcome"),
                                  cm._imputed("curp", "cur", "s.entity_id, s.name"), cm._engineered("curp"),
                                  f"pred AS (SELECT entity_id, name, round_even({cm.predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted FROM curp CROSS JOIN fit_coef)")
@@ -136,10 +136,10 @@ def q8_gradebook_model(spark: SparkSession, sf_dir: str):
     per-course improvements; OLS (least-squares, min-norm on the exactly
     collinear set) and a depth-5 forest, train/test metrics."""
     t, feats = _q8_table(spark, sf_dir)
-    t = t.withColumn("split", linear.split_flag(F.col("entity_id"))).cache()
-    sc = features.fit_scaler(t, feats)
-    fit = linear.fit_linear(t.filter(F.col("split") == "train"), feats, "outcome", 0.0,
-                            [sc.mean[c] for c in feats], [sc.scale(c) for c in feats])
+    t = t.withColumn("split", splits.split_column(t, "entity_id"))
+    sc = features.fit_scaler(t, feats, extra_means=["outcome"])
+    fit = linear.fit_least_squares(t.filter(F.col("split") == "train"), feats, "outcome", [sc.mean[c] for c in feats],
+                                   [sc.scale(c) for c in feats], sc.extra["outcome"])
     lin = t.select("split", "outcome", fit.predict().alias("pred")).withColumn("model", F.lit("linear"))
     rf = trees.random_forest(t.filter(F.col("split") == "train"), feats, "outcome", max_depth=5)
     rfp = trees.predict(rf, t, feats, "pred").select("split", "outcome", "pred").withColumn("model", F.lit("random_forest"))
@@ -205,7 +205,7 @@ def _q10_sql() -> str:
                  f"ct AS ({' UNION ALL '.join(parts)})", f"pt AS (SELECT *, {cs.T_OF_R} AS t FROM ct)",
                  f"pp AS (SELECT *, {t_p_sql('t', '(n - 2)')} AS p FROM pt)") + (
         f"SELECT feature, {p6('avg_improvement')} AS avg_improvement, n, {p6('r')} AS r, {p6('p')} AS p, {stars_sql('p')} AS stars, "
-        "CASE WHEN r > 0.1 THEN 'Improvers do better on outcome' WHEN r < -0.1 THEN 'Improvers do WORSE on outcome (!)' WHEN r IS NOT NULL THEN 'No relationship' END AS direction FROM pp")
+        "CASE WHEN r > 0.1 THEN 'higher' WHEN r < -0.1 THEN 'lower' WHEN r IS NOT NULL THEN 'none' END AS direction FROM pp")
 
 
 def _improvements(spark, sf_dir):
@@ -397,7 +397,7 @@ def q11_retake_group_profiles(spark: SparkSession, sf_dir: str):
                                           F.avg("attempt1_score").alias("mean_first_score"))
 
 
-@query("m14_streaming_scores", with_(*cm.PREP_CTES, f"train AS (SELECT * FROM prep WHERE {cm.md5_bucket('entity_id', 100)} >= 20)",
+@query("m14_streaming_scores", with_(*cm.PREP_CTES, cm.TRAIN,
                                      *cm.ols_ctes("fit", "train", FEATS, "outcome"),
                                      cm._imputed("curp", "cur", "s.entity_id, s.name"), cm._engineered("curp"),
                                      f"pred AS (SELECT entity_id, name, round_even({cm.predict_sql('fit_coef', FEATS)}, 0)::INTEGER AS predicted FROM curp CROSS JOIN fit_coef)")

@@ -136,7 +136,7 @@ IMPS = [f"{c}_improvement" for c in fx.COURSES]
 
 
 @query("f14_direction", with_(EXAMS, OUTC, f"exo AS (SELECT entity_id, {IMP}, outcome FROM exams LEFT JOIN outc USING (entity_id))", _corr_cte(IMPS))
-       + f"SELECT feature, {p6('r')} AS r, CASE WHEN r > 0.1 THEN 'Improvers do better on outcome' WHEN r < -0.1 THEN 'Improvers do WORSE on outcome (!)' WHEN r IS NOT NULL THEN 'No relationship' END AS direction FROM ct")
+       + f"SELECT feature, {p6('r')} AS r, CASE WHEN r > 0.1 THEN 'higher' WHEN r < -0.1 THEN 'lower' WHEN r IS NOT NULL THEN 'none' END AS direction FROM ct")
 def f14_direction(spark: SparkSession, sf_dir: str):
     """direction-of-effect text for the improvement correlations."""
     ex = _exo(spark, sf_dir)

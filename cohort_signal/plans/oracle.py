@@ -29,6 +29,12 @@ def md5_bucket(key: str, modulus: int, salt: str | None = None) -> str:
     return f"((('0x' || substr(md5({text}), 1, 8))::UBIGINT % {modulus})::INTEGER)"
 
 
+def in_test(key: str = "entity_id", percent: int = 20) -> str:
+    """Whether a row of the table at hand is in the test set: the first
+    ``percent`` of its rows, rounded up, in digest order."""
+    return f"(row_number() OVER (ORDER BY md5({key}::VARCHAR)) <= (count(*) OVER () * {percent} + 99) // 100)"
+
+
 WIDE = "wide AS (SELECT o_custkey AS entity_id, " + ", ".join(
     f"avg(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice / 5000.0 END) AS {c}"
     for p, c in PRIORITY_COLUMNS.items()) + " FROM orders GROUP BY o_custkey)"
@@ -86,12 +92,13 @@ def clip_sql(x: str, lo: float = 0.0, hi: float = 100.0) -> str:
 
 
 def ols_ctes(name: str, src: str, feats: list[str], target: str, group: list[str] | None = None,
-             alpha: float = 0.0, scale_src: str | None = None) -> list[str]:
+             alpha: float = 0.0, scale_src: str | None = None, inverse: bool = False) -> list[str]:
     """CTEs ``{name}_coef(g..., n, ybar, xbar list, coef list (raw scale), intercept)``.
 
     Solves (Xc'Xc / s s' + alpha I) b = Xc'yc / s by Gauss-Jordan in a
     recursive CTE; ``scale_src`` (one row per group, columns ``sd_<i>``)
-    supplies the standardisation (None: unit scale, i.e. plain OLS).
+    supplies the standardisation (None: unit scale, i.e. plain OLS);
+    ``inverse`` adds the matrix's inverse to ``{name}_sol``.
     """
     g = group or []
     gsel = "".join(f"{c}, " for c in g)
@@ -111,6 +118,8 @@ def ols_ctes(name: str, src: str, feats: list[str], target: str, group: list[str
     for i in range(p):
         cells = [f"a{i}_{j} / ({sd(i)} * {sd(j)})" + (f" + {alpha}" if (i == j and alpha) else "") for j in range(p)]
         cells.append(f"b{i} / {sd(i)}")
+        if inverse:
+            cells += ["1.0" if i == j else "0.0" for j in range(p)]
         rows.append("[" + ", ".join(cells) + "]")
     src_scale = f" JOIN {scale_src} {using}" if scale_src else ""
     ctes.append(f"{name}_aug AS (SELECT {gsel}[{', '.join(rows)}]::DOUBLE[][] AS m FROM {name}_mom{src_scale})")
@@ -124,7 +133,8 @@ def ols_ctes(name: str, src: str, feats: list[str], target: str, group: list[str
     sdl = "[" + ", ".join(sd(i) for i in range(p)) + "]::DOUBLE[]"
     xbar = "[" + ", ".join(f"m{i}" for i in range(p)) + "]::DOUBLE[]"
     ctes.append(
-        f"{name}_sol AS (SELECT {gsel}list_transform(m, lambda rr: rr[{p + 1}]) AS coef_std FROM {name}_ge WHERE k = {p})")
+        f"{name}_sol AS (SELECT {gsel}list_transform(m, lambda rr: rr[{p + 1}]) AS coef_std"
+        + (f", list_transform(m, lambda rr: rr[{p + 2}:{2 * p + 1}]) AS inv" if inverse else "") + f" FROM {name}_ge WHERE k = {p})")
     ctes.append(
         f"{name}_coef AS (SELECT {''.join(f'x.{c}, ' for c in g)}x.n, x.my AS ybar, {xbar} AS xbar, "
         f"list_transform(range(1, {p + 1}), lambda i: s.coef_std[i] / ({sdl})[i]) AS coef, "
@@ -134,6 +144,35 @@ def ols_ctes(name: str, src: str, feats: list[str], target: str, group: list[str
     return ctes
 
 
+def refined_ctes(name: str, src: str, feats: list[str], target: str, scale_src: str, steps: int = 2) -> list[str]:
+    """``ols_ctes`` followed by refinement on the residuals of the rows: the
+    normal equations give the squared condition number's share of the digits,
+    each step ``b += inverse * X'(y - X b)`` adds as many again.  Gives
+    ``{name}_sol(coef_std)`` and ``{name}_coef`` for one group."""
+    p = len(feats)
+    ctes = [*ols_ctes(f"{name}0", src, feats, target, scale_src=scale_src, inverse=True),
+            f"{name}_b0 AS (SELECT coef_std AS b, inv FROM {name}0_sol)"]
+    for k in range(1, steps + 1):
+        res = f"{target} - my - (" + " + ".join(f"b[{i + 1}] * (({f} - m{i}) / sd{i})" for i, f in enumerate(feats)) + ")"
+        g = ", ".join(f"sum(({f} - m{i}) / sd{i} * res)" for i, f in enumerate(feats))
+        ctes.append(f"{name}_e{k} AS (SELECT [{g}] AS g FROM (SELECT *, {res} AS res FROM {src} CROSS JOIN {name}0_mean CROSS JOIN {scale_src} CROSS JOIN {name}_b{k - 1}))")
+        ctes.append(f"{name}_b{k} AS (SELECT list_transform(range(1, {p + 1}), lambda i: b[i] + list_sum(list_transform(range(1, {p + 1}), lambda j: inv[i][j] * g[j]))) AS b, inv "
+                    f"FROM {name}_b{k - 1} CROSS JOIN {name}_e{k})")
+    ctes.append(f"{name}_sol AS (SELECT b AS coef_std FROM {name}_b{steps})")
+    sd = "[" + ", ".join(f"sd{i}" for i in range(p)) + "]"
+    xbar = "[" + ", ".join(f"m{i}" for i in range(p)) + "]"
+    coef = f"list_transform(range(1, {p + 1}), lambda i: coef_std[i] / ({sd})[i])"
+    ctes.append(f"{name}_coef AS (SELECT n, my AS ybar, {xbar} AS xbar, {coef} AS coef, "
+                f"my - list_sum(list_transform(range(1, {p + 1}), lambda i: coef_std[i] / ({sd})[i] * ({xbar})[i])) AS intercept "
+                f"FROM {name}_sol CROSS JOIN {name}0_mean CROSS JOIN {scale_src})")
+    return ctes
+
+
+def centred_sql(coef_alias: str, feats: list[str]) -> str:
+    """Prediction from the centred form, which cancels less."""
+    return f"({coef_alias}.ybar + (" + " + ".join(f"{coef_alias}.coef[{i + 1}] * ({f} - {coef_alias}.xbar[{i + 1}])" for i, f in enumerate(feats)) + "))"
+
+
 def predict_sql(coef_alias: str, feats: list[str]) -> str:
     return f"({coef_alias}.intercept + " + " + ".join(
         f"{coef_alias}.coef[{i + 1}] * {f}" for i, f in enumerate(feats)) + ")"
@@ -176,10 +215,11 @@ def cv_sql(name: str, data: str, feats: list[str], target: str, alpha: float, k:
            seed: int = 42, reps: int | None = None, fold_sql: str | None = None) -> list[str]:
     """CTEs for K-fold (optionally repeated) CV of ridge/OLS on ``data``;
     the last CTE ``{name}_ev`` has (rep?, fold, n_train, n_test, r2, mae).
-    Folds: md5 of 'seed-id' (or 'seed-rep-id'); scaling on all rows."""
+    Folds: equal parts in the order of md5 of 'seed-id' (or 'seed-rep-id');
+    scaling on all rows."""
     rep = reps is not None
-    fold_expr = (f"((('0x' || substr(md5('{seed}-' || rep::VARCHAR || '-' || entity_id::VARCHAR), 1, 8))::UBIGINT % {k})::INTEGER)"
-                 if rep else md5_bucket("entity_id", k, str(seed)))
+    fold_expr = (f"(ntile({k}) OVER (PARTITION BY rep ORDER BY md5('{seed}-' || rep::VARCHAR || '-' || entity_id::VARCHAR)) - 1)::INTEGER"
+                 if rep else f"(ntile({k}) OVER (ORDER BY md5('{seed}-' || entity_id::VARCHAR)) - 1)::INTEGER")
     if fold_sql is not None:
         fold_expr = fold_sql
     reps_src = f" CROSS JOIN range(0, {reps}) rr(rep)" if rep else ""

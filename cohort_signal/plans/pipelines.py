@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cohort, features, linear, risk
+from ..operators import cohort, features, linear, risk, splits
 from ..session import cut_lineage
 from ..sources import fixtures
 
@@ -66,15 +66,13 @@ def load_and_merge(spark: SparkSession, sf_dir: str,
 
 
 def train_linear(prep: Prepared, test_percent: int = 20) -> linear.LinearFit:
-    """OLS on the hash-split training rows, standardised with the scaler
-    fitted on all rows (M1 + M2)."""
-    train = prep.table.filter(linear.split_flag(F.col(KEY), test_percent) == "train")
+    """OLS on the training rows, standardised with the scaler fitted on all
+    rows (M1 + M2); orthogonal factors, since the rounded row mean nearly
+    depends on the scores."""
+    train = prep.table.filter(splits.split_column(prep.table, KEY, test_percent) == "train")
     sc = prep.scaler
-    # the all-row means are close to the training means: a good moment shift
-    shift = [sc.mean[c] for c in prep.features] + [sc.extra.get(OUTCOME) or 0.0]
-    return linear.fit_linear(train, prep.features, OUTCOME,
-                             scaler_mean=[sc.mean[c] for c in prep.features],
-                             scaler_scale=[sc.scale(c) for c in prep.features], shift=shift)
+    return linear.fit_least_squares(train, prep.features, OUTCOME, [sc.mean[c] for c in prep.features],
+                                    [sc.scale(c) for c in prep.features], sc.extra.get(OUTCOME) or 0.0)
 
 
 def early_warning(spark: SparkSession, sf_dir: str,

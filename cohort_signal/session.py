@@ -63,6 +63,17 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers started by this session import the package from
+    where the driver found it (on a cluster the package is installed or sent
+    with --py-files and this changes nothing)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables under the shared checkpoint folder
     (never a machine-local temp folder on a cluster)."""

@@ -172,17 +172,68 @@ def test_anti_join_and_partitions(spark):
     assert [r[0] for r in cohort.key_difference(a, o).orderBy("entity_id").collect()] == [1, 3]
 
 
-def test_long_form_moments_equal_wide(spark):
-    x, y = _xy(n=150)
+def test_moments_of_blocks_equal_numpy(spark):
+    """One form at every width: 3 and 30 columns, by key, and over repeats."""
+    from pyspark.sql.types import IntegerType, StructField
+
+    rng = np.random.default_rng(12)
+    for d in (3, 30):
+        x = rng.normal(50, 5, (400, d))
+        g, h = rng.integers(0, 3, 400), rng.integers(0, 4, 400)
+        cols = [f"x{i}" for i in range(d)]
+        df = spark.createDataFrame([(int(a), int(b), *map(float, r)) for a, b, r in zip(g, h, x)],
+                                   "g int, h int, " + ", ".join(f"{c} double" for c in cols)).repartition(5)
+        shift = [49.0] * d
+        got = linear.moments_by(df, cols, ["g"], shift)
+        assert sorted(got) == [(0,), (1,), (2,)]
+        for (k,), m in got.items():
+            z = x[g == k] - 49.0
+            assert m.n == len(z) and np.allclose(m.s, z.sum(0), rtol=1e-10) and np.allclose(m.m, z.T @ z, rtol=1e-10)
+        views = [((0,), ["g"]), ((1,), ["h"])]
+        both = linear.moments_by(df, cols, shift=shift, key_fields=[StructField("rep", IntegerType()), StructField("fold", IntegerType())], views=views)
+        assert sorted(both) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (1, 3)]
+        assert all(both[1, k].n == int((h == k).sum()) for k in range(4))
+    assert linear.moments_by(df.limit(0), cols, ["g"]) == {}
+    assert linear.moments_by(df.limit(0), cols)[()].n == 0
+
+
+def test_least_squares_by_triangular_factors(spark):
+    """Nearly dependent features: a rounded mean beside its parts."""
+    rng = np.random.default_rng(7)
+    x = rng.uniform(20, 60, (300, 5))
+    x = np.column_stack([x, np.round(x.mean(1), 2)])
+    y = x @ [1.0, -2, 3, 0.5, 0, 4] + rng.normal(0, 3, 300) + 200
+    cols = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], ", ".join(f"{c} double" for c in cols) + ", y double").repartition(7)
+    mean, scale = x.mean(0), x.std(0)
+    fit = linear.fit_least_squares(df, cols, "y", mean, scale, 200.0)
+    want = np.linalg.lstsq(np.column_stack([np.ones(300), (x - mean) / scale]), y, rcond=None)[0]
+    assert np.allclose(fit.coef, want[1:], rtol=1e-10) and np.isclose(fit.intercept, want[0], rtol=1e-12)
+    normal = linear.fit_linear(df, cols, "y", 0.0, mean, scale, list(mean) + [200.0])
+    assert np.max(np.abs(fit.coef / want[1:] - 1)) < np.max(np.abs(normal.coef / want[1:] - 1))
+    same = df.withColumn("x5", F.col("x0"))
+    x[:, 5] = x[:, 0]
+    mean, scale = x.mean(0), x.std(0)
+    least = np.linalg.lstsq(np.column_stack([np.ones(300), (x - mean) / scale]), y, rcond=None)[0]
+    assert np.allclose(linear.fit_least_squares(same, cols, "y", mean, scale).coef, least[1:], rtol=1e-8)
+    with pytest.raises(ValueError):
+        linear.fit_least_squares(df.limit(0), cols, "y", mean, scale)
+    few = linear.fit_least_squares(df.limit(3), cols, "y", mean, scale)
+    assert np.isfinite(few.coef).all()
+
+
+def test_repeated_cv_equals_cv_of_each_repeat(spark):
+    x, y = _xy(n=160)
     cols = [f"x{i}" for i in range(x.shape[1])]
-    rows = [(i % 3,) + tuple(map(float, r)) + (float(t),) for i, (r, t) in enumerate(zip(x, y))]
-    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{c} double" for c in cols) + ", y double")
-    wide = linear.moments_by(df, cols + ["y"], ["g"], long_form=False)
-    long = linear.moments_by(df, cols + ["y"], ["g"], long_form=True)
-    assert wide.keys() == long.keys()
-    for k in wide:
-        assert wide[k].n == long[k].n
-        assert np.allclose(wide[k].s, long[k].s, rtol=1e-12) and np.allclose(wide[k].m, long[k].m, rtol=1e-12)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "entity_id long, " + ", ".join(f"{c} double" for c in cols) + ", y double")
+    df = df.withColumns({f"f{r}": linear.hash_fold(F.col("entity_id"), 4, 42, repeat=r) for r in range(3)})
+    got = {(r.rep, r.fold): r for r in linear.repeated_cv(df, cols, "y", ["f0", "f1", "f2"], alpha=1.0).collect()}
+    assert len(got) == 12
+    for rep in range(3):
+        for r in linear.cv_linear(df, cols, "y", f"f{rep}", alpha=1.0).collect():
+            one = got[rep, r[f"f{rep}"]]
+            assert (one.n_train, one.n_test) == (r.n_train, r.n_test) and np.allclose([one.r2, one.mae], [r.r2, r.mae], rtol=1e-10)
 
 
 def test_moment_fits_match_mllib_linear_regression(spark):
