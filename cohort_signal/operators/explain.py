@@ -18,11 +18,14 @@ from .linear import LinearFit
 
 def coefficients(spark: SparkSession, fit: LinearFit) -> DataFrame:
     """E1 + F20 + W4: standardised coefficient, |coef|, sign, rank."""
-    rows = fit.coefficient_rows()
-    df = spark.createDataFrame(rows, "feature string, coef double")
-    w = Window.partitionBy(F.lit(1)).orderBy(F.abs("coef").desc(), "feature")  # p rows only
-    return df.select("feature", "coef", F.abs("coef").alias("abs_coef"),
-                     coefficient_sign("coef").alias("sign"), F.row_number().over(w).alias("rank"))
+    df = spark.createDataFrame(fit.coefficient_rows(), "feature string, coef double")
+    return ranked(df.select("feature", "coef", F.abs("coef").alias("abs_coef"), coefficient_sign("coef").alias("sign")), "abs_coef")
+
+
+def ranked(df: DataFrame, by: str) -> DataFrame:
+    """A table of one row per feature with its rank by a column, largest first."""
+    w = Window.partitionBy(F.lit(1)).orderBy(F.col(by).desc(), "feature")
+    return df.withColumn("rank", F.row_number().over(w))
 
 
 def permutation_importance(df: DataFrame, fit: LinearFit, target: str) -> DataFrame:

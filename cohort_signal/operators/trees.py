@@ -9,13 +9,22 @@ in one projection (JVM-side), then a population std across the array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .evaluate import regression_metrics
+
 FEATURES_COL = "_features"
 MAX_BINS = 128
+#: Rows a task of a fold fit takes at least, where the table has them.
+ROWS_PER_TASK = 50_000
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -64,6 +73,49 @@ def tree_spread(model, df: DataFrame, features: Sequence[str], z: float = 1.96)
         .drop(FEATURES_COL, "_mean", *names)
 
 
+def fold_models(df: DataFrame, fold_cols: Sequence[str], k: int, fit: Callable[[DataFrame], object], threads: int = 8) -> dict[tuple[int, int], object]:
+    """(repeat, fold) -> the model fitted on the other folds.  ``df`` is read
+    by every fit, so persist it; the fits are independent Spark jobs and run
+    side by side from driver threads, each in a scheduler pool of its own, so
+    that one fit's small last stages do not leave the executors idle."""
+    spark = df.sparkSession
+    cells = [(r, h) for r in range(len(fold_cols)) for h in range(k)]
+
+    def one(cell: tuple[int, int]):
+        r, h = cell
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{r}-{h}")
+        try:
+            return cell, fit(df.filter(F.col(fold_cols[r]) != h))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=min(threads, len(cells))) as pool:
+        return dict(pool.map(inheritable_thread_target(spark)(one), cells))
+
+
+def held_out(df: DataFrame, features: Sequence[str], label: str, fold_cols: Sequence[str], models: dict[tuple[int, int], object]) -> DataFrame:
+    """(rep, fold, label, pred): every row scored once a repeat by the model
+    that has not seen it; one plan, so one pass over the persisted table."""
+    parts = [predict(model, df.filter(F.col(fold_cols[r]) == h), features, "pred")
+             .select(F.lit(r).alias("rep"), F.lit(h).alias("fold"), F.col(label).cast("double").alias(label), "pred") for (r, h), model in models.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cv_trees(df: DataFrame, features: Sequence[str], label: str, fold_cols: Sequence[str], k: int, fit: Callable[[DataFrame], object]) -> DataFrame:
+    """M5 / M6 of a tree ensemble: (rep, fold, n_test, r2, mae), as
+    ``linear.repeated_cv`` gives for a linear model.  ``fit`` takes a training
+    table and returns a model on ``features``."""
+    narrow = df.select(*features, label, *fold_cols)
+    # many small jobs read this table: as few tasks as its rows need
+    data = narrow.coalesce(max(1, math.ceil(narrow.count() / ROWS_PER_TASK))).persist()
+    try:
+        models = fold_models(data, fold_cols, k, fit)
+        scored = held_out(data, features, label, fold_cols, models)
+        return cut_lineage(regression_metrics(scored, label, "pred", ["rep", "fold"]).select("rep", "fold", F.col("n").alias("n_test"), "r2", "mae"))
+    finally:
+        data.unpersist()
+
+
 def importances(spark: SparkSession, model, features: Sequence[str], new_features: Sequence[str] = ()) -> DataFrame:
     """Normalised importances, sorted, with a marker for new features."""
     imp = model.featureImportances.toArray()

@@ -70,4 +70,4 @@ def significant(x: str, digits: int) -> str:
 
 def load_all() -> None:
     """Import every catalogue module (they register on import)."""
-    from . import catalog_models, catalog_pipelines, catalog_relational, catalog_stats  # noqa: F401
+    from . import catalog_composites, catalog_models, catalog_pipelines, catalog_relational, catalog_stats  # noqa: F401

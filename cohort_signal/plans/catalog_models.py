@@ -535,7 +535,7 @@ def m19_early_model(spark: SparkSession, sf_dir: str):
 # two-class models (R6 labelled documents, R8 retake)
 # ---------------------------------------------------------------------------
 
-from .oracle import DOCFEATS  # noqa: E402
+from .oracle import DOCFEATS, auc_summary_sql, logistic_ctes, logistic_cv_ctes  # noqa: E402
 
 DOC_FEATS = ["n_chars", "n_words", "n_lines", "digit_share"]
 
@@ -546,7 +546,13 @@ def _docs_std(spark, sf_dir):
     return pl.features.apply_scaler(d, sc)
 
 
-@query("m9_logistic")
+DOC_COMPLETE = "dcc AS (SELECT * FROM docfeats WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in DOC_FEATS) + ")"
+DOC_ALL = "dall AS (SELECT 0 AS rep, 0 AS hold, label, " + ", ".join(
+    f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END AS {c}" for c in DOC_FEATS) + " FROM dcc)"
+
+
+@query("m9_logistic", with_(DOCFEATS, DOC_COMPLETE, DOC_ALL, *logistic_ctes("lg", "dall", DOC_FEATS, "label")) + " UNION ALL ".join(
+    f"SELECT '{term}' AS term, {p6(f'b[{i + 1}]', 4)} AS coef_mllib, {p6(f'b[{i + 1}]', 4)} AS coef_newton FROM lg_beta" for i, term in enumerate(["intercept", *DOC_FEATS])), decimals=4)
 def m9_logistic(spark: SparkSession, sf_dir: str):
     """M9: L2 logistic regression (C = 1) on standardised document features
     with Spark ML, next to the grouped-Newton fit of the same objective."""
@@ -574,7 +580,7 @@ def auc_summary(folds):
                           "auc_class": auc_class("auc_mean")})
 
 
-@query("m10_auc_cv")
+@query("m10_auc_cv", with_(DOCFEATS, DOC_COMPLETE, *logistic_cv_ctes("lc", "dcc", DOC_FEATS, "label")) + auc_summary_sql(p6, "lc_ev"))
 def m10_auc_cv(spark: SparkSession, sf_dir: str):
     """M10 + M11 + F16: repeated 5 x 10 CV of the logistic model (50 fits in
     one blocked Newton loop), exact AUC and accuracy per fold, summary."""
@@ -635,7 +641,15 @@ def _retake_std(spark, sf_dir):
     return pl.features.apply_scaler(r, pl.features.fit_scaler(r, SC))
 
 
-@query("q11_retake_logistic")
+def retake_ctes() -> list[str]:
+    """CTE ``rcc``: complete retake rows; ``rt_ev``: their model's folds."""
+    from .catalog_relational import RETAKE
+    from .oracle import ATTEMPTS
+    return [WIDE, ATTEMPTS, RETAKE, "rcc AS (SELECT * FROM rl WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in SC) + ")",
+            *logistic_cv_ctes("rt", "rcc", SC, "needed_retake")]
+
+
+@query("q11_retake_logistic", with_(*retake_ctes()) + f"SELECT rep, fold, {p6('auc')} AS auc, n_pos, n_neg, {p6('accuracy')} AS accuracy FROM rt_ev")
 def q11_retake_logistic(spark: SparkSession, sf_dir: str):
     """Q11: can scores predict a retake?  Logistic 10 x 5 CV on complete
     rows, exact AUC and accuracy per fold (blocked Newton fits)."""

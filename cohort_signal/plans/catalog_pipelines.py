@@ -52,14 +52,6 @@ def q3_train_and_compare(spark: SparkSession, sf_dir: str):
     return cm._compare(spark, sf_dir)
 
 
-@query("q4_importance")
-def q4_importance(spark: SparkSession, sf_dir: str):
-    """Q4: coefficients and permutation importance of the main linear model
-    (rows-only: its engineered row mean is nearly collinear with the
-    scores, so coefficients are only determined to ~8 digits)."""
-    return cm.e5_combined_importance(spark, sf_dir)
-
-
 @query("q5_flagged_top10", with_(*cm.PREP_CTES, cm.TRAIN,
                                  *cm.ols_ctes("fit", "train", FEATS, "outcome"),
                                  cm._imputed("curp", "cur", "s.entity_id, s.name"), cm._engineered("curp"),
@@ -227,40 +219,6 @@ def q10_improvement_trend(spark: SparkSession, sf_dir: str):
     return t.join(means, "feature").select("feature", "avg_improvement", "n", "r", "p", "stars", "direction")
 
 
-@query("q12_confidence_report")
-def q12_confidence_report(spark: SparkSession, sf_dir: str):
-    """Conclusions table (claim, confidence, evidence) computed
-    from T9, T3, T6 and M19, never from literals."""
-    tests = stats.pearson_tests(cs._exo(spark, sf_dir), EX, "outcome", min_pairs=10)
-    sig = stats.count_significant(tests).select(
-        F.lit("exams relate to the outcome").alias("claim"),
-        F.when(F.col("n_significant") == F.col("n_features"), "HIGH").when(F.col("n_significant") > 0, "MODERATE").otherwise("LOW").alias("confidence"),
-        F.format_string("%d of %d significant at 0.001, mean |r| %.3f", "n_significant", "n_features", "mean_abs_r").alias("evidence"))
-    cmp_ = stats.fisher_compare(tests).select(
-        F.concat(F.col("top1"), F.lit(" is the strongest predictor")).alias("claim"),
-        F.when(F.col("p_diff") > 0.05, "MODERATE").otherwise("HIGH").alias("confidence"),
-        F.format_string("r1 %.3f vs r2 %.3f, p %.3f", "r1", "r2", "p_diff").alias("evidence"))
-    cv = linear.cv_summary(cm._cv_folds(spark, sf_dir, reps=10)).select(
-        F.lit("model explains outcome variance").alias("claim"),
-        F.when(F.col("r2_ci_low") > 0, "HIGH").otherwise("LOW").alias("confidence"),
-        F.format_string("R2 %.3f (95%% CI %.3f to %.3f)", "r2_mean", "r2_ci_low", "r2_ci_high").alias("evidence"))
-    return sig.unionByName(cmp_).unionByName(cv)
-
-
-@query("t11_conclusions")
-def t11_conclusions(spark: SparkSession, sf_dir: str):
-    """The conclusions table."""
-    return q12_confidence_report(spark, sf_dir)
-
-
-@query("q13_enhanced_risk_list")
-def q13_enhanced_risk_list(spark: SparkSession, sf_dir: str):
-    """Q13: forest with per-tree spread (M16) over every complete entity,
-    tiers (F9), tier counts (A5)."""
-    t = cm.m16_tree_spread(spark, sf_dir)
-    return risk.tier_counts(t)
-
-
 @query("m13_feature_sets", with_(*cm.EXAM_BASE, cr.FLAGS,
                                  "enh AS (SELECT c.*, " + ", ".join(cr.FLAG_COLS) + ", (" + " + ".join(f"coalesce({c}, 0)" for c in cr.FLAG_COLS) + ")::INTEGER AS total_remediations FROM cc c JOIN flags f USING (entity_id) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in cr.FLAG_COLS) + ")",
                                  *cv_sql("o50", "cc", EX, "outcome", cm.ALPHA, reps=10),

@@ -168,6 +168,62 @@ def refined_ctes(name: str, src: str, feats: list[str], target: str, scale_src:
     return ctes
 
 
+NEWTON_STEPS = 10
+
+
+def logistic_ctes(name: str, rows: str, feats: list[str], label: str, steps: int = NEWTON_STEPS) -> list[str]:
+    """CTE ``{name}_beta(rep, hold, b)``: logistic fits by Newton steps, one
+    per (rep, hold) of ``rows`` (their training rows), with half the sum of
+    the squared weights as penalty; each step is a grouped sum and a
+    Gauss-Jordan solve."""
+    p = len(feats) + 1
+    x = ["1.0", *feats]
+    ctes = [f"{name}_b0 AS (SELECT DISTINCT rep, hold, [{', '.join(['0.0'] * p)}]::DOUBLE[] AS b FROM {rows})"]
+    for t in range(steps):
+        z = " + ".join(f"b[{i + 1}] * {c}" for i, c in enumerate(x))
+        sums = [f"sum(({label} - mu) * {c}) AS g{i}" for i, c in enumerate(x)]
+        sums += [f"sum(mu * (1.0 - mu) * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(p) for j in range(p)]
+        matrix = ", ".join("[" + ", ".join([f"h{i}_{j}" + (" + 1.0" if i == j and i else "") for j in range(p)] + [f"g{i}" + (f" - b[{i + 1}]" if i else "")]) + "]" for i in range(p))
+        ctes += [
+            f"{name}_m{t} AS (SELECT r.*, b, 1.0 / (1.0 + exp(-({z}))) AS mu FROM {rows} r JOIN {name}_b{t} USING (rep, hold))",
+            f"{name}_s{t} AS (SELECT rep, hold, any_value(b) AS b, {', '.join(sums)} FROM {name}_m{t} GROUP BY rep, hold)",
+            f"{name}_g{t}(rep, hold, b, k, m) AS (SELECT rep, hold, b, 0, [{matrix}]::DOUBLE[][] FROM {name}_s{t} UNION ALL "
+            f"SELECT rep, hold, b, k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) "
+            f"ELSE list_transform(range(1, len(m[1]) + 1), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name}_g{t} WHERE k < len(m))",
+            f"{name}_b{t + 1} AS (SELECT rep, hold, list_transform(range(1, {p + 1}), lambda i: b[i] + m[i][{p + 1}]) AS b FROM {name}_g{t} WHERE k = {p})"]
+    ctes.append(f"{name}_beta AS (SELECT rep, hold, b FROM {name}_b{steps})")
+    return ctes
+
+
+def logistic_cv_ctes(name: str, data: str, feats: list[str], label: str, reps: int = 10, k: int = 5, seed: int = 42) -> list[str]:
+    """CTE ``{name}_ev(rep, fold, auc, n_pos, n_neg, accuracy)``: repeated
+    k-fold CV of a logistic model on ``data(entity_id, feats, label)``,
+    features standardised over all rows."""
+    std = ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END AS {c}" for c in feats)
+    z = " + ".join(f"b[{i + 1}] * {c}" for i, c in enumerate(["1.0", *feats]))
+    return [
+        f"{name}_d AS (SELECT entity_id, {label}, {std} FROM {data})",
+        f"{name}_f AS (SELECT d.*, rep, (ntile({k}) OVER (PARTITION BY rep ORDER BY md5('{seed}-' || rep::VARCHAR || '-' || entity_id::VARCHAR)) - 1)::INTEGER AS fold FROM {name}_d d CROSS JOIN range(0, {reps}) rr(rep))",
+        f"{name}_t AS (SELECT f.*, h.hold FROM {name}_f f CROSS JOIN range(0, {k}) h(hold) WHERE f.fold <> h.hold)",
+        *logistic_ctes(name, f"{name}_t", feats, label),
+        f"{name}_sc AS (SELECT f.*, 1.0 / (1.0 + exp(-({z}))) AS score FROM {name}_f f JOIN {name}_beta c ON c.rep = f.rep AND c.hold = f.fold)",
+        f"{name}_rk AS (SELECT *, rank() OVER (PARTITION BY rep, fold ORDER BY score) + (count(*) OVER (PARTITION BY rep, fold, score) - 1) / 2.0 AS rnk FROM {name}_sc)",
+        f"{name}_u AS (SELECT rep, fold, sum(rnk) FILTER (WHERE {label} = 1) AS rs, count(*) FILTER (WHERE {label} = 1) AS n_pos, count(*) FILTER (WHERE {label} = 0) AS n_neg, "
+        f"avg(((score >= 0.5)::INTEGER = {label})::INTEGER) AS accuracy FROM {name}_rk GROUP BY rep, fold)",
+        f"{name}_ev AS (SELECT rep::INTEGER AS rep, fold, CASE WHEN n_pos * n_neg = 0 THEN NULL ELSE (rs - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) END AS auc, n_pos, n_neg, accuracy FROM {name}_u)"]
+
+
+AUC_SUMMARY = ("count(*) AS n_folds, avg(auc) AS auc_mean, stddev_pop(auc) AS auc_std, avg(accuracy) AS accuracy_mean")
+
+
+def auc_summary_sql(p6, src: str, extra: str = "") -> str:
+    """SELECT of the summary of fold AUCs over CTE ``src``."""
+    return (f"SELECT n_folds, {p6('auc_mean')} AS auc_mean, {p6('auc_std')} AS auc_std, {p6('accuracy_mean')} AS accuracy_mean, "
+            f"{p6('auc_mean - 1.96 * auc_std / sqrt(n_folds)')} AS auc_ci_low, {p6('auc_mean + 1.96 * auc_std / sqrt(n_folds)')} AS auc_ci_high, "
+            f"CASE WHEN auc_mean > 0.8 THEN 'GOOD' WHEN auc_mean > 0.7 THEN 'MODERATE' WHEN auc_mean IS NOT NULL THEN 'WEAK' END AS auc_class{extra} "
+            f"FROM (SELECT {AUC_SUMMARY} FROM {src})")
+
+
 def centred_sql(coef_alias: str, feats: list[str]) -> str:
     """Prediction from the centred form, which cancels less."""
     return f"({coef_alias}.ybar + (" + " + ".join(f"{coef_alias}.coef[{i + 1}] * ({f} - {coef_alias}.xbar[{i + 1}])" for i, f in enumerate(feats)) + "))"
