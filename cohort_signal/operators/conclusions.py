@@ -64,7 +64,7 @@ def conclusions(table: DataFrame) -> DataFrame:
     low, high, n = F.col("ci_low"), F.col("ci_high"), F.col("significant")
     top_least = F.least(F.abs("top_low"), F.abs("top_high"))
     grades = {
-        "significant_correlations": (1, "features_relate_to_outcome", F.when(n == F.col("tested"), "VERY HIGH").when(n > 0, "MODERATE").when(n.isNotNull(), "LOW")),
+        "significant_correlations": (1, "features_relate_to_outcome", F.when((n == F.col("tested")) & (n > 0), "VERY HIGH").when(n > 0, "MODERATE").when(n.isNotNull(), "LOW")),
         "strongest_r": (2, "among_the_strongest", F.when(low * high > 0, "HIGH").when(low.isNotNull(), "LOW")),
         "strongest_vs_second": (3, "strongest_of_all", F.when(F.col("p") < 0.05, "HIGH").when(F.col("p").isNotNull(), "MODERATE")),
         "weakest_r": (4, "weakest_of_all", F.when((F.col("top_low") * F.col("top_high") > 0) & (F.greatest(F.abs(low), F.abs(high)) < top_least), "HIGH")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,9 @@ COARSE_BLOCKS = 64              # first sketch; refined only for large groups
 ROWS_PER_BLOCK = 50_000         # target distinct values per block
 SKETCH_ACCURACY = 10000         # at least; four times the blocks beyond that
 SAMPLES_PER_BLOCK = 20          # sampled values per split, for types without a sketch
-# Distinct values per column up to which the built-in exact ``percentile``
-# aggregate is used: its buffer is a value -> count map, so its size is
-# bounded by the distinct count, checked first with a sketch.
-PERCENTILE_BUFFER_LIMIT = 500_000
+# Parts a stretch of values is counted in, values of one that are fetched.
+BUCKETS = 1024
+FETCH = 4096
 # Bounded side of a join that may be broadcast (rows).
 BROADCAST_ROW_LIMIT = 200_000
 # The same in numbers, where a row carries an array of split points (40 MB).
@@ -147,87 +147,113 @@ def row_rank(df: DataFrame, order_col: str, keys: Sequence[str] = (),
     return ranked.withColumn("_rank", F.col("_one_below").cast("long")).drop("_one", "_one_below")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    n_blocks: int | None = None,
-                    distinct_estimate: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation between order statistics
-    (the default of pandas/numpy), nulls and NaN skipped.
+@dataclass
+class _Stretch:
+    """Values of one column from ``lo`` to ``hi``: ``count`` of them, with the
+    positions that are looked for, relative to the stretch and in the column."""
+    feature: str
+    lo: float
+    hi: float
+    count: int
+    wanted: list[tuple[int, int]]
 
-    Returns {col: [q(prob) for prob in probs]}; only the order statistics
-    that are needed (2 per prob and column) reach the driver.
-    """
-    cols = list(cols)
-    if distinct_estimate is None:
-        est = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        distinct_estimate = {c: est[f"d{i}"] or 0 for i, c in enumerate(cols)}
-    small = [c for c in cols if distinct_estimate.get(c, 0) <= PERCENTILE_BUFFER_LIMIT]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")),
-                                    F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    big = [c for c in cols if c not in out]
-    if big:
-        out.update(_quantiles_by_rank(df, big, probs, n_blocks))
+
+def _counted(long: DataFrame, stretches: list[_Stretch]) -> list[_Stretch]:
+    """The parts of the stretches that hold their wanted positions: one pass
+    that counts each stretch in BUCKETS equal parts."""
+    spark = long.sparkSession
+    side = spark.createDataFrame([(s.feature, i, s.lo, s.hi) for i, s in enumerate(stretches)], "feature string, id int, lo double, hi double")
+    lo, hi, v = F.col("lo"), F.col("hi"), F.col("v")
+    share = (v * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5)  # halves, so that no difference overflows
+    part = F.least(F.lit(BUCKETS - 1), F.floor(share * F.lit(float(BUCKETS)))).cast("int")
+    inside = long.join(F.broadcast(side), "feature").filter((v >= lo) & (v <= hi))
+    rows = inside.groupBy("id", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    by: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["part"])):
+        by.setdefault(r["id"], []).append(r)
+    out = []
+    for i, s in enumerate(stretches):
+        below = 0
+        for r in by[i]:
+            here = [(at - below, pos) for at, pos in s.wanted if below <= at < below + r["c"]]
+            if here:
+                out.append(_Stretch(s.feature, r["lo"], r["hi"], r["c"], here))
+            below += r["c"]
     return out
 
 
-def _quantiles_by_rank(df: DataFrame, cols: list[str], probs: Sequence[float],
-                       n_blocks: int | None) -> dict[str, list[float | None]]:
-    """Distributed exact quantiles for columns with unbounded distinct
-    counts: rank the distinct values with ``prefix_sums`` and fetch only the
-    needed order statistics."""
-    long = (df.select(F.explode(F.array(*[
-                F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols
-            ])).alias("_kv")).select("_kv.feature", "_kv.v")
-            .filter(F.col("v").isNotNull() & ~F.isnan("v")))
-    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = prefix_sums(counts, ["feature"], "v", ["c"], n_blocks).cache()
-    n_by = {r["feature"]: int(r["n"]) for r in ranked.groupBy("feature").agg(F.sum("c").alias("n")).collect()}
-
-    wanted: dict[str, set[int]] = {}
-    for c in cols:
-        n = n_by.get(c, 0)
-        if n == 0:
-            continue
-        ks = set()
-        for p in probs:
-            lo = int(((n - 1) * p) // 1)
-            ks.update({lo, min(lo + 1, n - 1)})
-        wanted[c] = ks
-    if not wanted:
-        ranked.unpersist()
-        return {c: [None] * len(probs) for c in cols}
-    targets = df.sparkSession.createDataFrame(
-        [(c, sorted(ks)) for c, ks in wanted.items()], "feature string, ks array<long>")
-    hits = (ranked.join(F.broadcast(targets), "feature")
-            .filter(F.exists("ks", lambda k: (k >= F.col("c_below")) & (k < F.col("c_below") + F.col("c"))))
-            .select("feature", "v", "c", "c_below").collect())
-    ranked.unpersist()
-    at: dict[str, list[tuple[int, int, float]]] = {}
-    for r in hits:
-        at.setdefault(r["feature"], []).append((int(r["c_below"]), int(r["c"]), float(r["v"])))
-
-    def value_at(feature: str, k: int) -> float:
-        for lo, cnt, v in at[feature]:
-            if lo <= k < lo + cnt:
-                return v
-        raise RuntimeError("order statistic not found")
+def _order_statistics(long: DataFrame, stretches: list[_Stretch]) -> dict[tuple[str, int], float]:
+    """(column, position) -> value.  A stretch of equal values is settled; one
+    of at most FETCH values is fetched; the others are counted in parts."""
+    found: dict[tuple[str, int], float] = {}
+    fetch: list[_Stretch] = []
+    while stretches:
+        wide = []
+        for s in stretches:
+            if s.lo == s.hi:
+                found.update({(s.feature, pos): s.lo for _, pos in s.wanted})
+            elif s.count <= FETCH:
+                fetch.append(s)
+            else:
+                wide.append(s)
+        stretches = _counted(long, wide) if wide else []
+    if fetch:
+        side = long.sparkSession.createDataFrame([(s.feature, i, s.lo, s.hi) for i, s in enumerate(fetch)], "feature string, id int, lo double, hi double")
+        rows = long.join(F.broadcast(side), "feature").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select("id", "v").collect()
+        values: dict[int, list[float]] = {}
+        for r in rows:
+            values.setdefault(r["id"], []).append(r["v"])
+        for i, s in enumerate(fetch):
+            ordered = sorted(values[i])
+            found.update({(s.feature, pos): ordered[at] for at, pos in s.wanted})
+    return found
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation between order statistics
+    (the default of pandas/numpy), nulls and NaN skipped: {col: [q(prob) for
+    prob in probs]}, None for a column without values.
+
+    The order statistics of all columns are found together by counting: a
+    pass counts each open stretch of values in BUCKETS parts, the parts that
+    hold a wanted position are the next stretches, until at most FETCH values
+    are left of each.  No row is moved and no map of values is built; a pass
+    returns at most BUCKETS counts a wanted position."""
+    cols = list(cols)
+    held = df.select(*cols).persist()  # passed a few times
+    try:
+        return _quantiles(held, cols, probs)
+    finally:
+        held.unpersist()
+
 
+def _quantiles(df: DataFrame, cols: list[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    long = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_kv"))
+            .select("_kv.feature", "_kv.v").filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    finite = (F.col("v") > low) & (F.col("v") < high)
+    stats = {r["feature"]: r for r in long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == low).alias("below"), F.count_if(finite).alias("inner"),
+        F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")).collect()}
+    found: dict[tuple[str, int], float] = {}
+    stretches, places = [], {}
+    for c, r in stats.items():
+        places[c] = [((r["n"] - 1) * p) for p in probs]
+        positions = sorted({q for h in places[c] for q in (int(h), min(int(h) + 1, r["n"] - 1))})
+        found.update({(c, q): float("-inf") for q in positions if q < r["below"]})
+        found.update({(c, q): float("inf") for q in positions if q >= r["below"] + r["inner"]})
+        inside = [(q - r["below"], q) for q in positions if (c, q) not in found]
+        if inside:
+            stretches.append(_Stretch(c, r["lo"], r["hi"], r["inner"], inside))
+    found |= _order_statistics(long, stretches)
     out: dict[str, list[float | None]] = {}
     for c in cols:
-        n = n_by.get(c, 0)
-        if n == 0:
+        if c not in stats:
             out[c] = [None] * len(probs)
             continue
-        vals = []
-        for p in probs:
-            h = (n - 1) * p
-            lo = int(h // 1)
-            hi = min(lo + 1, n - 1)
-            vlo, vhi = value_at(c, lo), value_at(c, hi)
-            vals.append(vlo + (h - lo) * (vhi - vlo))
-        out[c] = vals
+        last = stats[c]["n"] - 1
+        out[c] = []
+        for h in places[c]:
+            a, b = found[c, int(h)], found[c, min(int(h) + 1, last)]
+            out[c].append(a if a == b or h == int(h) else a + (h - int(h)) * (b - a))
     return out

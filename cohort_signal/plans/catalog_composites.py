@@ -69,7 +69,7 @@ def q12_confidence_report(spark: SparkSession, sf_dir: str):
     return _evidence(spark, sf_dir)
 
 
-_GRADE = ("CASE statistic WHEN 'significant_correlations' THEN CASE WHEN n = tested THEN 'VERY HIGH' WHEN n > 0 THEN 'MODERATE' WHEN n IS NOT NULL THEN 'LOW' END "
+_GRADE = ("CASE statistic WHEN 'significant_correlations' THEN CASE WHEN n = tested AND n > 0 THEN 'VERY HIGH' WHEN n > 0 THEN 'MODERATE' WHEN n IS NOT NULL THEN 'LOW' END "
           "WHEN 'strongest_r' THEN CASE WHEN ci_low * ci_high > 0 THEN 'HIGH' WHEN ci_low IS NOT NULL THEN 'LOW' END "
           "WHEN 'strongest_vs_second' THEN CASE WHEN p < 0.05 THEN 'HIGH' WHEN p IS NOT NULL THEN 'MODERATE' END "
           "WHEN 'weakest_r' THEN CASE WHEN top_low * top_high > 0 AND greatest(abs(ci_low), abs(ci_high)) < least(abs(top_low), abs(top_high)) THEN 'HIGH' WHEN ci_low IS NOT NULL THEN 'MODERATE' END "

@@ -25,11 +25,11 @@ def test_prefix_sums_match_brute_force(spark, monkeypatch, rows_per_block, coars
         assert got[(k, v)] == sum(c for (k2, v2), c in pdf.items() if k2 == k and v2 < v)
 
 
-@pytest.mark.parametrize("force_rank", [False, True])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, force_rank):
-    if force_rank:
-        monkeypatch.setattr(ranking, "PERCENTILE_BUFFER_LIMIT", 0)
-        monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 10)
+@pytest.mark.parametrize("refined", [False, True])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, refined):
+    if refined:  # several counting passes, down to single values
+        monkeypatch.setattr(ranking, "BUCKETS", 3)
+        monkeypatch.setattr(ranking, "FETCH", 1)
     rng = np.random.default_rng(2)
     a = np.round(rng.normal(50, 10, 257), 1)
     rows = [(float(x), float(x) if i % 3 else None) for i, x in enumerate(a)]

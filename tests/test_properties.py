@@ -11,16 +11,22 @@ SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(He
 
 
 @SETTINGS
-@given(values=st.lists(st.integers(-5, 5), min_size=1, max_size=60),
-       rows_per_block=st.integers(1, 20), probs=st.lists(st.floats(0, 1), min_size=1, max_size=3))
-def test_quantiles_by_rank_match_numpy(spark, values, rows_per_block, probs):
-    ranking.ROWS_PER_BLOCK, saved = rows_per_block, ranking.ROWS_PER_BLOCK
+@given(values=st.lists(st.one_of(st.integers(-5, 5), st.floats(allow_nan=False)), min_size=1, max_size=60),
+       buckets=st.integers(2, 20), probs=st.lists(st.floats(0, 1), min_size=1, max_size=3))
+def test_refined_quantiles_match_numpy(spark, values, buckets, probs):
+    """Any finite or infinite values, with few parts a pass and nothing fetched."""
+    (ranking.BUCKETS, ranking.FETCH), saved = (buckets, 1), (ranking.BUCKETS, ranking.FETCH)
     try:
         df = spark.createDataFrame([(float(v),) for v in values], "x double")
-        got = ranking._quantiles_by_rank(df, ["x"], probs, 16)["x"]
+        got = ranking.exact_quantiles(df, ["x"], probs)["x"]
     finally:
-        ranking.ROWS_PER_BLOCK = saved
-    assert np.allclose(got, np.quantile(np.array(values, dtype=float), probs), atol=1e-12)
+        ranking.BUCKETS, ranking.FETCH = saved
+    ordered = sorted(float(v) for v in values)
+    for p, g in zip(probs, got):
+        h = (len(ordered) - 1) * p
+        lo, hi = ordered[int(h)], ordered[min(int(h) + 1, len(ordered) - 1)]
+        want = lo if lo == hi or h == int(h) else lo + (h - int(h)) * (hi - lo)
+        assert g == want or (np.isnan(g) and np.isnan(want))
 
 
 @SETTINGS
