@@ -10,6 +10,7 @@ from ..functions import clean
 from ..operators import conclusions, evaluate, explain, features, linear, risk, splits, stats, trees
 from ..session import cut_lineage
 from ..sources import fixtures as fx
+from ..sources import gradebooks
 from . import catalog_models as cm
 from . import catalog_pipelines as cp
 from . import catalog_relational as cr
@@ -241,3 +242,26 @@ def q11_no_outcome_tiers(spark: SparkSession, sf_dir: str):
     depth-5 forest of the others and the number in each fixed tier (F10)."""
     return cm.m15_predict_no_outcome(spark, sf_dir).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("mean_predicted"),
                                                                        F.min("predicted").alias("min_predicted"))
+
+
+# ---------------------------------------------------------------------------
+# Q6: extraction from several gradebooks
+# ---------------------------------------------------------------------------
+
+BOOKS = [gradebooks.Course("a", "course_a", {"a_final": fx.GRADEBOOK_EXAM_COLUMN, "a_midterm": "Midterm"}),
+         gradebooks.Course("b", "course_b", {"b_midterm": "Midterm, part 1 (201)", "b_final": "Final (202)"}),
+         gradebooks.Course("c", "course_c", {"c_quiz": "Quiz"}),
+         gradebooks.Course("d", "course_d", {"d_final": "Final"})]
+
+
+@query("q6_several_gradebooks", "SELECT c_custkey AS entity_id, c_name AS name, "
+       + f"CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN {p6('c_acctbal')} END AS a_final, NULL::DOUBLE AS a_midterm, "
+       "CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey * 3.0::DOUBLE END AS b_midterm, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN c_custkey % 100 + 0.5::DOUBLE END AS b_final, "
+       "CASE WHEN c_custkey % 4 = 0 THEN o.n::DOUBLE END AS c_quiz, NULL::DOUBLE AS d_final "
+       "FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey "
+       f"WHERE c_custkey BETWEEN {fx.GRADEBOOK_ID_RANGE[0]} AND {fx.GRADEBOOK_ID_RANGE[1]}")
+def q6_several_gradebooks(spark: SparkSession, sf_dir: str):
+    """The gradebook of each course found by name
+    among several, read under its own header, cleaned and merged over all
+    courses; a course without a gradebook and a missing exam give nulls."""
+    return gradebooks.extract_courses(spark, cr._gradebook_files(spark, sf_dir), BOOKS, fx.GRADEBOOK_ID_RANGE)

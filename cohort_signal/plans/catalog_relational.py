@@ -14,7 +14,7 @@ from ..operators.linear import contiguous_fold
 from ..operators.ranking import row_rank
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sources import io
+from ..sources import gradebooks, io
 from .catalog import p6, query
 from .oracle import (ATTEMPTS, CUR, EXAMS, EXAMS_NAMED, GRADEBOOK, MERGED, NAMED, OUTC, WIDE,
                      clip_sql, rev, row_mean_sql, row_var_sql, with_)
@@ -60,12 +60,12 @@ def s2_read_outcomes(spark: SparkSession, sf_dir: str):
 
 
 def _gradebook_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write the raw gradebook as two CSV files (two 'courses') in a
-    scratch folder under the shared checkpoint folder."""
+    """Gradebooks of three courses, each with a header of its own, and an
+    older one of the first course, in one scratch folder under the shared
+    checkpoint folder."""
     path = scratch_path(spark, "gradebooks")
-    gb = fx.raw_gradebook(spark, sf_dir)
-    io.write_table(gb, f"{path}/course_a_gradebook", fmt="csv", partitions=1)
-    io.write_table(gb.filter(F.length("Student") > 0), f"{path}/course_b_gradebook", fmt="csv", partitions=1)
+    for name, book in fx.course_gradebooks(spark, sf_dir).items():
+        io.write_table(book, f"{path}/{name}", fmt="csv")
     return path
 
 
@@ -76,12 +76,14 @@ def _na(x: str) -> str:
     return f"CASE WHEN {x} IN {_NA} THEN NULL ELSE {x} END"
 
 
-@query("s3_find_gradebook")
+@query("s3_find_gradebook", with_(GRADEBOOK) + "SELECT " + ", ".join(
+    f"{_na(c)} AS {c}" for c in ['"Student"', '"SIS Login ID"', '"Final Exam Score"']) + ", 'course_a_gradebook' AS source_file FROM gradebook")
 def s3_find_gradebook(spark: SparkSession, sf_dir: str):
-    """S3: pick the first file whose name contains the pattern (one
-    glob-filtered read), tagged with its source file."""
+    """S3: of several gradebooks the first, by name, whose name contains the
+    pattern, read under its own header and tagged with its name."""
     path = _gradebook_files(spark, sf_dir)
-    return io.read_matching_file(spark, f"{path}/course_a_gradebook", "part-")
+    name = gradebooks.choose(spark, path, ["course_a"])["course_a"]
+    return io.read_raw_gradebook(spark, f"{path}/{name}").withColumn("source_file", F.lit(name))
 
 
 @query("s4_read_gradebook_na", with_(GRADEBOOK) + "SELECT " + ", ".join(

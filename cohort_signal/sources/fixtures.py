@@ -123,6 +123,24 @@ def raw_gradebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(extra)
 
 
+def course_gradebooks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """R5 for several courses: name -> gradebook, all columns text.  Course a
+    is ``raw_gradebook``; b has other columns in another order and keys not
+    divisible by 3; c counts each customer's orders, for keys divisible by 4;
+    an older gradebook of course a sorts behind the current one."""
+    a = raw_gradebook(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    final = F.when(key % 5 == 0, "N/A").otherwise(F.concat((key % 100).cast("string"), F.lit(".5")))
+    b = c.filter(key % 3 != 0).select(F.col("c_name").alias("SIS Login ID"), F.lit("S1").alias("Section"),
+                                      (F.col("c_nationkey") * 3).cast("string").alias("Midterm, part 1 (201)"),
+                                      F.col("c_name").alias("Student"), final.alias("Final (202)"))
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("string").alias("Quiz"))
+    quiz = c.filter(key % 4 == 0).join(n, "c_custkey").select(F.col("c_name").alias("Student"), "Quiz", F.concat(F.lit(" "), "c_name").alias("SIS Login ID"))
+    old = c.select(F.col("c_name").alias("Student"), F.lit("0").alias(GRADEBOOK_EXAM_COLUMN), F.col("c_name").alias("SIS Login ID"))
+    return {"course_a_gradebook": a, "course_a_gradebook_old": old, "course_b_gradebook": b, "course_c_gradebook": quiz}
+
+
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with four numeric text features over the whole
     text: characters, words, lines and digit share."""
