@@ -79,6 +79,33 @@ def nway_outer(tables: Mapping[str, DataFrame], key: str = KEY) -> DataFrame:
     return pivot_long(long_scores(tables, key), feats, key)
 
 
+def merge_tagged(rows: DataFrame, group: str, groups: Sequence[str], values: Sequence[str], key: str = KEY) -> DataFrame:
+    """J3 from tagged rows, one per entity and group, in one aggregate however
+    many groups: every entity with a value in any group, its first name in the
+    order of the groups, and ``<group>_<value>`` columns, null where absent."""
+    order = F.lit(None).cast("int")
+    for i, g in enumerate(groups):
+        order = F.when(F.col(group) == g, F.lit(i)).otherwise(order)
+    some = F.coalesce(*[F.col(v) for v in values]).isNotNull() & F.col(group).isin(list(groups))
+    return rows.filter(some).groupBy(key).agg(
+        F.min_by("name", F.when(F.col("name").isNotNull(), order)).alias("name"),
+        *[F.max(F.when(F.col(group) == g, F.col(v))).alias(f"{g}_{v}") for g in groups for v in values])
+
+
+def attach_tagged(rows: DataFrame, features: Sequence[str], key: str = KEY, tag: str = "feature", value: str = "value", base: str = "base") -> DataFrame:
+    """J7 from tagged rows, (key, tag, value): one row per entity of the base
+    (a row tagged ``base``) with a column per feature, null where it has none;
+    one aggregate instead of a join per feature."""
+    wide = rows.groupBy(key).agg(F.max((F.col(tag) == base).cast("int")).alias("_base"),
+                                 *[F.max(F.when(F.col(tag) == f, F.col(value))).alias(f) for f in features])
+    return wide.filter("_base = 1").drop("_base")
+
+
+def distinct_members(rows: DataFrame, group: str, groups: Sequence, key: str = KEY) -> DataFrame:
+    """U2 from tagged rows: the distinct keys of any of the groups, one scan."""
+    return rows.filter(F.col(group).isin(list(groups))).select(key).distinct()
+
+
 def coalesce_update(base: DataFrame, update: DataFrame, cols: Sequence[str], key: str = KEY) -> DataFrame:
     """Left join new values, keep the old value where the new one is
     null (a re-run never erases data)."""

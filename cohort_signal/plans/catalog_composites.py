@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import conclusions, evaluate, explain, features, linear, risk, splits, stats, trees
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx
-from ..sources import gradebooks
+from ..sources import gradebooks, io
 from . import catalog_models as cm
 from . import catalog_pipelines as cp
 from . import catalog_relational as cr
@@ -265,3 +265,12 @@ def q6_several_gradebooks(spark: SparkSession, sf_dir: str):
     among several, read under its own header, cleaned and merged over all
     courses; a course without a gradebook and a missing exam give nulls."""
     return gradebooks.extract_courses(spark, cr._gradebook_files(spark, sf_dir), BOOKS, fx.GRADEBOOK_ID_RANGE)
+
+
+@query("s8_write_report", cm.Q5_SQL)
+def s8_write_report(spark: SparkSession, sf_dir: str):
+    """Write the at-risk report as CSV, riskiest first, read its text back
+    and give it the types that were written."""
+    report = pl.early_warning(spark, sf_dir)
+    path = io.write_table(report, scratch_path(spark, "at_risk"), fmt="csv")
+    return io.with_types(io.read_assessments(spark, path, fmt="csv", key="entity_id"), report.schema)

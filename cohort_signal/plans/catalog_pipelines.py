@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators import attempts as att
 from ..operators import cohort, evaluate, features, linear, profile, risk, splits, stats, trees
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx
 from ..sources import io
 from . import catalog_models as cm
@@ -206,7 +206,7 @@ def _improvements(spark, sf_dir):
     ex = fx.exam_scores(spark, sf_dir, with_name=False).join(fx.outcomes(spark, sf_dir), "entity_id")
     imp = ex.select("entity_id", "outcome", *[rowwise.improvement(f"{c}_final", f"{c}_midterm").alias(f"{c}_improvement")
                                               for c in fx.COURSES])
-    return imp.withColumn("avg_improvement", rowwise.row_mean(IMP))
+    return cut_lineage(imp.withColumn("avg_improvement", rowwise.row_mean(IMP)))
 
 
 @query("q10_improvement_trend", _q10_sql())

@@ -12,7 +12,7 @@ from ..operators import attempts as att
 from ..operators import cohort, features, profile, risk
 from ..operators.linear import contiguous_fold
 from ..operators.ranking import row_rank
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx
 from ..sources import gradebooks, io
 from .catalog import p6, query
@@ -116,25 +116,19 @@ def s6_reread_merged(spark: SparkSession, sf_dir: str):
     return io.read_assessments(spark, path, key="entity_id")
 
 
-@query("s7_write_csv")
+@query("s7_write_csv", with_(WIDE, NAMED, OUTC, MERGED) + f"SELECT entity_id, name, {_scores()}, {p6('outcome')} AS outcome FROM merged")
 def s7_write_csv(spark: SparkSession, sf_dir: str):
-    """Write the merged table as headed CSV and read it back (strings)."""
+    """Write the merged table as headed CSV, read its text back and give
+    it the types that were written."""
     _, _, merged = _merged(spark, sf_dir)
     path = io.write_table(merged, scratch_path(spark, "merged_csv"), fmt="csv")
-    return io.read_assessments(spark, path, fmt="csv", key="entity_id")
+    return io.with_types(io.read_assessments(spark, path, fmt="csv", key="entity_id"), merged.schema)
 
 
-@query("s8_write_report")
-def s8_write_report(spark: SparkSession, sf_dir: str):
-    """Write the sorted at-risk report as CSV; read back."""
-    from .pipelines import early_warning
-    path = io.write_table(early_warning(spark, sf_dir), scratch_path(spark, "at_risk"), fmt="csv",
-                          order_by=[F.col("risk_score").desc(), F.col("entity_id")])
-    return io.read_assessments(spark, path, fmt="csv", key="entity_id")
-
-
-def _merged(spark, sf_dir):
-    wide = fx.wide_scores(spark, sf_dir)
+def _merged(spark, sf_dir, keep: bool = False):
+    """Wide scores, outcomes, their merge; ``keep`` writes the wide table once
+    for queries that read it twice."""
+    wide = cut_lineage(fx.wide_scores(spark, sf_dir)) if keep else fx.wide_scores(spark, sf_dir)
     out = fx.outcomes(spark, sf_dir)
     return wide, out, cohort.merge(wide, out)
 
@@ -348,15 +342,6 @@ def j2_current_cohort(spark: SparkSession, sf_dir: str):
     return cohort.current_cohort(fx.wide_scores(spark, sf_dir), fx.outcomes(spark, sf_dir))
 
 
-def _course_tables(spark, sf_dir):
-    ex = fx.exam_scores(spark, sf_dir)
-    out = {}
-    for c in fx.COURSES:
-        m, f = f"{c}_midterm", f"{c}_final"
-        out[c] = ex.filter(F.col(m).isNotNull() | F.col(f).isNotNull()).select("entity_id", "name", m, f)
-    return out
-
-
 def _j3_sql() -> str:
     parts = [f"c_{c} AS (SELECT entity_id, name, {c}_midterm, {c}_final FROM exams_named WHERE {c}_midterm IS NOT NULL OR {c}_final IS NOT NULL)" for c in fx.COURSES]
     q = "j0 AS (SELECT * FROM c_signup)"
@@ -370,8 +355,9 @@ def _j3_sql() -> str:
 
 @query("j3_nway_outer", _j3_sql())
 def j3_nway_outer(spark: SparkSession, sf_dir: str):
-    """N-way full outer join of per-course tables (union + one pivot)."""
-    return cohort.nway_outer(_course_tables(spark, sf_dir)).select("entity_id", "name", *EX)
+    """N-way full outer join of the courses: rows tagged with their course,
+    merged in one aggregate."""
+    return cohort.merge_tagged(fx.course_scores(spark, sf_dir), "course", fx.COURSES, ["midterm", "final"]).select("entity_id", "name", *EX)
 
 
 @query("j4_outer_attempts", with_(EXAMS, ATTEMPTS, A8) + f"SELECT entity_id, {_exams()}, " + ", ".join(A8_COLS) + " FROM exams FULL OUTER JOIN a8s USING (entity_id)")
@@ -400,15 +386,9 @@ def j5_coalesce_update(spark: SparkSession, sf_dir: str):
 @query("j6_attach_scores", with_(WIDE, NAMED, OUTC, MERGED) + f"SELECT m.entity_id, m.name, round_even(m.outcome, 0)::INTEGER AS predicted, {THS} AS threshold, {p6(rev(f'({THS} - round_even(m.outcome, 0)) / {THS}', 3))} AS risk_score, round_even(m.outcome, 0) < {THS} AS at_risk, {_scores('w.')} FROM merged m LEFT JOIN wide w USING (entity_id)")
 def j6_attach_scores(spark: SparkSession, sf_dir: str):
     """Risk report left-joined back to raw scores (name not duplicated)."""
-    _, _, m = _merged(spark, sf_dir)
+    wide, _, m = _merged(spark, sf_dir, keep=True)
     rep = risk.flag_at_risk(m.select("entity_id", "name", risk.rounded_prediction(F.col("outcome")).alias("predicted")), TH)
-    return cohort.attach_scores(rep, fx.wide_scores(spark, sf_dir))
-
-
-def _flag_tables(spark, sf_dir):
-    flags = fx.remediation_flags(spark, sf_dir)
-    cols = [c for c in flags.columns if c != "entity_id"]
-    return {c: flags.select("entity_id", c).filter(F.col(c).isNotNull()) for c in cols}, cols
+    return cohort.attach_scores(rep, wide)
 
 
 FLAGS = "flags AS (SELECT o_custkey AS entity_id, " + ", ".join(
@@ -424,30 +404,25 @@ def _j7_sql():
 
 @query("j7_many_left_joins", _j7_sql())
 def j7_many_left_joins(spark: SparkSession, sf_dir: str):
-    """One narrow flag column per table, attached to the base in one
-    union + pivot + join instead of N left joins."""
-    tables, cols = _flag_tables(spark, sf_dir)
-    long = None
-    for c, t in tables.items():
-        part = t.select("entity_id", F.lit(c).alias("feature"), F.col(c).cast("int").alias("value"))
-        long = part if long is None else long.unionByName(part)
-    wide = long.groupBy("entity_id").agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in cols])
-    base = fx.wide_scores(spark, sf_dir, with_name=False).select("entity_id")
-    return base.join(wide, "entity_id", "left")
+    """Many narrow columns attached to a base: base and columns as tagged
+    rows of one scan, one aggregate instead of N left joins."""
+    tags = [F.struct(F.lit("base").alias("feature"), F.lit(1).alias("value")),
+            *[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in FLAG_COLS]]
+    rows = fx.order_facts(spark, sf_dir).select("entity_id", F.explode(F.array(*tags)).alias("t")).select("entity_id", "t.*")
+    return cohort.attach_tagged(rows.filter(F.col("value").isNotNull()), FLAG_COLS)
 
 
 @query("u1_stack_cohorts", with_(WIDE, NAMED, OUTC, MERGED, CUR) + f"SELECT entity_id, name, {_scores()}, {p6('outcome')} AS outcome FROM merged UNION ALL SELECT entity_id, name, {_scores()}, NULL::DOUBLE AS outcome FROM cur")
 def u1_stack_cohorts(spark: SparkSession, sf_dir: str):
     """Historical cohort stacked over the current one by column name."""
-    wide, out, m = _merged(spark, sf_dir)
+    wide, out, m = _merged(spark, sf_dir, keep=True)
     return cohort.stack_cohorts(m, cohort.current_cohort(wide, out))
 
 
 @query("u2_distinct_keys", with_(ATTEMPTS) + "SELECT DISTINCT entity_id FROM (SELECT entity_id FROM attempts WHERE attempt_no = 1 UNION ALL SELECT entity_id FROM attempts WHERE attempt_no = 2 UNION ALL SELECT entity_id FROM attempts WHERE attempt_no = 3)")
 def u2_distinct_keys(spark: SparkSession, sf_dir: str):
     """Distinct ids across the per-attempt rosters."""
-    a = fx.attempts(spark, sf_dir)
-    return cohort.distinct_keys(*[a.filter(F.col("attempt_no") == i) for i in (1, 2, 3)])
+    return cohort.distinct_members(fx.attempts(spark, sf_dir), "attempt_no", (1, 2, 3))
 
 
 @query("u3_key_difference", with_(WIDE, OUTC) + "SELECT entity_id FROM wide EXCEPT SELECT entity_id FROM outc")
@@ -624,8 +599,7 @@ def a15_total_remediations(spark: SparkSession, sf_dir: str):
     + [f"SELECT '{c}' AS feature, 'remediated' AS kind, sum({c})::BIGINT AS n FROM wf" for c in FLAG_COLS]))
 def a16_availability(spark: SparkSession, sf_dir: str):
     """Entities with a value per score; remediated entities per flag."""
-    wf = fx.wide_scores(spark, sf_dir, with_name=False).join(fx.remediation_flags(spark, sf_dir), "entity_id")
-    return features.availability(wf, SC, FLAG_COLS)
+    return features.availability(fx.order_facts(spark, sf_dir), SC, FLAG_COLS)
 
 
 @query("a17_kde", with_(WIDE, NAMED, OUTC, MERGED) + (

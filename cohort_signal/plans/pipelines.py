@@ -56,13 +56,14 @@ def load_and_merge(spark: SparkSession, sf_dir: str,
 
     The wide table (one row per entity, aggregated from every order) feeds
     half a dozen small fit jobs and the scoring pass; with ``materialize``
-    it is checkpointed once to the shared checkpoint folder so the order
-    table is aggregated a single time."""
+    it and the merge are checkpointed once to the shared checkpoint folder, so
+    the order table is aggregated and joined a single time."""
     wide = fixtures.wide_scores(spark, sf_dir)
     if materialize:
         wide = cut_lineage(wide)
     out = fixtures.outcomes(spark, sf_dir)
-    return wide, out, cohort.merge(wide, out)
+    merged = cohort.merge(wide, out)
+    return wide, out, cut_lineage(merged) if materialize else merged
 
 
 def train_linear(prep: Prepared, test_percent: int = 20) -> linear.LinearFit:

@@ -59,6 +59,31 @@ def wide_scores(spark: SparkSession, sf_dir: str, with_name: bool = True) -> Dat
         "entity_id", "name", *SCORE_COLUMNS)
 
 
+FLAG_COLUMNS = [c.replace("s_", "") + "_remediation" for c in SCORE_COLUMNS]
+
+
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1, R7 and the attempt counts of R4 from one scan of the orders and one
+    aggregate: entity_id, score per priority, flag per priority, n_attempts."""
+    orders = table(spark, sf_dir, "orders")
+    prio, value = F.col("o_orderpriority"), F.col("o_totalprice") / F.lit(SCORE_DIVISOR)
+    finished = (F.col("o_orderstatus") == "F").cast("int")
+    return orders.groupBy(F.col("o_custkey").alias("entity_id")).agg(
+        *[F.avg(F.when(prio == p, value)).alias(c) for p, c in PRIORITY_COLUMNS.items()],
+        *[F.max(F.when(prio == p, finished)).alias(c) for p, c in zip(PRIORITY_COLUMNS, FLAG_COLUMNS)],
+        F.count_if(prio == "1-URGENT").alias("n_attempts"))
+
+
+def course_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 in long form, one row per entity and course: entity_id, name, course,
+    midterm, final; one scan of events and one of customers."""
+    first_half = F.dayofmonth("ts") <= MIDTERM_LAST_DAY
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin(COURSES))
+    scores = ev.groupBy(F.col("user_id").alias("entity_id"), F.col("event_type").alias("course")).agg(
+        F.avg(F.when(first_half, F.col("value"))).alias("midterm"), F.avg(F.when(~first_half, F.col("value"))).alias("final"))
+    return scores.join(names(spark, sf_dir), "entity_id", "left")
+
+
 def exam_scores(spark: SparkSession, sf_dir: str, with_name: bool = True) -> DataFrame:
     """R2: per user, mean event value in the first half of the month
     (``<course>_midterm``) and in the second half (``<course>_final``)."""
@@ -175,8 +200,6 @@ def remediation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retake_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``needed_retake`` = more than one urgent attempt, over entities
     with at least one attempt, joined to the wide scores."""
-    n = (attempts(spark, sf_dir).groupBy("entity_id")
-         .agg(F.count(F.lit(1)).alias("n_attempts")))
-    return (wide_scores(spark, sf_dir, with_name=False).join(n, "entity_id", "inner")
+    return (order_facts(spark, sf_dir).select("entity_id", *SCORE_COLUMNS, "n_attempts")
             .filter(F.col("n_attempts") > 0)
             .withColumn("needed_retake", (F.col("n_attempts") > 1).cast("int")))

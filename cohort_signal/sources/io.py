@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The tokens a default CSV reader of the reference's toolkit
 # (pandas ``read_csv``) turns into a missing value, matched on the raw field.
@@ -46,6 +47,11 @@ def read_assessments(spark: SparkSession, path: str, fmt: str = "parquet",
     return require_columns(_read(spark, path, fmt), [key], "assessment table")
 
 
+def with_types(df: DataFrame, schema: StructType) -> DataFrame:
+    """A table of texts with the names and types of ``schema``."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_outcomes(spark: SparkSession, path: str, fmt: str = "parquet",
                   key: str = "entity_id", outcome: str = "outcome") -> DataFrame:
     """Outcome table, validated for key and outcome columns."""
