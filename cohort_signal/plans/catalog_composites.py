@@ -17,7 +17,8 @@ from . import catalog_relational as cr
 from . import catalog_stats as cs
 from . import pipelines as pl
 from .catalog import p6, query, significant
-from .oracle import auc_summary_sql, cv_sql, normal_p_sql, with_
+from .oracle import (OUTC, auc_summary_sql, centred_sql, cv_sql, in_test, normal_p_sql, refined_ctes, row_var_sql, stars_sql,
+                     t_p_sql, with_)
 
 EX, SC, TH = cm.EX, cm.SC, cm.TH
 #: Repeats of the cross-validations, as the reference runs them.
@@ -274,3 +275,88 @@ def s8_write_report(spark: SparkSession, sf_dir: str):
     report = pl.early_warning(spark, sf_dir)
     path = io.write_table(report, scratch_path(spark, "at_risk"), fmt="csv")
     return io.with_types(io.read_assessments(spark, path, fmt="csv", key="entity_id"), report.schema)
+
+
+# ---------------------------------------------------------------------------
+# Q7: the enhanced table
+# ---------------------------------------------------------------------------
+
+FORMATIVE = [c.replace("s_", "") + "_formative" for c in SC]
+
+
+def _enhanced_sql() -> str:
+    cols = []
+    for (prio, c), f, flag in zip(fx.PRIORITY_COLUMNS.items(), FORMATIVE, cr.FLAG_COLS):
+        of = f"o_orderpriority = '{prio}'"
+        score = "o_totalprice / 5000.0"
+        cols += [f"coalesce(avg(CASE WHEN {of} AND o_orderstatus = 'F' THEN {score} END), avg(CASE WHEN {of} THEN {score} END)) AS {c}",
+                 f"avg(CASE WHEN {of} AND o_orderstatus = 'O' THEN {score} END) AS {f}",
+                 f"max(CASE WHEN {of} THEN (o_orderstatus = 'F')::INTEGER END) AS {flag}"]
+    inner = f"SELECT o_custkey AS entity_id, {', '.join(cols)} FROM orders GROUP BY o_custkey"
+    return ("SELECT entity_id, " + ", ".join(f"{p6(c)} AS {c}" for c in SC + FORMATIVE) + ", " + ", ".join(cr.FLAG_COLS)
+            + ", (" + " + ".join(f"coalesce({c}, 0)" for c in cr.FLAG_COLS) + f")::INTEGER AS total_remediations FROM ({inner})")
+
+
+@query("q7_enhanced_table", _enhanced_sql())
+def q7_enhanced_table(spark: SparkSession, sf_dir: str):
+    """The scores with a re-run's values over the old
+    ones where it has any, the numeric add-on scores, the remediation flags and
+    their total: one row per entity from one scan.  The re-run's values are
+    those of finished orders, the add-on scores those of open ones."""
+    orders = fx.table(spark, sf_dir, "orders")
+    prio, status, value = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice") / F.lit(fx.SCORE_DIVISOR)
+    finished = (status == "F").cast("int")
+    aggs = []
+    for (p, c), f, flag in zip(fx.PRIORITY_COLUMNS.items(), FORMATIVE, cr.FLAG_COLS):
+        old, new = F.avg(F.when(prio == p, value)), F.avg(F.when((prio == p) & (status == "F"), value))
+        aggs += [F.coalesce(new, old).alias(c), F.avg(F.when((prio == p) & (status == "O"), value)).alias(f), F.max(F.when(prio == p, finished)).alias(flag)]
+    table = orders.groupBy(F.col("o_custkey").alias("entity_id")).agg(*aggs)
+    return table.select("entity_id", *SC, *FORMATIVE, *cr.FLAG_COLS, features.total_flags(cr.FLAG_COLS).alias("total_remediations"))
+
+
+@query("q7_formative_tests", with_("en AS (" + _enhanced_sql() + ")", OUTC, "exo AS (SELECT en.*, outcome FROM en JOIN outc USING (entity_id))",
+                                   cs._corr_cte(FORMATIVE), f"pt AS (SELECT feature, n, r, {cs.T_OF_R} AS t FROM ct WHERE n > 10)", f"pp AS (SELECT *, {t_p_sql('t', '(n - 2)')} AS p FROM pt)")
+       + f"SELECT feature, n, {p6('r')} AS r, {p6('t')} AS t, {p6('p')} AS p, {stars_sql('p')} AS stars FROM pp")
+def q7_formative_tests(spark: SparkSession, sf_dir: str):
+    """Pearson test of each numeric add-on score against the outcome
+    (more than 10 pairs)."""
+    rows = q7_enhanced_table(spark, sf_dir).join(fx.outcomes(spark, sf_dir), "entity_id")
+    return stats.pearson_tests(rows, FORMATIVE, "outcome", min_pairs=10)
+
+
+# ---------------------------------------------------------------------------
+# Q8: coefficients and residuals of the gradebook-world model
+# ---------------------------------------------------------------------------
+
+def _gradebook_fit(spark: SparkSession, sf_dir: str) -> tuple[linear.LinearFit, DataFrame]:
+    """Least squares on the training rows, scaled with the training rows'
+    constants, and all rows with split and prediction."""
+    table, feats = cp._q8_table(spark, sf_dir)
+    table = cut_lineage(table.withColumn("split", splits.split_column(table, "entity_id")))
+    train = table.filter(F.col("split") == "train")
+    sc = features.fit_scaler(train, feats, extra_means=["outcome"])
+    fit = linear.fit_least_squares(train, feats, "outcome", [sc.mean[c] for c in feats], [sc.scale(c) for c in feats], sc.extra["outcome"])
+    return fit, table.select("entity_id", "split", "outcome", fit.predict().alias("pred"))
+
+
+@query("q8_coefficients", digits=5)
+def q8_coefficients(spark: SparkSession, sf_dir: str):
+    """The 15 largest coefficients of the gradebook-world
+    model (least norm, its features depend on each other exactly)."""
+    fit, _ = _gradebook_fit(spark, sf_dir)
+    return explain.coefficients(spark, fit).filter("rank <= 15")
+
+
+# The exam mean and the improvements are sums of the exams, so the fitted
+# values are those of the model without them.
+FREE = EX + ["exam_var", "exam_min", "exam_max"]
+GB_CTES = [*cm.EXAM_BASE, f"gb AS (SELECT *, {row_var_sql(EX)} AS exam_var, least({', '.join(EX)}) AS exam_min, greatest({', '.join(EX)}) AS exam_max FROM cc)",
+           f"gtrain AS (SELECT * FROM gb QUALIFY NOT {in_test()})", "gst AS (SELECT " + ", ".join(f"stddev_pop({c}) AS sd{i}" for i, c in enumerate(FREE)) + " FROM gtrain)",
+           *refined_ctes("gf", "gtrain", FREE, "outcome", "gst"), f"gp AS (SELECT g.entity_id, {cm.SPLIT} AS split, outcome, {centred_sql('gf_coef', FREE)} AS pred FROM gb g CROSS JOIN gf_coef)"]
+
+
+@query("q8_residuals", with_(*GB_CTES) + f"SELECT entity_id, split, {p6('outcome', 4)} AS outcome, {p6('pred', 4)} AS pred, {p6('outcome - pred', 4)} AS residual FROM gp", decimals=4)
+def q8_residuals(spark: SparkSession, sf_dir: str):
+    """Actual, predicted and residual of each complete entity."""
+    _, scored = _gradebook_fit(spark, sf_dir)
+    return scored.withColumn("residual", F.col("outcome") - F.col("pred"))
