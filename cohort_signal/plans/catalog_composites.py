@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import conclusions, evaluate, explain, features, linear, risk, splits, stats, trees
+from ..operators import conclusions, evaluate, explain, features, linear, profile, risk, splits, stats, trees
 from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx
 from ..sources import gradebooks, io
@@ -17,8 +17,8 @@ from . import catalog_relational as cr
 from . import catalog_stats as cs
 from . import pipelines as pl
 from .catalog import p6, query, significant
-from .oracle import (OUTC, auc_summary_sql, centred_sql, cv_sql, in_test, normal_p_sql, refined_ctes, row_var_sql, stars_sql,
-                     t_p_sql, with_)
+from .oracle import (EXAMS, OUTC, auc_summary_sql, centred_sql, cv_sql, in_test, normal_p_sql, refined_ctes, row_mean_sql,
+                     row_var_sql, stars_sql, t_p_sql, with_)
 
 EX, SC, TH = cm.EX, cm.SC, cm.TH
 #: Repeats of the cross-validations, as the reference runs them.
@@ -360,3 +360,28 @@ def q8_residuals(spark: SparkSession, sf_dir: str):
     """Actual, predicted and residual of each complete entity."""
     _, scored = _gradebook_fit(spark, sf_dir)
     return scored.withColumn("residual", F.col("outcome") - F.col("pred"))
+
+
+# ---------------------------------------------------------------------------
+# Q10: histogram and trend of the improvement
+# ---------------------------------------------------------------------------
+
+IMPROVED = [EXAMS, OUTC, "io0 AS (SELECT entity_id, " + ", ".join(f"{c}_final - {c}_midterm AS {c}_improvement" for c in fx.COURSES) + ", outcome FROM exams JOIN outc USING (entity_id))",
+            f"io AS (SELECT *, outcome >= {cm.THS} AS passed, {row_mean_sql(cp.IMP)} AS avg_improvement FROM io0)"]
+
+
+@query("q10_improvement_histogram", with_(*IMPROVED) + cr._hist_sql("avg_improvement", "io", 15, "passed"))
+def q10_improvement_histogram(spark: SparkSession, sf_dir: str):
+    """Average improvement in 15 bins, passers and failers apart on
+    the same edges."""
+    rows = cp._improvements(spark, sf_dir).withColumn("passed", F.col("outcome") >= TH)
+    return profile.histogram(rows, "avg_improvement", 15, by="passed")
+
+
+@query("q10_improvement_line", with_(*IMPROVED) + (
+    "SELECT k::INTEGER AS k, " + p6("slope") + " AS slope, " + p6("intercept") + " AS intercept, " + p6("lo + k * (hi - lo) / 99.0") + " AS x, "
+    + p6("intercept + slope * (lo + k * (hi - lo) / 99.0)") + " AS y_hat FROM (SELECT regr_slope(outcome, avg_improvement) AS slope, regr_intercept(outcome, avg_improvement) AS intercept, "
+    "min(avg_improvement) FILTER (WHERE outcome IS NOT NULL) AS lo, max(avg_improvement) FILTER (WHERE outcome IS NOT NULL) AS hi FROM io) CROSS JOIN range(0, 100) t(k)"))
+def q10_improvement_line(spark: SparkSession, sf_dir: str):
+    """The outcome's trend over the average improvement."""
+    return profile.trend_line(cp._improvements(spark, sf_dir), "avg_improvement", "outcome")
