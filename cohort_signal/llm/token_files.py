@@ -24,13 +24,16 @@ an empty table gives no files and no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,93 +46,135 @@ SEQUENCE = 2048
 END_ID = 2
 #: Sequences of one record batch (4 MB of 16-bit ids).
 BATCH_SEQUENCES = 1024
-#: Pieces a worker keeps with their ids before it starts anew (about 120 MB).
+#: Rows that are encoded together.
+ROWS = 2048
+#: Pieces a worker keeps with their ids before it starts anew (about 100 MB).
 CACHE_LIMIT = 600_000
-#: Pieces encoded in one call.
-JOINED = 1000
-
-_ASCII_SPACE = re.compile("[ \t\n\r]+")
-#: White space to Python that tokenizers keep as text.
-_KEPT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Letters whose lower case depends on their place or has more than one letter.
-_ODD_CASE = ("\u03a3", "\u0130")
-_CLOSING = ".,;:!?"
+#: Words encoded in one call, parted by spaces.
+JOINED = 100
+
+#: Characters whose lower case depends on their place or has more than one
+#: letter, white space to Python that tokenizers keep as text, and the start of
+#: the special tokens' names: texts that hold one are encoded whole.
+_WHOLE = ("\u03a3", "\u0130", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Above it letters are not parted from closing marks.
+_LAST_LETTER = "\u0590"
+#: Fixed value: words, digits and runs of other marks, as the public file states them.
+_PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encodes_by_piece(path: str) -> bool:
+    """Whether a tokenizer file states that texts are brought to NFC and lower
+    case, that white space parts them and is dropped, and that letters, digits
+    and other marks never share a token that ends a word."""
+    with open(path, encoding="utf-8") as f:
+        stated = json.load(f)
+    kinds = [n.get("type") for n in (stated.get("normalizer") or {}).get("normalizers", [])]
+    first = ((stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("pattern") == {"Regex": _PIECE_PATTERN}
+            and first.get("behavior") == "Removed" and first.get("invert") is True and stated["model"].get("end_of_word_suffix") == "</w>"
+            and all(t["content"].startswith("<|") for t in stated.get("added_tokens", [])))
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer file of the ``tokenizers`` library.
 
-    For a tokenizer that lower-cases, drops white space and never joins
-    across it or across a letter and a closing mark (``by_piece``), a text's
-    ids are those of its white-space separated pieces in order; each distinct
-    piece is encoded once and remembered, a closing mark apart from its word.
-    Words are encoded many at a time and parted at the ids that end a word."""
+    For a tokenizer of the kind of ``encodes_by_piece`` a text's ids are those
+    of its white-space separated pieces in order, and those of a piece that
+    ends in marks behind a letter or digit are those of both parts.  The texts
+    of a slice are split and their distinct pieces found by Arrow; each
+    distinct piece is encoded once and remembered by number; ids are gathered
+    by number.  Words are encoded many at a time and parted at the ids that
+    end a word.  Other texts (``_WHOLE``, not in NFC) are encoded whole."""
 
     def __init__(self, path: str, by_piece: bool) -> None:
+        # a task is one thread
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_piece = by_piece
-        self.pieces: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, self.width)
+        #: first byte of each piece's ids, and the end of the last
+        self.borders = np.zeros(2, np.int64)
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words of letters only."""
+    def _learn(self, pieces: list[str]) -> None:
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
         groups = [words[at:at + JOINED] for at in range(0, len(words), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.asarray(e.ids, self.width)
-            cuts = (np.nonzero(self.ends[ids])[0] + 1) * self.width.itemsize
-            if len(cuts) != len(group):
-                yield from zip(group, self._bytes(group))
-                continue
-            data, at = ids.tobytes(), 0
-            for word, cut in zip(group, cuts.tolist()):
-                yield word, data[at:cut]
-                at = cut
-
-    def _learn(self, pieces: set[str]) -> None:
-        known = self.pieces
-        words, others, closed = set(), [], []
-        for p in pieces:
-            if p != p.lower():  # a text whose case was left alone
-                others.append(p)
-            elif p.isalpha():
-                words.add(p)
-            elif p[-1:] in _CLOSING and p[:-1].isalpha():
-                closed.append(p)
-                if p[:-1] not in known:
-                    words.add(p[:-1])
-                if p[-1] not in known:
-                    others.append(p[-1])
+        ids, sizes = [], []
+        for group, together in zip(groups, self._each([" ".join(g) for g in groups])):
+            cuts = np.flatnonzero(self.ends[together]) + 1
+            if len(cuts) == len(group):
+                ids.append(together)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                others.append(p)
-        known.update(self._words(list(words)))
-        known.update(zip(others, self._bytes(others)))
-        for p in closed:
-            known[p] = known[p[:-1]] + known[p[-1]]
-
-    def _split(self, text: str) -> list[str]:
-        if not any(c in text for c in _ODD_CASE):
-            text = text.lower()
-        return _ASCII_SPACE.split(text) if any(c in text for c in _KEPT_SPACE) else text.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of self.width."""
-        if not self.by_piece:
-            return self._bytes(texts)
-        split = [self._split(t) for t in texts]
-        if len(self.pieces) > CACHE_LIMIT:
-            self.pieces.clear()
-        missing = set().union(*split).difference(self.pieces)
+                apart = self._each(group)
+                ids += apart
+                sizes.append(np.array([len(a) for a in apart], np.int64))
+        apart = self._each(others)
+        ids += apart
+        sizes.append(np.array([len(a) for a in apart], np.int64))
+        self.numbers.update(zip(words + others, range(len(self.numbers), len(self.numbers) + len(pieces))))
+        self.borders = np.concatenate([self.borders, self.borders[-1] + np.cumsum(np.concatenate(sizes)) * self.width.itemsize])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def _known(self) -> pa.LargeBinaryArray:
+        """The ids of all remembered pieces by number."""
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.numbers), [None, pa.py_buffer(self.borders), pa.py_buffer(self.ids)])
+
+    @staticmethod
+    def _part(piece: str) -> tuple[str, str]:
+        """(piece without closing marks, closing marks), or (piece, "")."""
+        stem = piece.rstrip(_CLOSING)
+        if len(stem) == len(piece) or not stem:
+            return piece, ""
+        last = stem[-1]
+        return (stem, piece[len(stem):]) if "0" <= last <= "9" or (last < _LAST_LETTER and last.isalpha()) else (piece, "")
+
+    def _by_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased texts in NFC -> (ids of all, number of ids of each)."""
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        pieces = split.flatten().dictionary_encode()
+        parts = [(p, "") if p[-1:].isalpha() else self._part(p) for p in pieces.dictionary.to_pylist()]
+        if len(self.numbers) > CACHE_LIMIT:
+            self._forget()
+        missing = {p for both in parts for p in both}.difference(self.numbers)
         if missing:
-            self._learn(missing)
-        return [b"".join(map(self.pieces.__getitem__, s)) for s in split]
+            self._learn(list(missing))
+        number, known = self.numbers, self._known()
+        front, back = (known.take(pa.array([number[p[side]] for p in parts], pa.int64())) for side in (0, 1))
+        in_order = pc.binary_join_element_wise(front, back, pa.scalar(b"", pa.large_binary())).take(pieces.indices)
+        borders = np.frombuffer(in_order.buffers()[1], np.int64, len(in_order) + 1)
+        ids = np.frombuffer(in_order.buffers()[2] or b"", self.width, borders[-1] // self.width.itemsize)
+        return ids, np.diff(borders[split.offsets.to_numpy()]) // self.width.itemsize
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, of self.width; number of ids of each)."""
+        lower = [t.lower() for t in texts]
+        fast = [self.by_piece and not any(w in t for w in _WHOLE) and (t.isascii() or (is_normalized("NFC", t) and is_normalized("NFC", low)))
+                for t, low in zip(texts, lower)]
+        if texts and all(fast):
+            return self._by_piece(lower)
+        sizes = np.zeros(len(texts), np.int64)
+        rest = iter(self._each([t for t, f in zip(texts, fast) if not f]))
+        some = np.array(fast, bool)
+        ids, sizes[some] = self._by_piece([t for t, f in zip(lower, fast) if f])
+        parts = iter(np.split(ids, np.cumsum(sizes[some])[:-1]) if some.any() else [])
+        found = [next(parts) if f else next(rest) for f in fast]
+        return np.concatenate([np.zeros(0, self.width), *found]), np.array([len(f) for f in found], np.int64)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -199,23 +244,19 @@ def _write(folder: str, vocab: str, by_piece: bool, sequence: int) -> Callable[[
         fs.create_dir(base, recursive=True)
         name = f"{base}/{uuid.uuid4().hex}"
         enc = encoder(vocab, by_piece)
-        end = np.asarray([END_ID], enc.width).tobytes()
         out = index = index_sink = None
         first = last = None
         docs = tokens = 0
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             ids = batch.column("doc_id").to_pylist()
-            lengths = []
-            for data in enc.encode([t or "" for t in batch.column("text").to_pylist()]):
+            if ids:
                 if out is None:
                     out = _SequenceFile(fs, name + ".arrow", enc.width, sequence)
                     index_sink = fs.open_output_stream(name + ".index.arrow")
                     index = pa.ipc.new_file(index_sink, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-                out.add(data)
-                out.add(end)
-                lengths.append(len(data) // enc.width.itemsize + 1)
-            if ids:
-                n = np.asarray(lengths, np.int64)
+                data, n = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+                out.add(np.insert(data, np.cumsum(n), END_ID).tobytes())
+                n = n + 1
                 index.write_batch(pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(tokens + np.cumsum(n) - n), "n_tokens": pa.array(n)}))
                 first, last = ids[0] if first is None else first, ids[-1]
                 docs, tokens = docs + len(ids), tokens + int(n.sum())
@@ -229,15 +270,17 @@ def _write(folder: str, vocab: str, by_piece: bool, sequence: int) -> Callable[[
     return run
 
 
-def write_token_files(docs: DataFrame, vocab: str, folder: str | None = None, by_piece: bool = True, sequence: int = SEQUENCE) -> DataFrame:
+def write_token_files(docs: DataFrame, vocab: str, folder: str | None = None, by_piece: bool | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """Write the files and return their manifest, one row per file in doc_id
     order: path (without the ending .arrow / .index.arrow), first_id, last_id,
     n_docs, n_tokens and start (ids of all files before it).
 
     ``folder`` defaults to a new one under the session's checkpoint folder;
-    any URI of a file system that pyarrow knows will do."""
+    any URI of a file system that pyarrow knows will do.  ``by_piece`` is read
+    from the tokenizer file unless given."""
     spark = docs.sparkSession
     ship(spark)
+    by_piece = encodes_by_piece(vocab) if by_piece is None else by_piece
     folder = folder or scratch_path(spark, "tokens")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     ranged = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

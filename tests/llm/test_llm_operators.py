@@ -361,6 +361,23 @@ def test_token_files(spark):
     assert token_files.token_files_with_digests(docs_of(spark, []), WORD_BPE).count() == 0
 
 
+def test_pieces_are_encoded_like_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_LIMIT", 300)
+    enc = token_files.Encoder(WORD_BPE, token_files.encodes_by_piece(WORD_BPE))
+    assert enc.by_piece and not token_files.encodes_by_piece(public_tokenizers.path("byte_bpe_50k.json"))
+    atoms = ["a", "B", "\u00e9", "e\u0301", "J\u030c", "\u03a3", "\u0130", "\u212a", "\u212b", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\u200b", " ", "\t", "\n",
+             "'s", "'", "'ll", ".", ",", "!!", "$$$", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "7", "12", "\xbd", "\u0661", "\u4e2d", "\ud55c", "\U0001f600",
+             "\u0301", "\xdf", "\u1e9e", "\ufb01", "\x00", "-", "word", "Hello", "\u02b0", "\xaa", "\u2014"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(atoms, k=rng.randrange(14))) for _ in range(6000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at:at + 500]
+        ids, sizes = enc.encode(part)
+        whole = [e.ids for e in enc.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in whole]
+        assert ids.tolist() == [i for w in whole for i in w]
+
+
 def test_nearest_recall_and_ties(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
