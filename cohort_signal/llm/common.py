@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from cohort_signal.session import scratch_path
 WORD_CACHE_LIMIT = 400_000
 #: Rows of one Arrow batch that are handled at a time.
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch where rows are wide.
+BATCH_BYTES = 4 << 20
 
 _SHINGLE_MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -48,6 +51,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs started inside send rows to Python in batches of at most about
+    ``size`` bytes (a longer row is a batch of its own): a batch is held by the
+    JVM, on the way and in Python, by every running task at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered per worker up to WORD_CACHE_LIMIT."""
 

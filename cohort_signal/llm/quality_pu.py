@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, texts_of
+from .common import SLICE_ROWS, ship, slices, texts_of
 
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 40_000
@@ -177,20 +177,23 @@ def is_held_out(doc_id: Column) -> Column:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.record_batch({"x": pa.array([statistics(t) for t in texts_of(batch)], pa.list_(pa.float64()))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "x": pa.array([statistics(t) for t in texts_of(batch)], pa.list_(pa.float64()))})
 
 
 def _sample(df: DataFrame, most: int, part: int) -> DataFrame:
-    """About ``most`` rows by a hash of the id (all, if fewer); never over twice that."""
+    """About ``most`` rows by a hash of the id (all, if fewer)."""
     total = df.count()
     if total <= most:
         return df
     cut = int(most / total * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED + part)), F.lit(1 << 30)) < cut).limit(2 * most)
+    return df.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED + part)), F.lit(1 << 30)) < cut)
 
 
-def _matrix(texts: DataFrame) -> np.ndarray:
-    col = texts.select("text").mapInArrow(_featurise, "x array<double>").toArrow().column("x").combine_chunks()
+def _matrix(texts: DataFrame, most: int) -> np.ndarray:
+    """Statistics of at most ``most`` texts in the order of their ids; no text
+    leaves the task that reads it."""
+    rows = texts.select("doc_id", "text").mapInArrow(_featurise, "doc_id long, x array<double>").limit(most).toArrow()
+    col = rows.sort_by("doc_id").column("x").combine_chunks()
     return np.asarray(col.flatten()).reshape(-1, N_FEATURES)
 
 
@@ -201,15 +204,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.filter(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-    good = _sample(good.filter(~is_held_out(F.col("doc_id"))).select("doc_id"), MAX_POSITIVE, 1)
+    good = _sample(good.filter(~is_held_out(F.col("doc_id"))).select("doc_id"), MAX_POSITIVE, 1).limit(2 * MAX_POSITIVE)
     # at most 2 * MAX_POSITIVE ids
-    positive = _matrix(src.join(F.broadcast(good.distinct()), "doc_id", "left_semi"))
-    unlabelled = _matrix(_sample(src, MAX_UNLABELLED, 2))
+    positive = _matrix(src.join(F.broadcast(good.distinct()), "doc_id", "left_semi"), 2 * MAX_POSITIVE)
+    unlabelled = _matrix(_sample(src, MAX_UNLABELLED, 2), 2 * MAX_UNLABELLED)
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled)
 
 
+def _scores(model: Model | None, texts: list[bytes | None]) -> pa.Array:
+    x = np.array([statistics(t) for t in texts]).reshape(-1, N_FEATURES)
+    return pa.array(model.score(x) if model is not None else np.full(len(x), 0.5), pa.float64())
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     ship(docs.sparkSession)
@@ -217,9 +225,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([statistics(t) for t in texts_of(batch)]).reshape(-1, N_FEATURES)
-            s = model.score(x) if model is not None else np.full(len(x), 0.5)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s, pa.float64())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": _scores(model, texts_of(batch))})
 
     scored = src.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -228,16 +234,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, all columns kept.
-    Scores travel beside the rows, so nothing is shuffled."""
+    Only texts go to Python and only scores come back; nothing is shuffled."""
     ship(docs.sparkSession)
     model = train(docs, labels)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            x = np.array([statistics(t) for t in texts]).reshape(-1, N_FEATURES)
-            s = model.score(x) if model is not None else np.full(len(x), 0.5)
-            yield batch.filter(pa.array(s >= THRESHOLD))
+    @F.arrow_udf("double")
+    def score_of(text: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.float64()), *(_scores(model, text.slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist())
+                                                               for at in range(0, len(text), SLICE_ROWS))])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score_of(F.col("text").cast("string")) >= THRESHOLD)
