@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE_LIMIT, materialise, mix64, ship, slices
+from .common import WORD_CACHE_LIMIT, materialise, mix64, ship, slices, unused_name
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("11111", "110111", "1101011")
@@ -229,5 +229,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any verified overlap, all their columns kept."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti")
+    bad_id = unused_name(docs, "bad_id")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(bad_id), "left_anti")

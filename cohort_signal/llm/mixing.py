@@ -35,7 +35,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused_name
 
 BUCKET = 4096
 SEED = 17
@@ -118,13 +118,19 @@ def draw(docs: DataFrame, levels: list[str], weights: Mapping[tuple, float], bud
     return running.select("doc_id", *levels, "n_tokens", (F.col("epochs") + fits.cast("long")).alias("copies"))
 
 
-def mix(docs: DataFrame, levels: list[str], weights: Mapping[tuple, float], budget_share: float, max_epochs: int, seed: int = SEED) -> DataFrame:
-    """The drawn documents with all their columns, each as often as drawn."""
-    drawn = draw(docs, levels, weights, budget_share, max_epochs, seed)
-    times = drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+def take(docs: DataFrame, drawn: DataFrame, max_epochs: int) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``drawn``
+    (a result of ``draw``) says for its id and token count."""
     docs = docs.filter(F.col("doc_id").isNotNull())
+    id_, tokens, copies = (unused_name(docs, c) for c in ("drawn_id", "drawn_tokens", "drawn_copies"))
+    times = drawn.groupBy(F.col("doc_id").alias(id_), F.col("n_tokens").alias(tokens)).agg(F.max("copies").alias(copies))
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (token_count(F.col("text").cast("string")) == F.col(tokens))
     if max_epochs == 1:
-        return docs.join(times.filter("__copies = 0"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    out = docs.join(times.filter("__copies > 0"), F.col("doc_id").cast("long") == F.col("__id"))
-    out = out.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return docs.join(times.filter(F.col(copies) > 0), same, "left_semi")
+    out = docs.join(times.filter(F.col(copies) > 0), same)
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(id_, tokens, copies)
+
+
+def mix(docs: DataFrame, levels: list[str], weights: Mapping[tuple, float], budget_share: float, max_epochs: int, seed: int = SEED) -> DataFrame:
+    """The drawn documents with all their columns, each as often as drawn."""
+    return take(docs, draw(docs, levels, weights, budget_share, max_epochs, seed), max_epochs)

@@ -35,7 +35,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused_name
 
 #: Attempts after which the check raises instead of leaving a collision.
 MAX_ATTEMPTS = 50
@@ -205,19 +205,21 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
 
 
 def protect(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text rewritten and a column n_replaced added."""
+    """``docs`` with the text rewritten and a column n_replaced added (in place
+    of one of that name)."""
     text = F.col(text_col).cast("string")
     docs = docs.filter(F.col(id_col).isNotNull())
     found = materialise(docs.select(F.col(id_col).alias("id"), entities(text).alias("found")).filter(F.size("found") > 0)
                         .select("id", F.explode(F.array_distinct("found")).alias("value")), "found")
     table = surrogate_table(found.select("value"), key)
-    maps = found.distinct().join(table, "value").groupBy(F.col("id").alias("__id")).agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map"))
+    map_id, map_ = unused_name(docs, "map_id"), unused_name(docs, "map")
+    maps = found.distinct().join(table, "value").groupBy(F.col("id").alias(map_id)).agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias(map_))
     whole = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     between = F.split(text, ANY, -1)
     rewritten = F.concat(between[0], F.array_join(F.transform(
-        whole, lambda e, i: F.concat(F.coalesce(F.col("__map")[e], e), F.get(between, i + 1))), ""))
-    out = docs.join(maps, F.col(id_col) == F.col("__id"), "left")
-    hit = F.col("__map").isNotNull()
+        whole, lambda e, i: F.concat(F.coalesce(F.col(map_)[e], e), F.get(between, i + 1))), ""))
+    out = docs.join(maps, F.col(id_col) == F.col(map_id), "left")
+    hit = F.col(map_).isNotNull()
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_replaced")],
-                      F.when(hit, rewritten).otherwise(text).alias(text_col), F.when(hit, F.size(F.filter(whole, lambda e: F.col("__map")[e].isNotNull()))).otherwise(0).alias("n_replaced"))
+                      F.when(hit, rewritten).otherwise(text).alias(text_col), F.when(hit, F.size(F.filter(whole, lambda e: F.col(map_)[e].isNotNull()))).otherwise(0).alias("n_replaced"))
