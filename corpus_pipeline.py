@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_signal.llm import decontaminate, mixing, near_dedup, quality_pu, token_files
-from cohort_signal.llm.common import materialise
+from cohort_signal.llm.common import materialise, small_batches, unused_name
 from cohort_signal.llm.queries import MIX_LEVELS, MIX_WEIGHTS, with_domain
 
 #: Share of the remaining tokens that the mix may use, each document once.
@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each near-duplicate group."""
-    surplus = near_dedup.near_duplicates(docs, threshold_pct=NEAR_PCT).filter(~F.col("kept")).select(F.col("doc_id").alias("__surplus"))
-    return docs.join(surplus, F.col("doc_id") == F.col("__surplus"), "left_anti")
+    surplus_id = unused_name(docs, "surplus_id")
+    surplus = near_dedup.near_duplicates(docs, threshold_pct=NEAR_PCT).filter(~F.col("kept")).select(F.col("doc_id").alias(surplus_id))
+    return docs.join(surplus, F.col("doc_id").cast("long") == F.col(surplus_id), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn for the target weights."""
-    return mixing.mix(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET_SHARE, max_epochs=1).select(*docs.columns)
+    return mixing.take(docs, mixing.draw(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET_SHARE, max_epochs=1), max_epochs=1)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = materialise(stage(spark, out, sf_dir), f"pipeline-{name}")
+    with small_batches(spark):
+        for name, stage in STAGES:
+            out = materialise(stage(spark, out, sf_dir), f"pipeline-{name}")
     return out
 
 
