@@ -8,7 +8,7 @@ these), so a text never needs a regular expression.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -73,6 +73,22 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
+#: What this worker remembers from task to task: owner -> how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def only(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called where ``owner``'s tasks begin: a worker serves the tasks of many
+    stages in turn, and what those of others remember is dropped here, so that
+    it holds one such table at a time."""
+    others = [o for o in _REMEMBERED if o != owner]
+    for other in others:
+        _REMEMBERED.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+    _REMEMBERED[owner] = forget
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered per worker up to WORD_CACHE_LIMIT."""
 
@@ -86,6 +102,11 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def only_words() -> None:
+    """``only`` for tasks that hash words."""
+    only("words", _WORDS.clear)
+
+
 def ascii_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE_LIMIT, materialise, mix64, ship, slices, unused_name
+from .common import WORD_CACHE_LIMIT, materialise, mix64, only, ship, slices, unused_name
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("11111", "110111", "1101011")
@@ -123,6 +123,7 @@ def _places(bitmap: np.ndarray | None, masks: list[int]) -> Callable[[Iterator[p
     those of an item, by the masks for its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens", _TOKENS.clear)
         for batch in slices(batches):
             ids, sizes, poss, hashes, before, after = [], [], [], [], [], []
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):

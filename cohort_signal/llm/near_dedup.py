@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingle_set, ship, slices, texts_of
+from .common import materialise, mix64, only_words, shingle_set, ship, slices, texts_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -108,6 +108,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_words()
         for batch in slices(batches):
             sets = [shingle_set(t, SHINGLE) for t in texts_of(batch)]
             sig = signatures(sets)
@@ -125,6 +126,7 @@ def _sign(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only_words()
     for batch in slices(batches):
         yield pa.record_batch({
             "node": batch.column("doc_id"),
@@ -146,6 +148,7 @@ def _confirm(threshold_pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     """Pairs with both full sets -> those at or above the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_words()
         for batch in slices(batches):
             keep = [_near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold_pct)
                     for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]

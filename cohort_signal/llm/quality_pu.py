@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, ship, slices, texts_of
+from .common import SLICE_ROWS, only, ship, slices, texts_of
 
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 40_000
@@ -176,6 +176,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("quality")
     for batch in slices(batches):
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "x": pa.array([statistics(t) for t in texts_of(batch)], pa.list_(pa.float64()))})
 
@@ -240,6 +241,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.arrow_udf("double")
     def score_of(text: pa.Array) -> pa.Array:
+        only("quality")
         return pa.concat_arrays([pa.array([], pa.float64()), *(_scores(model, text.slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist())
                                                                for at in range(0, len(text), SLICE_ROWS))])
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cohort_signal.session import scratch_path
 
-from .common import materialise, ship, slices
+from .common import materialise, only, ship, slices
 
 SEQUENCE = 2048
 END_ID = 2
@@ -48,8 +48,10 @@ END_ID = 2
 BATCH_SEQUENCES = 1024
 #: Rows that are encoded together.
 ROWS = 2048
-#: Pieces a worker keeps with their ids before it starts anew (about 100 MB).
-CACHE_LIMIT = 600_000
+#: Pieces a worker keeps with their ids before it starts anew (about 60 MB).
+CACHE_LIMIT = 300_000
+#: Texts of one call of the tokenizer, whose result takes about 150 bytes a token.
+CALL = 100
 #: Words encoded in one call, parted by spaces.
 JOINED = 100
 
@@ -108,7 +110,8 @@ class Encoder:
         self.borders = np.zeros(2, np.int64)
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.width) for at in range(0, len(texts), CALL)
+                for e in self.tokenizer.encode_batch_fast(texts[at:at + CALL], add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         words = [p for p in pieces if p.isalpha()]
@@ -182,6 +185,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str, by_piece: bool) -> Encoder:
     """One per worker process."""
+    only("encoders", _ENCODERS.clear)
     key = (path, by_piece)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, by_piece)
