@@ -48,8 +48,8 @@ END_ID = 2
 BATCH_SEQUENCES = 1024
 #: Rows that are encoded together.
 ROWS = 2048
-#: Pieces a worker keeps with their ids before it starts anew (about 60 MB).
-CACHE_LIMIT = 300_000
+#: Pieces a worker keeps with their ids before it starts anew (about 80 MB).
+CACHE_LIMIT = 500_000
 #: Texts of one call of the tokenizer, whose result takes about 150 bytes a token.
 CALL = 100
 #: Words encoded in one call, parted by spaces.
