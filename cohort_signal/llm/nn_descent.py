@@ -16,16 +16,21 @@ one long vector does not drown the others.
 
 Searching.  A query starts at its own vector's node, if it has one, and at
 vectors of its hash buckets and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
-of the best nodes not yet expanded and keeps the best BEAM; it ends when the
-best EXPAND nodes are all expanded.  Scores are sums of double products in
-coordinate order on the original vectors.
+of the best nodes not yet expanded and keeps the best; it ends when the
+best EXPAND nodes are all expanded.  How many must be expanded depends on the
+vectors (clustered ones few, uniform ones of many dimensions many), so the
+search measures itself: the answers of SAMPLE queries are compared with all
+vectors, and while they hold less than ENOUGH of the truly nearest, all queries
+go on from where they stand with twice as many nodes and seeds.  Scores are
+sums of double products in coordinate order on the original vectors.
 
 Scale: equal vectors collapse into one node first (a vector held by a third of
 the rows is one node) and are expanded again at the end, up to as many least
 ids as a result can use.  A centre with many reverse neighbours is dealt into
 groups of about GROUP members, a hash bucket likewise; a task holds one group.
 All merging is grouped maxima and row numbers with limits.  Nothing but counts
-reaches the driver.  Measured recall at 20 (``tests/llm``, README): over 0.9.
+and the SAMPLE queries' vectors reaches the driver; comparing these with all
+vectors is one pass of the nodes.  Measured recall at 20 (``tests/llm``, README): over 0.9.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, nor do null ids; of rows that
@@ -54,7 +59,11 @@ GROUP = 128
 BEST_OF_GROUP = 6
 ROUNDS = 8
 DONE = 0.01
-BEAM, EXPAND, SEEDS = 64, 32, 8
+EXPAND, SEEDS = 32, 8
+#: Queries compared with all vectors, and the share of their nearest from which on a search is wide enough.
+SAMPLE, ENOUGH = 200, 0.95
+#: Vectors compared with the sample at a time.
+SCAN_ROWS = 4096
 SEED = 5
 
 
@@ -188,9 +197,48 @@ def build(nodes: DataFrame) -> Index:
     return Index(nodes, edges.select("id", "nbr", "sim"), codes, planes)
 
 
-def search(index: Index, queries: DataFrame) -> DataFrame:
-    """``queries``: (query_id, vec).  (query_id, id, score): the BEAM best
-    nodes found for each query, unordered."""
+def _nearest_of_batch(asked: np.ndarray, ids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each batch of nodes the k of largest inner product for every row of
+    ``asked``, whose nodes are ``ids``; a row's own node is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCAN_ROWS):
+                batch = whole.slice(at, SCAN_ROWS)
+                x = np.asarray(batch.column("vec").flatten(), np.float64).reshape(batch.num_rows, -1)
+                held = batch.column("id").to_numpy()
+                scores = asked @ x.T
+                scores[ids[:, None] == held] = -np.inf
+                m = min(k, batch.num_rows)
+                best = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+                values = np.take_along_axis(scores, best, axis=1).ravel()
+                keep = values > -np.inf
+                yield pa.record_batch({"query_id": pa.array(np.repeat(ids, m)[keep]), "id": pa.array(held[best].ravel()[keep]), "score": pa.array(values[keep])})
+
+    return run
+
+
+def _truth(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor, most) of SAMPLE queries, of which ``query_id`` is the
+    node: the score of the k-th nearest other node of all, a little less for
+    rounding, and how many there are (k, or all if fewer)."""
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).collect()
+    schema = "query_id long, id long, score double"
+    if sample:
+        asked = np.array([r["vec"] for r in sample], np.float64)
+        found = nodes.mapInArrow(_nearest_of_batch(asked, np.array([r["query_id"] for r in sample], np.int64), k), schema)
+    else:
+        found = nodes.sparkSession.createDataFrame([], schema)
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = found.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k)
+    slack = F.max(F.abs("score")) * 1e-12
+    return materialise(best.groupBy("query_id").agg((F.min("score") - slack).alias("floor"), F.count(F.lit(1)).alias("most")), "truth")
+
+
+def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """``queries``: (query_id, vec), ``query_id`` the node of ``vec``.
+    (query_id, id, score): the best nodes found for each query, at least k + 1
+    if there are so many, unordered."""
     spark = queries.sparkSession
     ship(spark)
     both = index.edges.select("id", "nbr", "sim").union(index.edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")).distinct()
@@ -199,34 +247,49 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     links = materialise(both.withColumn("r", F.row_number().over(by_sim)).filter(F.col("r") <= 2 * K).select("id", "nbr"), "links")
     queries = materialise(queries.select("query_id", "vec"), "queries")
     nodes = index.nodes
+    n = nodes.count()
+    truth = _truth(nodes, queries, k)
+    wanted = truth.agg(F.sum("most")).first()[0] or 0
 
     asked = queries.withColumnRenamed("query_id", "id").mapInArrow(
         _codes(index.planes), f"id long, vec {queries.schema['vec'].dataType.simpleString()}, codes array<long>")
     asked = asked.select(F.col("id").alias("query_id"), F.posexplode("codes").alias("t", "code"))
-    nearest = Window.partitionBy("t", "code").orderBy(F.xxhash64("id", "t"), "id")
-    entries = index.codes.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= SEEDS)
-    starts = asked.join(entries, ["t", "code"]).select("query_id", "id")
-    own = queries.join(nodes.select("id", F.col("vec").alias("node_vec")), F.col("vec") == F.col("node_vec")).select("query_id", "id")
+    drawn = Window.partitionBy("t", "code").orderBy(F.xxhash64("id", "t"), "id")
+    by_length = F.desc(inner_product(F.col("vec"), F.col("vec")))
 
-    longest = nodes.orderBy(F.desc(inner_product(F.col("vec"), F.col("vec"))), "id").limit(SEEDS).select("id")
-    starts = starts.union(queries.select("query_id").crossJoin(F.broadcast(longest)))
+    def starts(seeds: int) -> DataFrame:
+        entries = index.codes.withColumn("r", F.row_number().over(drawn)).filter(F.col("r") <= seeds)
+        longest = nodes.orderBy(by_length, "id").limit(seeds).select("id")
+        return asked.join(entries, ["t", "code"]).select("query_id", "id").union(queries.select("query_id").crossJoin(F.broadcast(longest)))
 
     def scored(pairs: DataFrame) -> DataFrame:
         return (pairs.join(nodes, "id").join(queries.withColumnRenamed("vec", "q"), "query_id")
                 .select("query_id", "id", inner_product(F.col("q"), F.col("vec")).alias("score"), F.lit(False).alias("done")))
 
+    def merged(beam: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+        fresh = pairs.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        # nodes that have fallen out of the beam may be scored again, which changes nothing
+        return beam.select("query_id", "id", "score", "done").union(scored(fresh)).withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= width)
+
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    beam = materialise(scored(starts.union(own).distinct()).withColumn("r", F.row_number().over(by_score)), "beam")
+    own = queries.select("query_id", F.col("query_id").alias("id"))
+    expand, seeds = max(EXPAND, k + 1), SEEDS
+    beam = materialise(scored(starts(seeds).union(own).distinct()).withColumn("r", F.row_number().over(by_score)), "beam")
     while True:
-        open_ = beam.filter((F.col("r") <= EXPAND) & ~F.col("done"))
-        if open_.isEmpty():
-            break
-        reached = open_.join(links, "id").select("query_id", F.col("nbr").alias("id")).distinct()
-        fresh = reached.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        kept = beam.select("query_id", "id", "score", (F.col("done") | (F.col("r") <= EXPAND)).alias("done"))
-        # nodes that have fallen out of the beam may be scored again, which changes nothing
-        beam = materialise(kept.union(scored(fresh)).withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= BEAM * 2), "beam")
-    return beam.filter(F.col("r") <= BEAM).select("query_id", "id", "score")
+        while True:
+            open_ = beam.filter((F.col("r") <= expand) & ~F.col("done"))
+            if open_.isEmpty():
+                break
+            reached = open_.join(links, "id").select("query_id", F.col("nbr").alias("id")).distinct()
+            marked = beam.withColumn("done", F.col("done") | (F.col("r") <= expand))
+            beam = materialise(merged(marked, reached, 4 * expand), "beam")
+        # of equal scores any will do
+        held = (beam.join(F.broadcast(truth), "query_id").filter("id <> query_id and score >= floor")
+                .groupBy("query_id").agg(F.least(F.count(F.lit(1)), F.first("most")).alias("held")).agg(F.sum("held")).first()[0] or 0)
+        if held >= ENOUGH * wanted or expand >= n:
+            return beam.select("query_id", "id", "score")
+        expand, seeds = 2 * expand, 2 * seeds
+        beam = materialise(merged(beam, starts(seeds).distinct(), 4 * expand), "beam")
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -238,7 +301,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
     # equal vectors have the same answers up to the ids: a query's vector is searched once
     asked = rows.filter(queries)
     asked_nodes = nodes.join(asked.select("vec").distinct(), "vec", "left_semi")
-    found = search(index, asked_nodes.select(F.col("id").alias("query_id"), "vec"))
+    found = search(index, asked_nodes.select(F.col("id").alias("query_id"), "vec"), k)
 
     # at most the k + 1 least ids of equal vectors can be in a result
     member = rows.join(nodes, "vec").select("vec_id", "id")

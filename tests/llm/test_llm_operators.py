@@ -422,6 +422,26 @@ def test_nearest_recall_with_one_long_vector(spark):
     assert hits / 2000 >= 0.9
 
 
+def test_nearest_recall_without_clusters(spark, monkeypatch):
+    # begins too narrow for these vectors, as the usual width is for more of them
+    monkeypatch.setattr(nn_descent, "EXPAND", 1)
+    monkeypatch.setattr(nn_descent, "SEEDS", 1)
+    rng = np.random.default_rng(3)
+    n = 1500
+    x = rng.uniform(-1, 1, size=(n, 192)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in nn_descent.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    d = x.astype(np.float64)
+    hits = 0
+    for q in range(0, n, 20):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & got[q])
+    assert hits / n >= 0.9
+
+
 def fill(weights, caps, budget):
     """Water-filling by repeated passes."""
     out, open_ = {}, {k for k in caps if weights[k] > 0}
