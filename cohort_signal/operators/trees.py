@@ -23,8 +23,8 @@ from .evaluate import regression_metrics
 
 FEATURES_COL = "_features"
 MAX_BINS = 128
-#: Rows a task of a fold fit takes at least, where the table has them.
-ROWS_PER_TASK = 50_000
+#: Rows a task of a fit takes at least, where the table has them, and at most.
+ROWS_PER_TASK, MOST_ROWS_PER_TASK = 50_000, 1_000_000
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -32,6 +32,19 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL).transform(df)
 
 
+def fit_tasks(rows: int, cores: int) -> int:
+    """Tasks of a fit on ``rows`` rows.  Every task sends the statistics of all
+    nodes, whatever rows it has (features x bins x nodes of all trees: hundreds
+    of MB for a forest), so there are no more tasks than cores, unless they
+    would get too large."""
+    return max(1, math.ceil(rows / MOST_ROWS_PER_TASK), min(math.ceil(rows / ROWS_PER_TASK), cores))
+
+
+def for_fits(df: DataFrame) -> DataFrame:
+    """``df`` in ``fit_tasks`` tasks, persisted."""
+    return df.coalesce(fit_tasks(df.count(), df.sparkSession.sparkContext.defaultParallelism)).persist()
+
+
 def random_forest(df: DataFrame, features: Sequence[str], label: str, n_trees: int = 100,
                   max_depth: int = 10, seed: int = 42):
     """M4: random forest regressor."""
@@ -105,9 +118,7 @@ def cv_trees(df: DataFrame, features: Sequence[str], label: str, fold_cols: Sequ
     """M5 / M6 of a tree ensemble: (rep, fold, n_test, r2, mae), as
     ``linear.repeated_cv`` gives for a linear model.  ``fit`` takes a training
     table and returns a model on ``features``."""
-    narrow = df.select(*features, label, *fold_cols)
-    # many small jobs read this table: as few tasks as its rows need
-    data = narrow.coalesce(max(1, math.ceil(narrow.count() / ROWS_PER_TASK))).persist()
+    data = for_fits(df.select(*features, label, *fold_cols))
     try:
         models = fold_models(data, fold_cols, k, fit)
         scored = held_out(data, features, label, fold_cols, models)

@@ -143,21 +143,15 @@ def q8_gradebook_model(spark: SparkSession, sf_dir: str):
 def q8_gradebook_cv(spark: SparkSession, sf_dir: str):
     """Q8 / M5: unshuffled 5-fold CV (contiguous in key order, from
     distributed ranks) of OLS (fold moments) and of a depth-5 forest (one
-    Spark ML fit per fold); mean and std of fold R^2 and MAE per model."""
+    Spark ML fit per fold, side by side); mean and std of fold R^2 and MAE per model."""
     from ..operators.ranking import row_rank
     t, feats = _q8_table(spark, sf_dir)
     n = t.count()
     ranked = row_rank(t.select("entity_id"), "entity_id")
-    t = t.join(ranked.select("entity_id", linear.contiguous_fold(F.col("_rank"), F.lit(n), 5).alias("fold")),
-               "entity_id").cache()
+    t = trees.for_fits(t.join(ranked.select("entity_id", linear.contiguous_fold(F.col("_rank"), F.lit(n), 5).alias("fold")), "entity_id"))
     ols = linear.cv_linear(t, feats, "outcome", "fold").select("fold", "r2", "mae").withColumn("model", F.lit("linear"))
-    parts = []
-    for k in range(5):
-        model = trees.random_forest(t.filter(F.col("fold") != k), feats, "outcome", max_depth=5)
-        parts.append(trees.predict(model, t.filter(F.col("fold") == k), feats, "pred").select("fold", "outcome", "pred"))
-    rf_pred = parts[0]
-    for p_ in parts[1:]:
-        rf_pred = rf_pred.unionByName(p_)
+    models = trees.fold_models(t, ["fold"], 5, lambda d: trees.random_forest(d, feats, "outcome", max_depth=5))
+    rf_pred = trees.held_out(t, feats, "outcome", ["fold"], models)
     rf = evaluate.regression_metrics(rf_pred, "outcome", "pred", ["fold"]).select("fold", "r2", "mae") \
         .withColumn("model", F.lit("random_forest"))
     return linear.cv_summary(ols.unionByName(rf), ["model"]).drop("r2_ci_low", "r2_ci_high")

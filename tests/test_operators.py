@@ -259,3 +259,16 @@ def test_moment_fits_match_mllib_linear_regression(spark):
     mr = LinearRegression(featuresCol="f", labelCol="y", regParam=1.0 * sy / n, elasticNetParam=0.0,
                           standardization=False, solver="normal").fit(vz)
     assert np.allclose(ridge.coef, mr.coefficients.toArray(), rtol=1e-8)
+
+
+def test_fits_have_no_more_tasks_than_cores(spark):
+    from cohort_signal.operators import trees
+    # a task sends the statistics of all nodes, however few rows it has
+    assert trees.fit_tasks(0, 12) == trees.fit_tasks(30_000, 12) == 1
+    assert trees.fit_tasks(450_000, 12) == 9
+    assert trees.fit_tasks(5_000_000, 12) == 12
+    assert trees.fit_tasks(50_000_000, 12) == 50
+    rows = spark.range(0, 4000, 1, 40)
+    few = trees.for_fits(rows)
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 4000
+    few.unpersist()
