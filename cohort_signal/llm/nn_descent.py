@@ -2,7 +2,9 @@
 with Spark joins, and greedy search on it.
 
 Building.  Every vector gets a list of its K nearest known others.  The lists
-start from buckets of random-hyperplane codes and improve by local joins: the
+start from the cells of sampled pivots, each vector being in the cells of its
+NEAR most similar pivots of every table (cells that would hold more than BUCKET
+are split by random hyperplanes), and improve by local joins: the
 vectors that meet at a centre (its neighbours and those it is a neighbour of)
 are compared with each other, so neighbours of neighbours find each other; only
 pairs with an edge that is new since the last round are compared.  Rounds end
@@ -15,7 +17,7 @@ difference of the further coordinates from the difference of the norms, so that
 one long vector does not drown the others.
 
 Searching.  A query starts at its own vector's node, if it has one, and at
-vectors of its hash buckets and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
+vectors of its cells and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
 of the best nodes not yet expanded and keeps the best; it ends when the
 best EXPAND nodes are all expanded.  How many must be expanded depends on the
 vectors (clustered ones few, uniform ones of many dimensions many), so the
@@ -27,9 +29,12 @@ sums of double products in coordinate order on the original vectors.
 Scale: equal vectors collapse into one node first (a vector held by a third of
 the rows is one node) and are expanded again at the end, up to as many least
 ids as a result can use.  A centre with many reverse neighbours is dealt into
-groups of about GROUP members, a hash bucket likewise; a task holds one group.
-All merging is grouped maxima and row numbers with limits.  Nothing but counts
-and the SAMPLE queries' vectors reaches the driver; comparing these with all
+groups of about GROUP members, a cell into groups of at most about 2 BUCKET; a task
+holds one group.  Comparing a cell densely costs far less a pair than a local
+join, which ships vectors for every centre: so the lists start good and few
+rounds are left.
+All merging is grouped maxima and row numbers with limits.  Nothing but counts,
+at most TABLES * PIVOTS pivots and the SAMPLE queries' vectors reaches the driver; comparing these with all
 vectors is one pass of the nodes.  Measured recall at 20 (``tests/llm``, README): over 0.9.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold
@@ -52,8 +57,9 @@ from pyspark.sql import functions as F
 from .common import materialise, ship
 
 K = 24
-TABLES = 4
-BUCKET = 96
+TABLES = 6
+#: Pivots of a table at most; cells of a vector in each table; vectors of a cell.
+PIVOTS, NEAR, BUCKET = 256, 3, 512
 GROUP = 128
 #: Candidates a member takes from one group.
 BEST_OF_GROUP = 6
@@ -85,21 +91,48 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return src.filter(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def _codes(planes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """planes: (tables, bits, dimensions).  Hash codes of the unit vectors."""
+def _codes(pivots: np.ndarray, planes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """pivots: (tables, pivots, dimensions) of unit vectors; planes: (tables,
+    bits, dimensions).  The cells of each vector, table by table."""
+    near = _near_cells(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column("vec").flatten(), np.float64).reshape(batch.num_rows, -1)
-                code = np.zeros((batch.num_rows, planes.shape[0]), np.int64)
-                for b in range(planes.shape[1]):
-                    code = code * 2 + (x @ planes[:, b, :x.shape[1]].T > 0)
+                code = np.zeros((batch.num_rows, pivots.shape[0], near), np.int64)
+                for t in range(pivots.shape[0]):
+                    code[:, t] = np.argpartition(-(x @ pivots[t].T), near - 1, axis=1)[:, :near]
+                    for plane in planes[t]:
+                        code[:, t] = code[:, t] * 2 + (x @ plane > 0)[:, None]
+                code = code.reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(code), pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
 
     return run
 
 
+def _near_cells(pivots: np.ndarray) -> int:
+    return min(NEAR, pivots.shape[1])
+
+
+def _pivots(nodes: DataFrame, n: int, dim: int) -> np.ndarray:
+    """(TABLES, pivots, dimensions): directions of nodes drawn by their ids, as
+    many a table as give cells of BUCKET vectors, PIVOTS at most."""
+    each = min(PIVOTS, max(1, math.ceil(n * NEAR / BUCKET)))
+    drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(TABLES * each).collect()
+    if not drawn:
+        return np.zeros((TABLES, 1, dim))
+    x = np.array([r["vec"] for r in drawn], np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x[np.arange(TABLES * each) % len(x)].reshape(TABLES, each, -1)
+
+
+def _cells(coded: DataFrame, id_col: str, pivots: np.ndarray) -> DataFrame:
+    """(id, t, code), a row for each cell of each vector."""
+    return coded.select(id_col, F.posexplode("codes").alias("at", "code")).select(id_col, F.expr(f"at div {_near_cells(pivots)}").alias("t"), "code")
+
+
 def _similarities(top: float) -> Callable[[pa.Table], np.ndarray]:
     """Negative squared distances within a group, each vector with the
     coordinate that makes all squared norms ``top``; -inf on the diagonal."""
@@ -132,10 +165,10 @@ def _edge_table(ids: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray)
     return pa.table({"id": ids[rows], "nbr": ids[best[rows, cols]], "sim": values[rows, cols]})
 
 
-def _first_lists(similarities: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def _first_lists(similarities: Callable[[pa.Table], np.ndarray], most: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         sims = similarities(t)
-        return _edge_table(t.column("id").to_numpy(), sims, K, np.full(len(sims), -np.inf))
+        return _edge_table(t.column("id").to_numpy(), sims, most, np.full(len(sims), -np.inf))
 
     return run
 
@@ -153,8 +186,8 @@ def _local_join(similarities: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.
 class Index:
     """Graph over distinct vectors.  nodes: (id, vec); edges: (id, nbr, sim)."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, codes: DataFrame, planes: np.ndarray) -> None:
-        self.nodes, self.edges, self.codes, self.planes = nodes, edges, codes, planes
+    def __init__(self, nodes: DataFrame, edges: DataFrame, codes: DataFrame, pivots: np.ndarray, planes: np.ndarray) -> None:
+        self.nodes, self.edges, self.codes, self.pivots, self.planes = nodes, edges, codes, pivots, planes
 
 
 def _top(edges: DataFrame) -> DataFrame:
@@ -170,14 +203,17 @@ def build(nodes: DataFrame) -> Index:
     stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(inner_product(F.col("vec"), F.col("vec"))).alias("top"), F.max(F.size("vec")).alias("d")).first()
     n, top, dim = stats["n"], stats["top"] or 0.0, stats["d"] or 1
     similarities = _similarities(float(top))
-    bits = max(0, math.ceil(math.log2(max(1, n) / BUCKET)))
+    pivots = _pivots(nodes, n, dim)
+    bits = math.floor(math.log2(max(1, n * _near_cells(pivots) / (pivots.shape[1] * BUCKET))))
     planes = np.random.default_rng(SEED).normal(size=(TABLES, bits, dim))
-    coded = nodes.mapInArrow(_codes(planes), f"id long, vec {nodes.schema['vec'].dataType.simpleString()}, codes array<long>")
-    codes = materialise(coded.select("id", F.posexplode("codes").alias("t", "code")), "codes")
+    coded = nodes.mapInArrow(_codes(pivots, planes), f"id long, vec {nodes.schema['vec'].dataType.simpleString()}, codes array<long>")
+    codes = materialise(_cells(coded, "id", pivots), "codes")
     sizes = codes.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BUCKET)).alias("parts"))
     placed = codes.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), "parts"))
+    # the nearest are spread over many cells: of each, half a list is enough
+    most = K if pivots.shape[1] == 1 else K // 2
     first = (placed.join(nodes, "id").select("t", "code", "part", "id", "vec")
-             .groupBy("t", "code", "part").applyInArrow(_first_lists(similarities), _EDGES))
+             .groupBy("t", "code", "part").applyInArrow(_first_lists(similarities, most), _EDGES))
     edges = materialise(_top(first.withColumn("new", F.lit(True))).select("id", "nbr", "sim", "new", "r"), "graph")
     for _ in range(ROUNDS):
         meets = (edges.select(F.col("id").alias("centre"), F.col("nbr").alias("id"), "new")
@@ -194,7 +230,7 @@ def build(nodes: DataFrame) -> Index:
         changed = edges.filter("new").count()
         if changed <= DONE * n * K:
             break
-    return Index(nodes, edges.select("id", "nbr", "sim"), codes, planes)
+    return Index(nodes, edges.select("id", "nbr", "sim"), codes, pivots, planes)
 
 
 def _nearest_of_batch(asked: np.ndarray, ids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -252,8 +288,8 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     wanted = truth.agg(F.sum("most")).first()[0] or 0
 
     asked = queries.withColumnRenamed("query_id", "id").mapInArrow(
-        _codes(index.planes), f"id long, vec {queries.schema['vec'].dataType.simpleString()}, codes array<long>")
-    asked = asked.select(F.col("id").alias("query_id"), F.posexplode("codes").alias("t", "code"))
+        _codes(index.pivots, index.planes), f"id long, vec {queries.schema['vec'].dataType.simpleString()}, codes array<long>")
+    asked = _cells(asked, "id", index.pivots).withColumnRenamed("id", "query_id")
     drawn = Window.partitionBy("t", "code").orderBy(F.xxhash64("id", "t"), "id")
     by_length = F.desc(inner_product(F.col("vec"), F.col("vec")))
 

@@ -442,6 +442,24 @@ def test_nearest_recall_without_clusters(spark, monkeypatch):
     assert hits / n >= 0.9
 
 
+def test_graph_lists_hold_the_nearest_without_clusters(spark):
+    rng = np.random.default_rng(6)
+    n = 6000
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>").repartition(4)
+    lists = defaultdict(set)
+    for r in nn_descent.build(nodes).edges.filter("id % 30 = 0").collect():
+        lists[r.id].add(r.nbr)
+    hits = 0
+    for q in range(0, n, 30):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & lists[q])
+    print("list recall", hits / (n / 30 * 20))
+    assert hits / (n / 30 * 20) >= 0.9
+
+
 def fill(weights, caps, budget):
     """Water-filling by repeated passes."""
     out, open_ = {}, {k for k in caps if weights[k] > 0}
