@@ -14,7 +14,9 @@ Steps, all joins and groupings on Spark:
    of different components that shares a band and whose signatures do not
    rule out the threshold is confirmed on the full sets, inside tasks of two
    blocks of at most about BLOCK members, so a bucket of any size becomes
-   bounded tasks that return links only;
+   bounded tasks that return links only; members of a larger bucket's largest
+   component meet its other members only, so a group of copies gives rows by
+   its size times the blocks of what is near but not linked to it;
 5. components of all links.
 
 Chance to miss a pair at the threshold: below MISS for the banding, whose rows
@@ -233,6 +235,30 @@ def _complete(threshold_pct: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """``placed``: (bkey, node, comp).  (bkey, main, n_main, n_rest) of the buckets with
+    more than one component: the largest one, its members and the others'."""
+    sizes = placed.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("size"))
+    return (sizes.groupBy("bkey").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("size"))
+            .filter("comps > 1").select("bkey", F.col("m.comp").alias("main"), F.col("m.size").alias("n_main"), (F.col("size") - F.col("m.size")).alias("n_rest")))
+
+
+def task_members(members: DataFrame) -> DataFrame:
+    """``members`` with the columns of ``mixed_buckets``: a row for each task
+    (bkey, lo, hi) that a member takes part in, with its own ``block``.  A
+    bucket of at most BLOCK is one block; else its largest component and the
+    rest are dealt into blocks, and two blocks of the former never meet."""
+    whole = F.col("n_main") + F.col("n_rest") <= BLOCK
+    mains = F.when(whole, 0).otherwise(F.ceil(F.col("n_main") / BLOCK)).cast("long")
+    rests = F.when(whole, 1).otherwise(F.ceil(F.col("n_rest") / BLOCK)).cast("long")
+    in_main = (F.col("comp") == F.col("main")) & ~whole
+    drawn = F.xxhash64("node")
+    return (members.withColumns({"mains": mains, "rests": rests})
+            .withColumn("block", F.when(in_main, F.pmod(drawn, F.greatest("mains", F.lit(1).cast("long")))).otherwise(F.col("mains") + F.pmod(drawn, F.col("rests"))))
+            .withColumn("other", F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("rests") - 1)))
+            .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("mains", "rests", "other"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.  Documents
     are linked from a similarity of ``threshold_pct`` per cent on."""
@@ -244,8 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 3. least member of each bucket against the others
     members = reps.select("node", F.explode("bands").alias("bkey"))
-    buckets = members.groupBy("bkey").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
-    shared = materialise(members.join(buckets.filter("pivot <> last"), "bkey").select("bkey", "node", "pivot", "size"), "buckets")
+    buckets = members.groupBy("bkey").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+    shared = materialise(members.join(buckets.filter("pivot <> last"), "bkey").select("bkey", "node", "pivot"), "buckets")
     pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = materialise(src.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"), "sets")
@@ -256,15 +282,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(first)
 
     # 4. buckets that hold more than one component
-    placed = shared.join(comps, "node", "left").select("bkey", "node", "size", F.coalesce("root", "node").alias("comp"))
-    mixed = placed.groupBy("bkey").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("bkey")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    units = (placed.join(mixed, "bkey", "left_semi")
-             .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("bkey", "node", "comp", F.col("block").cast("long").alias("block"),
-                     F.least("block", "other").cast("long").alias("lo"), F.greatest("block", "other").cast("long").alias("hi"))
-             .join(reps.select("node", "n", "bands", "sig"), "node"))
+    placed = shared.join(comps, "node", "left").select("bkey", "node", F.coalesce("root", "node").alias("comp"))
+    units = task_members(placed.join(mixed_buckets(placed), "bkey").join(reps.select("node", "n", "bands", "sig"), "node"))
     cols = ["bkey", "node", "comp", "block", "lo", "hi", "n", "bands", "sig"]
     schema = "bkey long, node long, comp long, block long, lo long, hi long, n long, bands array<long>, sig binary"
     need = units.select(*cols).groupBy("bkey", "lo", "hi").applyInArrow(_needed(threshold_pct), schema)

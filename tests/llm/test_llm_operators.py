@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,25 @@ def test_hot_bucket_is_completed_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()} == {i: find(i) for i in sets}
 
 
+def test_members_of_a_large_component_meet_only_the_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    rng = random.Random(4)
+    # bucket 1: a large component and 20 near misses; 2: no large one; 3: small; 4: not mixed
+    comps = {(1, i): 0 if i < 600 else i for i in range(620)} | {(2, i): rng.randrange(90) for i in range(200)} | {(3, i): i % 3 for i in range(30)} | {(4, i): 0 for i in range(300)}
+    placed = spark.createDataFrame([(b, i, c) for (b, i), c in comps.items()], "bkey long, node long, comp long")
+    rows = near_dedup.task_members(placed.join(near_dedup.mixed_buckets(placed), "bkey")).collect()
+    tasks = defaultdict(list)
+    for r in rows:
+        tasks[r.bkey, r.lo, r.hi].append((r.node, r.block))
+    met = Counter()
+    for (b, lo, hi), held in tasks.items():
+        assert len(held) <= 3 * 64 and {block for _, block in held} <= {lo, hi}
+        met.update((b, *sorted((x, y))) for (x, bx), (y, by) in itertools.combinations(held, 2) if lo == hi or bx != by)
+    apart = {(b, i, j) for (b, i), (c, j) in itertools.combinations(sorted(comps), 2) if b == c and comps[b, i] != comps[c, j]}
+    assert all(met[pair] == 1 for pair in apart)
+    assert sum(r.bkey == 1 for r in rows) <= 2 * 620 and not any(r.bkey == 4 for r in rows)
+
+
 def test_pipeline_drops_near_copies_from_a_similarity_of_80_percent(spark):
     import corpus_pipeline
 
