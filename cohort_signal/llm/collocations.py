@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, ship
+from .common import materialise, mix64, ship, small_batches
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -226,10 +226,10 @@ def _records(frequent: np.ndarray, frequent_pairs: np.ndarray, max_words: int) -
 
 def _summed(words: pa.Array, langs: pa.Array, lang: np.ndarray, padded: np.ndarray, at: np.ndarray, size: np.ndarray, max_words: int) -> pa.RecordBatch:
     """Distinct records of some positions with their counts."""
-    columns = [np.where(size > k, padded[at + k] + 1, 0) for k in range(max_words)] + [lang]
-    if len(columns) % 2:
-        columns.append(np.zeros(len(at), dtype=np.int64))
-    keys = [(a << 32) | b for a, b in zip(columns[::2], columns[1::2])]
+    def column(k: int) -> np.ndarray | int:
+        return np.where(size > k, padded[at + k] + 1, 0) if k < max_words else lang if k == max_words else 0
+
+    keys = [(column(k) << 32) | column(k + 1) for k in range(0, max_words + 1, 2)]
     order = np.lexsort(keys)
     new = np.zeros(len(at), dtype=bool)
     new[0] = True
@@ -314,17 +314,19 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     occurrences, its words joined by a zero byte."""
     ship(docs.sparkSession)
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = materialise(src.mapInArrow(_word_counts, "lang string, word binary, cnt long").groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("cnt").alias("n"))
-    frequent = _bitmap(counts.filter(F.col("cnt") >= min_count).select("word").mapInArrow(_word_keys, "key long"))
-    pairs = src.mapInArrow(_pairs(frequent), "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
-    frequent_pairs = _bitmap(pairs.filter(F.col("cnt") >= min_count))
-    records = materialise(src.mapInArrow(_records(frequent, frequent_pairs, max_words), "lang string, phrase binary, cnt long"), "records")
-    ordered = records.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    parts = ordered.mapInArrow(_prefix_sums(min_count, max_words), "lang string, phrase binary, size int, cnt long")
-    single = counts.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "cnt")
-    stream = parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("cnt")).union(single).filter(F.col("cnt") >= min_count)
-    return totals, materialise(stream.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
+    # a batch is one slice: it is held by the JVM, on the way and in Python at once
+    with small_batches(docs.sparkSession, SLICE_BYTES):
+        counts = materialise(src.mapInArrow(_word_counts, "lang string, word binary, cnt long").groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")), "words")
+        totals = counts.groupBy("lang").agg(F.sum("cnt").alias("n"))
+        frequent = _bitmap(counts.filter(F.col("cnt") >= min_count).select("word").mapInArrow(_word_keys, "key long"))
+        pairs = src.mapInArrow(_pairs(frequent), "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+        frequent_pairs = _bitmap(pairs.filter(F.col("cnt") >= min_count))
+        records = materialise(src.mapInArrow(_records(frequent, frequent_pairs, max_words), "lang string, phrase binary, cnt long"), "records")
+        ordered = records.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
+        parts = ordered.mapInArrow(_prefix_sums(min_count, max_words), "lang string, phrase binary, size int, cnt long")
+        single = counts.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "cnt")
+        stream = parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("cnt")).union(single).filter(F.col("cnt") >= min_count)
+        return totals, materialise(stream.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,

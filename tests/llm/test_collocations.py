@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -115,3 +116,20 @@ def test_runs_stop_where_words_are_not_joined():
     joined = np.array([1, 0, 0, 1, 0, 1], dtype=bool)
     assert col._runs(keep, joined, 5).tolist() == [2, 1, 0, 2, 1, 2, 1]
     assert col._runs(keep, joined, 1).tolist() == [1, 1, 0, 1, 1, 1, 1]
+
+
+def test_tasks_hold_one_slice_at_a_time(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), {}
+    written = col.materialise
+    monkeypatch.setattr(col, "materialise", lambda df, what: (seen.__setitem__(what, int(spark.conf.get(name))), written(df, what))[1])
+    col.frequent_phrases(spark.createDataFrame([("en", "a b c " * 50)], "lang string, text string"), min_count=2)
+    assert set(seen) >= {"words", "records"} and set(seen.values()) == {col.SLICE_BYTES} and spark.conf.get(name) == before
+
+    n = 1 << 17
+    number = np.random.default_rng(1).integers(0, 50, n + 5)
+    tracemalloc.start()
+    out = col._summed(pa.array([f"w{i}".encode() for i in range(50)]), pa.array(["en"]), np.zeros(n, dtype=np.int64), number, np.arange(n), np.full(n, 2), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out.column("cnt").to_pylist()) == n and peak < 80 * n, peak / n
