@@ -86,6 +86,20 @@ def tree_spread(model, df: DataFrame, features: Sequence[str], z: float = 1.96)
         .drop(FEATURES_COL, "_mean", *names)
 
 
+def side_by_side(spark: SparkSession, fits: Sequence[Callable[[], object]]) -> list:
+    """Results of independent fits, run from driver threads, each in a
+    scheduler pool of its own: another takes the cores that one leaves idle."""
+    def one(at: int):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{at}")
+        try:
+            return fits[at]()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(one), range(len(fits))))
+
+
 def fold_models(df: DataFrame, fold_cols: Sequence[str], k: int, fit: Callable[[DataFrame], object], threads: int = 8) -> dict[tuple[int, int], object]:
     """(repeat, fold) -> the model fitted on the other folds.  ``df`` is read
     by every fit, so persist it; the fits are independent Spark jobs and run

@@ -692,9 +692,10 @@ def _compare(spark, sf_dir):
     ridge = linear.fit_linear(t.filter(F.col("split") == "train"), prep.features, "outcome", ALPHA,
                               [sc.mean[c] for c in prep.features], [sc.scale(c) for c in prep.features])
     parts.append(t.select("entity_id", "outcome", "split", ridge.predict().alias("pred")).withColumn("model", F.lit("ridge")))
-    rf = trees.random_forest(t.filter(F.col("split") == "train"), prep.features, "outcome")
+    train = t.filter(F.col("split") == "train")
+    rf, gb = trees.side_by_side(spark, [lambda: trees.random_forest(train, prep.features, "outcome"),
+                                        lambda: trees.boosted_trees(train, prep.features, "outcome")])
     parts.append(trees.predict(rf, t, prep.features, "pred").withColumn("model", F.lit("random_forest")))
-    gb = trees.boosted_trees(t.filter(F.col("split") == "train"), prep.features, "outcome")
     parts.append(trees.predict(gb, t, prep.features, "pred").withColumn("model", F.lit("boosted_trees")))
     long = None
     for p in parts:

@@ -1,5 +1,7 @@
 """Operators against brute force / numpy on small frames, and invariants."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +274,21 @@ def test_fits_have_no_more_tasks_than_cores(spark):
     few = trees.for_fits(rows)
     assert few.rdd.getNumPartitions() == 1 and few.count() == 4000
     few.unpersist()
+
+
+def test_compared_trees_are_fitted_side_by_side(spark, monkeypatch):
+    """Each fit waits until the other has begun."""
+    from cohort_signal.operators import trees
+    from cohort_signal.plans import catalog_models
+    both, forest, boosted = threading.Barrier(2, timeout=60), trees.random_forest, trees.boosted_trees
+    monkeypatch.setattr(trees, "random_forest", lambda *a: (both.wait(), forest(*a, n_trees=2, max_depth=2))[1])
+    monkeypatch.setattr(trees, "boosted_trees", lambda *a: (both.wait(), boosted(*a, rounds=1, max_depth=2))[1])
+    got = {r.model for r in catalog_models._compare(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"linear", "ridge", "random_forest", "boosted_trees"}
+
+    def fails():
+        raise ValueError("no rows")
+
+    assert trees.side_by_side(spark, [lambda: 1, lambda: spark.range(3).count()]) == [1, 3]
+    with pytest.raises(ValueError, match="no rows"):
+        trees.side_by_side(spark, [lambda: 1, fails])
