@@ -5,15 +5,16 @@ are sorted, and meet by merging.
 
 1. Word counts per language, partly summed inside each task.
 2. Pairs of neighbouring words, both with ``min_count`` occurrences, are
-   counted by their 64-bit key, to know which pairs cannot be frequent.
+   counted; these are the phrases of two words, and tell which longer phrases
+   cannot be frequent.
 3. Every word position gives one record: the words from it on, up to
    ``max_words``, to the end of its piece or to the first word or pair that is
    rarer than ``min_count`` (no phrase over it can be frequent); none if that
-   leaves one word.  Equal records of a slice are summed before they leave the
-   task.
+   leaves fewer than three words.  Equal records of a slice are summed before
+   they leave the task.
 4. The records are sorted into prefix order over all machines by range.  In
    that order all records that begin with a phrase lie together, so one pass
-   sums the counts of the phrases of all lengths from two; a phrase that touches an end
+   sums the counts of the phrases of all lengths from three; a phrase that touches an end
    of a stretch is passed on as a part and summed afterwards, so no phrase,
    however frequent, has to lie in one task.
 5. The phrases with ``min_count`` occurrences are kept as a count stream.  Cuts
@@ -28,9 +29,9 @@ longest containing phrase to look at is the one with one word more.
 To pass over rare words and pairs cheaply, steps 2 and 3 test bitmaps of fixed
 size (2^BITS bits, collected in at most 2^(BITS-6) rows).  A rare word or pair
 that shares a bit or a key with a frequent one is kept: that costs records,
-never counts, which come from the sorted records alone.
+never counts, which are those of the spelled words, pairs and records.
 
-Scale: one shuffle of word counts, one of pair keys, one of records by range,
+Scale: one shuffle of word counts, one of pairs, one of records by range,
 all summed inside tasks before; the rest is as small as the number of frequent phrases.
 Hot words and hot languages are split by range and by AQE's skewed joins;
 the merge joins move rows per candidate cut, nothing is collected.
@@ -63,7 +64,7 @@ SLICE_BYTES = 6 << 20
 WINDOW = 1 << 20
 #: Rows of the sorted stream summed together.
 STRETCH = 1 << 17
-#: Word pairs of a task summed together.
+#: Word pairs of a task summed together; they are spelled in slices.
 PAIRS = 1 << 22
 #: Bits of a bitmap of frequent words or pairs, as a power of two.
 BITS = 25
@@ -168,31 +169,70 @@ def _pair_keys(hashes: np.ndarray, lang: np.ndarray, number: np.ndarray, at: np.
     return mix64(mix64(hashes[number[at]] + lang) ^ (hashes[number[at + 1]] * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _pairs(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts -> (key, cnt) of their pairs of frequent words."""
+def _spelled_pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = _hashes(pc.split_pattern(batch.column("phrase"), JOIN).flatten())
+        at = 2 * np.arange(batch.num_rows)
+        keys = _pair_keys(hashes, _hashes(batch.column("lang")), np.arange(len(hashes)), at)
+        yield pa.record_batch({"key": pa.array(keys.view(np.int64))})
 
-    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch({"key": pa.array(keys.view(np.int64)), "cnt": pa.array(counts.astype(np.int64))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def _pairs(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts -> (lang, phrase, cnt) of their pairs of frequent words."""
+
+    def summed(held: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words = pa.concat_arrays([own for own, _, _ in held]).dictionary_encode()
+        langs = pa.concat_arrays([own for _, own, _ in held]).dictionary_encode()
+        word_number, lang_number = words.indices.to_numpy().astype(np.int64), langs.indices.to_numpy().astype(np.int64)
+        words, langs, n = words.dictionary, langs.dictionary, len(words.dictionary)
+        keys = np.empty(sum(len(own) for _, _, own in held), dtype=np.int64)
+        word_end, lang_end, end = len(word_number), len(lang_number), len(keys)
+        while held:  # what has been renumbered is let go
+            own_words, own_langs, own = held.pop()
+            word_end, lang_end, end, m = word_end - len(own_words), lang_end - len(own_langs), end - len(own), len(own_words)
+            part = keys[end:end + len(own)]
+            part[:] = lang_number[lang_end + own // m // m]
+            part *= n
+            part += word_number[word_end + own // m % m]
+            part *= n
+            part += word_number[word_end + own % m]
+        keys.sort()
+        first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+        counts = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+        length = pc.binary_length(words).to_numpy().astype(np.int64)
+        slice_of = np.cumsum(length[keys // n % n] + length[keys % n]) // SLICE_BYTES
+        edges = [0, *np.nonzero(np.diff(slice_of))[0] + 1, len(keys)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            part = keys[lo:hi]
+            yield pa.record_batch({
+                "lang": langs.take(pa.array(part // n // n)),
+                "phrase": pc.binary_join_element_wise(words.take(pa.array(part // n % n)), words.take(pa.array(part % n)), JOIN),
+                "cnt": pa.array(counts[lo:hi])})
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n_words, n_langs = [], 0, 0, 0
         for langs, codes, texts in _sliced(batches):
             words, number, piece, text = words_of(texts)
             if not len(number):
                 continue
-            hashes = _hashes(words)
-            keep = _marked(frequent, hashes)[number]
+            marked = _marked(frequent, _hashes(words))
+            keep = marked[number]
             at = np.nonzero(keep[:-1] & keep[1:] & (piece[:-1] == piece[1:]))[0]
-            held.append(_pair_keys(hashes, _hashes(langs)[codes[text[at]]], number, at))
-            size += len(at)
-            if size >= PAIRS:
-                yield summed(held)
-                held, size = [], 0
-        if size:
-            yield summed(held)
+            if not len(at):
+                continue
+            words, number = words.filter(pa.array(marked)), (np.cumsum(marked, dtype=np.int32) - 1)[number]
+            # a pair's number takes 64 bits
+            if size >= PAIRS or (n_words + len(words)) ** 2 * (n_langs + len(langs)) >= 1 << 63:
+                if held:
+                    yield from summed(held)
+                held, size, n_words, n_langs = [], 0, 0, 0
+            held.append((words, langs, (codes[text[at]].astype(np.int64) * len(words) + number[at]) * len(words) + number[at + 1]))
+            size, n_words, n_langs = size + len(at), n_words + len(words), n_langs + len(langs)
+        if held:
+            yield from summed(held)
 
-    return run
+    return count_pairs
 
 
 def _runs(keep: np.ndarray, joined: np.ndarray, max_words: int) -> np.ndarray:
@@ -204,6 +244,7 @@ def _runs(keep: np.ndarray, joined: np.ndarray, max_words: int) -> np.ndarray:
 
 
 def _records(frequent: np.ndarray, frequent_pairs: np.ndarray, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts -> (lang, phrase, cnt) of their records of three words and more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, codes, texts in _sliced(batches):
             words, number, piece, text = words_of(texts)
@@ -217,7 +258,7 @@ def _records(frequent: np.ndarray, frequent_pairs: np.ndarray, max_words: int) -
             size = _runs(keep, joined, max_words)
             padded = np.concatenate([number.astype(np.int64), np.zeros(max_words, dtype=np.int64)])
             for lo in range(0, len(number), WINDOW):
-                at = lo + np.nonzero(size[lo:lo + WINDOW] > 1)[0]
+                at = lo + np.nonzero(size[lo:lo + WINDOW] > 2)[0]
                 if len(at):
                     yield _summed(words, langs, codes[text[at]].astype(np.int64), padded, at, size[at], max_words)
 
@@ -265,9 +306,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _prefix_sums(min_count: int, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Records in prefix order -> counts of the phrases they begin with:
-    those of ``min_count`` and the parts at either end of a stretch."""
+def _prefix_sums(min_count: int, max_words: int, least: int = 2) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Records in prefix order -> counts of the phrases of ``least`` words and
+    more that they begin with: those of ``min_count`` and the parts at either
+    end of a stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _stretches(batches):
@@ -282,7 +324,7 @@ def _prefix_sums(min_count: int, max_words: int) -> Callable[[Iterator[pa.Record
             grid = np.full((len(cnt), max_words + 1), -1, dtype=np.int32)
             grid[:, 0] = lang_number
             grid[at, 1 + np.arange(len(at)) - np.repeat(offsets[:-1] - offsets[0], size)] = flat.indices.to_numpy()
-            for length in range(2, max_words + 1):
+            for length in range(least, max_words + 1):
                 rows = np.nonzero(size >= length)[0]
                 if not len(rows):
                     break
@@ -319,13 +361,15 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         counts = materialise(src.mapInArrow(_word_counts, "lang string, word binary, cnt long").groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")), "words")
         totals = counts.groupBy("lang").agg(F.sum("cnt").alias("n"))
         frequent = _bitmap(counts.filter(F.col("cnt") >= min_count).select("word").mapInArrow(_word_keys, "key long"))
-        pairs = src.mapInArrow(_pairs(frequent), "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
-        frequent_pairs = _bitmap(pairs.filter(F.col("cnt") >= min_count))
+        pairs = src.mapInArrow(_pairs(frequent), "lang string, phrase binary, cnt long").groupBy("lang", "phrase").agg(F.sum("cnt").alias("cnt"))
+        pairs = materialise(pairs.filter(F.col("cnt") >= min_count), "pairs")
+        frequent_pairs = _bitmap(pairs.select("lang", "phrase").mapInArrow(_spelled_pair_keys, "key long"))
         records = materialise(src.mapInArrow(_records(frequent, frequent_pairs, max_words), "lang string, phrase binary, cnt long"), "records")
         ordered = records.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-        parts = ordered.mapInArrow(_prefix_sums(min_count, max_words), "lang string, phrase binary, size int, cnt long")
+        parts = ordered.mapInArrow(_prefix_sums(min_count, max_words, 3), "lang string, phrase binary, size int, cnt long")
         single = counts.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "cnt")
-        stream = parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("cnt")).union(single).filter(F.col("cnt") >= min_count)
+        double = pairs.filter(F.lit(max_words) >= 2).select("lang", "phrase", F.lit(2).alias("size"), "cnt")
+        stream = parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("cnt")).union(double).union(single).filter(F.col("cnt") >= min_count)
         return totals, materialise(stream.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 

@@ -133,3 +133,41 @@ def test_tasks_hold_one_slice_at_a_time(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(out.column("cnt").to_pylist()) == n and peak < 80 * n, peak / n
+
+
+def test_pairs_are_not_counted_twice(spark, monkeypatch):
+    """Frequent words in changing order, two at a time: many frequent pairs, nothing longer, so no records."""
+    rng = random.Random(3)
+    rows = [("en", ". ".join(f"w{rng.randrange(8)} v{rng.randrange(8)}" for _ in range(200))) for _ in range(20)] + [("de", "a b c, a b")] * 30
+    tables, written = {}, col.materialise
+
+    def kept(df, what):
+        tables[what] = written(df, what)
+        return tables[what]
+
+    monkeypatch.setattr(col, "materialise", kept)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = sorted(tuple(r) for r in col.collocations(docs, min_count=20).collect())
+    assert got == expected(rows, 20, 5, 100, 2000)
+    assert {(r.lang, bytes(r.phrase)) for r in tables["records"].collect()} == {("de", b"a\x00b\x00c")}
+
+
+def test_pairs_of_several_slices_are_summed_exactly(monkeypatch):
+    """Slices with words and languages of their own share their numbers; spelled in small parts."""
+    rows = corpus()[:120]
+    f, _ = counted(rows, 2)
+    want = {(lang, col.JOIN.join(w.encode().replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") for w in words)): c
+            for (lang, words), c in f.items() if len(words) == 2}
+    batches = [pa.record_batch({"lang": pa.array(["und" if l is None else l for l, _ in part]), "text": pa.array([t for _, t in part])})
+               for part in (rows[i:i + 7] for i in range(0, len(rows), 7))]
+    everything = np.full(1 << (col.BITS - 6), -1, dtype=np.int64)
+    for pairs, slice_bytes in [(1 << 22, 6 << 20), (1 << 22, 100), (50, 300), (1, 6 << 20)]:
+        monkeypatch.setattr(col, "PAIRS", pairs)
+        monkeypatch.setattr(col, "SLICE_BYTES", slice_bytes)
+        out = list(col._pairs(everything)(iter(batches)))
+        got = Counter()
+        for row in (r for b in out for r in b.to_pylist()):
+            got[row["lang"], row["phrase"]] += row["cnt"]
+        assert got == want
+        if pairs == 1 << 22:
+            assert sum(b.num_rows for b in out) == len(want) and (len(out) > 1) == (slice_bytes == 100)
