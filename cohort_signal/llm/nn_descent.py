@@ -13,11 +13,11 @@ when fewer than DONE of the edges change.
 Inner products are turned into distances by one more coordinate
 sqrt(M^2 - |x|^2), M the largest norm, so that lists are also right for
 vectors of unequal length.  The squared distance is taken in doubles, the
-difference of the further coordinates from the difference of the norms, so that
-one long vector does not drown the others.
+further coordinate less M, so that one long vector does not drown the others.
 
-Searching.  A query starts at its own vector's node, if it has one, and at
-vectors of its cells and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
+Searching.  A query starts at its own vector's node, if it has one, at the
+nodes of its list, at the best vectors of its 2 SEEDS nearest cells of every
+table and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
 of the best nodes not yet expanded and keeps the best; it ends when the
 best EXPAND nodes are all expanded.  How many must be expanded depends on the
 vectors (clustered ones few, uniform ones of many dimensions many), so the
@@ -29,11 +29,14 @@ sums of double products in coordinate order on the original vectors.
 Scale: equal vectors collapse into one node first (a vector held by a third of
 the rows is one node) and are expanded again at the end, up to as many least
 ids as a result can use.  A centre with many reverse neighbours is dealt into
-groups of about GROUP members, a cell into groups of at most about 2 BUCKET; a task
-holds one group.  Comparing a cell densely costs far less a pair than a local
-join, which ships vectors for every centre: so the lists start good and few
-rounds are left.
-All merging is grouped maxima and row numbers with limits.  Nothing but counts,
+groups of about GROUP members, a cell into groups of at most about 2 BUCKET.
+Comparing a cell densely costs far less a pair (about 14 ns) than a local
+join or a hop, which ship a vector for every few pairs: so the lists and the
+searches start good and few rounds and hops are left.
+Lists and beams are rows of arrays, and a task gets the parts of many centres
+(JOIN_ROWS), lists of many ids (MERGE_ENTRIES) or the nodes of several queries
+(SCORE_NODES expanded) at a time; a query of a wider search is dealt to several.
+Nothing but counts,
 at most TABLES * PIVOTS pivots and the SAMPLE queries' vectors reaches the driver; comparing these with all
 vectors is one pass of the nodes.  Measured recall at 20 (``tests/llm``, README): over 0.9.
 
@@ -54,13 +57,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, ship, slices
 
 K = 24
-TABLES = 6
+TABLES = 3
 #: Pivots of a table at most; cells of a vector in each table; vectors of a cell.
-PIVOTS, NEAR, BUCKET = 256, 3, 512
+PIVOTS, NEAR, BUCKET = 2048, 6, 2048
+#: Vectors of a cell that are compared with the cell at a time.
+CELL_ROWS = 256
 GROUP = 128
+#: Rows of local joins, entries of lists and expanded nodes of queries that a task handles at a time.
+JOIN_ROWS, MERGE_ENTRIES, SCORE_NODES = 8192, 8192, 256
 #: Candidates a member takes from one group.
 BEST_OF_GROUP = 6
 ROUNDS = 8
@@ -91,15 +98,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return src.filter(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def _codes(pivots: np.ndarray, planes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _matrix(vectors: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten() if isinstance(vectors, pa.ChunkedArray) else vectors.flatten()
+    return np.asarray(flat, np.float64).reshape(rows, -1)
+
+
+def _codes(pivots: np.ndarray, planes: np.ndarray, near: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """pivots: (tables, pivots, dimensions) of unit vectors; planes: (tables,
-    bits, dimensions).  The cells of each vector, table by table."""
-    near = _near_cells(pivots)
+    bits, dimensions).  The ``near`` cells of each vector, table by table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
-                x = np.asarray(batch.column("vec").flatten(), np.float64).reshape(batch.num_rows, -1)
+                x = _matrix(batch.column("vec"), batch.num_rows)
                 code = np.zeros((batch.num_rows, pivots.shape[0], near), np.int64)
                 for t in range(pivots.shape[0]):
                     code[:, t] = np.argpartition(-(x @ pivots[t].T), near - 1, axis=1)[:, :near]
@@ -111,10 +122,6 @@ def _codes(pivots: np.ndarray, planes: np.ndarray) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def _near_cells(pivots: np.ndarray) -> int:
-    return min(NEAR, pivots.shape[1])
-
-
 def _pivots(nodes: DataFrame, n: int, dim: int) -> np.ndarray:
     """(TABLES, pivots, dimensions): directions of nodes drawn by their ids, as
     many a table as give cells of BUCKET vectors, PIVOTS at most."""
@@ -128,109 +135,199 @@ def _pivots(nodes: DataFrame, n: int, dim: int) -> np.ndarray:
     return x[np.arange(TABLES * each) % len(x)].reshape(TABLES, each, -1)
 
 
-def _cells(coded: DataFrame, id_col: str, pivots: np.ndarray) -> DataFrame:
-    """(id, t, code), a row for each cell of each vector."""
-    return coded.select(id_col, F.posexplode("codes").alias("at", "code")).select(id_col, F.expr(f"at div {_near_cells(pivots)}").alias("t"), "code")
+def _coded(vectors: DataFrame, id_col: str, pivots: np.ndarray, planes: np.ndarray, near: int) -> DataFrame:
+    """(id, vec, codes): ``vectors`` with the codes of their ``near`` cells."""
+    vectors = vectors.select(id_col, "vec")
+    return vectors.mapInArrow(_codes(pivots, planes, near), f"{id_col} long, vec {vectors.schema['vec'].dataType.simpleString()}, codes array<long>")
+
+
+def _cells(coded: DataFrame, near: int, *columns: str) -> DataFrame:
+    """(columns, t, code), a row for each cell of each vector."""
+    return coded.select(*columns, F.posexplode("codes").alias("at", "code")).select(*columns, F.expr(f"at div {near}").alias("t"), "code")
+
+
+def _placed(coded: DataFrame, id_col: str, near: int, crowded: DataFrame) -> DataFrame:
+    """(t, code, part, id, vec): each vector in its cells; of a crowded one in one part."""
+    return (_cells(coded, near, id_col, "vec").join(F.broadcast(crowded), ["t", "code"], "left")
+            .select("t", "code", F.pmod(F.xxhash64(id_col, "t"), F.coalesce("parts", F.lit(1))).alias("part"), id_col, "vec"))
 
 
-def _similarities(top: float) -> Callable[[pa.Table], np.ndarray]:
-    """Negative squared distances within a group, each vector with the
-    coordinate that makes all squared norms ``top``; -inf on the diagonal."""
+def _lifted(vectors: pa.ChunkedArray, rows: int, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors, each with the coordinate that makes all squared norms
+    ``top``, and halves of the squared norms.  The coordinate is taken less the
+    root of ``top``, which changes no distance and keeps its differences exact
+    beside one long vector."""
+    x = _matrix(vectors, rows)
+    norms = (x * x).sum(1)
+    both = np.sqrt(np.maximum(top - norms, 0)) + math.sqrt(top)
+    x = np.column_stack([x, -np.divide(norms, both, out=np.zeros_like(norms), where=both > 0)])
+    return x, (x * x).sum(1) / 2
 
-    def of(t: pa.Table) -> np.ndarray:
-        x = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
-        norms = (x * x).sum(1)
-        rest = np.sqrt(np.maximum(top - norms, 0))
-        both = rest[:, None] + rest
-        apart = np.divide(norms[:, None] - norms, both, out=np.zeros_like(both), where=both > 0)
-        sims = 2 * (x @ x.T) - norms[:, None] - norms - apart ** 2
-        np.fill_diagonal(sims, -np.inf)
-        return sims
 
-    return of
+def _bounds(sims: np.ndarray, m: int) -> np.ndarray:
+    """For each row a bound that at least ``m`` of its entries reach, and few
+    more: the m-th largest of the maxima of eight columns each."""
+    width = sims.shape[1]
+    if width > 16 * m:
+        sims = sims[:, :width // 8 * 8].reshape(len(sims), 8, -1).max(axis=1)
+    at = sims.shape[1] - m
+    return np.partition(sims, at, axis=1)[:, at]
 
 
-_EDGES = "id long, nbr long, sim double"
+def _best_places(sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of at least the ``m`` largest entries of each row, and few more."""
+    r, c = np.nonzero(sims >= _bounds(sims, m)[:, None])
+    if len(r) > 2 * m * len(sims):  # many are equal
+        r, c = np.repeat(np.arange(len(sims)), m), np.argpartition(-sims, m - 1, axis=1)[:, :m].ravel()
+    return r, c
 
 
-def _edge_table(ids: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray) -> pa.Table:
-    """Of each row of ``sims`` the best ``most`` above the row's floor."""
-    m = min(most, sims.shape[1] - 1)
-    if m <= 0:
-        return pa.table({"id": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-    best = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-    values = np.take_along_axis(sims, best, axis=1)
-    keep = values > floor[:, None]
-    rows, cols = np.nonzero(keep)
-    return pa.table({"id": ids[rows], "nbr": ids[best[rows, cols]], "sim": values[rows, cols]})
+#: ``new``: whether an entry has come since the last round (in a search: is yet to be expanded).
+_LISTS = "id long, nbrs array<long>, sims array<double>, news array<boolean>"
 
 
-def _first_lists(similarities: Callable[[pa.Table], np.ndarray], most: int) -> Callable[[pa.Table], pa.Table]:
+def _list_table(ids: np.ndarray, rows: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, news: np.ndarray) -> pa.Table:
+    """Lists of the entries of each of ``ids``; ``rows``, ascending, are places in ``ids``."""
+    held, sizes = np.unique(rows, return_counts=True)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.table({"id": pa.array(ids[held], pa.int64()), "nbrs": pa.ListArray.from_arrays(offsets, pa.array(nbrs, pa.int64())),
+                     "sims": pa.ListArray.from_arrays(offsets, pa.array(sims, pa.float64())), "news": pa.ListArray.from_arrays(offsets, pa.array(news, pa.bool_()))})
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _first_lists(top: float, most: int) -> Callable[[pa.Table], pa.Table]:
+    """Each member's ``most`` nearest others of its cell."""
+
     def run(t: pa.Table) -> pa.Table:
-        sims = similarities(t)
-        return _edge_table(t.column("id").to_numpy(), sims, most, np.full(len(sims), -np.inf))
+        ids = t.column("id").to_numpy()
+        x, half = _lifted(t.column("vec"), len(ids), top)
+        left, right = np.column_stack([x, np.ones(len(x))]), np.column_stack([x, -half])
+        m = min(most, len(ids) - 1)
+        rows, cols, values = [], [], []
+        for at in range(0, len(ids) if m > 0 else 0, CELL_ROWS):
+            sims = left[at:at + CELL_ROWS] @ right.T
+            sims[np.arange(len(sims)), at + np.arange(len(sims))] = -np.inf
+            r, c = _best_places(sims, m)
+            rows.append(at + r)
+            cols.append(c)
+            values.append(2 * (sims[r, c] - half[at + r]))
+        row = _joined(rows, int)
+        return _list_table(ids, row, ids[_joined(cols, int)], _joined(values, float), np.ones(len(row), bool))
 
     return run
 
 
-def _local_join(similarities: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def _local_join(top: float) -> Callable[[pa.Table], pa.Table]:
+    """Compares the members of each centre's part with each other, if one of
+    the two is new there; a table holds many parts."""
+
     def run(t: pa.Table) -> pa.Table:
-        new = np.asarray(t.column("new").to_pylist(), bool)
-        sims = similarities(t)
-        sims[np.ix_(~new, ~new)] = -np.inf
-        return _edge_table(t.column("id").to_numpy(), sims, BEST_OF_GROUP, t.column("floor").to_numpy())
+        centre, part = t.column("centre").to_numpy(), t.column("part").to_numpy()
+        order = np.lexsort((part, centre))
+        centre, part = centre[order], part[order]
+        ids, new = t.column("id").to_numpy()[order], t.column("new").to_numpy()[order]
+        x, half = _lifted(t.column("vec"), len(ids), top)
+        x, half = x[order], half[order]
+        left, right = np.column_stack([x, np.ones(len(x))]), np.column_stack([x, -half])
+        floor = t.column("floor").to_numpy()[order] / 2 + half
+        ends = np.append(np.flatnonzero((centre[1:] != centre[:-1]) | (part[1:] != part[:-1])) + 1, len(ids))
+        rows, cols, values, at = [], [], [], 0
+        for end in ends.tolist():
+            if end - at > 1 and (fresh := new[at:end]).any():
+                sims = left[at:end] @ right[at:end].T
+                if not fresh.all():
+                    sims[~(fresh[:, None] | fresh)] = -np.inf
+                np.fill_diagonal(sims, -np.inf)
+                kept = sims > floor[at:end, None]
+                if end - at > BEST_OF_GROUP:
+                    kept &= sims >= _bounds(sims, BEST_OF_GROUP)[:, None]
+                r, c = np.nonzero(kept)
+                rows.append(at + r)
+                cols.append(at + c)
+                values.append(2 * (sims[r, c] - half[at + r]))
+            at = end
+        row = _joined(rows, int)
+        return _list_table(ids, row, ids[_joined(cols, int)], _joined(values, float), np.ones(len(row), bool))
 
     return run
 
 
-class Index:
-    """Graph over distinct vectors.  nodes: (id, vec); edges: (id, nbr, sim)."""
+def _best_lists(most: int) -> Callable[[pa.Table], pa.Table]:
+    """One list for each id: its ``most`` best entries; of equal ones the older."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, codes: DataFrame, pivots: np.ndarray, planes: np.ndarray) -> None:
-        self.nodes, self.edges, self.codes, self.pivots, self.planes = nodes, edges, codes, pivots, planes
+    def run(t: pa.Table) -> pa.Table:
+        sizes = t.column("nbrs").combine_chunks().value_lengths().to_numpy()
+        ids, row = np.unique(t.column("id").to_numpy(), return_inverse=True)
+        row = np.repeat(row, sizes)
+        nbrs, sims, news = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("nbrs", "sims", "news"))
+        order = np.lexsort((nbrs, row))
+        row, nbrs, sims, news = row[order], nbrs[order], sims[order], news[order]
+        if len(row):
+            starts = np.append(0, np.flatnonzero((row[1:] != row[:-1]) | (nbrs[1:] != nbrs[:-1])) + 1)
+            row, nbrs, sims, news = row[starts], nbrs[starts], np.maximum.reduceat(sims, starts), np.logical_and.reduceat(news, starts)
+        order = np.lexsort((nbrs, -sims, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+        return _list_table(ids, row[order], nbrs[order], sims[order], news[order])
 
+    return run
 
-def _top(edges: DataFrame) -> DataFrame:
-    """The K most similar of each id; of equal edges the older."""
-    one = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    by = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
-    return one.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= K)
+
+def _merged(lists: DataFrame, most: int, groups: int) -> DataFrame:
+    """_best_lists of ``lists``, the ids dealt into ``groups``."""
+    return lists.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups))).applyInArrow(_best_lists(most), _LISTS)
+
+
+def _entries(lists: DataFrame) -> DataFrame:
+    """(id, nbr, sim, new), a row for each entry."""
+    return lists.select("id", F.inline(F.arrays_zip("nbrs", "sims", "news"))).toDF("id", "nbr", "sim", "new")
+
+
+class Index:
+    """Graph over distinct vectors.  nodes: (id, vec); edges: (id, nbr, sim);
+    cells: (t, code, part, id, vec); crowded: (t, code, parts) of cells of several parts."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, cells: DataFrame, crowded: DataFrame, pivots: np.ndarray, planes: np.ndarray) -> None:
+        self.nodes, self.edges, self.cells, self.crowded, self.pivots, self.planes = nodes, edges, cells, crowded, pivots, planes
 
 
 def build(nodes: DataFrame) -> Index:
     """``nodes``: (id, vec) of distinct usable vectors, materialised."""
     ship(nodes.sparkSession)
     stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(inner_product(F.col("vec"), F.col("vec"))).alias("top"), F.max(F.size("vec")).alias("d")).first()
-    n, top, dim = stats["n"], stats["top"] or 0.0, stats["d"] or 1
-    similarities = _similarities(float(top))
+    n, top, dim = stats["n"], float(stats["top"] or 0.0), stats["d"] or 1
     pivots = _pivots(nodes, n, dim)
-    bits = math.floor(math.log2(max(1, n * _near_cells(pivots) / (pivots.shape[1] * BUCKET))))
+    near = min(NEAR, pivots.shape[1])
+    bits = math.floor(math.log2(max(1, n * near / (pivots.shape[1] * BUCKET))))
     planes = np.random.default_rng(SEED).normal(size=(TABLES, bits, dim))
-    coded = nodes.mapInArrow(_codes(pivots, planes), f"id long, vec {nodes.schema['vec'].dataType.simpleString()}, codes array<long>")
-    codes = materialise(_cells(coded, "id", pivots), "codes")
-    sizes = codes.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BUCKET)).alias("parts"))
-    placed = codes.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), "parts"))
+    coded = materialise(_coded(nodes, "id", pivots, planes, near), "codes")
+    crowded = materialise(_cells(coded, near).groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BUCKET)).alias("parts")).filter("parts > 1"), "crowded")
+    cells = _placed(coded, "id", near, crowded)
     # the nearest are spread over many cells: of each, half a list is enough
     most = K if pivots.shape[1] == 1 else K // 2
-    first = (placed.join(nodes, "id").select("t", "code", "part", "id", "vec")
-             .groupBy("t", "code", "part").applyInArrow(_first_lists(similarities, most), _EDGES))
-    edges = materialise(_top(first.withColumn("new", F.lit(True))).select("id", "nbr", "sim", "new", "r"), "graph")
+    first = cells.groupBy("t", "code", "part").applyInArrow(_first_lists(top, most), _LISTS)
+    groups = math.ceil((n * TABLES * near * most + 1) / MERGE_ENTRIES)
+    lists = materialise(_merged(first, K, groups), "graph")
     for _ in range(ROUNDS):
+        edges = _entries(lists)
         meets = (edges.select(F.col("id").alias("centre"), F.col("nbr").alias("id"), "new")
                  .union(edges.select(F.col("nbr").alias("centre"), "id", "new"))
                  .groupBy("centre", "id").agg(F.max("new").alias("new")))
         sizes = meets.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"), F.max("new").alias("any")).filter("any")
-        floors = edges.filter(F.col("r") == K).select("id", F.col("sim").alias("floor"))
+        floors = lists.filter(F.size("sims") == K).select("id", F.element_at("sims", K).alias("floor"))
         at = nodes.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-        groups = (meets.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("centre", "id"), "parts"))
-                  .join(at, "id").select("centre", "part", "id", "new", "vec", "floor"))
-        found = groups.groupBy("centre", "part").applyInArrow(_local_join(similarities), _EDGES).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
-        old = edges.select("id", "nbr", "sim", F.lit(False).alias("new"))
-        edges = materialise(_top(old.union(found.withColumn("new", F.lit(True)))).select("id", "nbr", "sim", "new", "r"), "graph")
-        changed = edges.filter("new").count()
+        together = F.pmod(F.xxhash64("centre", "part"), F.lit(math.ceil((2 * K * n + 1) / JOIN_ROWS)))
+        dealt = (meets.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("centre", "id"), "parts"))
+                 .join(at, "id").select("centre", "part", "id", "new", "vec", "floor"))
+        found = dealt.groupBy(together).applyInArrow(_local_join(top), _LISTS)
+        old = lists.withColumn("news", F.transform("news", lambda x: F.lit(False)))
+        lists = materialise(_merged(old.union(found), K, groups), "graph")
+        changed = lists.agg(F.sum(F.size(F.filter("news", lambda x: x)))).first()[0] or 0
         if changed <= DONE * n * K:
             break
-    return Index(nodes, edges.select("id", "nbr", "sim"), codes, pivots, planes)
+    return Index(nodes, _entries(lists).select("id", "nbr", "sim"), cells, crowded, pivots, planes)
 
 
 def _nearest_of_batch(asked: np.ndarray, ids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -258,7 +355,8 @@ def _truth(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, floor, most) of SAMPLE queries, of which ``query_id`` is the
     node: the score of the k-th nearest other node of all, a little less for
     rounding, and how many there are (k, or all if fewer)."""
-    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).collect()
+    # not drawn as the pivots are, whose own cells hold their nearest
+    sample = queries.orderBy(F.xxhash64("query_id", F.lit(SEED)), "query_id").limit(SAMPLE).collect()
     schema = "query_id long, id long, score double"
     if sample:
         asked = np.array([r["vec"] for r in sample], np.float64)
@@ -271,61 +369,115 @@ def _truth(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return materialise(best.groupBy("query_id").agg((F.min("score") - slack).alias("floor"), F.count(F.lit(1)).alias("most")), "truth")
 
 
+def _best_of_cell(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``most`` members of a cell of largest inner product for each query that asks there."""
+
+    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, queries = members.column("id").to_numpy(), asked.column("query_id").to_numpy()
+        rows, cols, values = [], [], []
+        if len(ids) and len(queries):
+            x, q = _matrix(members.column("vec"), len(ids)), _matrix(asked.column("vec"), len(queries))
+            for at in range(0, len(queries), CELL_ROWS):
+                sims = q[at:at + CELL_ROWS] @ x.T
+                r, c = _best_places(sims, min(most, len(ids)))
+                rows.append(at + r)
+                cols.append(c)
+                values.append(sims[r, c])
+        row = _joined(rows, int)
+        return _list_table(queries, row, ids[_joined(cols, int)], _joined(values, float), np.ones(len(row), bool))
+
+    return run
+
+
+def _scores(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``most`` best of the nodes that are dealt to each query: sums of
+    double products in coordinate order."""
+
+    def run(pairs: pa.Table, asked: pa.Table) -> pa.Table:
+        queries = asked.column("query_id").to_numpy()
+        order = np.argsort(queries)
+        row = np.searchsorted(queries[order], pairs.column("query_id").to_numpy())
+        by_row = np.argsort(row, kind="stable")
+        row, nbrs = row[by_row], pairs.column("id").to_numpy()[by_row]
+        sims = np.zeros(len(row))
+        if len(row):
+            x = np.ascontiguousarray(_matrix(pairs.column("vec"), len(row)).T)
+            q = np.ascontiguousarray(_matrix(asked.column("vec"), len(queries)).T)
+            at = order[row]
+            for a, b in zip(q, x, strict=True):
+                sims += a[at] * b[by_row]
+        best = np.lexsort((nbrs, -sims, row))
+        best = best[np.arange(len(row)) - np.searchsorted(row, row) < most]
+        return _list_table(queries[order], row[best], nbrs[best], sims[best], np.ones(len(best), bool))
+
+    return run
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """``queries``: (query_id, vec), ``query_id`` the node of ``vec``.
-    (query_id, id, score): the best nodes found for each query, at least k + 1
-    if there are so many, unordered."""
+    (query_id, id, score): the k + 1 best nodes found for each query, or all,
+    if fewer, unordered."""
     spark = queries.sparkSession
     ship(spark)
     both = index.edges.select("id", "nbr", "sim").union(index.edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")).distinct()
     by_sim = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
     # a node's forward list and as many of its nearest reverse neighbours
-    links = materialise(both.withColumn("r", F.row_number().over(by_sim)).filter(F.col("r") <= 2 * K).select("id", "nbr"), "links")
+    links = materialise(both.withColumn("r", F.row_number().over(by_sim)).filter(F.col("r") <= 2 * K).groupBy("id").agg(F.collect_list("nbr").alias("nbrs")), "links")
     queries = materialise(queries.select("query_id", "vec"), "queries")
     nodes = index.nodes
-    n = nodes.count()
+    n, n_queries = nodes.count(), queries.count()
     truth = _truth(nodes, queries, k)
     wanted = truth.agg(F.sum("most")).first()[0] or 0
 
-    asked = queries.withColumnRenamed("query_id", "id").mapInArrow(
-        _codes(index.pivots, index.planes), f"id long, vec {queries.schema['vec'].dataType.simpleString()}, codes array<long>")
-    asked = _cells(asked, "id", index.pivots).withColumnRenamed("id", "query_id")
-    drawn = Window.partitionBy("t", "code").orderBy(F.xxhash64("id", "t"), "id")
     by_length = F.desc(inner_product(F.col("vec"), F.col("vec")))
 
-    def starts(seeds: int) -> DataFrame:
-        entries = index.codes.withColumn("r", F.row_number().over(drawn)).filter(F.col("r") <= seeds)
+    def starts(seeds: int, expand: int) -> DataFrame:
+        near = min(2 * seeds, index.pivots.shape[1])
+        asked = _placed(_coded(queries, "query_id", index.pivots, index.planes, near), "query_id", near, index.crowded)
+        found = index.cells.groupBy("t", "code", "part").cogroup(asked.groupBy("t", "code", "part")).applyInArrow(_best_of_cell(k + 1), _LISTS)
+        entries = _entries(_merged(found, 2 * expand, math.ceil((n_queries * TABLES * near * (k + 1) + 1) / MERGE_ENTRIES)))
         longest = nodes.orderBy(by_length, "id").limit(seeds).select("id")
-        return asked.join(entries, ["t", "code"]).select("query_id", "id").union(queries.select("query_id").crossJoin(F.broadcast(longest)))
+        return entries.select(F.col("id").alias("query_id"), F.col("nbr").alias("id")).union(queries.select("query_id").crossJoin(F.broadcast(longest)))
+
+    def scored(pairs: DataFrame, expand: int) -> DataFrame:
+        # a group holds a few queries, of wide searches a share of one query's nodes
+        groups, shares = math.ceil((n_queries * expand + 1) / SCORE_NODES), math.ceil(expand / SCORE_NODES)
+        group, share = F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group"), F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share")
+        dealt = pairs.join(nodes, "id").select("query_id", "id", "vec", group, share).groupBy("group", "share")
+        each = queries.select("query_id", "vec", group, F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>")).alias("share"))
+        return dealt.cogroup(each.groupBy("group", "share")).applyInArrow(_scores(4 * expand), _LISTS)
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(nodes, "id").join(queries.withColumnRenamed("vec", "q"), "query_id")
-                .select("query_id", "id", inner_product(F.col("q"), F.col("vec")).alias("score"), F.lit(False).alias("done")))
+    def best(lists: DataFrame, expand: int) -> DataFrame:
+        return _merged(lists, 4 * expand, math.ceil((n_queries * 8 * expand + 1) / MERGE_ENTRIES))
 
-    def merged(beam: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-        fresh = pairs.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    def widened(beam: DataFrame, pairs: DataFrame, expand: int) -> DataFrame:
         # nodes that have fallen out of the beam may be scored again, which changes nothing
-        return beam.select("query_id", "id", "score", "done").union(scored(fresh)).withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= width)
+        held = _entries(beam).select(F.col("id").alias("query_id"), F.col("nbr").alias("id"), F.lit(True).alias("held"))
+        fresh = pairs.withColumn("held", F.lit(False)).union(held).groupBy("query_id", "id").agg(F.max("held").alias("held")).filter("not held")
+        return best(beam.union(scored(fresh, expand)), expand)
 
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     own = queries.select("query_id", F.col("query_id").alias("id"))
+    # the list of its own vector brings a query near its answers
+    first = own.union(own.join(links, "id").select("query_id", F.explode("nbrs").alias("id")))
     expand, seeds = max(EXPAND, k + 1), SEEDS
-    beam = materialise(scored(starts(seeds).union(own).distinct()).withColumn("r", F.row_number().over(by_score)), "beam")
+    beam = materialise(best(scored(starts(seeds, expand).union(first).distinct(), expand), expand), "beam")
     while True:
         while True:
-            open_ = beam.filter((F.col("r") <= expand) & ~F.col("done"))
+            head = beam.select(F.col("id").alias("query_id"), F.inline(F.arrays_zip(F.slice("nbrs", 1, expand).alias("id"), F.slice("news", 1, expand).alias("open")))).toDF("query_id", "id", "open")
+            open_ = head.filter("open").select("query_id", "id")
             if open_.isEmpty():
                 break
-            reached = open_.join(links, "id").select("query_id", F.col("nbr").alias("id")).distinct()
-            marked = beam.withColumn("done", F.col("done") | (F.col("r") <= expand))
-            beam = materialise(merged(marked, reached, 4 * expand), "beam")
+            reached = open_.join(links, "id").select("query_id", F.explode("nbrs").alias("id"))
+            marked = beam.withColumn("news", F.transform("news", lambda x, i: x & (i >= expand)))
+            beam = materialise(widened(marked, reached, expand), "beam")
         # of equal scores any will do
-        held = (beam.join(F.broadcast(truth), "query_id").filter("id <> query_id and score >= floor")
+        held = (_entries(beam).toDF("query_id", "id", "score", "open").join(F.broadcast(truth), "query_id").filter("id <> query_id and score >= floor")
                 .groupBy("query_id").agg(F.least(F.count(F.lit(1)), F.first("most")).alias("held")).agg(F.sum("held")).first()[0] or 0)
         if held >= ENOUGH * wanted or expand >= n:
-            return beam.select("query_id", "id", "score")
+            answers = beam.select("id", *(F.slice(c, 1, k + 1).alias(c) for c in ("nbrs", "sims", "news")))
+            return _entries(answers).select(F.col("id").alias("query_id"), F.col("nbr").alias("id"), F.col("sim").alias("score"))
         expand, seeds = 2 * expand, 2 * seeds
-        beam = materialise(merged(beam, starts(seeds).distinct(), 4 * expand), "beam")
+        beam = materialise(widened(beam, starts(seeds, expand), expand), "beam")
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -479,6 +479,86 @@ def test_graph_lists_hold_the_nearest_without_clusters(spark):
     assert hits / (n / 30 * 20) >= 0.9
 
 
+def test_local_joins_of_many_centres_at_once():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 8)) * rng.choice([0.5, 2], size=(90, 1))
+    x[5] *= 1e5
+    top = float((x * x).sum(1).max())
+    rest = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
+    sims = -((x[:, None] - x) ** 2).sum(2) - (rest[:, None] - rest) ** 2
+    rows = [(c, p, i, bool(rng.random() < 0.6)) for c in range(12) for p in range(2) for i in rng.choice(90, rng.integers(1, 30), replace=False).tolist()]
+    random.Random(4).shuffle(rows)
+    centre, part, ids, new = map(list, zip(*rows, strict=True))
+    floor = np.sort(sims, axis=1)[:, -30]
+    t = pa.table({"centre": pa.array(centre, pa.int64()), "part": pa.array(part, pa.int64()), "id": pa.array(ids, pa.int64()), "new": new,
+                  "vec": pa.array([x[i].tolist() for i in ids], pa.list_(pa.float64())), "floor": floor[ids]})
+    got = defaultdict(dict)
+    for r in nn_descent._local_join(top)(t).to_pylist():
+        assert all(r["news"])
+        for nbr, sim in zip(r["nbrs"], r["sims"], strict=True):
+            assert abs(sim - sims[r["id"], nbr]) <= 1e-6 * max(1, abs(sim))
+            got[r["id"]][nbr] = sim
+    want = defaultdict(set)
+    for key in set(zip(centre, part, strict=True)):
+        here = [(i, n) for c, p, i, n in zip(centre, part, ids, new, strict=True) if (c, p) == key]
+        for i, n in here:
+            near = sorted((j for j, m in here if j != i and (n or m) and sims[i, j] > floor[i]), key=lambda j: -sims[i, j])
+            want[i] |= set(near[:nn_descent.BEST_OF_GROUP])
+    assert sum(map(len, want.values())) > 200
+    for i, near in want.items():
+        assert near <= set(got[i])
+    assert sum(map(len, got.values())) <= 1.5 * sum(map(len, want.values()))
+
+
+def test_best_lists_keep_the_best_and_older():
+    rng = random.Random(3)
+    edges = [(rng.randrange(6), rng.randrange(40), rng.random() < 0.5) for _ in range(900)]
+    sim = {(i, n): rng.randrange(25) / 4 for i, n, _ in edges}
+    parts = [edges[at:at + 7] for at in range(0, 900, 7)]
+    rows = [(i, [(n, new) for j, n, new in part if j == i]) for part in parts for i in {e[0] for e in part}]
+    t = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "nbrs": pa.array([[n for n, _ in e] for _, e in rows], pa.list_(pa.int64())),
+                  "sims": [[sim[i, n] for n, _ in e] for i, e in rows], "news": [[new for _, new in e] for _, e in rows]})
+    got = {r["id"]: list(zip(r["nbrs"], r["sims"], r["news"], strict=True)) for r in nn_descent._best_lists(9)(t).to_pylist()}
+    for i in range(6):
+        near = sorted({n for j, n, _ in edges if j == i}, key=lambda n: (-sim[i, n], n))[:9]
+        assert got[i] == [(n, sim[i, n], all(new for j, m, new in edges if (j, m) == (i, n))) for n in near]
+
+
+def test_measured_queries_are_not_the_pivots(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "SAMPLE", 20)
+    rng = np.random.default_rng(12)
+    n = 3000
+    x = rng.normal(size=(n, 16)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    pivots = nn_descent._pivots(nodes, n, 16).reshape(-1, 16)
+    measured = [r.query_id for r in nn_descent._truth(nodes, nodes.withColumnRenamed("id", "query_id"), 5).collect()]
+    assert len(measured) == 20
+    d = x[measured].astype(np.float64)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    assert ((d @ pivots.T).max(axis=1) > 1 - 1e-9).sum() <= 2
+
+
+def test_scores_are_sums_in_coordinate_order(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "SCORE_NODES", 8)  # a query's nodes are dealt to several groups
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    x[30] = 0
+    x[30, 1] = -3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nn_descent.nearest(df, F.col("vec_id") % 50 == 0, 7).collect():
+        score = 0.0
+        for a, b in zip(x[r.query_id].tolist(), x[r.vec_id].tolist(), strict=True):
+            score += a * b
+        assert r.score == score
+        got[r.query_id].append((r["rank"], r.vec_id))
+    d = x.astype(np.float64)
+    for q in range(0, 400, 50):
+        s = d @ d[q]
+        s[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.argsort(-s)[:7].tolist()
+
+
 def fill(weights, caps, budget):
     """Water-filling by repeated passes."""
     out, open_ = {}, {k for k in caps if weights[k] > 0}
