@@ -16,7 +16,7 @@ vectors of unequal length.  The squared distance is taken in doubles, the
 further coordinate less M, so that one long vector does not drown the others.
 
 Searching.  A query starts at its own vector's node, if it has one, at the
-nodes of its list, at the best vectors of its 2 SEEDS nearest cells of every
+nodes of its list, at the best vectors of its 3 SEEDS nearest cells of every
 table and at the SEEDS longest vectors; each hop scores the neighbours (both directions)
 of the best nodes not yet expanded and keeps the best; it ends when the
 best EXPAND nodes are all expanded.  How many must be expanded depends on the
@@ -67,7 +67,7 @@ PIVOTS, NEAR, BUCKET = 2048, 6, 2048
 CELL_ROWS = 256
 GROUP = 128
 #: Rows of local joins, entries of lists and expanded nodes of queries that a task handles at a time.
-JOIN_ROWS, MERGE_ENTRIES, SCORE_NODES = 8192, 8192, 256
+JOIN_ROWS, MERGE_ENTRIES, SCORE_NODES = 8192, 4096, 256
 #: Candidates a member takes from one group.
 BEST_OF_GROUP = 6
 ROUNDS = 8
@@ -432,7 +432,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     by_length = F.desc(inner_product(F.col("vec"), F.col("vec")))
 
     def starts(seeds: int, expand: int) -> DataFrame:
-        near = min(2 * seeds, index.pivots.shape[1])
+        near = min(3 * seeds, index.pivots.shape[1])
         asked = _placed(_coded(queries, "query_id", index.pivots, index.planes, near), "query_id", near, index.crowded)
         found = index.cells.groupBy("t", "code", "part").cogroup(asked.groupBy("t", "code", "part")).applyInArrow(_best_of_cell(k + 1), _LISTS)
         entries = _entries(_merged(found, 2 * expand, math.ceil((n_queries * TABLES * near * (k + 1) + 1) / MERGE_ENTRIES)))
